@@ -37,7 +37,7 @@ RULES = (
     Rule(2, "short_words", "word_chars < 2 * n_words"),
     Rule(3, "long_words", "word_chars > 14 * n_words"),
     Rule(4, "symbols", "10 * n_symbols > n_words"),
-    Rule(5, "duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule(5, "duplicate_lines", "n_dup_lines >= 2 AND 10 * n_dup_lines > 3 * n_lines"),
 )
 BASE_MASK = 0b11
 

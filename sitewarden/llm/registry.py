@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, quality
+import public_tokenizers
+
+from . import mixing, packing, quality, tokens
 from .common import table
 from .sql import ORACLE
 
 
+def op1_nnls_packing(spark, sf_dir):
+    """Pieces of all documents in windows of 2048 tokens."""
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op4_source_mixing(spark, sf_dir):
     """Words every document contributes to the mix."""
     return mixing.copies(table(spark, sf_dir, "documents")).select(
@@ -21,9 +31,16 @@ def op5_quality_rules(spark, sf_dir):
     return quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
 
 
+def op9_token_counts(spark, sf_dir):
+    """Tokens of every document under the byte-level vocabulary."""
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
+    "op1_nnls_packing": op1_nnls_packing,
     "op4_source_mixing": op4_source_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op9_token_counts": op9_token_counts,
 }
 
 

@@ -58,7 +58,7 @@ WITH d AS (
   FROM d LEFT JOIN l USING (rid) LEFT JOIN p USING (rid)
 ), b AS (
   SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (word_chars < 2 * n_words)::INT
-    + 8 * (word_chars > 14 * n_words)::INT + 16 * (10 * n_symbols > n_words)::INT + 32 * (10 * n_dup_lines > 3 * n_lines)::INT AS BIGINT) AS fail_bits
+    + 8 * (word_chars > 14 * n_words)::INT + 16 * (10 * n_symbols > n_words)::INT + 32 * (n_dup_lines >= 2 AND 10 * n_dup_lines > 3 * n_lines)::INT AS BIGINT) AS fail_bits
   FROM m
 )
 SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
