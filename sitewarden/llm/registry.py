@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import mixing, packing, quality, tokens
-from .common import table
+from . import linededup, mixing, packing, quality, tokens
+from .common import Scratch, table
 from .sql import ORACLE
 
 
@@ -19,6 +19,14 @@ def op1_nnls_packing(spark, sf_dir):
     )
 
 
+def op2_line_dedup(spark, sf_dir):
+    """What three-line windows remove from every document."""
+    cleaned = linededup.dedup(table(spark, sf_dir, "documents"), Scratch(spark))
+    return cleaned.select(
+        "row.doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 def op4_source_mixing(spark, sf_dir):
     """Words every document contributes to the mix."""
     return mixing.copies(table(spark, sf_dir, "documents")).select(
@@ -38,6 +46,7 @@ def op9_token_counts(spark, sf_dir):
 
 QUERIES = {
     "op1_nnls_packing": op1_nnls_packing,
+    "op2_line_dedup": op2_line_dedup,
     "op4_source_mixing": op4_source_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op9_token_counts": op9_token_counts,

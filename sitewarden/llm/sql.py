@@ -64,7 +64,56 @@ WITH d AS (
 SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
 """
 
+OP2 = r"""
+WITH l AS (
+  SELECT doc_id, i, ls[i] AS line
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))
+), s AS (
+  SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), w AS (
+  SELECT doc_id, i AS i0, lead(i, 1) OVER o AS i1, lead(i, 2) OVER o AS i2,
+    line AS a, lead(line, 1) OVER o AS b, lead(line, 2) OVER o AS c
+  FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i0) AS k FROM w WHERE i2 IS NOT NULL
+), g AS (
+  SELECT DISTINCT doc_id, unnest([i0, i1, i2]) AS i FROM r WHERE k > 1
+), x AS (
+  SELECT l.doc_id, string_agg(CASE WHEN g.i IS NULL THEN line END, chr(10) ORDER BY l.i) AS t,
+    count(*) FILTER (WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) AS n_lines, count(g.i) AS n_removed_lines
+  FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_lines, 0) AS n_removed_lines,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN x ON d.doc_id = x.doc_id
+"""
+
+OP8 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, sh FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM d)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)
+), r AS (
+  SELECT doc_id AS x, doc_id AS y FROM d
+  UNION
+  SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = d.doc_id
+"""
+
 ORACLE = {
+    "op2_line_dedup": OP2,
+    "op8_ngram_jaccard": OP8,
     "op4_source_mixing": OP4,
     "op5_quality_rules": OP5,
 }
