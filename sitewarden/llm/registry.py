@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import linededup, mixing, packing, quality, tokens
+from . import jaccard, linededup, mixing, packing, quality, tokens
 from .common import Scratch, table
 from .sql import ORACLE
 
@@ -39,6 +39,11 @@ def op5_quality_rules(spark, sf_dir):
     return quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
 
 
+def op8_ngram_jaccard(spark, sf_dir):
+    """Set size and component of every document at similarity 0.75."""
+    return jaccard.join(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op9_token_counts(spark, sf_dir):
     """Tokens of every document under the byte-level vocabulary."""
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -49,6 +54,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op4_source_mixing": op4_source_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_counts": op9_token_counts,
 }
 
