@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import jaccard, linededup, mixing, packing, quality, tokens
+from . import caps, jaccard, linededup, mixing, packing, quality, tokens
 from .common import Scratch, table
 from .sql import ORACLE
 
@@ -49,6 +49,11 @@ def op9_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_cap_filters(spark, sf_dir):
+    """Links and component of every embedding at cosine 0.95."""
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
 QUERIES = {
     "op1_nnls_packing": op1_nnls_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -56,6 +61,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_counts": op9_token_counts,
+    "op10_cap_filters": op10_cap_filters,
 }
 
 

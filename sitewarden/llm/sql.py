@@ -111,7 +111,26 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = d.doc_id
 """
 
+OP10 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), g AS (
+  SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), r AS (
+  SELECT vec_id AS x, vec_id AS y FROM v
+  UNION
+  SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+)
+SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) k ON k.x = v.vec_id
+JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = v.vec_id
+"""
+
 ORACLE = {
+    "op10_cap_filters": OP10,
     "op2_line_dedup": OP2,
     "op8_ngram_jaccard": OP8,
     "op4_source_mixing": OP4,
