@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The six separators between words; every other character belongs to a word.
 SPACES = " \t\n\x0b\x0c\r"
+#: Lets Spark delete the shuffle files of a write when it is over.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -44,7 +46,12 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written once and read back."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

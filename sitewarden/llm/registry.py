@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import caps, jaccard, linededup, mixing, packing, quality, tokens
+from . import caps, jaccard, linededup, mixing, packing, quality, suffix, tokens
 from .common import Scratch, table
 from .sql import ORACLE
 
@@ -27,6 +27,19 @@ def op2_line_dedup(spark, sf_dir):
     )
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    """What repeated 200-byte strings remove from every document."""
+    found = suffix.dedup(table(spark, sf_dir, "documents"), Scratch(spark))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_source_mixing(spark, sf_dir):
     """Words every document contributes to the mix."""
     return mixing.copies(table(spark, sf_dir, "documents")).select(
@@ -57,6 +70,7 @@ def op10_cap_filters(spark, sf_dir):
 QUERIES = {
     "op1_nnls_packing": op1_nnls_packing,
     "op2_line_dedup": op2_line_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_source_mixing": op4_source_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op8_ngram_jaccard": op8_ngram_jaccard,
