@@ -79,7 +79,8 @@ def dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.drop("windows", "repeated")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     held = docs.select(row.alias("row"), F.col("doc_id").alias("kd"), F.xxhash64("text").alias("ks"))
-    both = held.join(gone, F.col("kd").eqNullSafe(F.col("gd")) & (F.col("ks") == F.col("gs")), "left")
+    # merged at every size: a plan that turns from broadcast to shuffle as the table grows can't be projected
+    both = held.join(gone.hint("merge"), F.col("kd").eqNullSafe(F.col("gd")) & (F.col("ks") == F.col("gs")), "left")
     parts = F.split("row.text", "\n")
     cleaned = let(
         parts,
