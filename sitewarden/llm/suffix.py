@@ -333,7 +333,7 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # each document brings its pieces: one row per document that has any
     per_doc = wanted.groupBy("wd").agg(F.collect_list(F.struct("anchor", "start", "n", "at", "copies", "hot")).alias("want"))
     texts = keyed(docs).select("doc", F.encode("text", "utf-8").alias("bytes"))
-    pieces = per_doc.join(texts, F.col("wd") == F.col("doc")).select("doc", "bytes", F.explode("want").alias("w"))
+    pieces = per_doc.hint("merge").join(texts, F.col("wd") == F.col("doc")).select("doc", "bytes", F.explode("want").alias("w"))
     pieces = pieces.select(
         "w.*", "doc", F.expr(f"substring(bytes, cast(w.start + 1 as int), cast(w.n + {LENGTH - 1} as int))").alias("piece")
     )
@@ -380,7 +380,7 @@ def dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
     ranges = repeated(docs, scratch).groupBy(F.col("doc").alias("rd")).agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
     ranges = scratch.keep(ranges, "ranges")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    both = keyed(docs).join(ranges, F.col("doc") == F.col("rd"), "left")
+    both = keyed(docs).join(ranges.hint("merge"), F.col("doc") == F.col("rd"), "left")
     return both.select("doc_id", F.encode("text", "utf-8").alias("bytes"), "ranges").mapInArrow(
         _spans, f"doc_id {kind}, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary"
     )
