@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import caps, jaccard, linededup, mixing, packing, quality, suffix, tokens
+from . import caps, jaccard, langid, linededup, mixing, packing, quality, suffix, tokens
 from .common import Scratch, table
 from .sql import ORACLE
 
@@ -52,6 +52,12 @@ def op5_quality_rules(spark, sf_dir):
     return quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
 
 
+def op6_language_id(spark, sf_dir):
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs, Scratch(spark)))
+
+
 def op8_ngram_jaccard(spark, sf_dir):
     """Set size and component of every document at similarity 0.75."""
     return jaccard.join(table(spark, sf_dir, "documents"), Scratch(spark))
@@ -73,6 +79,7 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_source_mixing": op4_source_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_language_id": op6_language_id,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_counts": op9_token_counts,
     "op10_cap_filters": op10_cap_filters,
