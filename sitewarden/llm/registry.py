@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import caps, jaccard, langid, linededup, mixing, packing, quality, suffix, tokens
+from . import caps, chains, jaccard, langid, linededup, mixing, packing, quality, suffix, tokens
 from .common import Scratch, table
 from .sql import ORACLE
 
@@ -58,6 +58,11 @@ def op6_language_id(spark, sf_dir):
     return langid.predict(docs, langid.fit(docs, Scratch(spark)))
 
 
+def op7_collinear_chains(spark, sf_dir):
+    """Passages that a document shares with an earlier one, word places and equal words."""
+    return chains.passages(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op8_ngram_jaccard(spark, sf_dir):
     """Set size and component of every document at similarity 0.75."""
     return jaccard.join(table(spark, sf_dir, "documents"), Scratch(spark))
@@ -80,6 +85,7 @@ QUERIES = {
     "op4_source_mixing": op4_source_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
+    "op7_collinear_chains": op7_collinear_chains,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_counts": op9_token_counts,
     "op10_cap_filters": op10_cap_filters,
