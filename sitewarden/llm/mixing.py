@@ -42,7 +42,8 @@ def targets(sources: DataFrame) -> DataFrame:
 
     With ``total`` to share, a source gets ``min(cap, level * weight)``. Sorted
     by ``cap / weight``, sources fill up in that order, so the level follows
-    from prefix sums: it is the first one at which the next source is not full.
+    from prefix sums: it is the one of the first source that it doesn't fill, and the
+    largest of those that don't fill theirs.
     The windows run over one row per source, never over documents.
     """
     everything = Window.orderBy(F.col("source").asc_nulls_last())
@@ -62,7 +63,7 @@ def targets(sources: DataFrame) -> DataFrame:
     total = F.sum("source_size").over(whole) * SHARE
     s = s.withColumn("level", (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
     s = s.withColumn("open", F.col("level") * F.col("weight") <= F.col("cap"))
-    level = F.min(F.when(F.col("open"), F.col("level"))).over(whole)
+    level = F.max(F.when(F.col("open"), F.col("level"))).over(whole)
     return s.select(
         "source",
         "source_size",

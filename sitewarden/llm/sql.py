@@ -18,7 +18,7 @@ WITH d AS (
   FROM f
 ), t AS (
   SELECT source, source_size, n_docs, round(least(cap, coalesce(lv * weight, cap)), 6) AS target
-  FROM (SELECT *, min(CASE WHEN level * weight <= cap THEN level END) OVER () AS lv FROM l)
+  FROM (SELECT *, max(CASE WHEN level * weight <= cap THEN level END) OVER () AS lv FROM l)
 ), k AS (
   SELECT d.*, t.source_size, t.target,
     CAST(floor(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), tie)), 1, 8))::BIGINT / 4294967296.0::DOUBLE
