@@ -171,7 +171,7 @@ def _tile(size: int, threshold: int):
 def _verified(members: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
     """Links within tiles of ``node, doc, known, cluster, part``."""
     texts = docs.select(F.col("doc_id").alias("d"), "text").where("text IS NOT NULL")
-    held = members.join(texts, F.col("doc") == F.col("d")).select("node", "known", "cluster", "part", "text")
+    held = members.hint("merge").join(texts, F.col("doc") == F.col("d")).select("node", "known", "cluster", "part", "text")
     return held.groupBy("cluster", "part").applyInPandas(_tile(size, threshold), "a long, b long")
 
 
@@ -180,12 +180,12 @@ def join(docs: DataFrame, scratch: Scratch, size: int = SIZE, threshold: int = T
     rows = scratch.keep(signatures(docs, size), "rows")
     some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = scratch.keep(some.groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("size")), "nodes")
-    own = some.join(nodes.withColumnRenamed("node", "o"), (F.col("node") == F.col("o")) & (F.col("doc_id") == F.col("doc")))
+    own = some.join(nodes.withColumnRenamed("node", "o").hint("merge"), (F.col("node") == F.col("o")) & (F.col("doc_id") == F.col("doc")))
     keyed = own.select("node", F.explode("keys").alias("key"))
     shared = scratch.keep(
         keyed.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top"), "keys"
     )
-    ties = keyed.join(shared, F.col("key") == F.col("k")).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    ties = keyed.join(shared.hint("merge"), F.col("key") == F.col("k")).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     clusters = scratch.keep(
         components(scratch, ties.distinct(), "clusters")
         .withColumnRenamed("node", "cn")
@@ -210,7 +210,7 @@ def join(docs: DataFrame, scratch: Scratch, size: int = SIZE, threshold: int = T
     )
     least = scratch.keep(lowest.groupBy(F.col("label").alias("l")).agg(F.min("doc").alias("component_id")), "least")
     final = scratch.keep(lowest.join(least, F.col("label") == F.col("l")).select(F.col("node").alias("fn"), "component_id"), "final")
-    out = rows.join(final, F.col("node") == F.col("fn"), "left")
+    out = rows.join(final.hint("merge"), F.col("node") == F.col("fn"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
