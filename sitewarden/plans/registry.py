@@ -1,20 +1,397 @@
-"""Named audit queries and the SQL they are compared with."""
+"""Named audit queries over the driver's tables and the fixtures, and the SQL they are compared with.
+
+Where a table can show an operator, the SQL computes the same from that table.
+What the tables never contain (headers, redirects, rendering, robots files) is
+shown on the fixture crawl; there the SQL is the list of expected rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import urls as U
+from ..operators import crawl_rules, redirects, robots, rules, sitemaps
+from ..operators import signatures as S
+from ..streaming import throttle
+from . import audit, crawl, fixtures, report
+from .expected import EXPECTED
+
+Query = Callable[[SparkSession, str], DataFrame]
+_Q: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    lit = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({names})"
+
+
+# --- URLs -------------------------------------------------------------------
+
+_RE = r"'^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?'"
+_PARTS = f"""u AS (SELECT page_id, url, lower(regexp_extract(url, {_RE}, 1)) AS s, lower(regexp_extract(url, {_RE}, 2)) AS h,
+  regexp_extract(url, {_RE}, 3) AS p, regexp_extract(url, {_RE}, 4) AS q FROM pages)"""
+_KEY = "s || '://' || regexp_replace(h, CASE s WHEN 'http' THEN ':80$' ELSE ':443$' END, '')"
+
+
+@query(f"WITH {_PARTS} SELECT page_id, s AS scheme, h AS host, p AS path, q AS query FROM u")
+def url_split(spark, d):
+    u = F.col("url")
+    return _t(spark, d, "pages").select("page_id", U.scheme(u).alias("scheme"), U.host(u).alias("host"), U.path(u).alias("path"), U.query(u).alias("query"))
+
+
+@query(f"""WITH {_PARTS} SELECT page_id,
+  {_KEY} || CASE WHEN length(p) > 1 THEN regexp_replace(p, '/$', '') WHEN p = '' THEN '/' ELSE p END || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS index_key,
+  {_KEY} || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS slash_key,
+  {_KEY} || CASE WHEN length(p) > 1 THEN regexp_replace(p, '/$', '') WHEN p = '' THEN '/' ELSE p END AS bare_key,
+  regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS sitemap_key,
+  h || CASE WHEN regexp_replace(p, '/+$', '') = '' THEN '/' ELSE regexp_replace(p, '/+$', '') END AS landing_key FROM u""")
+def url_keys(spark, d):
+    u = F.col("url")
+    return _t(spark, d, "pages").select(
+        "page_id",
+        U.index_key(u).alias("index_key"),
+        U.keep_slash(u).alias("slash_key"),
+        U.index_key(u, True).alias("bare_key"),
+        U.sitemap_key(u).alias("sitemap_key"),
+        U.landing_key(u).alias("landing_key"),
+    )
+
+
+@query("""SELECT pk AS page_key, count(*) AS n, first(url ORDER BY (url <> pk)::INT, strlen(url), url) AS representative
+  FROM (SELECT url, regexp_replace(url, '[?#].*$', '') AS pk FROM pages) GROUP BY pk""")
+def url_representative(spark, d):
+    p = _t(spark, d, "pages").withColumn("page_key", U.page_key(F.col("url")))
+    best = F.min(F.struct((F.col("url") != F.col("page_key")).cast("int").alias("a"), F.octet_length("url").alias("b"), F.col("url").alias("c")))
+    return p.groupBy("page_key").agg(F.count(F.lit(1)).alias("n"), best["c"].alias("representative"))
+
+
+#: Each page's first link as a page of its own: these URLs have what the pages' own lack.
+_FIRST = f"""l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || regexp_extract(html, '<a href="([^"]*)"', 1) AS url FROM pages),
+  u AS (SELECT page_id, url, regexp_extract(url, {_RE}, 3) AS p FROM l)"""
+
+
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    rows = audit.pages_table(spark, d).withColumn("is_html", F.lit(True))
+    return rows.withColumn("final_url", F.concat(F.regexp_extract("final_url", "^(https?://[^/?#]*)", 1), F.regexp_extract("html", '<a href="([^"]*)"', 1)))
+
+
+@query(f"""WITH {_FIRST} SELECT url, code FROM u, (SELECT unnest(['url-uppercase', 'url-underscore', 'url-non-ascii', 'url-too-long']) AS code)
+  WHERE CASE code WHEN 'url-uppercase' THEN p <> lower(p) WHEN 'url-underscore' THEN p LIKE '%\\_%' ESCAPE '\\'
+    WHEN 'url-non-ascii' THEN strlen(url) <> length(url) ELSE strlen(url) > 115 END""")
+def url_hygiene(spark, d):
+    return crawl_rules.flat(_linked(spark, d), rules.urls()).select("url", "code")
+
+
+@query(r"""WITH k AS (SELECT page_id, lower(regexp_extract(x, '^([^=]*)', 1)) AS k, regexp_extract(x, '=(.*)$', 1) AS v
+  FROM (SELECT page_id, unnest(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')) AS x FROM pages) WHERE x <> '')
+  SELECT page_id, count(DISTINCT k) AS n_present, count(DISTINCT CASE WHEN v = '' THEN k END) AS n_empty FROM k
+  WHERE k IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content') GROUP BY page_id""")
+def utm_parameters(spark, d):
+    u = rules.utm_of(F.col("url"))
+    rows = _t(spark, d, "pages").select("page_id", F.size(u["present"]).cast("long").alias("n_present"), F.size(u["empty"]).cast("long").alias("n_empty"))
+    return rows.where("n_present > 0")
+
+
+# --- page features ----------------------------------------------------------
+
+_BODY = r"""regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)', 1), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')"""
+_UNESCAPE = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_TITLE = _UNESCAPE.format("trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1))")
+_TEXT = _UNESCAPE.format(_BODY)
+_SP = r"[^\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _prepared(spark: SparkSession, d: str) -> DataFrame:
+    return audit.prepare(audit.pages_table(spark, d))
+
+
+@query(f"""SELECT page_id, CAST(length({_TITLE}) AS BIGINT) AS title_length,
+  CASE WHEN length({_TITLE}) = 0 THEN 'missing' WHEN length({_TITLE}) < 10 THEN 'short' WHEN length({_TITLE}) > 60 THEN 'long' ELSE 'fine' END AS band FROM pages""")
+def seo_title_band(spark, d):
+    n = F.char_length(T.strip(rules.f("title_head_first")))
+    band = F.when(n == 0, "missing").when(n < 10, "short").when(n > 60, "long").otherwise("fine")
+    return _prepared(spark, d).select(F.col("page_seq").alias("page_id"), n.cast("long").alias("title_length"), band.alias("band"))
+
+
+@query(f"""WITH t AS (SELECT url, html, {_TITLE} AS title FROM pages)
+  SELECT url, code FROM t, (SELECT unnest(['seo-missing-title', 'seo-short-title', 'seo-long-title', 'seo-missing-meta-description', 'seo-missing-canonical',
+    'seo-missing-h1', 'seo-multiple-h1', 'seo-missing-lang', 'seo-missing-viewport', 'seo-missing-charset', 'seo-missing-opengraph']) AS code)
+  WHERE CASE code WHEN 'seo-missing-title' THEN title = '' WHEN 'seo-short-title' THEN length(title) BETWEEN 1 AND 9 WHEN 'seo-long-title' THEN length(title) > 60
+    WHEN 'seo-missing-meta-description' THEN NOT html LIKE '%<meta name="description"%' WHEN 'seo-missing-canonical' THEN NOT html LIKE '%rel="canonical"%'
+    WHEN 'seo-missing-h1' THEN NOT html LIKE '%<h1%' WHEN 'seo-multiple-h1' THEN len(regexp_extract_all(html, '<h1')) > 1
+    WHEN 'seo-missing-lang' THEN NOT html LIKE '%<html lang=%' WHEN 'seo-missing-viewport' THEN NOT html LIKE '%name="viewport"%'
+    WHEN 'seo-missing-charset' THEN NOT html LIKE '%<meta charset%' ELSE NOT html LIKE '%property="og:%' END""")
+def seo_issues(spark, d):
+    return crawl_rules.flat(_prepared(spark, d), rules.seo()).select("url", "code")
+
+
+@query(r"""WITH a AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
+  SELECT page_id, count(DISTINCT href) AS n_links, 0::BIGINT AS n_external FROM a GROUP BY page_id""")
+def link_counts(spark, d):
+    a = rules.f("anchors")
+    rows = _prepared(spark, d).where(F.size(a) > 0)
+    return rows.select(F.col("page_seq").alias("page_id"), F.size(a).cast("long").alias("n_links"), F.size(F.filter(a, lambda x: x["external"])).cast("long").alias("n_external"))
+
+
+@query(rf"""WITH a AS (SELECT page_id, lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)) AS origin, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
+  {_PARTS}, k AS (SELECT page_id AS to_id, {_KEY} || CASE WHEN length(p) > 1 THEN regexp_replace(p, '/$', '') WHEN p = '' THEN '/' ELSE p END || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS key FROM u)
+  SELECT a.page_id, k.to_id FROM (SELECT DISTINCT page_id, origin || href AS key FROM a) a JOIN k ON a.key = k.key""")
+def link_targets(spark, d):
+    p = _prepared(spark, d)
+    links = p.select(F.col("page_seq").alias("page_id"), F.explode("f.anchors").alias("a")).select("page_id", F.col("a.url").alias("key"))
+    return links.join(p.select(F.col("page_seq").alias("to_id"), U.index_key(F.col("final_url")).alias("key")), "key").select("page_id", "to_id")
+
+
+@query(f"SELECT page_id, CAST(len(regexp_extract_all({_TEXT}, '{_SP}')) AS BIGINT) AS words FROM pages")
+def body_word_count(spark, d):
+    return _prepared(spark, d).select(F.col("page_seq").alias("page_id"), rules.f("body_words").cast("long").alias("words"))
+
+
+@query(f"""WITH w AS (SELECT url, len(regexp_extract_all({_TEXT}, '{_SP}')) AS words FROM pages), m AS (SELECT *, avg(words) OVER () AS mean, count(*) OVER () AS n FROM w)
+  SELECT url, CASE WHEN words < 100 THEN 'content-thin' ELSE 'content-low' END AS code FROM m WHERE words < 100 OR (n >= 3 AND mean > 0 AND words < 0.5 * mean)""")
+def content_thin_low(spark, d):
+    return crawl_rules.content(_prepared(spark, d)).select("url", "code")
+
+
+@query(f"""WITH g AS (SELECT regexp_replace(url, '[?#].*$', '') AS pk, url, 'duplicate-title' AS code, {_TITLE} AS v FROM pages
+    UNION ALL SELECT regexp_replace(url, '[?#].*$', ''), url, 'duplicate-content', md5(lower(array_to_string(regexp_extract_all({_TEXT}, '{_SP}'), ' '))) FROM pages),
+  k AS (SELECT code, v, pk, first(url ORDER BY (url <> pk)::INT, strlen(url), url) AS url FROM g WHERE v <> '' GROUP BY code, v, pk)
+  SELECT code, url, count(*) OVER (PARTITION BY code, v) AS group_size FROM k QUALIFY count(*) OVER (PARTITION BY code, v) > 1""")
+def duplicate_groups(spark, d):
+    found = crawl_rules.duplicates(_prepared(spark, d))
+    return found.select("code", "url", F.get_json_object("data", "$.group_size").cast("long").alias("group_size"))
+
+
+@query("SELECT md5(lower(text)) AS hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_documents(spark, d):
+    g = _t(spark, d, "documents").groupBy(F.md5(F.lower("text")).alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    return g.where("n > 1")
+
+
+@query(r"""SELECT page_id, len(regexp_extract_all(html, '<article'))::BIGINT AS n_articles, html LIKE '%<time datetime%' OR html LIKE '%article:published_time%' AS dated FROM pages""")
+def geo_landmarks(spark, d):
+    return _prepared(spark, d).select(F.col("page_seq").alias("page_id"), rules.f("article_count").cast("long").alias("n_articles"), rules.f("has_date_mark").alias("dated"))
+
+
+@query(rf"""SELECT doc_id, CAST(len(regexp_extract_all(text, '{_SP}')) AS BIGINT) AS words,
+  CAST(len(regexp_extract_all(text, '[$€£¥]\s?[0-9][0-9,.]*|[0-9][0-9,.]*\s?%|\b[0-9][0-9,.]*\b')) AS BIGINT) AS data_points FROM documents""")
+def geo_quotable_density(spark, d):
+    regex = rf"[$€£¥]\s?[0-9][0-9,.]*|[0-9][0-9,.]*\s?%|{T.B}[0-9][0-9,.]*(?:(?<=[0-9]){T.E}|(?<=[,.])(?=[A-Za-z0-9_]))"
+    return _t(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"), F.size(F.regexp_extract_all("text", F.lit(regex), F.lit(0))).cast("long").alias("data_points"))
+
+
+@query(r"SELECT conv_id, turn, trim(text) LIKE '%?' OR lower(regexp_extract(trim(text), '^([A-Za-z]+)', 1)) IN ('how','what','why','when','where','who','which','can','do','does','is','are','should','will','could','would','did') AND regexp_matches(trim(text), '^[A-Za-z]+([,.:;\"'']*(\s|$))') AS question FROM conversations")
+def aeo_questions(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.is_question(F.col("text")).alias("question"))
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+')) AS BIGINT) AS n_emails FROM documents WHERE regexp_matches(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+')")
+def datalayer_pii_scan(spark, d):
+    hits = F.regexp_extract_all("text", F.lit(S.EMAIL), F.lit(0))
+    return _t(spark, d, "documents").select("doc_id", F.size(hits).cast("long").alias("n_emails")).where("n_emails > 0")
+
+
+@query("""SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY min(epoch_us(ts)), min(event_id)) AS place FROM events GROUP BY user_id, event_type""")
+def datalayer_event_inventory(spark, d):
+    g = _t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("t"), F.min("event_id").alias("e"))
+    return g.select("user_id", "event_type", "n", F.row_number().over(Window.partitionBy("user_id").orderBy("t", "e")).cast("long").alias("place"))
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY user_id HAVING count(*) > 1")
+def datalayer_duplicate_conversions(spark, d):
+    return _t(spark, d, "events").where(F.col("event_type").isin(S.CONVERSIONS)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query("""SELECT event_id, CASE WHEN value <= 0 OR value IS NULL THEN 'none' WHEN value * 40 <= 2500 THEN 'good' WHEN value * 40 <= 4000 THEN 'needs-improvement' ELSE 'poor' END AS band FROM events""")
+def perf_bands(spark, d):
+    ms, (_, good, fair) = F.col("value") * 40, S.VITALS[0]
+    band = F.when(F.col("value").isNull() | (ms <= 0), "none").when(ms <= good, "good").when(ms <= fair, "needs-improvement").otherwise("poor")
+    return _t(spark, d, "events").select("event_id", band.alias("band"))
+
+
+@query(r"""WITH t AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: strlen(x) >= 3
+    AND x NOT IN ('the','and','for','with','you','your','are','our','from','this','that','all','een','van','het','met','voor','del'))) AS ts FROM benchmark)
+  SELECT item_id, CAST(len(ts) AS BIGINT) AS n_tokens, CAST(len(list_filter(ts, lambda x: list_contains(['tion', 'and', 'thedon', 'ering'], x))) AS BIGINT) AS n_matched FROM t""")
+def landing_tokens(spark, d):
+    ts = T.tokens(F.col("text"))
+    return _t(spark, d, "benchmark").select("item_id", F.size(ts).cast("long").alias("n_tokens"), F.size(F.array_intersect(ts, F.array(*map(F.lit, ["tion", "and", "thedon", "ering"])))).cast("long").alias("n_matched"))
+
+
+# --- reports ----------------------------------------------------------------
+
+
+@query(f"""WITH {_PARTS}, k AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS lk FROM u WHERE h = 'example.org' OR h LIKE '%.example.org'),
+  e AS (SELECT lk, first(p ORDER BY page_id) AS p FROM k GROUP BY lk),
+  x AS (SELECT list_filter(string_split(p, '/'), lambda v: v <> '') AS parts FROM e),
+  y AS (SELECT parts, unnest(range(0, len(parts) + 1)) AS depth FROM x)
+  SELECT CAST(depth AS INT) AS depth, '/' || array_to_string(parts[1:depth], '/') AS prefix, count(*) AS n_pages FROM y GROUP BY 1, 2""")
+def site_tree(spark, d):
+    p = _prepared(spark, d)
+    made = sitemaps.site_entries(p, "example.org")
+    tree = sitemaps.site_tree(made, crawl_rules.flat(p, rules.urls()))
+    return tree.select("depth", "prefix", "n_pages")
+
+
+@query(f"""WITH {_PARTS}, i AS (SELECT 'url-uppercase' AS code FROM u WHERE p <> lower(p) UNION ALL SELECT 'url-underscore' FROM u WHERE p LIKE '%\\_%' ESCAPE '\\'
+    UNION ALL SELECT 'url-non-ascii' FROM u WHERE strlen(url) <> length(url) UNION ALL SELECT 'url-too-long' FROM u WHERE strlen(url) > 115
+    UNION ALL SELECT 'tracking-none' FROM u)
+  SELECT 'severity' AS dim, 'info' AS key, count(*) AS n FROM i UNION ALL SELECT 'analyzer', CASE WHEN code = 'tracking-none' THEN 'tracking' ELSE 'urls' END, count(*) FROM i GROUP BY 2""")
+def issue_summary(spark, d):
+    return report.summary(audit.audit(_prepared(spark, d), audit.Options(enabled=["urls", "tracking"])))
+
+
+def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = _linked(spark, d)
+    made = lambda cond: crawl_rules.flat(rows.where(cond), rules.urls())
+    return made("page_seq % 3 <> 0"), made("page_seq % 3 <> 1")
+
+
+@query(f"""WITH {_FIRST}, i AS (SELECT page_id, url, 'url-uppercase' AS code FROM u WHERE p <> lower(p) UNION ALL SELECT page_id, url, 'url-underscore' FROM u WHERE p LIKE '%\\_%' ESCAPE '\\'
+    UNION ALL SELECT page_id, url, 'url-non-ascii' FROM u WHERE strlen(url) <> length(url) UNION ALL SELECT page_id, url, 'url-too-long' FROM u WHERE strlen(url) > 115)
+  SELECT CASE page_id % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'resolved' ELSE 'persisting' END AS bucket, code, url FROM i""")
+def issue_diff(spark, d):
+    return report.compare(*_halves(spark, d)).select("bucket", "code", "url")
+
+
+@query(f"""WITH {_FIRST}, i AS (SELECT page_id FROM u WHERE p <> lower(p) UNION ALL SELECT page_id FROM u WHERE p LIKE '%\\_%' ESCAPE '\\'
+    UNION ALL SELECT page_id FROM u WHERE strlen(url) <> length(url) UNION ALL SELECT page_id FROM u WHERE strlen(url) > 115),
+  x AS (SELECT CAST(count(*) FILTER (WHERE page_id % 3 <> 1) - count(*) FILTER (WHERE page_id % 3 <> 0) AS BIGINT) AS delta FROM i)
+  SELECT dim, key, delta FROM x, (VALUES ('severity', 'info'), ('analyzer', 'urls')) AS k(dim, key) WHERE delta <> 0""")
+def summary_delta(spark, d):
+    base, current = _halves(spark, d)
+    return report.summary_delta(report.summary(base), report.summary(current))
+
+
+@query("SELECT CASE page_id % 3 WHEN 0 THEN 'added' ELSE 'removed' END AS kind, url FROM pages WHERE page_id % 3 <> 2")
+def page_diff(spark, d):
+    p = _t(spark, d, "pages")
+    return report.page_diff(p.where("page_id % 3 <> 0"), p.where("page_id % 3 <> 1"))
+
+
+@query("SELECT page_id, CASE WHEN substr(url, 1, 1) IN ('=', '+', '-', '@') THEN '''' || url ELSE url END AS cell FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '=' || url ELSE url END AS url FROM pages)")
+def csv_guard(spark, d):
+    u = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("="), "url")).otherwise(F.col("url"))
+    return _t(spark, d, "pages").select("page_id", report.guarded(u).alias("cell"))
+
+
+# --- crawl and rate ---------------------------------------------------------
+
+_LINKS = [(a, b if "://" in b else "https://g.example" + b) for a, b in fixtures.GRAPH]
+
+
+def _graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    nodes = sorted({"https://g.example" + a for a, _ in _LINKS} | {b for _, b in _LINKS})
+    pages = spark.createDataFrame([(u, u, 200) for u in nodes], "url string, final_url string, status_code int")
+    links = spark.createDataFrame([("https://g.example" + a, i, b, False) for i, (a, b) in enumerate(_LINKS)], "page_url string, pos int, url string, nofollow boolean")
+    return pages, links
+
+
+@query(f"""WITH RECURSIVE l AS ({_values([("https://g.example" + a, b) for a, b in _LINKS], "a, b")}), r AS (
+    SELECT 'https://g.example/' AS key, 0 AS depth UNION SELECT l.b, r.depth + 1 FROM r JOIN l ON l.a = r.key WHERE l.b LIKE 'https://g.example/%' AND r.depth < 9)
+  SELECT key, CAST(min(depth) AS INT) AS depth FROM r GROUP BY key""")
+def crawl_bfs_depth(spark, d):
+    pages, _, _ = crawl.crawl("https://g.example/", *_graph(spark))
+    return pages.select("key", "depth")
+
+
+@query(_values([("https://g.example/", 0), ("https://g.example/a", 1), ("https://g.example/b", 1)], "key, depth"))
+def crawl_page_budget(spark, d):
+    pages, _, _ = crawl.crawl("https://g.example/", *_graph(spark), crawl.Limits(max_pages=3))
+    return pages.select("key", "depth")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, CAST(epoch_us(ts) AS DOUBLE) / 1e6 / 36000 AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'error'),
+  r AS (SELECT user_id, 0::BIGINT AS k, -1e18::DOUBLE AS last, 0.0::DOUBLE AS rate, 0::BIGINT AS accepted FROM (SELECT DISTINCT user_id FROM e)
+    UNION ALL SELECT r.user_id, e.k, CASE WHEN e.at - last >= 2 THEN e.at ELSE last END,
+      CASE WHEN e.at - last >= 2 THEN CASE WHEN rate = 0 THEN 1.0 ELSE greatest(rate / 2, 0.1) END ELSE rate END::DOUBLE, accepted + (e.at - last >= 2)::BIGINT
+    FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+  SELECT CAST(user_id AS VARCHAR) AS host, rate, accepted FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1""")
+def throttle_fold(spark, d):
+    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6 / 36000
+    rows = _t(spark, d, "events").where("event_type = 'error'").select(F.col("user_id").cast("string").alias("host"), at.alias("at"), F.col("event_id").alias("seq"), F.lit(429).alias("status_code"), F.lit(None).cast("double").alias("retry_after"))
+    return throttle.per_host(rows)
+
+
+# --- the fixture crawl ------------------------------------------------------
+
+
+def _fixture_issues(spark: SparkSession) -> DataFrame:
+    options = audit.Options(seed=fixtures.SEED, robots=fixtures.robots(spark), sitemaps=fixtures.sitemaps(spark), answer_lead=True, quotable_density=True)
+    return audit.audit(audit.prepare(fixtures.pages(spark)).persist(), options)
+
+
+def _fixture(analyzer: str) -> None:
+    def run(spark, d):
+        options = audit.Options(enabled=[analyzer], seed=fixtures.SEED, robots=fixtures.robots(spark), sitemaps=fixtures.sitemaps(spark), answer_lead=True, quotable_density=True)
+        return audit.audit(audit.prepare(fixtures.pages(spark)), options).select("code", "severity", "url")
+
+    run.__name__ = f"fixture_{analyzer}"
+    run.__doc__ = f"What ``{analyzer}`` finds on the fixture crawl."
+    rows = [r for r in EXPECTED if r[0] == analyzer]
+    query(_values([r[1:] for r in rows], "code, severity, url") if rows else None)(run)
+
+
+for _name in audit.ORDER:
+    _fixture(_name)
+
+
+@query(_values([(0, "in-scope", "ok"), (1, "in-scope", "error"), (2, "in-scope", "warning"), (3, "in-scope", "error"), (4, "in-scope", "error"), (5, "dynamic", None), (6, "external", None), (7, "in-scope", "error")], "row_id, scope, verdict"))
+def redirect_verdicts(spark, d):
+    pages = fixtures.pages(spark)
+    responses = pages.select(F.col("requested_url").alias("url"), "status_code", "final_url", F.size("redirects").alias("hops"), "err")
+    target = spark.createDataFrame([("https://shop.example/new", 200, "https://shop.example/new", 0, "")], responses.schema)
+    listed = spark.createDataFrame([("https://shop.example/new",)], "loc string")
+    given = fixtures.redirect_rules(spark).withColumn("row_id", F.col("Priority").cast("int"))
+    return redirects.check(given, responses.unionAll(target), listed, "shop.example").select("row_id", "scope", "verdict")
+
+
+@query(_values([("/gone", "bot", 0), ("/gone/ok", "bot", 1), ("/a.pdf", "bot", 0), ("/a.pdf?x", "bot", 1), ("/", "GPTBot/1.0", 0), ("/", "bot", 1), ("/gone", "CCBot", 0)], "path, agent, allowed"))
+def robots_allow(spark, d):
+    asked = [("/gone", "bot"), ("/gone/ok", "bot"), ("/a.pdf", "bot"), ("/a.pdf?x", "bot"), ("/", "GPTBot/1.0"), ("/", "bot"), ("/gone", "CCBot")]
+    known = robots.with_rules(fixtures.robots(spark).where("host = 'shop.example'"))
+    rows = spark.createDataFrame(asked, "path string, agent string").join(known.select(F.struct(*known.columns).alias("r")))
+    return rows.select("path", "agent", robots.allowed(F.col("path"), F.col("agent")).cast("int").alias("allowed"))
+
+
+@query(_values([("co.uk", "a.b.co.uk", "b.co.uk"), ("com", "x.shop.com", "shop.com"), ("one", "localhost", "localhost")], "kind, host, site"))
+def registrable_domain(spark, d):
+    rows = spark.createDataFrame([("co.uk", "a.b.co.uk"), ("com", "x.shop.com"), ("one", "localhost")], "kind string, host string")
+    return rows.select("kind", "host", crawl.registrable(F.col("host")).alias("site"))
+
+
+@query(_values([(c, 1) for c in ["es-419", "zh-Hant", "en-us", "fil", "x-default", "de-CH-1996"]] + [("english", 0), ("e", 0), ("en--us", 0)], "code, ok"))
+def language_codes(spark, d):
+    codes = ["es-419", "zh-Hant", "en-us", "fil", "x-default", "de-CH-1996", "english", "e", "en--us"]
+    return spark.createDataFrame([(c,) for c in codes], "code string").select("code", crawl_rules.valid_language(F.col("code")).cast("int").alias("ok"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page count, until the audit plan lands."""
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("count(*) AS n_pages")
+    """Every issue of every analyzer that the pages alone can show."""
+    return audit.audit(_prepared(spark, sf_dir), audit.Options(seed="https://example.org/"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_Q) | {"audit_issues": flagship}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
