@@ -55,7 +55,7 @@ def test_crawl_matches_plain_breadth_first(spark):
 
     depth, front = {"https://g.example/": 0}, ["https://g.example/"]
     while front:
-        new = [b for a in front for x, b in _LINKS if x == a and b.startswith("https://g.example") and b not in depth]
+        new = [b for a in front for x, b in _LINKS if "https://g.example" + x == a and b.startswith("https://g.example") and b not in depth]
         front = list(dict.fromkeys(new))
         depth |= {b: depth.get(b, max(depth.values()) + 1) for b in front}
     pages, left, coverage = crawl.crawl("https://g.example/", *_graph(spark))
