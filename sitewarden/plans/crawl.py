@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import render as R_
 from ..functions import urls as U
 from ..operators import robots as R
 
@@ -135,7 +136,7 @@ def rotated(urls: DataFrame, pool: list[str], how: str = "round-robin") -> DataF
     if how == "off":
         place = F.lit(0)
     elif how == "sticky-host":
-        place = F.pmod(F.xxhash64(U.host(F.col("url"))), F.lit(len(pool)))
+        place = R_.pick(U.host(F.col("url")), len(pool))
     elif how == "random":
         place = F.floor(F.rand(7) * len(pool))
     else:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import render
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import crawl_rules, redirects, robots, rules, sitemaps
@@ -236,6 +237,17 @@ def landing_tokens(spark, d):
     return _t(spark, d, "benchmark").select("item_id", F.size(ts).cast("long").alias("n_tokens"), F.size(F.array_intersect(ts, F.array(*map(F.lit, ["tion", "and", "thedon", "ering"])))).cast("long").alias("n_matched"))
 
 
+@query("SELECT page_id, strlen(html) >= 2048 AND page_id * 20 < 0.5 * strlen(html) AS lost FROM pages")
+def under_rendered(spark, d):
+    return _t(spark, d, "pages").select("page_id", render.under_rendered(F.octet_length("html"), F.col("page_id") * 20).alias("lost"))
+
+
+@query(_values([("a", 10), ("foobar", 10), ("shop.example", 12)], "host, place"))
+def sticky_host(spark, d):
+    rows = spark.createDataFrame([("a",), ("foobar",), ("shop.example",)], "host string")
+    return rows.select("host", render.pick(F.col("host"), 17).cast("int").alias("place"))
+
+
 # --- reports ----------------------------------------------------------------
 
 

@@ -48,3 +48,12 @@ def test_text(spark):
     assert one(spark, "The red shoes, red für x ab", T.tokens) == ["red", "shoes", "für"]
     assert [one(spark, s, T.is_question) for s in ("How to", "pay now?", "Howto", "", '"Why" not')] == [True, True, False, False, True]
     assert [one(spark, s, T.redact) for s in ("abcd", "abcdef")] == ["****", "ab**ef"]
+
+
+def test_rendering(spark):
+    from sitewarden.functions import render as R
+
+    assert one(spark, '{"present": true, "entries": [{"a": 1}, [2]]}', R.data_layer) == (True, ['{"a":1}', "[2]"])
+    assert one(spark, "nothing", R.data_layer) is None
+    assert one(spark, "foobar", R.fnv64) == 0x85944171F73967E8 - (1 << 64)
+    assert one(spark, "foobar", lambda c: R.pick(c, 5)) == 0x85944171F73967E8 % 5
