@@ -34,7 +34,7 @@ _PLAIN = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 #: The contractions that the tokenizers' patterns name.
 _SUFFIX = "'s|'t|'re|'ve|'m|'ll|'d"
 
-MEMORY = 1_200_000  # units that an encoder remembers at most
+MEMORY, PIECES = 600_000, 400_000  # units, and parts of units, that an encoder remembers at most
 CHUNK, OVERLAP = 1 << 16, 256
 
 
@@ -59,12 +59,12 @@ def _has(text: str, any_of: tuple[str, ...]) -> bool:
 class _Remembered(dict):
     """A bounded map that works out what it lacks."""
 
-    def __init__(self, work):
+    def __init__(self, work, most: int = MEMORY):
         super().__init__()
-        self.work = work
+        self.work, self.most = work, most
 
     def __missing__(self, key):
-        if len(self) >= MEMORY:
+        if len(self) >= self.most:
             self.clear()
         self[key] = value = self.work(key)
         return value
@@ -87,7 +87,7 @@ class ByteCounter:
         self.library.no_truncation()
         self.library.no_padding()
         model = self.library.model
-        pieces = _Remembered(lambda p: len(model.tokenize(_mapped(p))))
+        pieces = _Remembered(lambda p: len(model.tokenize(_mapped(p))), PIECES)
         count = pieces.__getitem__
 
         def work(unit: str) -> int:
@@ -95,7 +95,7 @@ class ByteCounter:
                 return sum(map(count, self._pre.findall(unit)))
             return len(self.library.encode(unit, add_special_tokens=False).ids)
 
-        self.known = _Remembered(work)
+        self.known = _Remembered(work, MEMORY // 4)
         self.after_space = _Remembered(lambda word: work(" " + word))
 
     def units(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -173,11 +173,11 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         model = self.library.model
-        pieces = _Remembered(lambda p: [t.id for t in model.tokenize(_mapped(p))])
+        pieces = _Remembered(lambda p: array("I", [t.id for t in model.tokenize(_mapped(p))]).tobytes(), PIECES)
 
         def work(word: str) -> int:
             if self._simple.fullmatch(word):
-                ids = [i for p in self._pre.findall(word.lower()) for i in pieces[p]]
+                ids = array("I", b"".join([pieces[p] for p in self._pre.findall(word.lower())]))
             else:
                 ids = self.library.encode(word, add_special_tokens=False).ids
             self.starts.append(len(self.ids))
@@ -194,7 +194,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str], closing: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, ``closing`` after each, and their numbers."""
-        if len(self.starts) > MEMORY // 2:
+        if len(self.starts) > MEMORY:
             self._forget()
         find, places, lengths = self.known.__getitem__, [], []
         close = find("\x00closing")
