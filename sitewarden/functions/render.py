@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 LEAST_BYTES, SHARE = 2048, 0.5
 
@@ -24,7 +25,7 @@ def data_layer(payload: Column) -> Column:
     )
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fnv64(hosts: pd.Series) -> pd.Series:
     """The 64-bit FNV-1a hash, as a signed number; each distinct value is hashed once."""
     known = {}

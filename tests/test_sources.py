@@ -80,3 +80,13 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([*base, "--skip", "images", "--time", "20240201T000000Z"]) == 0
     assert main(["history", store]) == 0
     assert main(["compare", store, "shop.example/20240101T000000Z", "shop.example/20240101T000000Z", "--fail-on-new"]) == 0
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(); e.oracle_sql()"], cwd=ROOT, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
