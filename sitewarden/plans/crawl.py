@@ -46,7 +46,9 @@ def registrable(host):
     return F.when(two.isin(SUFFIXES) & (three != ""), three).when(two != "", two).otherwise(host)
 
 
-class _Store:
+class Store:
+    """Tables written to the shared folder and read back: lineage ends, and branches share one result."""
+
     def __init__(self, spark: SparkSession):
         base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crawl-")
         self.spark, self.root = spark, f"{base.rstrip('/')}/crawl-{uuid.uuid4().hex}"
@@ -63,7 +65,7 @@ def crawl(seed: str, responses: DataFrame, links: DataFrame, limits: Limits | No
     """
     limits = limits or Limits()
     spark = responses.sparkSession
-    store, began = _Store(spark), time.time()
+    store, began = Store(spark), time.time()
     key = lambda c: U.index_key(c, limits.strip_query)
     seed_host = spark.range(1).select(U.hostname(F.lit(seed)).alias("h"), registrable(U.hostname(F.lit(seed))).alias("r")).first()
     found = store.keep(responses.select(key(F.col("url")).alias("k"), "final_url", "status_code").dropDuplicates(["k"]), "responses")

@@ -397,8 +397,9 @@ def language_codes(spark, d):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every issue of every analyzer that the pages alone can show."""
-    return audit.audit(_prepared(spark, sf_dir), audit.Options(seed="https://example.org/"))
+    """Every issue of every analyzer that the pages alone can show; the HTML pass is written once and shared."""
+    prepared = crawl.Store(spark).keep(_prepared(spark, sf_dir), "features")
+    return audit.audit(prepared, audit.Options(seed="https://example.org/"))
 
 
 def queries() -> dict[str, Query]:
