@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+@cache
+def _own_folder() -> str:
+    """For sessions on one machine that name no shared folder, as in tests."""
+    return tempfile.mkdtemp(prefix="scratch-")
+
+
 class Scratch:
     """Tables in the folder that the cluster names in ``spark.checkpoint.dir``.
 
@@ -37,10 +44,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="scratch-")
-            spark.conf.set("spark.checkpoint.dir", base)
+        base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
         self.root = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
