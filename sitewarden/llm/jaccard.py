@@ -168,10 +168,9 @@ def _tile(size: int, threshold: int):
     return work
 
 
-def _verified(members: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Links within tiles of ``node, doc, known, cluster, part``."""
-    texts = docs.select(F.col("doc_id").alias("d"), "text").where("text IS NOT NULL")
-    held = members.hint("merge").join(texts, F.col("doc") == F.col("d")).select("node", "known", "cluster", "part", "text")
+def _verified(members: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Links within tiles of ``node, known, cluster, part``; ``texts`` has those of clustered nodes only."""
+    held = members.hint("merge").join(texts, F.col("node") == F.col("tn")).select("node", "known", "cluster", "part", "text")
     return held.groupBy("cluster", "part").applyInPandas(_tile(size, threshold), "a long, b long")
 
 
@@ -197,12 +196,16 @@ def join(docs: DataFrame, scratch: Scratch, size: int = SIZE, threshold: int = T
     counts = scratch.keep(clusters.groupBy(F.col("cluster").alias("c")).agg(parts.alias("n_parts")), "counts")
     dealt = clusters.join(counts, F.col("cluster") == F.col("c")).drop("c")
     part = F.pmod(F.xxhash64("node"), F.col("n_parts"))
+    # the texts of the corpus are shuffled once; tiles of both rounds take theirs from this table
+    known = docs.select(F.col("doc_id").alias("d"), "text").where("text IS NOT NULL")
+    texts = clusters.hint("merge").join(known, F.col("doc") == F.col("d")).select(F.col("node").alias("tn"), "text")
+    texts = scratch.keep(texts, "texts")
     links = scratch.keep(
-        _verified(dealt.select("node", "doc", F.col("node").alias("known"), "cluster", part.alias("part")), docs, size, threshold), "links-0"
+        _verified(dealt.select("node", F.col("node").alias("known"), "cluster", part.alias("part")), texts, size, threshold), "links-0"
     )
     large = counts.where("n_parts > 1")
     if not large.isEmpty():
-        links = links.unionAll(_across(clusters, large, links, docs, scratch, size, threshold))
+        links = links.unionAll(_across(clusters, large, links, texts, scratch, size, threshold))
     label = scratch.keep(components(scratch, links, "linked").withColumnRenamed("node", "ln"), "labels")
     lowest = (
         nodes.drop("size").join(label, F.col("node") == F.col("ln"), "left")
@@ -214,7 +217,7 @@ def join(docs: DataFrame, scratch: Scratch, size: int = SIZE, threshold: int = T
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _across(clusters, large, links, docs, scratch, size, threshold) -> DataFrame:
+def _across(clusters, large, links, texts, scratch, size, threshold) -> DataFrame:
     """Links that join what tiles of large clusters left apart.
 
     In each cluster, ``outside`` are the nodes not in its largest component so
@@ -242,5 +245,5 @@ def _across(clusters, large, links, docs, scratch, size, threshold) -> DataFrame
     every = every.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), parts_o - 1)))
     both = outside.select("node", "doc", "known", "cluster", "o", "p").unionAll(every.select("node", "doc", "known", "cluster", "o", "p"))
     part = F.shiftleft(F.col("o"), 31).bitwiseOR(F.col("p")).alias("part")
-    return _verified(both.select("node", "doc", "known", "cluster", part), docs, size, threshold)
+    return _verified(both.select("node", "known", "cluster", part), texts, size, threshold)
 
