@@ -244,6 +244,42 @@ def test_passages(spark, docs, corpus):
     assert caught <= {d for s in windows.values() if len(s) > 1 for d in s}
 
 
+def exact_runs(a, b, least):
+    """Every maximal run of equal words of ``a`` and ``b``: start in ``a``, start in ``b``, length."""
+    for i in range(len(a)):
+        for j in range(len(b)):
+            if a[i] == b[j] and not (i and j and a[i - 1] == b[j - 1]):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                if n >= least:
+                    yield i, j, n
+
+
+def test_several_passages_of_a_pair(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    fresh = lambda n: [rng.choice(words) for _ in range(n)]
+    texts = {}
+    for pair, apart in enumerate((5, 20, 60, 63, 64, 65, 100, 150, 200, 400, 1000)):
+        shared = [fresh(60) for _ in range(3)]
+        for side in range(2):
+            text = fresh(30)
+            for k, part in enumerate(shared):
+                text += part + fresh(apart + 7 * k * side)
+            texts[10 * pair + side] = text
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    rows = chains.passages(docs, Scratch(spark)).collect()
+    for r in rows:
+        n = max(r.end - r.start, r.other_end - r.other_start)
+        assert min(r.end - r.start, r.other_end - r.other_start) >= chains.LEAST and r.n_equal >= chains.SHARE * n
+    for d in range(1, max(texts) + 1, 10):
+        runs = list(exact_runs(texts[d], texts[d - 1], chains.LEAST))
+        assert len(runs) >= 3
+        for i, j, n in runs:
+            assert any((r.doc_id, r.other_doc_id) == (d, d - 1) and r.start <= i and r.end >= i + n and r.other_start <= j and r.other_end >= j + n for r in rows), (d, i, j, n)
+
+
 def brute_components(ids, sets, links):
     up = {i: i for i in ids}
 
