@@ -280,6 +280,34 @@ def test_several_passages_of_a_pair(spark):
             assert any((r.doc_id, r.other_doc_id) == (d, d - 1) and r.start <= i and r.end >= i + n and r.other_start <= j and r.other_end >= j + n for r in rows), (d, i, j, n)
 
 
+def changed(rng, passage, share, words, indels):
+    """``passage`` with that share of its words replaced (or, with ``indels``, also left out or put in)."""
+    out = []
+    at = set(rng.sample(range(len(passage)), round(share * len(passage))))
+    for i, w in enumerate(passage):
+        kind = rng.choice(("replace", "leave", "put")) if indels else "replace"
+        if i not in at:
+            out.append(w)
+        elif kind != "leave":
+            out += [rng.choice(words)] + [w] * (kind == "put")
+    return out
+
+
+@pytest.mark.parametrize(("length", "share", "indels", "recall"), [(60, 0.05, False, 1), (60, 0.1, False, 0.97), (60, 0.15, False, 0.95), (100, 0.15, False, 0.97), (60, 0.1, True, 0.95)])
+def test_changed_passages(spark, length, share, indels, recall):
+    rng = random.Random(length + int(100 * share) + indels)
+    words = [f"w{i}" for i in range(5000)]
+    fresh = lambda n: [rng.choice(words) for _ in range(n)]
+    rows = []
+    for pair in range(200):
+        passage = fresh(length)
+        rows += [(2 * pair, " ".join(fresh(50) + passage + fresh(50))), (2 * pair + 1, " ".join(fresh(70) + changed(rng, passage, share, words, indels) + fresh(30)))]
+    got = chains.passages(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()
+    caught = {r.doc_id for r in got if r.other_doc_id == r.doc_id - 1 and r.start < 70 + length and r.end > 70}
+    print(f"{length} words, {share:.0%} changed, indels {indels}: {len(caught)} of 200")
+    assert len(caught) >= 200 * recall
+
+
 def brute_components(ids, sets, links):
     up = {i: i for i in ids}
 
