@@ -308,6 +308,36 @@ def test_changed_passages(spark, length, share, indels, recall):
     assert len(caught) >= 200 * recall
 
 
+def test_every_repeated_window(spark):
+    """Passages made of parts that occur in earlier documents, at the ends of which other documents differ."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    fresh = lambda n: [rng.choice(words) for _ in range(n)]
+    texts = []
+    for size in (10, 15, 20, 30, 36, 38, 39):
+        for length in (40, 41, 44, 60):
+            for _ in range(4):
+                passage = fresh(length)
+                for begin in range(0, length, size):
+                    part = passage[begin : begin + size]
+                    texts += [fresh(rng.randint(5, 60)) + part + fresh(40) for _ in range(2)]
+                if length > size:
+                    texts.append(fresh(30) + passage[(length - size) // 2 :][:size] + fresh(30))
+                texts += [fresh(rng.randint(0, 90)) + passage + fresh(rng.randint(0, 90)) for _ in range(3)]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    got = defaultdict(list)
+    for r in chains.passages(docs, Scratch(spark)).collect():
+        got[r.doc_id].append((r.start, r.end))
+    first, lost, n = {}, [], 0
+    for d, t in enumerate(texts):
+        for i in range(len(t) - chains.LEAST + 1):
+            if first.setdefault(tuple(t[i : i + chains.LEAST]), d) < d:
+                n += 1
+                if not any(a <= i and i + chains.LEAST <= b for a, b in got[d]):
+                    lost.append((d, i))
+    assert n > 1000 and not lost, (len(lost), n, lost[:5])
+
+
 def brute_components(ids, sets, links):
     up = {i: i for i in ids}
 
