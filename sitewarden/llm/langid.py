@@ -250,16 +250,23 @@ def fit(docs: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> Model:
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, sample / n))) for k, n in sizes.items()))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1_000_000)) / 1_000_000
     drawn = scratch.keep(may.where(draw < share).withColumn("tune", F.pmod(F.xxhash64("doc_id", F.lit("tune")), F.lit(5)) == 0), "sample")
-    rows = drawn.where("NOT tune").select("lang", "text").mapInArrow(_counts, "lang string, run string, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
     counts: dict[str, Counter] = {k: Counter() for k in sizes}
-    for lang, run, n in rows.toPandas().itertuples(index=False):  # bounded by the sample
-        counts[lang][run] = n
+
+    def count(some: DataFrame) -> None:
+        rows = some.select("lang", "text").mapInArrow(_counts, "lang string, run string, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
+        for lang, run, n in rows.toPandas().itertuples(index=False):  # bounded by the sample
+            counts[lang][run] = n
+
+    count(drawn.where("NOT tune"))
+    bare = [k for k, v in counts.items() if not v]
+    if bare:  # languages of few documents are fitted on those set aside
+        count(drawn.where(F.col("tune") & F.col("lang").isin(*bare)))
     counts = {k: v for k, v in counts.items() if v}
     if not counts:
         return Model([])
     with np.errstate(over="ignore"):
         model = Model.fit(counts)
-    tune = drawn.where("tune").withColumn("held_out", F.lit(False))
+    tune = drawn.where(F.col("tune") & ~F.col("lang").isin(*bare)).withColumn("held_out", F.lit(False))
     seen = _entropies(tune, spark.sparkContext.broadcast(model), len(model.langs)).where("n > 0").toPandas()
     known = seen[seen["lang"].isin(model.langs)] if len(seen) else seen
     if len(known):

@@ -202,6 +202,15 @@ def test_language_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_of_few_documents(spark):
+    """Whichever of a language's documents are set aside, one that may be learned from is enough."""
+    rows = [(i, "der die und nicht eine schule", "de", None, 0) for i in range(40)]
+    rows += [(100 + i, f"{c * 3} {c * 4}{c}", f"few{c}", None, 0) for i, c in enumerate("bcdfghjklmpqrtvwxyz")]
+    d = spark.createDataFrame(rows, SCHEMA)
+    may = {r.lang for r in d.where(~langid.held_out(d.doc_id)).select("lang").collect()}
+    assert set(langid.fit(d, Scratch(spark)).langs) == may
+
+
 def test_model_sums_to_one():
     model = langid.Model.fit({"a": Counter({"ab": 3, "abc": 2, "b": 1, "ca": 4})})
     for prefix in ("", "a", "ab", "zz"):
