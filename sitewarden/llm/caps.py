@@ -17,8 +17,10 @@ class and a spanning forest do.
 
 Defined results: null vectors, zero vectors and vectors with a null or
 non-finite component link with nothing and are their own component. Rows that
-repeat an id are rows of their own and get that id's component; a null id is
-never linked, and kept. Other columns (labels too) are ignored.
+repeat an id are rows of their own, whatever their vectors: each has the links
+of its vector, and the smallest id among those it reaches as its component. A
+null id is never linked, and kept. Components are scaled before they are
+squared, so very large and very small ones count like others. Other columns (labels too) are ignored.
 """
 
 from __future__ import annotations
@@ -83,6 +85,7 @@ class Codes:
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    flat = flat / np.abs(flat).max(axis=1, keepdims=True)
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
@@ -174,10 +177,8 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE
         F.hash("embedding").alias("h2"),
     )
     good = keyed.where("sound")
-    classes = scratch.keep(
-        good.groupBy("h1", "h2").agg(F.min("vec_id").alias("cls"), F.count(F.lit(1)).alias("mult"), F.first("embedding").alias("embedding")),
-        "classes",
-    )
+    classes = good.groupBy("h1", "h2").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("mult"), F.first("embedding").alias("embedding"))
+    classes = scratch.keep(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     sizes = classes.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per dimension
     found = None
     for dim, n in sizes:
@@ -190,13 +191,15 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE
     found = scratch.keep(found, "found")
     label = components(scratch, found.where("b IS NOT NULL").select("a", "b"), "components")
     counts = found.where("links IS NOT NULL").groupBy(F.col("a").alias("c")).agg(F.sum("links").alias("links"))
-    result = scratch.keep(
-        classes.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "cls", "mult")
+    labelled = scratch.keep(
+        classes.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "cls", "mult", "low")
         .join(counts, F.col("cls") == F.col("c"), "left")
         .join(label, F.col("cls") == F.col("node"), "left")
-        .select("r1", "r2", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("label", "cls").alias("least")),
-        "result",
+        .select("r1", "r2", "low", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("label", "cls").alias("label")),
+        "labelled",
     )
+    least = labelled.groupBy(F.col("label").alias("l")).agg(F.min("low").alias("least"))
+    result = scratch.keep(labelled.join(least, F.col("label") == F.col("l")).select("r1", "r2", "links", "least"), "result")
     out = keyed.drop("embedding").join(result, F.col("sound") & (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")), "left")
     return out.select(
         "vec_id",
