@@ -46,7 +46,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def letter_runs(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """The longest stretches of letters (``str.isalpha``); numerals such as fractions are none."""
+    runs = _LETTERS.findall(text.lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [part for r in runs for part in "".join(c if c.isalpha() else " " for c in r).split()]
 
 
 def _symbols(runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -97,3 +97,21 @@ def test_vectors(spark):
         (1, 3, 1, True), (2, 3, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 3, 1, False), (7, 3, 1, False), (8, 0, 8, True), (9, 0, 9, True),
     ]
     assert caps.near_duplicates(v.where("false"), Scratch(spark)).count() == 0
+
+
+def test_vectors_under_one_id(spark):
+    """An id of two vectors, and components whose squares leave the range of doubles."""
+    rows = [(7, [1.0, 0.0]), (7, [0.999, 0.02]), (8, [1.0, 0.01]), (9, [0.0, 1.0]), (10, [1e200, 1e198]), (11, [1e-200, 0.0]), (12, [0.0, -1e-310])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = caps.near_duplicates(v, Scratch(spark)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [
+        (7, 4, 7, True), (7, 4, 7, True), (8, 4, 7, False), (9, 0, 9, True), (10, 4, 7, False), (11, 4, 7, False), (12, 0, 12, True),
+    ]
+
+
+def test_numerals_are_no_letters(spark):
+    assert langid.letter_runs("½ ² Ⅷ ① 3 _") == [] and langid.letter_runs("Ab½c² é") == ["ab", "c", "é"]
+    rows = [(i, "eins zwei drei", "de") for i in range(20)] + [(50, "½ ② Ⅷ 77", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(d, langid.fit(d, Scratch(spark))).where("doc_id = 50").first()
+    assert (got.lang_pred, got.score) == ("und", 0.0)
