@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from functools import cache
@@ -31,29 +32,57 @@ def let(value: Column, body) -> Column:
 
 @cache
 def _own_folder() -> str:
-    """For sessions on one machine that name no shared folder, as in tests."""
     return tempfile.mkdtemp(prefix="scratch-")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is missing, a session whose tasks run in the driver's own process
+    gets a folder of its own; on a cluster every machine would write to its own
+    disk, so it must be set there.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return _own_folder()
+
+
+_gathered: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def swept():
+    """Removes the scratch tables made inside it at its end; what is computed from them must be written by then."""
+    _gathered.append([])
+    try:
+        yield
+    finally:
+        for scratch in _gathered.pop():
+            scratch.drop("")
+
+
 class Scratch:
-    """Tables in the folder that the cluster names in ``spark.checkpoint.dir``.
+    """Tables in the shared folder. They cut lineage and survive the loss of executors.
 
-    They cut lineage and survive the loss of executors. Only where the setting
-    is missing (tests on one machine) a folder of our own is chosen.
+    Results read them, so they stay until ``drop`` or ``swept`` removes them.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-        self.root = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        if _gathered:
+            _gathered[-1].append(self)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written once and read back."""
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``df`` written once and read back; ``by`` names its last column where readers take one value of it at a time."""
         path = f"{self.root}/{name}"
         before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").parquet(path, partitionBy=by)
         finally:
             self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)

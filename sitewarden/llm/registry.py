@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 import public_tokenizers
 
 from . import caps, chains, jaccard, langid, linededup, mixing, packing, quality, suffix, tokens
@@ -90,7 +89,6 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_counts": op9_token_counts,
     "op10_cap_filters": op10_cap_filters,
-    "pipeline": corpus_pipeline.run,
 }
 
 
