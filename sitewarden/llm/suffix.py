@@ -5,8 +5,8 @@ choose the same one, the leftmost of smallest hash: their *anchor*. A document
 is cut into runs of string starts with one anchor (about 85 bytes apart).
 
 1. Runs are counted by the hash of their anchor. An anchor found once settles
-   its run: nothing in it repeats. An anchor whose runs are all alike settles
-   them too: everything in them repeats.
+   its run: nothing in it repeats. An anchor whose runs are all alike (by 96
+   more bits over all their bytes) settles them too: everything in them repeats.
 2. The runs left, at the borders of repeated passages, are compared exactly.
    One run of each kind brings its bytes, cut into blocks aligned at the
    anchor. The blocks of a batch of anchors form one sequence, whose suffix
@@ -14,8 +14,11 @@ is cut into runs of string starts with one anchor (about 85 bytes apart).
    ``CORE`` blocks are one class; strings of the same class are equal if the
    bytes before and after the blocks are.
 3. An anchor with more than ``HOT`` kinds of runs (the border of a passage in
-   very many documents) is too large for one task. Its strings are counted by
-   hash in a shuffle, and looked up again.
+   very many documents) is too large for one task. Its strings are counted in a
+   shuffle by 128 bits of hash, two 64-bit hashes of their bytes, and looked up
+   again, so which way an anchor goes changes nothing in the result.
+
+Documents are told apart by 96 bits of hash over id and text.
 
 A byte-level suffix array of the corpus would need all text in one order, and
 some 5 microseconds a byte in Python; the runs make it a few symbols for each
@@ -44,14 +47,29 @@ SEGMENT = 1 << 17  # string starts looked at together
 PLACE = 20  # bits of a place in a segment
 BLOCK, CORE = 32, 5
 HOT = 1024
-BATCH_RUNS = 8192
+BATCH_STARTS = 1 << 16  # string starts compared at once: about 20 MB
 
 _BYTE = numbers(256, 3)
 _STEP = numbers(8, 4)
-_BASE = int(numbers(1, 5)[0])
-with np.errstate(over="ignore"):
-    _POWERS = np.cumprod(np.concatenate([[U(1)], np.full(SEGMENT + LENGTH, U(_BASE))]))
-    _INVERSE = np.cumprod(np.concatenate([[U(1)], np.full(SEGMENT + LENGTH, U(pow(_BASE, -1, 1 << 64)))]))
+
+
+class _Ranges:
+    """Hashes of byte ranges from prefix sums of ``byte * power``."""
+
+    def __init__(self, seed: int):
+        base = int(numbers(1, seed)[0])
+        self.byte = numbers(256, seed + 1)
+        with np.errstate(over="ignore"):
+            self.powers = np.cumprod(np.concatenate([[U(1)], np.full(SEGMENT + LENGTH, U(base))]))
+            self.inverse = np.cumprod(np.concatenate([[U(1)], np.full(SEGMENT + LENGTH, U(pow(base, -1, 1 << 64)))]))
+
+    def __call__(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        prefix = np.zeros(len(data) + 1, U)
+        np.cumsum(self.byte[data] * self.powers[: len(data)], out=prefix[1:])
+        return mix((prefix[stop] - prefix[start]) * self.inverse[start] + (stop - start).astype(U))
+
+
+_FIRST, _SECOND = _Ranges(5), _Ranges(31)
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -123,19 +141,8 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def _sum_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hashes of the byte ranges from prefix sums of ``byte * power``."""
-    return mix((prefix[stop] - prefix[start]) * _INVERSE[start] + (stop - start).astype(U))
-
-
-def _prefix(data: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(data) + 1, U)
-    np.cumsum(_BYTE[data] * _POWERS[: len(data)], out=out[1:])
-    return out
-
-
 def _runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of every run: text, first start in it, starts, anchor after the first start, hash of anchor and of the run."""
+    """Of every run: text, first start in it, starts, anchor after the first start, hash of anchor and two of the run."""
     valid = np.zeros(len(data) + 1, np.int32)
     long = np.diff(offsets) >= LENGTH
     valid[offsets[:-1][long]] += 1
@@ -164,30 +171,33 @@ def _runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, .
         some = ok[new]
         new, stop = new[some], stop[some]
         a = anchor[new]
-        prefix = _prefix(part)
-        whole = _sum_hash(prefix, new, stop + LENGTH - 1)
+        whole, other = (ranges(part, new, stop + LENGTH - 1) for ranges in (_FIRST, _SECOND))
         text = np.searchsorted(offsets, new + s, "right") - 1
-        yield text, new + s - offsets[text], stop - new, a - new, h[a], mix(whole * _STEP[0] + (a - new).astype(U))
+        yield text, new + s - offsets[text], stop - new, a - new, h[a], mix(whole * _STEP[0] + (a - new).astype(U)), (other >> U(32)).astype(np.uint32)
 
 
 def runs(docs: DataFrame) -> DataFrame:
-    """``anchor, kind, doc, start, n, at``: the runs of every text; ``doc`` hashes id and text."""
+    """``anchor, kind, kind2, doc, doc2, start, n, at``: the runs of every text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 for part in slices(batch):
-                    doc = part.column("doc").to_numpy()
-                    for text, start, n, at, anchor, kind in _runs(*text_bytes(part.column("text"))):
-                        columns = [anchor.view(np.int64), kind.view(np.int64), doc[text], start.astype(np.int64), n.astype(np.int16), at.astype(np.int16)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "kind", "doc", "start", "n", "at"])
-
-    return keyed(docs).select("doc", "text").mapInArrow(work, "anchor long, kind long, doc long, start long, n short, at short")
+                    doc, doc2 = part.column("doc").to_numpy(), part.column("doc2").to_numpy()
+                    for text, start, n, at, anchor, kind, kind2 in _runs(*text_bytes(part.column("text"))):
+                        columns = [anchor.view(np.int64), kind.view(np.int64), kind2.view(np.int32), doc[text], doc2[text]]
+                        columns += [start.astype(np.int64), n.astype(np.int16), at.astype(np.int16)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    names = ["anchor", "kind", "kind2", "doc", "doc2", "start", "n", "at"]
+    return keyed(docs).select("doc", "doc2", "text").mapInArrow(
+        work, "anchor long, kind long, kind2 int, doc long, doc2 int, start long, n short, at short"
+    )
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(F.col("doc_id"), text).alias("doc"))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(F.col("doc_id"), text).alias("doc"), F.hash(text, F.col("doc_id")).alias("doc2"))
 
 
 def _intervals(hit: np.ndarray, run: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,8 +211,8 @@ def _intervals(hit: np.ndarray, run: np.ndarray, place: np.ndarray) -> tuple[np.
 
 def _starts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Run and place of every string start of runs with ``n`` starts."""
-    run = np.repeat(np.arange(len(n)), n)
-    return run, np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    run = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    return run, np.arange(len(run), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
 
 
 def repeated_starts(group: np.ndarray, pieces: list[bytes], at: np.ndarray, n: np.ndarray, copies: np.ndarray):
@@ -212,8 +222,9 @@ def repeated_starts(group: np.ndarray, pieces: list[bytes], at: np.ndarray, n: n
     often each occurs.
     """
     data = np.frombuffer(b"".join(pieces), np.uint8)
-    sizes = np.array([len(p) for p in pieces], np.int64)
-    base = np.cumsum(sizes) - sizes
+    at, n = at.astype(np.int32), n.astype(np.int32)
+    sizes = np.array([len(p) for p in pieces], np.int32)
+    base = (np.cumsum(sizes) - sizes).astype(np.int32)
     lead = at % BLOCK  # the first aligned block begins here
     blocks = (sizes - lead) // BLOCK
     run, k = _starts(blocks)
@@ -221,7 +232,8 @@ def repeated_starts(group: np.ndarray, pieces: list[bytes], at: np.ndarray, n: n
     rows = np.zeros((len(run), BLOCK + 16), np.uint8)
     rows[:, :8] = np.ascontiguousarray(group[run].astype(np.int64)).view(np.uint8).reshape(-1, 8)
     rows[:, 8:16] = np.ascontiguousarray((k - at[run] // BLOCK).astype(np.int64)).view(np.uint8).reshape(-1, 8)
-    rows[:, 16:] = data[where[:, None] + np.arange(BLOCK)]
+    for j in range(BLOCK):
+        rows[:, 16 + j] = data[where + j]
     _, symbol = np.unique(rows.view(np.dtype((np.void, BLOCK + 16))).ravel(), return_inverse=True)
     # each run closes with a symbol of its own, below all others; the very last is the smallest
     closed = np.cumsum(blocks + 1)
@@ -248,108 +260,110 @@ def repeated_starts(group: np.ndarray, pieces: list[bytes], at: np.ndarray, n: n
     if not len(r):
         return r, p
     f = lead[r] + first * BLOCK - p
-    around = np.arange(LENGTH - CORE * BLOCK)
-    index = (base[r] + p)[:, None] + around + np.where(around < f[:, None], 0, CORE * BLOCK)
-    keys = np.zeros((len(r), 16 + len(around)), np.uint8)
+    around = LENGTH - CORE * BLOCK
+    begin = base[r] + p
+    keys = np.zeros((len(r), 16 + around), np.uint8)
     keys[:, :8] = np.ascontiguousarray(of[core]).view(np.uint8).reshape(-1, 8)
-    keys[:, 8:16] = np.ascontiguousarray(f).view(np.uint8).reshape(-1, 8)
-    keys[:, 16:] = data[index]
+    keys[:, 8:16] = np.ascontiguousarray(f.astype(np.int64)).view(np.uint8).reshape(-1, 8)
+    for j in range(around):  # byte by byte: no table of places is built
+        keys[:, 16 + j] = data[begin + np.where(j < f, j, j + CORE * BLOCK)]
     _, which = np.unique(keys.view(np.dtype((np.void, keys.shape[1]))).ravel(), return_inverse=True)
     hit = np.bincount(which.ravel(), weight)[which.ravel()] > 1
     return r[hit], p[hit]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``anchor, doc, start, n, at, copies, piece``, sorted by anchor: the repeated intervals of single runs."""
-    held: list[pa.RecordBatch] = []
-    count = 0
+    """Rows ``anchor, doc, doc2, start, n, at, copies, piece``, sorted by anchor: the repeated intervals of single runs.
+
+    Whole anchors are compared, as many at once as have ``BATCH_STARTS`` string starts.
+    """
+    names = ["doc", "doc2", "begin", "end"]
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
-        group, doc, start, n, at, copies = (rows.column(c).to_numpy().astype(np.int64) for c in ("anchor", "doc", "start", "n", "at", "copies"))
+        group, start, n, at, copies = (rows.column(c).to_numpy().astype(np.int64) for c in ("anchor", "start", "n", "at", "copies"))
         run, place = repeated_starts(group, rows.column("piece").to_pylist(), at, n, copies)
-        single = copies[run] == 1
-        run, first, last = _intervals(single, run, place)
-        columns = [doc[run], start[run] + first, start[run] + last + LENGTH]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "begin", "end"])
+        run, first, last = _intervals(copies[run] == 1, run, place)
+        doc, doc2 = rows.column("doc").to_numpy()[run], rows.column("doc2").to_numpy()[run]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (doc, doc2, start[run] + first, start[run] + last + LENGTH)], names=names)
 
+    held: pa.Table | None = None
     for batch in batches:
-        held.append(batch)
-        count += batch.num_rows
-        if count >= BATCH_RUNS:
-            rows = pa.Table.from_batches(held)
-            anchors = rows.column("anchor").to_numpy()
-            whole = int(np.searchsorted(anchors == anchors[-1], True))  # the last anchor may go on
-            if whole:
-                yield settle(rows.slice(0, whole))
-            held = rows.slice(whole).combine_chunks().to_batches()
-            count = rows.num_rows - whole
-    if count:
-        yield settle(pa.Table.from_batches(held))
-
-
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string of hot runs by hash: ``h, doc, place, copies``."""
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            doc, start, n, copies = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc", "start", "n", "copies"))
-            for i, piece in enumerate(batch.column("piece").to_pylist()):
-                p = np.arange(n[i])
-                h = _sum_hash(_prefix(np.frombuffer(piece, np.uint8)), p, p + LENGTH)
-                columns = [h.view(np.int64), np.full(len(p), doc[i]), p + start[i], np.full(len(p), copies[i])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "doc", "place", "copies"])
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        anchors, n = held.column("anchor").to_numpy(), held.column("n").to_numpy().astype(np.int64)
+        edge = np.append(np.flatnonzero(np.diff(anchors)) + 1, len(anchors))
+        upto, begin, base = np.cumsum(n)[edge - 1], 0, 0
+        for end, starts in zip(edge[:-1].tolist(), upto.tolist(), strict=False):  # the last anchor may go on
+            if starts - base >= BATCH_STARTS:
+                yield settle(held.slice(begin, end - begin))
+                begin, base = end, starts
+        held = held.slice(begin).combine_chunks()
+    if held is not None and held.num_rows:
+        yield settle(held)
+
+
+def strings(hot: DataFrame) -> DataFrame:
+    """``h1, h2, doc, doc2, place, copies``: every string of hot runs by two hashes of its bytes."""
+    string = F.expr(f"substring(piece, cast(i + 1 as int), {LENGTH})")
+    each = hot.select("doc", "doc2", "start", "copies", "piece", F.explode(F.expr("sequence(0, n - 1)")).alias("i")).withColumn("s", string)
+    return each.select(
+        F.xxhash64(F.lit(1), "s").alias("h1"), F.xxhash64(F.lit(2), "s").alias("h2"), "doc", "doc2", (F.col("start") + F.col("i")).alias("place"), "copies"
+    )
 
 
 def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``doc, begin, end``: repeated byte ranges; those of a document may overlap."""
+    """``doc, doc2, begin, end``: repeated byte ranges; those of a document may overlap."""
     found = scratch.keep(runs(docs), "runs")
+    sides = [f(c).alias(f"{n}_{c}") for c in ("kind", "kind2") for n, f in (("lo", F.min), ("hi", F.max))]
     anchors = scratch.keep(
         found.groupBy(F.col("anchor").alias("k"))
-        .agg(F.count(F.lit(1)).alias("m"), F.min("kind").alias("lo"), F.max("kind").alias("hi"))
+        .agg(F.count(F.lit(1)).alias("m"), *sides)
         .where("m > 1")
-        .select("k", (F.col("lo") == F.col("hi")).alias("same")),
+        .selectExpr("k", "lo_kind = hi_kind AND lo_kind2 = hi_kind2 AS same"),
         "anchors",
     )
     shared = scratch.keep(found.join(anchors, F.col("anchor") == F.col("k")).drop("k"), "shared")
-    scratch.drop("runs")
+    scratch.drop("runs", "anchors")
     whole = F.col("start").alias("begin"), (F.col("start") + F.col("n") + LENGTH - 1).alias("end")
-    out = shared.where("same").select("doc", *whole)
+    out = shared.where("same").select("doc", "doc2", *whole)
     mixed = shared.where("NOT same").drop("same")
-    one = F.min(F.struct("doc", "start", "n", "at")).alias("one")
+    one = F.min(F.struct("doc", "doc2", "start", "n", "at")).alias("one")
     kinds = scratch.keep(
-        mixed.groupBy(F.col("anchor").alias("k"), F.col("kind").alias("kk"))
+        mixed.groupBy(F.col("anchor").alias("k"), F.col("kind").alias("kk"), F.col("kind2").alias("kk2"))
         .agg(F.count(F.lit(1)).alias("copies"), one)
-        .select("k", "kk", "copies", "one.*"),
+        .select("k", "kk", "kk2", "copies", "one.*"),
         "kinds",
     )
-    copied = kinds.where("copies > 1").select("k", "kk")
-    out = out.unionAll(
-        mixed.join(copied, (F.col("anchor") == F.col("k")) & (F.col("kind") == F.col("kk"))).select("doc", *whole)
-    )
-    load = kinds.groupBy(F.col("k").alias("lk")).agg(F.count(F.lit(1)).alias("load"))
-    load = scratch.keep(load, "load")
+    copied = kinds.where("copies > 1").select("k", "kk", "kk2")
+    alike = (F.col("anchor") == F.col("k")) & (F.col("kind") == F.col("kk")) & (F.col("kind2") == F.col("kk2"))
+    out = out.unionAll(mixed.join(copied, alike).select("doc", "doc2", *whole))
+    load = scratch.keep(kinds.groupBy(F.col("k").alias("lk")).agg(F.count(F.lit(1)).alias("load")), "load")
     wanted = kinds.join(load, F.col("k") == F.col("lk")).select(
-        F.col("k").alias("anchor"), F.col("doc").alias("wd"), "start", "n", "at", "copies", (F.col("load") > HOT).alias("hot")
+        F.col("k").alias("anchor"), F.col("doc").alias("wd"), F.col("doc2").alias("wd2"), "start", "n", "at", "copies", (F.col("load") > HOT).alias("hot")
     )
     # each document brings its pieces: one row per document that has any
-    per_doc = wanted.groupBy("wd").agg(F.collect_list(F.struct("anchor", "start", "n", "at", "copies", "hot")).alias("want"))
-    texts = keyed(docs).select("doc", F.encode("text", "utf-8").alias("bytes"))
-    pieces = per_doc.hint("merge").join(texts, F.col("wd") == F.col("doc")).select("doc", "bytes", F.explode("want").alias("w"))
+    per_doc = wanted.groupBy("wd", "wd2").agg(F.collect_list(F.struct("anchor", "start", "n", "at", "copies", "hot")).alias("want"))
+    texts = keyed(docs).select("doc", "doc2", F.encode("text", "utf-8").alias("bytes"))
+    own = (F.col("wd") == F.col("doc")) & (F.col("wd2") == F.col("doc2"))
+    pieces = per_doc.hint("merge").join(texts, own).select("doc", "doc2", "bytes", F.explode("want").alias("w"))
     pieces = pieces.select(
-        "w.*", "doc", F.expr(f"substring(bytes, cast(w.start + 1 as int), cast(w.n + {LENGTH - 1} as int))").alias("piece")
+        "w.*", "doc", "doc2", F.expr(f"substring(bytes, cast(w.start + 1 as int), cast(w.n + {LENGTH - 1} as int))").alias("piece")
     )
-    pieces = scratch.keep(pieces.dropDuplicates(["anchor", "doc", "start"]), "pieces")
+    pieces = scratch.keep(pieces.dropDuplicates(["anchor", "doc", "doc2", "start"]), "pieces")
+    scratch.drop("load")
     cold = pieces.where("NOT hot").drop("hot")
     out = out.unionAll(
-        cold.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(_compare, "doc long, begin long, end long")
+        cold.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(_compare, "doc long, doc2 int, begin long, end long")
     )
     hot = pieces.where("hot")
     if not hot.isEmpty():
-        strings = scratch.keep(hot.mapInArrow(_strings, "h long, doc long, place long, copies long"), "strings")
-        twice = scratch.keep(strings.groupBy(F.col("h").alias("k")).agg(F.sum("copies").alias("m")).where("m > 1").select("k"), "twice")
+        every = scratch.keep(strings(hot), "strings")
+        twice = every.groupBy(F.col("h1").alias("k1"), F.col("h2").alias("k2")).agg(F.sum("copies").alias("m")).where("m > 1").select("k1", "k2")
+        twice = scratch.keep(twice, "twice")
         out = out.unionAll(
-            strings.join(twice, F.col("h") == F.col("k"))
+            every.join(twice, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
             .where("copies = 1")
-            .select("doc", F.col("place").alias("begin"), (F.col("place") + LENGTH).alias("end"))
+            .select("doc", "doc2", F.col("place").alias("begin"), (F.col("place") + LENGTH).alias("end"))
         )
     return out
 
@@ -358,29 +372,34 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges the ranges of each document and keeps the other bytes."""
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
-        spans, kept = [], []
-        for data, ranges in zip(batch.column("bytes").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-            merged: list[list[int]] = []
-            for r in sorted((r["begin"], r["end"]) for r in ranges or []):
-                if merged and r[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], r[1])
-                else:
-                    merged.append(list(r))
-            spans.append([{"begin": a, "end": b} for a, b in merged])
-            edges = [0, *(x for m in merged for x in m), len(data)]
-            kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if merged else data)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(x) for x in batch.column("bytes").to_pylist()], pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
-            names=["doc_id", "n_bytes", "spans", "kept"],
-        )
+        for part in slices(batch, "bytes"):
+            spans, kept, sizes = [], [], []
+            for data, ranges in zip(part.column("bytes"), part.column("ranges").to_pylist(), strict=True):
+                data = data.as_py()
+                merged: list[list[int]] = []
+                for r in sorted((r["begin"], r["end"]) for r in ranges or []):
+                    if merged and r[0] <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], r[1])
+                    else:
+                        merged.append(list(r))
+                spans.append([{"begin": a, "end": b} for a, b in merged])
+                edges = [0, *(x for m in merged for x in m), len(data)]
+                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if merged else data)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
+                names=["doc_id", "n_bytes", "spans", "kept"],
+            )
 
 
 def dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id, n_bytes, spans, kept``: removed byte ranges and the bytes that stay, for every row."""
-    ranges = repeated(docs, scratch).groupBy(F.col("doc").alias("rd")).agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    ranges = repeated(docs, scratch).groupBy(F.col("doc").alias("rd"), F.col("doc2").alias("rd2")).agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
     ranges = scratch.keep(ranges, "ranges")
+    scratch.drop("shared", "kinds", "pieces", "strings", "twice")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    both = keyed(docs).join(ranges.hint("merge"), F.col("doc") == F.col("rd"), "left")
+    own = (F.col("doc") == F.col("rd")) & (F.col("doc2") == F.col("rd2"))
+    both = keyed(docs).join(ranges.hint("merge"), own, "left")
     return both.select("doc_id", F.encode("text", "utf-8").alias("bytes"), "ranges").mapInArrow(
         _spans, f"doc_id {kind}, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary"
     )
