@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 _GOLD, _M1, _M2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
-BLOCK_WORDS = 1 << 18
+BLOCK_BYTES = 1 << 16
 BATCH_BYTES = 4 << 20
 
 
@@ -36,8 +36,16 @@ _BYTE[[9, 10, 11, 12, 13, 32]] = 0
 _POWER = U(0xD6E8FEB86659FD93)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+_LOWER_BYTE = _BYTE.copy()
+_LOWER_BYTE[65:91] = _BYTE[97:123]
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([[U(1)], np.full(n, U(base))]))
+
+
+_UP, _DOWN = (_powers(p, 2 * BLOCK_BYTES) for p in (int(_POWER), pow(int(_POWER), -1, 1 << 64)))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,21 +88,42 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     before = before[before >= 0]
     stops[before] = solid[before]
     ends = np.flatnonzero(stops) + 1
-    text = np.searchsorted(offsets, starts, "right") - 1
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
     out = np.empty(len(starts), U)
+    table = _LOWER_BYTE if lower else _BYTE
     with np.errstate(over="ignore"):
-        for k in range(0, len(starts), BLOCK_WORDS):
-            s, e = starts[k : k + BLOCK_WORDS], ends[k : k + BLOCK_WORDS]
-            block = data[s[0] : e[-1]]
-            at = s - s[0]
-            gap = np.diff(np.append(at, len(block)))
-            powers = np.cumprod(np.full(int(gap.max()), _POWER, U))
-            place = np.arange(len(block)) - np.repeat(at, gap)
-            value = _BYTE[LOWER[block] if lower else block] * powers[place]
-            out[k : k + BLOCK_WORDS] = mix(np.add.reduceat(value, at) + (e - s).astype(U) * _GOLD)
+        k = 0
+        while k < len(starts):  # blocks of whole words: a word's hash is sum(byte * power ** place), from prefix sums
+            first = starts[k]
+            end = max(k + 1, int(np.searchsorted(ends, first + BLOCK_BYTES, "right")))
+            s, e = starts[k:end] - first, ends[k:end] - first
+            block = table[data[first : ends[end - 1]]]
+            up, down = (_UP, _DOWN) if len(block) < len(_UP) else (_powers(p, len(block)) for p in (int(_POWER), int(_DOWN[1])))
+            prefix = np.zeros(len(block) + 1, U)
+            np.cumsum(block * up[: len(block)], out=prefix[1:])
+            out[k:end] = mix((prefix[e] - prefix[s]) * down[s] + (e - s).astype(U) * _GOLD)
+            k = end
     return out, text, starts, ends
 
 
+def smallest(rank: np.ndarray, width: int) -> np.ndarray:
+    """Of every ``width`` consecutive numbers, the place of the smallest by their upper 40 bits; the first of equal ones."""
+    n = len(rank) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    out = np.empty(n, np.int64)
+    for k in range(0, n, 1 << 16):
+        low = rank[k : k + (1 << 16) + width - 1]
+        low = (low >> U(24) << U(24)) | np.arange(len(low), dtype=U)
+        reach = 1
+        while reach * 2 <= width:
+            low = np.minimum(low[:-reach], low[reach:])
+            reach *= 2
+        low = np.minimum(low[: len(low) - (width - reach)], low[width - reach :])
+        out[k : k + len(low)] = (low & U((1 << 24) - 1)).astype(np.int64) + k
+    return out
+
+
 def shingles(hashes: np.ndarray, text: np.ndarray, n_texts: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed ``size``-word shingles of each text, ascending, and the bounds of each text.
 
