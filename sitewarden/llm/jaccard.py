@@ -213,6 +213,7 @@ def join(docs: DataFrame, scratch: Scratch, size: int = SIZE, threshold: int = T
     )
     least = scratch.keep(lowest.groupBy(F.col("label").alias("l")).agg(F.min("doc").alias("component_id")), "least")
     final = scratch.keep(lowest.join(least, F.col("label") == F.col("l")).select(F.col("node").alias("fn"), "component_id"), "final")
+    scratch.drop("nodes", "keys", "clusters", "counts", "texts", "links-0", "first-labels", "large", "main", "labels", "least")
     out = rows.join(final.hint("merge"), F.col("node") == F.col("fn"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 

@@ -13,7 +13,9 @@ give every document its place in the source.
 
 Defined results: null texts have size 0; null sources are one source, ordered
 last; null ids and repeated rows are ordinary rows and get their own copies;
-an empty table gives no rows; a source without words has target 0 and its
+of rows that are equal in size, id and text, ``mix`` goes on by all other
+columns, so reruns agree (maps can't be compared and don't count); an empty
+table gives no rows; a source without words has target 0 and its
 documents are not taken.
 """
 
@@ -77,18 +79,16 @@ def _draw(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
-def copies(docs: DataFrame, carry: str | None = None) -> DataFrame:
+def copies(docs: DataFrame, *along: str) -> DataFrame:
     """Every row with ``size, source_size, target, n_copies``.
 
-    ``carry`` names a column to pass along. The per-source table is broadcast
-    only where a count shows it to be small; otherwise it is joined by shuffle.
+    ``along`` names narrow columns to pass along, which also order what is
+    equal otherwise. The per-source table is broadcast only where a count shows
+    it to be small; otherwise it is joined by shuffle.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *([carry, "text"] if carry else ["text"]))
-    rows = sized.withColumn("tie", F.md5(F.coalesce("text", F.lit("")))).drop("text")
-    if not carry:
-        rows = scratch.keep(rows, "sizes")  # the texts are read once
+    scratch = Scratch(docs.sparkSession)
+    tie = F.md5(F.coalesce("text", F.lit(""))).alias("tie")
+    rows = scratch.keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), tie, *along), "sizes")  # the texts are read once
     per_source = scratch.keep(
         targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))), "sources"
     ).withColumnRenamed("source", "s")
@@ -98,7 +98,7 @@ def copies(docs: DataFrame, carry: str | None = None) -> DataFrame:
     ident = F.coalesce(F.col("doc_id").cast("string"), F.col("tie"))
     known = known.withColumn("chunk", F.floor(_draw(F.lit(SEED), ident) * F.ceil(F.col("n_docs") / CHUNK)))
     way = F.when(F.col("chunk") % 2 == 0, F.col("size")).otherwise(-F.col("size"))
-    in_chunk = Window.partitionBy("source", "chunk").orderBy(way, F.col("doc_id").asc_nulls_first(), "tie")
+    in_chunk = Window.partitionBy("source", "chunk").orderBy(way, F.col("doc_id").asc_nulls_first(), "tie", *along)
     ranked = known.withColumn("k", F.row_number().over(in_chunk))
     earlier = Window.partitionBy("cs").orderBy("cc").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -116,7 +116,18 @@ def copies(docs: DataFrame, carry: str | None = None) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mixed corpus: rows of ``docs``, repeated or left out."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    held = docs.select("doc_id", "source", "text", row.alias("row"))
-    return copies(held, carry="row").select(F.explode(F.expr("array_repeat(row, cast(n_copies as int))")).alias("row")).select("row.*")
+    """The mixed corpus: rows of ``docs``, repeated or left out.
+
+    Copies are decided on narrow rows, named by 128 bits of hash over all
+    columns; whole rows are shuffled once, when the copies come home. Rows that
+    are equal in everything share theirs out.
+    """
+    comparable = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    seals = [F.xxhash64(F.lit(i), *comparable).alias(f"seal_{i}") for i in (1, 2)]
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    taken = copies(docs.select("doc_id", "source", "text", *seals), "seal_1", "seal_2").groupBy(F.col("seal_1").alias("t1"), F.col("seal_2").alias("t2"))
+    taken = taken.agg(F.sum("n_copies").alias("n"), F.count(F.lit(1)).alias("m")).where("n > 0")
+    both = docs.select(row, *seals).hint("merge").join(taken.hint("merge"), (F.col("seal_1") == F.col("t1")) & (F.col("seal_2") == F.col("t2")))
+    share = F.row_number().over(Window.partitionBy("seal_1", "seal_2").orderBy("seal_1", "seal_2"))
+    each = both.withColumn("times", F.expr("n div m") + F.when(share <= F.col("n") % F.col("m"), 1).otherwise(0))
+    return each.select(F.explode(F.expr("array_repeat(row, cast(times as int))")).alias("row")).select("row.*")
