@@ -34,8 +34,10 @@ _PLAIN = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 #: The contractions that the tokenizers' patterns name.
 _SUFFIX = "'s|'t|'re|'ve|'m|'ll|'d"
 
-MEMORY, PIECES = 600_000, 400_000  # units, and parts of units, that an encoder remembers at most
+#: Units, and parts of units, that an encoder remembers at most, and their characters: some 90 MB, for as long as a task runs.
+MEMORY, PIECES, LONGEST = 600_000, 300_000, 64
 CHUNK, OVERLAP = 1 << 16, 256
+WORDS_AT_ONCE = 1 << 20  # characters that are split into words together
 
 
 def _byte_letters() -> list[str]:
@@ -52,21 +54,26 @@ def _mapped(piece: str) -> str:
     return piece if piece.isascii() and piece.isalnum() else "".join(map(_STAND_IN.__getitem__, piece.encode()))
 
 
+_GAP = re.compile(r"\s")
+
+
 def _has(text: str, any_of: tuple[str, ...]) -> bool:
     return any(x in text for x in any_of)
 
 
 class _Remembered(dict):
-    """A bounded map that works out what it lacks."""
+    """A bounded map of short strings that works out what it lacks."""
 
-    def __init__(self, work, most: int = MEMORY):
+    def __init__(self, work, most: int):
         super().__init__()
         self.work, self.most = work, most
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = value = self.work(key)
+        value = self.work(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -96,7 +103,7 @@ class ByteCounter:
             return len(self.library.encode(unit, add_special_tokens=False).ids)
 
         self.known = _Remembered(work, MEMORY // 4)
-        self.after_space = _Remembered(lambda word: work(" " + word))
+        self.after_space = _Remembered(lambda word: work(" " + word), MEMORY)
 
     def units(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Where units of ``text`` end, and the tokens in each."""
@@ -180,61 +187,74 @@ class WordEncoder:
                 ids = array("I", b"".join([pieces[p] for p in self._pre.findall(word.lower())]))
             else:
                 ids = self.library.encode(word, add_special_tokens=False).ids
-            self.starts.append(len(self.ids))
-            self.ids.extend(ids)
-            self.sizes.append(len(ids))
-            return len(self.starts) - 1
+            return self._store(ids, len(word) <= LONGEST)
 
-        self.known = _Remembered(work)
+        self.known = _Remembered(work, MEMORY)
         self._forget()
 
     def _forget(self) -> None:
+        """Entry 0 is the closing id, which no word can name."""
         self.known.clear()
-        self.ids, self.starts, self.sizes = array("I"), array("q"), array("q")
+        self.ids, self.starts, self.sizes = array("I", [0]), array("q", [0]), array("q", [1])
+
+    def _store(self, ids, remember: bool) -> int:
+        """The number of an entry; what isn't remembered is held for one call and has a negative one."""
+        all_ids, starts, sizes = (self.ids, self.starts, self.sizes) if remember else (self.own_ids, self.own_starts, self.own_sizes)
+        starts.append(len(all_ids))
+        all_ids.extend(ids)
+        sizes.append(len(ids))
+        return len(starts) - 1 if remember else -len(starts)
+
+    @staticmethod
+    def _parts(text: str) -> Iterator[str]:
+        """A text cut at white space, so that only some of its words are strings at a time."""
+        begin = 0
+        while len(text) - begin > WORDS_AT_ONCE:
+            gap = _GAP.search(text, begin + WORDS_AT_ONCE)
+            end = gap.start() if gap else len(text)
+            yield text[begin:end]
+            begin = end
+        yield text[begin:] if begin else text
 
     def encode(self, texts: list[str], closing: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, ``closing`` after each, and their numbers."""
         if len(self.starts) > MEMORY:
             self._forget()
+        self.own_ids, self.own_starts, self.own_sizes = array("I"), array("q"), array("q")
+        self.ids[0] = closing
         find, places, lengths = self.known.__getitem__, [], []
-        close = find("\x00closing")
-        self.ids[self.starts[close]], self.sizes[close] = closing, 1
+        close = np.zeros(1, np.int64)
         for text in texts:
             if _has(text, self._odd):
-                self.starts.append(len(self.ids))
-                ids = self.library.encode(text, add_special_tokens=False).ids
-                self.ids.extend(ids)
-                self.sizes.append(len(ids))
-                found = np.array([len(self.starts) - 1], np.int64)
+                found = [np.array([self._store(self.library.encode(text, add_special_tokens=False).ids, False)], np.int64)]
             else:
-                words = text.split()
-                found = np.fromiter(map(find, words), np.int64, len(words))
-            places += [found, [close]]
-            lengths.append(len(found) + 1)
-        at = np.concatenate(places).astype(np.int64) if places else np.zeros(0, np.int64)
-        starts, sizes = np.array(self.starts, np.int64)[at], np.array(self.sizes, np.int64)[at]
+                found = []
+                for part in self._parts(text):
+                    words = part.split()
+                    found.append(np.fromiter(map(find, words), np.int64, len(words)))
+            places += [*found, close]
+            lengths.append(sum(map(len, found)) + 1)
+        at = np.concatenate(places) if places else np.zeros(0, np.int64)
+        own = at < 0
+        at[own] = -1 - at[own]
+        view = lambda x, kind: np.frombuffer(x, kind) if len(x) else np.zeros(1, kind)  # noqa: E731  not a copy
+        pick = lambda a, b: np.where(own, view(b, np.int64)[np.where(own, at, 0)], view(a, np.int64)[np.where(own, 0, at)])
+        starts, sizes = (pick(self.starts, self.own_starts), pick(self.sizes, self.own_sizes)) if len(at) else (at, at)
         total = np.cumsum(sizes)
         offsets = np.repeat(starts - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
+        out = np.empty(len(offsets), np.uint32)
+        mine = np.repeat(own, sizes)
+        out[~mine], out[mine] = view(self.ids, np.uint32)[offsets[~mine]], view(self.own_ids, np.uint32)[offsets[mine]]
         last = np.cumsum(lengths) - 1
         ends = total[last] if len(last) else np.zeros(0, np.int64)
-        return np.array(self.ids, np.uint32)[offsets], np.diff(ends, prepend=0)
-
-
-_encoders: dict = {}
-
-
-def encoder(kind, path: str):
-    """One encoder per worker process and file; its memory outlives a task."""
-    if (kind, path) not in _encoders:
-        _encoders[kind, path] = kind(path)
-    return _encoders[kind, path]
+        return out, np.diff(ends, prepend=0)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit``, one row per input row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = encoder(ByteCounter, path)
+        counter = ByteCounter(path)  # its memory ends with the task
         for batch in batches:
             n = [counter.count(t) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])

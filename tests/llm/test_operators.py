@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -14,7 +16,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sitewarden.llm import caps, chains, graph, jaccard, langid, linededup, mixing, packing, quality, suffix, tokens
+from sitewarden.llm import caps, chains, graph, hashing, jaccard, langid, linededup, mixing, packing, quality, suffix, tokens
 from sitewarden.llm.common import Scratch
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -55,13 +57,18 @@ def docs(spark, corpus):
     return spark.createDataFrame(corpus, SCHEMA).repartition(3)
 
 
+@pytest.fixture(scope="module")
+def encoders():
+    return tokens.ByteCounter(BYTE), tokens.WordEncoder(WORD)
+
+
 texts_st = st.text(alphabet=st.sampled_from("ab c\n\t'sé1ÉŁ!<| 日"), max_size=60)
 
 
 @settings(max_examples=150, deadline=None)
 @given(texts_st)
-def test_encoders_agree_with_the_library(text):
-    counter, words = tokens.encoder(tokens.ByteCounter, BYTE), tokens.encoder(tokens.WordEncoder, WORD)
+def test_encoders_agree_with_the_library(encoders, text):
+    counter, words = encoders
     want = len(counter.library.encode(text, add_special_tokens=False).ids)
     assert counter.count(text) == want
     assert counter.count(text, 16, 3) == want
@@ -69,12 +76,28 @@ def test_encoders_agree_with_the_library(text):
     assert ids.tolist() == [*words.library.encode(text, add_special_tokens=False).ids, 1] and sizes.tolist() == [len(ids)]
 
 
-def test_splice_without_a_stable_place():
-    counter = tokens.encoder(tokens.ByteCounter, BYTE)
+def test_splice_without_a_stable_place(encoders):
+    counter = encoders[0]
     for text in ("x" * 5000, "ab " * 3000, "x" * 300 + " " + "y" * 900, " " * 700 + "z"):
         assert counter.count(text, 128, 8) == len(counter.library.encode(text, add_special_tokens=False).ids)
 
 
+def test_words_that_are_not_remembered(encoders, monkeypatch):
+    """Odd and long words, the mark of the closing entry, many parts of a text, and a memory that fills up."""
+    words = encoders[1]
+    lib = words.library
+    texts = ["\x00closing a", "x" * 500 + " y", "<|endoftext|> z", "", "a\x1cb", "one two\nthree " * 50, "y" * 70 + " " + "x" * 500]
+    want = [[*lib.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    for most, at_once in ((300_000, 1 << 20), (3, 16), (1, 1)):
+        monkeypatch.setattr(tokens, "MEMORY", most)
+        monkeypatch.setattr(words.known, "most", most)
+        monkeypatch.setattr(tokens, "WORDS_AT_ONCE", at_once)
+        for _ in range(3):
+            ids, sizes = words.encode(texts, 7)
+            assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == list(map(len, want))
+    assert all(len(w) <= tokens.LONGEST for w in words.known) and words.encode([], 1)[0].tolist() == []
+
+
 def test_packing_round_trip(spark, docs, corpus):
     lib = Tokenizer.from_file(WORD)
     want = {d: [*lib.encode(t, add_special_tokens=False).ids, 1] for d, t, *_ in corpus}
@@ -211,16 +234,57 @@ def test_language_of_few_documents(spark):
     assert set(langid.fit(d, Scratch(spark)).langs) == may
 
 
-def test_model_sums_to_one():
-    model = langid.Model.fit({"a": Counter({"ab": 3, "abc": 2, "b": 1, "ca": 4})})
-    for prefix in ("", "a", "ab", "zz"):
-        total = 0.0
-        for c in ["a", "b", "c"]:
-            loss, _ = model.entropy([prefix + c, prefix])
-            whole, _ = model.entropy([prefix + c + "x"])
-            assert whole[0, 0] > 0
-            total += np.exp(-loss[0, 0])
-        assert total <= 1
+def kneser_ney(counts, order, symbols=256):
+    """Interpolated Kneser-Ney by its definition, in dictionaries: ``p(symbol, context)``."""
+    runs = {(chr(langid.START), *r, chr(langid.END)): n for r, n in counts.items()}
+    tables = []
+    for k in range(1, order + 1):
+        seen = Counter()
+        if k == order:
+            for r, n in runs.items():
+                for i in range(len(r) - k + 1):
+                    seen[r[i : i + k]] += n
+        else:
+            for longer in {r[i : i + k + 1] for r in runs for i in range(len(r) - k)}:
+                seen[longer[1:]] += 1
+            for r, n in runs.items():
+                if 1 < k <= len(r):
+                    seen[r[:k]] += n
+        ones, twos = (sum(c == j for c in seen.values()) for j in (1, 2))
+        tables.append((seen, min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))))
+
+    def p(symbol, context):
+        out = 1 / symbols
+        for k, (seen, d) in enumerate(tables):
+            if k > len(context):
+                break
+            own = context[len(context) - k :]
+            after = {g[-1]: c for g, c in seen.items() if g[:-1] == own}
+            if after:
+                total = sum(after.values())
+                out = max(after.get(symbol, 0) - d, 0) / total + d * len(after) / total * out
+        return out
+
+    return p
+
+
+def test_model_is_kneser_ney():
+    counts = {"a": Counter({"ab": 3, "abc": 2, "b": 1, "ca": 4, "abcabca": 1, "bcb": 7}), "b": Counter({"ü": 2, "aü": 5, "üüüüüüa": 1})}
+    with np.errstate(over="ignore"):
+        model = langid.Model.fit(counts)
+    asked = ["a", "b", "ab", "abc", "zz", "abcab", "üa", "cabcabü", "bcbcbcbcb"]
+    for j, lang in enumerate(model.langs):
+        p = kneser_ney(counts[lang], langid.ORDER)
+        letters = {c for r in counts[lang] for c in r} | {chr(langid.END)}
+        for context in [(), (chr(langid.START),), *(tuple(chr(langid.START) + r) for r in asked)]:
+            unseen = (256 - len(letters)) * p("?", context[-langid.ORDER + 1 :])
+            assert sum(p(c, context[-langid.ORDER + 1 :]) for c in letters) + unseen == pytest.approx(1)
+        for run in asked:
+            whole = (chr(langid.START), *run, chr(langid.END))
+            want = -sum(np.log(p(whole[i], whole[max(0, i - langid.ORDER + 1) : i])) for i in range(1, len(whole)))
+            with np.errstate(over="ignore"):
+                loss, n = model.entropy([run, "x", run])
+            assert loss[0, j] == pytest.approx(want, rel=1e-5) and loss[2, j] == loss[0, j] and n[0] == len(run) + 1
 
 
 def test_chains_prefer_collinear_matches():
@@ -317,6 +381,20 @@ def test_changed_passages(spark, length, share, indels, recall):
     assert len(caught) >= 200 * recall
 
 
+def test_maximal_passages():
+    rng = random.Random(13)
+    rows = sorted({(rng.randint(0, 3), rng.randint(0, 6), a, -(a + rng.randint(1, 12))) for _ in range(400) for a in [rng.randint(0, 40)]})
+    columns = {"doc_id": [r[0] for r in rows], "other_doc_id": [r[1] for r in rows], "start": [r[2] for r in rows], "end": [-r[3] for r in rows]}
+    table = pa.table(columns)
+    got = pa.Table.from_batches(chains._maximal(iter(table.to_batches(max_chunksize=7)))).to_pylist()
+    want, held = [], []
+    for r in table.to_pylist():
+        if not any(h["doc_id"] == r["doc_id"] and h["start"] <= r["start"] and r["end"] <= h["end"] for h in held):
+            want.append(r)
+        held.append(r)
+    assert got == want and len(want) < len(held)
+
+
 def test_every_repeated_window(spark):
     """Passages made of parts that occur in earlier documents, at the ends of which other documents differ."""
     rng = random.Random(12)
@@ -387,6 +465,21 @@ def test_caps_find_what_brute_force_finds(spark):
     assert np.mean([got[i][1] == comp[i] for i in comp]) >= 0.98
 
 
+@pytest.mark.parametrize("block", [16, 7])
+def test_caps_of_many_blocks(spark, block, monkeypatch):
+    """One filter's vectors in several blocks; multiplicities; one id under several vectors."""
+    monkeypatch.setattr(caps, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    x = (rng.standard_normal(8) + rng.standard_normal((60, 8)) * 0.06).astype(np.float32)
+    x = np.concatenate([x, x[:5], x[:1]])
+    rows = [(i % 62, [float(v) for v in e]) for i, e in enumerate(x)]
+    got = caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), Scratch(spark)).collect()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert sorted((r.vec_id, r.n_links) for r in got) == sorted((i % 62, int(n)) for i, n in enumerate(near.sum(1)))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(5, 5), (None, 3)] + [(200, 1079)]
     e = spark.createDataFrame(edges, "a long, b long").repartition(7)
@@ -414,3 +507,30 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert Counter(r.doc_id for r in packed if r.start == 0) == times
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(times)
+
+
+def test_words_hash_alike_wherever_they_are():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aA b\ncZé\t ") for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["x" * 300_000 + " " + "Y zé " * 40_000, "", "y"]
+    seen = {}
+    with np.errstate(over="ignore"):
+        for part in (texts, texts[::-1], texts[-1:], [""], []):
+            data, offsets = hashing.text_bytes(pa.array(part, pa.string()))
+            for lower in (True, False):
+                h, text, starts, ends = hashing.words(data, offsets, lower)
+                split = [(i, w) for i, t in enumerate(part) for w in re.findall(rb"[^\x20\x09-\x0D]+", t.encode())]
+                assert text.tolist() == [i for i, _ in split] and [data[s:e].tobytes() for s, e in zip(starts, ends, strict=True)] == [w for _, w in split]
+                for x, (_, w) in zip(h.tolist(), split, strict=True):
+                    w = w.lower() if lower else w
+                    assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_smallest_of_every_few():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 5, 300, 140_000):
+        rank = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        rank[n // 2 :] >>= np.uint64(25) if n % 2 else np.uint64(0)
+        for width in (1, 2, 6, 21):
+            view = np.lib.stride_tricks.sliding_window_view(rank >> np.uint64(24), width) if n >= width else np.zeros((0, 1))
+            assert hashing.smallest(rank, width).tolist() == (view.argmin(1) + np.arange(len(view))).tolist()
