@@ -59,7 +59,11 @@ def links(pages: DataFrame) -> DataFrame:
     )
     every = pages.where("f IS NOT NULL").select("page_seq", F.explode("f.anchors").alias("a"))
     into = every.where("NOT a.external").join(index.withColumnRenamed("page_seq", "to"), F.col("a.url") == F.col("key")).where("page_seq <> to")
-    counts = into.groupBy("to").agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_set(F.when(F.col("a.anchor") != "", F.col("a.anchor")))), 1, 10).alias("names"))
+    # texts of links to one page are counted first, so a home page's are never gathered: the ten smallest are enough
+    texts = into.groupBy("to", F.col("a.anchor").alias("anchor")).agg(F.count(F.lit(1)).alias("m"))
+    place = F.row_number().over(Window.partitionBy("to").orderBy(F.col("anchor") == "", "anchor"))
+    shown = F.when((F.col("place") <= 10) & (F.col("anchor") != ""), F.col("anchor"))
+    counts = texts.withColumn("place", place).groupBy("to").agg(F.sum("m").alias("n"), F.sort_array(F.collect_list(shown)).alias("names"))
     inbound = good.join(counts, F.col("page_seq") == F.col("to"), "left").select(
         issue("links", "info", "link-inbound", count=F.coalesce("n", F.lit(0)), anchors=F.coalesce("names", F.array().cast("array<string>"))).alias("i")
     )
@@ -276,12 +280,12 @@ def wordpress_signals() -> Column:
 
 
 def wordpress_probes(probes: DataFrame, seed: str) -> DataFrame:
-    """Opt-in: ``probe, status_code, final_url, body`` of five known endpoints."""
+    """Opt-in: ``probe, url, status_code, final_url, body`` of five known endpoints; issues name the endpoint."""
     body, low, ok = F.col("body"), F.lower("body"), F.col("status_code") == 200
     slugs = F.filter(F.transform(F.from_json("body", "array<struct<slug: string>>"), lambda u: u["slug"]), lambda s: s != "")
     login = F.regexp_extract(U.decoded_path(F.col("final_url")), "/author/([^/]+)", 1)
     version = F.regexp_extract(body, r"(?i)version\s+([0-9]+\.[0-9]+(?:\.[0-9]+)?)", 1)
-    i = lambda code, name, when, **k: issue("wordpress", "warning", code, (F.col("probe") == name) & when, url=F.lit(seed), **k)
+    i = lambda code, name, when, **k: issue("wordpress", "warning", code, (F.col("probe") == name) & when, url=F.coalesce(F.col("url"), F.lit(seed)), **k)
     return flat(
         probes,
         found(

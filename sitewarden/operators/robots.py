@@ -85,8 +85,8 @@ def robots_issues(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
         ),
     )
     url = F.coalesce(F.when(F.col("final_url") != "", F.col("final_url")), F.col("requested_url"))
-    known = rules.select(F.col("host").alias("rh"), F.struct(*rules.columns).alias("r"))
-    hit = pages.select(url.alias("u")).join(known, U.host(F.col("u")) == F.col("rh"))
+    known = rules.select(F.col("scheme").alias("rs"), F.col("host").alias("rh"), F.struct(*rules.columns).alias("r"))
+    hit = pages.select(url.alias("u")).join(known, (U.scheme(F.col("u")) == F.col("rs")) & (U.host(F.col("u")) == F.col("rh")))
     shut = F.col("r.found") & ~allowed(robots_path(F.col("u")), F.lit(agent))
     return hosts.unionAll(flat(hit, found(issue("robots", "warning", "robots-crawled-disallowed", shut, url=F.col("u")))))
 
@@ -99,8 +99,9 @@ def ai_access(robots: DataFrame) -> DataFrame:
 
 
 def llms_txt(responses: DataFrame, seed: str) -> DataFrame:
-    """``responses(url, status, content_type, body)`` of the seed host's llms.txt, or none."""
+    """``responses(url, status, content_type, body)`` of the seed host's llms.txt, or none; issues name the file."""
+    at = F.concat(F.regexp_extract(F.lit(seed), "^([a-z]+://[^/?#]*)", 1), F.lit("/llms.txt"))
     body = F.lower(F.trim(F.coalesce("body", F.lit(""))))
     good = (F.col("status") == 200) & (body != "") & ~body.startswith("<!doctype") & ~body.startswith("<html") & ~F.lower(F.coalesce("content_type", F.lit(""))).contains("text/html")
     one = responses.agg(F.coalesce(F.max(good), F.lit(False)).alias("ok"))
-    return flat(one, found(issue("geo", "info", "geo-llms-txt", F.col("ok"), url=F.lit(seed)), issue("geo", "info", "geo-no-llms-txt", ~F.col("ok"), url=F.lit(seed))))
+    return flat(one, found(issue("geo", "info", "geo-llms-txt", F.col("ok"), url=at), issue("geo", "info", "geo-no-llms-txt", ~F.col("ok"), url=at)))

@@ -7,15 +7,18 @@ import re
 from dataclasses import asdict, dataclass, field, fields
 from urllib.parse import urlsplit, urlunsplit
 
-PREFIX = "SITEWARDEN_"
+PREFIX, AGENT = "SITEWARDEN_", "sitewarden"
 
 
 @dataclass
 class Config:
     seed: str = ""
     concurrency: int = 4
-    max_pages: int = 500
+    max_pages: int = 500  # 0: no limit
     max_depth: int = 0
+    max_seconds: float = 0.0
+    robots: bool = True
+    probes: bool = False
     timeout: float = 15.0
     max_body_bytes: int = 5 << 20
     max_redirects: int = 10
@@ -46,8 +49,8 @@ class Config:
             re.compile(pattern)
         if self.basic_auth and ":" not in self.basic_auth:
             raise ValueError("basic_auth is name:password")
-        if min(self.concurrency, self.max_pages) < 1 or min(self.max_depth, self.rate, self.timeout) < 0:
-            raise ValueError("counts and times can't be negative, workers and pages not zero")
+        if self.concurrency < 1 or min(self.max_pages, self.max_depth, self.max_seconds, self.rate, self.timeout) < 0:
+            raise ValueError("counts and times can't be negative, workers not zero")
 
 
 def _cast(kind: str, value):
@@ -75,3 +78,12 @@ def load(path: str | None = None, env: dict | None = None, **given) -> Config:
             layers[name] = value
     layers |= {k: v for k, v in given.items() if v is not None}
     return Config(**{k: _cast(kinds[k], v) for k, v in layers.items()})
+
+
+def sample() -> str:
+    """A settings file with every default, to start from."""
+    lines = ["# Settings of a crawl; what is left out keeps its default."]
+    for name, value in asdict(Config()).items():
+        shown = {True: "true", False: "false"}.get(value, value) if isinstance(value, bool) else value
+        lines.append(f'# {name}: {shown!r}'.replace("'", '"') if isinstance(shown, str) and not isinstance(value, bool) else f"# {name}: {shown}")
+    return "\n".join(lines) + "\n"

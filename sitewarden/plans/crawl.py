@@ -1,9 +1,10 @@
 """The crawl as waves of DataFrame jobs over a table of responses.
 
-A wave looks its frontier up (or fetches it, in an adapter with the same
-columns), takes the links of what answered, and keeps those that are new, in
-scope, allowed and within limits as the next frontier. Each wave is written, so
-lineage stays short; the loop ends with an empty frontier.
+A wave looks its frontier up in tables (``crawl``) or fetches it (``live``),
+takes the links of what answered, and keeps those that are new, in scope,
+allowed and within limits as the next frontier. Each wave is written, and what
+is known of all waves is one table that grows, so plans stay the same; the loop
+ends with an empty frontier.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,7 +25,7 @@ from ..operators import robots as R
 
 @dataclass
 class Limits:
-    max_pages: int = 500
+    max_pages: int = 500  # 0: no limit
     max_depth: int = 0  # 0: no limit
     follow_external: bool = False
     follow_nofollow: bool = False
@@ -50,86 +52,155 @@ class Store:
     """Tables written to the shared folder and read back: lineage ends, and branches share one result."""
 
     def __init__(self, spark: SparkSession):
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crawl-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = base or tempfile.mkdtemp(prefix="crawl-")
         self.spark, self.root = spark, f"{base.rstrip('/')}/crawl-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+    def keep(self, df: DataFrame, name: str, mode: str = "overwrite") -> DataFrame:
+        df.write.mode(mode).parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def append(self, df: DataFrame, name: str) -> DataFrame:
+        """One table of all that was appended, so plans don't grow with the waves."""
+        return self.keep(df, name, "append")
 
-def crawl(seed: str, responses: DataFrame, links: DataFrame, limits: Limits | None = None, robots: DataFrame | None = None) -> tuple[DataFrame, DataFrame, dict]:
-    """Pages ``(page_seq, key, url, depth, final_url, status_code)``, URLs left out ``(key, reason)``, and coverage.
+    def numbered(self, df: DataFrame, order: list[str], column: str, name: str, base: int = 0) -> DataFrame:
+        """Rows numbered from ``base + 1`` in an order: sorted ranges, and a count of rows per range (as many as partitions)."""
+        ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        held = self.keep(ranged.withColumns({"_range": F.spark_partition_id(), "_place": place}), name)
+        sizes = held.groupBy(F.col("_range").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+        before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select("r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("s"))
+        joined = held.join(F.broadcast(starts), F.col("_range") == F.col("r"))
+        return joined.withColumn(column, F.col("_place") + F.col("s") + base + 1).drop("r", "s", "_range", "_place")
+
+
+Rows = Callable[[DataFrame], DataFrame]
 
-    ``responses(url, final_url, status_code)``; ``links(page_url, pos, url, nofollow)`` by the final URL of the page.
+
+def walk(spark: SparkSession, seed: str, look_up: Rows, links_of: Rows, limits: Limits, robots_of: Rows | None = None, stop: Callable[[], bool] | None = None) -> tuple[DataFrame, DataFrame, dict]:
+    """Pages, URLs left out ``(key, reason)``, and coverage.
+
+    ``look_up`` answers ``(rank, key, url, referrer)`` with ``final_url`` and
+    ``status_code`` (and more) beside them; ``links_of`` gives the links
+    ``(page_seq, pos, to, nofollow)`` of answered pages; ``robots_of`` the
+    robots files of ``(scheme, host)``. ``stop`` and an interrupt end the crawl
+    before the next wave; what it has by then is its result.
     """
-    limits = limits or Limits()
-    spark = responses.sparkSession
     store, began = Store(spark), time.time()
     key = lambda c: U.index_key(c, limits.strip_query)
     seed_host = spark.range(1).select(U.hostname(F.lit(seed)).alias("h"), registrable(U.hostname(F.lit(seed))).alias("r")).first()
-    found = store.keep(responses.select(key(F.col("url")).alias("k"), "final_url", "status_code").dropDuplicates(["k"]), "responses")
-    by_page = store.keep(links.select(key(F.col("page_url")).alias("from"), "pos", F.col("url").alias("to"), "nofollow"), "links")
-    rules = R.with_rules(robots).select(F.col("host").alias("rh"), F.struct("found", "status", "agents", "rules").alias("r")) if robots is not None else None
-    frontier = store.keep(spark.range(1).select(F.lit(0).cast("long").alias("rank"), key(F.lit(seed)).alias("key"), F.lit(seed).alias("url")), "frontier-0")
-    visited = frontier.select("key")
-    pages = left = None
-    depth, n_pages, budget = 0, 0, limits.max_pages - 1
-    cut = {"page_limit": False, "depth_limit": False, "duration_limit": False}
+    frontier = spark.range(1).select(F.lit(0).cast("long").alias("rank"), key(F.lit(seed)).alias("key"), F.lit(seed).alias("url"), F.lit("").alias("referrer"))
+    frontier = store.keep(frontier, "frontier-0")
+    visited = store.append(frontier.select("key"), "visited")
+    left = store.append(frontier.select("key", F.lit("").alias("reason")).where("false"), "left")
+    pages, robots, depth, n_pages = None, None, 0, 0
+    budget = limits.max_pages - 1 if limits.max_pages else None  # 0: as many as there are
+    cut = {"page_limit": False, "depth_limit": False, "duration_limit": False, "interrupted": False}
     while not frontier.isEmpty():
-        got = frontier.join(found, F.col("key") == F.col("k"), "left").select(
-            "rank", "key", "url", F.lit(depth).alias("depth"), F.coalesce("final_url", "url").alias("final_url"), F.coalesce("status_code", F.lit(0)).alias("status_code")
-        )
-        got = got.withColumn("final_key", key(F.col("final_url")))
-        got = got.withColumn("n", F.row_number().over(Window.partitionBy("final_key").orderBy("rank"))).where("n = 1").drop("n")
-        if pages is not None:
-            got = got.join(pages.select(F.col("final_key").alias("fk")).distinct(), F.col("final_key") == F.col("fk"), "left_anti")
-        wave = store.keep(got.withColumn("page_seq", F.lit(n_pages) + F.row_number().over(Window.orderBy("rank"))), f"wave-{depth}")
-        n_pages += wave.count()
-        pages = wave if pages is None else pages.unionByName(wave)
-        visited = visited.unionAll(wave.select("final_key"))
-        if limits.max_seconds and time.time() - began > limits.max_seconds:
-            cut["duration_limit"] = True
+        late = limits.max_seconds and time.time() - began > limits.max_seconds
+        if pages is not None and (late or (stop and stop())):
+            reason = "duration_limit" if late else "interrupted"
+            cut[reason] = True
+            left = store.append(frontier.select("key", F.lit(reason).alias("reason")), "left")
             break
-        out = wave.join(by_page, F.col("final_key") == F.col("from")).select("page_seq", "pos", "to", "nofollow")
-        out = out.where(F.lit(limits.follow_nofollow) | ~F.col("nofollow")).withColumn("key", key(F.col("to")))
-        out = out.join(visited.distinct().withColumnRenamed("key", "v"), F.col("key") == F.col("v"), "left_anti")
-        out = out.groupBy("key").agg(F.min(F.struct("page_seq", "pos", "to")).alias("first")).select("key", "first.*")
-        host = U.hostname(F.col("to"))
-        ok = U.scheme(F.col("to")).isin("http", "https")
-        if not limits.follow_external:
-            ok = ok & ((registrable(host) == seed_host["r"]) if limits.allow_subdomains else (host == seed_host["h"]))
-        for pattern in limits.exclude:
-            ok = ok & ~F.col("to").rlike(pattern)
-        if limits.include:
-            ok = ok & F.col("to").rlike("|".join(f"(?:{p})" for p in limits.include))
-        judged = out.withColumn("ok", ok)
-        if rules is not None:
-            judged = judged.join(rules, U.host(F.col("to")) == F.col("rh"), "left")
-            judged = judged.withColumn("ok", F.col("ok") & R.allowed(R.robots_path(F.col("to")), F.lit(limits.agent))).drop("rh", "r")
-        judged = store.keep(judged, f"found-{depth}")
-        visited = visited.unionAll(judged.select("key"))  # what is out of scope is not tested again
-        fresh = judged.where("ok")
-        if limits.max_depth and depth >= limits.max_depth:
-            rest, reason, fresh = fresh, "depth", fresh.limit(0)
-            cut["depth_limit"] |= not rest.isEmpty()
-            rest = rest.select("key", F.lit(reason).alias("reason"))
-        else:
-            ranked = fresh.withColumn("rank", F.row_number().over(Window.orderBy("page_seq", "pos")))
-            rest = ranked.where(F.col("rank") > max(budget, 0)).select("key", F.lit("pages").alias("reason"))
-            cut["page_limit"] |= not rest.isEmpty()
-            fresh = ranked.where(F.col("rank") <= max(budget, 0)).select(F.col("rank").cast("long").alias("rank"), "key", F.col("to").alias("url"))
-        left = rest if left is None else left.unionAll(rest)
-        depth += 1
-        if "rank" not in fresh.columns:
+        try:
+            got = look_up(frontier).withColumns({"depth": F.lit(depth), "final_key": key(F.col("final_url"))})
+            got = got.withColumn("n", F.row_number().over(Window.partitionBy("final_key").orderBy("rank"))).where("n = 1").drop("n")
+            if pages is not None:
+                got = got.join(pages.select(F.col("final_key").alias("fk")).distinct(), F.col("final_key") == F.col("fk"), "left_anti")
+            wave = store.numbered(got, ["rank"], "page_seq", f"wave-{depth}", n_pages)
+            n = wave.count()
+            pages = store.append(wave, "pages")
+            n_pages += n
+            visited = store.append(wave.select(F.col("final_key").alias("key")), "visited")
+            out = links_of(wave).select("page_seq", "pos", "to", "nofollow")
+            out = out.where(F.lit(limits.follow_nofollow) | ~F.col("nofollow")).withColumn("key", key(F.col("to")))
+            out = out.join(visited.distinct().withColumnRenamed("key", "v"), F.col("key") == F.col("v"), "left_anti")
+            out = out.groupBy("key").agg(F.min(F.struct("page_seq", "pos", "to")).alias("first")).select("key", "first.*")
+            judged = store.keep(out.withColumn("ok", _in_scope(F.col("to"), seed_host, limits)), f"found-{depth}")
+            if robots_of:
+                hosts = judged.where("ok").select(U.scheme(F.col("to")).alias("scheme"), U.host(F.col("to")).alias("host")).distinct()
+                if robots is not None:
+                    hosts = hosts.join(robots.select("scheme", "host"), ["scheme", "host"], "left_anti")
+                robots = store.append(robots_of(hosts).select("scheme", "host", "status", "body"), "robots")
+                rules = R.with_rules(robots)
+                rules = rules.select(F.col("scheme").alias("rs"), F.col("host").alias("rh"), F.struct("found", "status", "agents", "rules").alias("r"))
+                judged = judged.join(rules, (U.scheme(F.col("to")) == F.col("rs")) & (U.host(F.col("to")) == F.col("rh")), "left")
+                shut = ~R.allowed(R.robots_path(F.col("to")), F.lit(limits.agent))
+                judged = judged.withColumn("ok", F.col("ok") & ~shut).drop("rs", "rh", "r")
+            visited = store.append(judged.select("key"), "visited")  # what is out of scope is not tested again
+            fresh = judged.where("ok").drop("ok")
+            if limits.max_depth and depth >= limits.max_depth:
+                left = store.append(fresh.select("key", F.lit("depth").alias("reason")), "left")
+                cut["depth_limit"] |= not fresh.isEmpty()
+                break
+            by = pages.select(F.col("page_seq").alias("by"), F.col("final_url").alias("referrer"))
+            fresh = store.numbered(fresh, ["page_seq", "pos"], "rank", f"fresh-{depth}")
+            if budget is not None:
+                over = fresh.where(F.col("rank") > max(budget, 0))
+                left = store.append(over.select("key", F.lit("pages").alias("reason")), "left")
+                cut["page_limit"] |= not over.isEmpty()
+                fresh = fresh.where(F.col("rank") <= max(budget, 0))
+            fresh = fresh.join(by, F.col("page_seq") == F.col("by"), "left").select("rank", "key", F.col("to").alias("url"), "referrer")
+            depth += 1
+            frontier = store.keep(fresh, f"frontier-{depth}")
+            budget = budget if budget is None else budget - frontier.count()
+        except KeyboardInterrupt:
+            cut["interrupted"] = True
+            left = store.append(frontier.select("key", F.lit("interrupted").alias("reason")), "left")
             break
-        frontier = store.keep(fresh, f"frontier-{depth}")
-        budget -= frontier.count()
+    if pages is None:  # interrupted in the first wave
+        pages = look_up(frontier.where("false")).withColumns({"depth": F.lit(0), "final_key": F.lit(""), "page_seq": F.lit(0).cast("long")})
     known = pages.select(F.col("key").alias("k")).unionAll(pages.select("final_key")).distinct()
-    left = (left if left is not None else spark.createDataFrame([], "key string, reason string")).join(known, F.col("key") == F.col("k"), "left_anti").distinct()
+    left = left.join(known, F.col("key") == F.col("k"), "left_anti").distinct()
     n_left = left.count()
-    coverage = {"complete": n_left == 0 and not cut["duration_limit"], "pages": n_pages, "not_crawled": n_left} | {k: v and (n_left > 0 or k == "duration_limit") for k, v in cut.items()}
-    return pages.drop("rank", "final_key"), left, coverage
+    ended = ("duration_limit", "interrupted")
+    coverage = {"complete": n_left == 0 and not any(cut[k] for k in ended), "pages": n_pages, "not_crawled": n_left}
+    return pages.drop("rank", "final_key"), left, coverage | {k: v and (n_left > 0 or k in ended) for k, v in cut.items()}
+
+
+def _in_scope(to, seed_host, limits: Limits):
+    host = U.hostname(to)
+    ok = U.scheme(to).isin("http", "https")
+    if not limits.follow_external:
+        ok = ok & ((registrable(host) == seed_host["r"]) if limits.allow_subdomains else (host == seed_host["h"]))
+    for pattern in limits.exclude:
+        ok = ok & ~to.rlike(pattern)
+    if limits.include:
+        ok = ok & to.rlike("|".join(f"(?:{p})" for p in limits.include))
+    return ok
+
+
+def crawl(seed: str, responses: DataFrame, links: DataFrame, limits: Limits | None = None, robots: DataFrame | None = None) -> tuple[DataFrame, DataFrame, dict]:
+    """A crawl replayed over tables: pages ``(page_seq, key, url, depth, final_url, status_code)``, URLs left out, coverage.
+
+    ``responses(url, final_url, status_code)``, of several for one URL the first by URL; ``links(page_url, pos, url, nofollow)`` by
+    the final URL of the page; ``robots(scheme, host, status, body)``.
+    """
+    limits = limits or Limits()
+    spark = responses.sparkSession
+    store = Store(spark)
+    key = lambda c: U.index_key(c, limits.strip_query)
+    found = responses.groupBy(key(F.col("url")).alias("k")).agg(F.min(F.struct("url", "final_url", "status_code")).alias("a"))
+    found = store.keep(found.select("k", "a.final_url", "a.status_code"), "responses")
+    by_page = store.keep(links.select(key(F.col("page_url")).alias("from"), "pos", F.col("url").alias("to"), "nofollow"), "links")
+
+    def look_up(frontier: DataFrame) -> DataFrame:
+        answer = [F.coalesce("final_url", "url").alias("final_url"), F.coalesce("status_code", F.lit(0)).alias("status_code")]
+        return frontier.join(found, F.col("key") == F.col("k"), "left").select("rank", "key", "url", *answer)
+
+    def links_of(wave: DataFrame) -> DataFrame:
+        return wave.select("page_seq", key(F.col("final_url")).alias("at")).join(by_page, F.col("at") == F.col("from"))
+
+    def robots_of(hosts: DataFrame) -> DataFrame:
+        return robots.join(hosts, ["scheme", "host"], "left_semi")
+
+    pages, left, coverage = walk(spark, seed, look_up, links_of, limits, robots_of if robots is not None else None)
+    return pages.select("page_seq", "key", "url", "depth", "final_url", "status_code"), left, coverage
 
 
 def rotated(urls: DataFrame, pool: list[str], how: str = "round-robin") -> DataFrame:

@@ -11,7 +11,8 @@ import base64
 import re
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from email.utils import parsedate_to_datetime
 from http.client import HTTPConnection, HTTPException, HTTPSConnection
 from urllib.parse import urljoin, urlsplit
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..streaming import throttle
 from . import schema
 
 #: Statuses that redirect.
@@ -36,6 +38,8 @@ class Fetch:
     user: str = ""  # name:password, sent to ``auth_host`` only, and never from https to http
     auth_host: str = ""
     allowed: Callable[[str], bool] | None = None  # asked before every hop
+    rate: float = 0.0  # requests per second and host; 0: as fast as answers come
+    longest_wait: float = 300.0
 
 
 def decode(body: bytes, content_type: str) -> str:
@@ -67,10 +71,60 @@ def location(base: str, value: str | None) -> str | None:
         return None
 
 
+def retry_after(value: str | None, now: float | None = None) -> float:
+    """Seconds of a Retry-After header, given as a number or a date; 0 if it says nothing."""
+    try:
+        return max(0.0, float(value or 0))
+    except ValueError:
+        pass
+    try:
+        return max(0.0, parsedate_to_datetime(value).timestamp() - (time.time() if now is None else now))
+    except (TypeError, ValueError):
+        return 0.0
+
+
+class Pace:
+    """When the next request to a host may go out: a bucket of one, which 429 and 503 slow down as ``streaming.throttle`` says."""
+
+    def __init__(self, rate: float, longest: float):
+        self.rate, self.longest, self.free, self.last = rate, longest, 0.0, -1e18
+
+    def wait(self, now: float) -> float:
+        """Seconds to wait from now; the request is taken to go out then."""
+        at = max(now, self.free)
+        self.free = at + (1 / self.rate if self.rate else 0.0)
+        return at - now
+
+    def seen(self, status: int, header: str | None, now: float) -> None:
+        if status not in throttle.STATUSES or now - self.last < throttle.DEBOUNCE:
+            return
+        held = min(retry_after(header), self.longest)
+        self.last, self.rate = now, max(self.rate / 2, throttle.FLOOR) if self.rate else throttle.START
+        if held:
+            self.rate = min(self.rate, 1 / held)
+        self.free = max(self.free, now + max(held, 1 / self.rate))
+
+
+class Paced:
+    """Fetches of one task, each host at its pace."""
+
+    def __init__(self, options: Fetch):
+        self.options, self.hosts = options, {}
+
+    def __call__(self, url: str) -> dict:
+        host = urlsplit(url).netloc.lower()
+        pace = self.hosts.setdefault(host, Pace(self.options.rate, self.options.longest_wait))
+        time.sleep(pace.wait(time.monotonic()))
+        row = fetch(url, self.options)
+        named = {k.lower(): v for k, v in (row["headers"] or {}).items()}
+        pace.seen(row["status_code"], named.get("retry-after", [None])[0], time.monotonic())
+        return row
+
+
 def fetch(url: str, options: Fetch) -> dict:
-    """One URL as a page row."""
+    """One URL as a page row, with the bytes of its body beside the text."""
     began = time.monotonic()
-    row: dict = {"requested_url": url, "final_url": url, "status_code": 0, "headers": None, "content_type": "", "html": "", "redirects": [], "err": "", "truncated": False, "depth": 0, "referrer": ""}
+    row: dict = {"requested_url": url, "final_url": url, "status_code": 0, "headers": None, "content_type": "", "html": "", "body": b"", "redirects": [], "err": "", "truncated": False, "depth": 0, "referrer": ""}
     at = url
     for hop in range(options.max_redirects + 1):
         parts = urlsplit(at)
@@ -94,7 +148,7 @@ def fetch(url: str, options: Fetch) -> dict:
             for k, v in answer.headers.items():
                 named.setdefault(k, []).append(v)
             kind_of = answer.headers.get("Content-Type", "")
-            row |= {"final_url": at, "status_code": answer.status, "headers": named, "content_type": kind_of, "truncated": len(body) > options.max_bytes, "html": decode(body[: options.max_bytes], kind_of)}
+            row |= {"final_url": at, "status_code": answer.status, "headers": named, "content_type": kind_of, "truncated": len(body) > options.max_bytes, "body": body[: options.max_bytes], "html": decode(body[: options.max_bytes], kind_of)}
             break
         row["redirects"].append({"from": at, "to": to, "status": answer.status})
         if options.allowed and not options.allowed(to):
@@ -107,17 +161,28 @@ def fetch(url: str, options: Fetch) -> dict:
 
 
 def fetch_all(urls: DataFrame, options: Fetch | None = None, per_host: int = 1) -> DataFrame:
-    """``urls(page_seq, url)`` fetched; a host's URLs share ``per_host`` partitions, for politeness."""
+    """``urls(page_seq, url)`` fetched; a host's URLs share ``per_host`` partitions, and its rate, for politeness."""
+    kind = StructType.fromDDL(schema.PAGES)
+    return _fetched(urls.select(F.col("page_seq").cast("long").alias("page_seq"), "url"), options or Fetch(), per_host, kind, lambda n, row: {"page_seq": n} | row)
+
+
+def fetch_bodies(urls: DataFrame, options: Fetch | None = None) -> DataFrame:
+    """``url, status, truncated, body`` of ``urls(url)``: bytes as they came."""
+    kind = StructType.fromDDL("url string, status int, truncated boolean, body binary")
+    made = lambda _, row: {"url": row["requested_url"], "status": row["status_code"], "truncated": row["truncated"], "body": row["body"]}
+    return _fetched(urls.select(F.lit(0).cast("long").alias("page_seq"), "url"), options or Fetch(), 1, kind, made)
+
+
+def _fetched(urls: DataFrame, options: Fetch, per_host: int, kind: StructType, made) -> DataFrame:
     from ..functions import urls as U
 
-    options = options or Fetch()
-    kind = StructType.fromDDL(schema.PAGES)
     arrow = to_arrow_schema(kind)
+    share = replace(options, rate=options.rate / per_host)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = Paced(share)
         for batch in batches:
-            rows = [{"page_seq": n} | fetch(u, options) for n, u in zip(batch.column("page_seq").to_pylist(), batch.column("url").to_pylist(), strict=True)]
-            yield from pa.Table.from_pylist(rows, schema=arrow).combine_chunks().to_batches()
+            for n, u in zip(batch.column("page_seq").to_pylist(), batch.column("url").to_pylist(), strict=True):
+                yield from pa.Table.from_pylist([made(n, get(u))], schema=arrow).combine_chunks().to_batches()
 
-    spread = urls.select(F.col("page_seq").cast("long").alias("page_seq"), "url").repartition(U.host(F.col("url")), F.pmod(F.xxhash64("url"), F.lit(per_host)))
-    return spread.mapInArrow(work, kind)
+    return urls.repartition(U.host(F.col("url")), F.pmod(F.xxhash64("url"), F.lit(per_host))).mapInArrow(work, kind)

@@ -62,15 +62,17 @@ def test_wordpress_probes(spark):
 
     probes = spark.createDataFrame(
         [
-            ("xmlrpc", 405, "u", "XML-RPC server accepts POST requests only."),
-            ("users", 200, "u", '[{"slug": "ann", "id": 1}, {"id": 2}]'),
-            ("author", 200, "https://x/author/ann/", ""),
-            ("uploads", 200, "u", "<title>Index of /wp-content</title>"),
-            ("readme", 200, "u", "WordPress Version 6.4.2"),
+            ("xmlrpc", "s/xmlrpc.php", 405, "u", "XML-RPC server accepts POST requests only."),
+            ("users", "s/u", 200, "u", '[{"slug": "ann", "id": 1}, {"id": 2}]'),
+            ("author", "s/a", 200, "https://x/author/ann/", ""),
+            ("uploads", "s/p", 200, "u", "<title>Index of /wp-content</title>"),
+            ("readme", "s/r", 200, "u", "WordPress Version 6.4.2"),
         ],
-        "probe string, status_code int, final_url string, body string",
+        "probe string, url string, status_code int, final_url string, body string",
     )
-    got = {r.code: r.data for r in wordpress_probes(probes, "s").collect()}
+    rows = wordpress_probes(probes, "s").collect()
+    got = {r.code: r.data for r in rows}
+    assert {r.code: r.url for r in rows}["wp-xmlrpc-enabled"] == "s/xmlrpc.php"
     assert len(got) == 5 and "ann" in got["wp-user-enumeration-rest"] and "6.4.2" in got["wp-readme-exposed"]
 
 

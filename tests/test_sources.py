@@ -61,7 +61,7 @@ def test_config(tmp_path):
     path.write_text("max_pages: 7\nexclude: ['/x']\n")
     made = config.load(str(path), {"SITEWARDEN_MAX_PAGES": "9", "SITEWARDEN_STRIP_QUERY": "true"}, seed="u:p@a.example/x")
     assert (made.max_pages, made.strip_query, made.seed, made.basic_auth, made.exclude) == (9, True, "https://a.example/x", "u:p", ["/x"])
-    for bad in ({"render": "x"}, {"format": "x"}, {"rotation": "x"}, {"basic_auth": "x"}, {"max_pages": 0}):
+    for bad in ({"render": "x"}, {"format": "x"}, {"rotation": "x"}, {"basic_auth": "x"}, {"max_pages": -1}):
         with pytest.raises(ValueError):
             config.load(env={}, **bad)
     path.write_text("nothing: 1\n")
