@@ -52,7 +52,8 @@ def entries(sitemaps: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
         children = level.where("kind = 'index'").select(F.explode("locs").alias("child")).distinct()
         level = sitemaps.where("declared IS NULL").join(children, F.col("url") == F.col("child"), "left_semi").withColumn("declared", F.lit(True))
         reached = reached.unionByName(level)
-    reached = reached.groupBy("url").agg(F.max("declared").alias("declared"), F.max("truncated").alias("truncated"), F.first("kind").alias("kind"), F.first("locs").alias("locs"))
+    reached = reached.groupBy("url").agg(F.max("declared").alias("declared"), F.max("truncated").alias("truncated"), F.min(F.struct("kind", "locs")).alias("m"))
+    reached = reached.select("url", "declared", "truncated", "m.kind", "m.locs")
     return reached.where("kind = 'urlset'").select(F.explode("locs").alias("loc")), reached
 
 
@@ -112,6 +113,13 @@ def site_tree(entries_: DataFrame, issues: DataFrame) -> DataFrame:
     )
 
 
+def attached(entries_: DataFrame, issues: DataFrame) -> DataFrame:
+    """Issues with ``prefix``, the place of their page in the tree; null for what names no page of it."""
+    place = F.concat(F.lit("/"), F.array_join(F.filter(F.split(U.path(F.col("loc")), "/"), lambda p: p != ""), "/"))
+    keys = entries_.select("loc_key", place.alias("prefix"))
+    return issues.join(keys, U.sitemap_key(F.col("url")) == F.col("loc_key"), "left").drop("loc_key")
+
+
 def sitemap_xml(entries_: DataFrame, path: str) -> None:
     """The entries as ``urlset`` files, ordered by location."""
     entries_.select("loc", "lastmod").orderBy("loc").write.mode("overwrite").format("xml").option("rootTag", 'urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"').option("rowTag", "url").save(path)

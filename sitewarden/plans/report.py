@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from html import escape
+from typing import TextIO
+from urllib.parse import urlsplit
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.catalog import CATALOG
+from ..operators import sitemaps
+from ..operators.catalog import CATALOG, explain
 from ..sources.schema import ISSUES
 
 KEY = ["analyzer", "code", "url"]
@@ -57,23 +62,92 @@ def write_csv(issues: DataFrame, path: str) -> None:
     ordered(issues).select(*(guarded(F.col(c)).alias(c) for c in issues.columns)).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
-def report_json(issues: DataFrame, pages: DataFrame, seed: str) -> str:
-    """One document; issues are for people to read, so they fit the driver."""
+def notes(coverage: dict, skipped: Iterable[str] = ()) -> list[str]:
+    """What a reader must know before trusting the counts."""
+    out = []
+    if left := coverage.get("not_crawled", 0):
+        why = {"duration_limit": "time limit reached", "interrupted": "interrupted", "page_limit": "page limit reached", "depth_limit": "depth limit reached"}
+        first = next((text for k, text in why.items() if coverage.get(k)), "not complete")
+        out.append(f"{first}, {left} URLs left")
+    if skipped := list(skipped):
+        out.append(f"not run, as queries were stripped: {', '.join(skipped)}")
+    return out
+
+
+def _issue(row: Row) -> dict:
+    return {c: row[c] for c in ("severity", "analyzer", "code", "url", "message")} | {"data": json.loads(row["data"]) if row["data"] else None}
+
+
+def _nodes(pages: DataFrame, issues: DataFrame, seed: str) -> Iterator[dict]:
+    """The site tree, parents first, each page with its issues; at last, without a prefix, what names no page of it.
+
+    Two streams in order of prefix are merged, a partition of either at a time.
+    """
+    entries = sitemaps.site_entries(pages, urlsplit(seed).hostname or "")
+    placed = sitemaps.attached(entries, issues).persist()
+    tree = sitemaps.site_tree(entries, issues).orderBy("prefix").toLocalIterator()
+    found = placed.orderBy(F.col("prefix").asc_nulls_last(), rank(F.col("severity")), "code", "analyzer", "url").toLocalIterator()
+    held = next(found, None)
+
+    def take(prefix: str | None) -> Iterator[dict]:
+        nonlocal held
+        while held is not None and held["prefix"] == prefix:
+            yield _issue(held)
+            held = next(found, None)
+
+    for node in tree:
+        own = list(take(node["prefix"]))
+        counts = {s: sum(i["severity"] == s for i in own) for s in ("error", "warning", "info")}
+        below = {s: node[f"{s}s"] for s in counts}
+        yield {"prefix": node["prefix"], "depth": node["depth"], "url": node["url"], "title": node["title"], "pages": node["n_pages"], "counts": counts, "subtotal": below, "issues": own}
+    yield {"prefix": None, "issues": list(take(None))}
+    placed.unpersist()
+
+
+def write_json(out: TextIO, issues: DataFrame, pages: DataFrame, seed: str, coverage: dict | None = None, skipped: Iterable[str] = ()) -> None:
+    """One document: summary, coverage, notes, issues with what they mean, and the site map. It is written row by row."""
+    coverage = coverage or {}
     counts = summary(issues).unionAll(status_counts(pages)).collect()
     dims = {d: {r["key"]: r["n"] for r in counts if r["dim"] == d} for d in ("severity", "analyzer", "status")}
-    rows = [r.asDict() | {"data": json.loads(r["data"]) if r["data"] else None} for r in ordered(issues).toLocalIterator()]
-    return json.dumps({"seed": seed, "summary": dims, "issues": rows}, indent=2, sort_keys=True)
-
-
-def report_html(issues: DataFrame, seed: str) -> str:
-    """A self-contained page: counts and one table; everything from the crawl is escaped."""
-    from html import escape
-
-    rows = "".join(
-        "<tr>" + "".join(f"<td>{escape(str(r[c] or ''))}</td>" for c in ("severity", "analyzer", "code", "url", "message", "data")) + f"<td>{escape(CATALOG[r['code']][1])}</td></tr>"
-        for r in ordered(issues).toLocalIterator()
-    )
-    return f"<!doctype html><meta charset=utf-8><title>Audit of {escape(seed)}</title><table border=1>{rows}</table>"
+    codes = sorted(r["code"] for r in issues.select("code").distinct().collect())
+    head = {"seed": seed, "pages_crawled": sum(dims["status"].values()), "summary": dims, "coverage": coverage, "notes": notes(coverage, skipped), "explanations": {c: explain(c) for c in codes}}
+    out.write(json.dumps(head, indent=2, sort_keys=True)[:-2])
+
+    def many(name: str, rows: Iterable[dict]) -> None:
+        out.write(f',\n  "{name}": [')
+        for i, row in enumerate(rows):
+            out.write((",\n    " if i else "\n    ") + json.dumps(row, sort_keys=True))
+        out.write("\n  ]")
+
+    many("issues", map(_issue, ordered(issues).toLocalIterator()))
+    many("site_map", _nodes(pages, issues, seed))
+    out.write("\n}\n")
+
+
+def write_html(out: TextIO, document: dict) -> None:
+    """A self-contained page from a JSON report: coverage, counts, issues and the site map; everything from the crawl is escaped."""
+    title = f"Audit of {escape(document['seed'])}"
+    out.write(f"<!doctype html><meta charset=utf-8><title>{title}</title><h1>{title}</h1>")
+    for note in document["notes"]:
+        out.write(f"<p role=alert><b>{escape(note)}</b></p>")
+    for dim, counts in sorted(document["summary"].items()):
+        out.write(f"<p>{escape(dim)}: {escape(', '.join(f'{k} {n}' for k, n in sorted(counts.items())))}</p>")
+
+    def table(names: list[str], rows: Iterable[list]) -> None:
+        out.write("<table border=1><tr>" + "".join(f"<th>{n}</th>" for n in names) + "</tr>")
+        for row in rows:
+            out.write("<tr>" + "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in row) + "</tr>\n")
+        out.write("</table>")
+
+    what = document["explanations"]
+    out.write("<h2>Issues</h2>")
+    shown = ("severity", "analyzer", "code", "url", "message")
+    table([*shown, "data", "impact", "fix"], ([*(i[c] for c in shown), json.dumps(i["data"]) if i["data"] else "", what[i["code"]]["impact"], what[i["code"]]["fix"]] for i in document["issues"]))
+    out.write("<h2>Site map</h2>")
+    nodes = [n for n in document["site_map"] if n["prefix"] is not None]
+    table(["path", "title", "pages", "issues here", "issues below"], ([n["prefix"], n["title"], n["pages"], " ".join(i["code"] for i in n["issues"]), sum(n["subtotal"].values())] for n in nodes))
+    out.write("<h2>Site-wide</h2>")
+    table(["severity", "code", "url"], ([i["severity"], i["code"], i["url"]] for n in document["site_map"] if n["prefix"] is None for i in n["issues"]))
 
 
 def save(issues: DataFrame, root: str, host: str, crawl_ts: str) -> None:
@@ -135,3 +209,14 @@ def diff_text(diff: DataFrame, most: int = 20) -> str:
         rows = ordered(diff.where(F.col("bucket") == bucket)).limit(most).collect()
         out += [f"{bucket}:", *(f"  {r['severity']} {r['code']} {r['url']}" for r in rows)]
     return "\n".join(out)
+
+
+def diff_json(diff: DataFrame, delta: DataFrame, pages: DataFrame | None = None) -> str:
+    """Counts per bucket, changes of the summary, and the issues that are new or resolved; what persists is only counted."""
+    counts = {r["bucket"]: r["n"] for r in diff.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+    changed = {b: [_issue(r) for r in ordered(diff.where(F.col("bucket") == b)).toLocalIterator()] for b in ("new", "resolved")}
+    moved = {f"{r['dim']}:{r['key']}": r["delta"] for r in delta.collect()}
+    out = {"counts": {b: counts.get(b, 0) for b in ("new", "resolved", "persisting")}, "summary_delta": moved} | changed
+    if pages is not None:
+        out["pages"] = {k: sorted(r["url"] for r in pages.where(F.col("kind") == k).toLocalIterator()) for k in ("added", "removed")}
+    return json.dumps(out, indent=2, sort_keys=True)
