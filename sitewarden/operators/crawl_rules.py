@@ -284,7 +284,7 @@ def wordpress_probes(probes: DataFrame, seed: str) -> DataFrame:
     body, low, ok = F.col("body"), F.lower("body"), F.col("status_code") == 200
     slugs = F.filter(F.transform(F.from_json("body", "array<struct<slug: string>>"), lambda u: u["slug"]), lambda s: s != "")
     login = F.regexp_extract(U.decoded_path(F.col("final_url")), "/author/([^/]+)", 1)
-    version = F.regexp_extract(body, r"(?i)version\s+([0-9]+\.[0-9]+(?:\.[0-9]+)?)", 1)
+    version = F.regexp_extract(body, S.README_VERSION, 1)
     i = lambda code, name, when, **k: issue("wordpress", "warning", code, (F.col("probe") == name) & when, url=F.coalesce(F.col("url"), F.lit(seed)), **k)
     return flat(
         probes,

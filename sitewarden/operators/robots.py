@@ -99,9 +99,12 @@ def ai_access(robots: DataFrame) -> DataFrame:
 
 
 def llms_txt(responses: DataFrame, seed: str) -> DataFrame:
-    """``responses(url, status, content_type, body)`` of the seed host's llms.txt, or none; issues name the file."""
+    """``responses(url, final_url, status, content_type, body)`` of the seed host's llms.txt, or none; issues name the file."""
     at = F.concat(F.regexp_extract(F.lit(seed), "^([a-z]+://[^/?#]*)", 1), F.lit("/llms.txt"))
     body = F.lower(F.trim(F.coalesce("body", F.lit(""))))
-    good = (F.col("status") == 200) & (body != "") & ~body.startswith("<!doctype") & ~body.startswith("<html") & ~F.lower(F.coalesce("content_type", F.lit(""))).contains("text/html")
+    kind = F.lower(F.coalesce("content_type", F.lit("")))
+    page = body.rlike("^(<!doctype|<html|<[?]xml)") | kind.contains("text/html") | kind.contains("application/xhtml")
+    moved = F.coalesce(U.index_key(F.col("final_url")) != U.index_key(F.col("url")), F.lit(False)) & (F.col("final_url") != "")
+    good = (F.col("status") == 200) & (body != "") & ~page & ~moved
     one = responses.agg(F.coalesce(F.max(good), F.lit(False)).alias("ok"))
     return flat(one, found(issue("geo", "info", "geo-llms-txt", F.col("ok"), url=at), issue("geo", "info", "geo-no-llms-txt", ~F.col("ok"), url=at)))

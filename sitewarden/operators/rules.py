@@ -122,7 +122,7 @@ def redirects() -> Column:
     return found(
         i("error", "http-redirect-loop", loop, chain=chain),
         i("warning", "http-redirect-chain", ~loop & (hops > 1), hops=hops, chain=chain),
-        i("info", "http-redirect", ~loop & (hops == 1), to=F.get("redirects", 0)["to"], status=F.get("redirects", 0)["status"]),
+        i("info", "http-redirect", ~loop & (hops == 1), to=F.col("final_url"), status=F.get("redirects", 0)["status"]),
         i("error", "http-fetch-error", failed, found_on=on, error=F.col("err")),
         i("error", "http-server-error", ~failed & (status >= 500), status=status, found_on=on),
         i("error", "http-client-error", ~failed & (status >= 400) & (status < 500), status=status, found_on=on),
@@ -263,7 +263,7 @@ def structured() -> Column:
     signal = F.when(f("microdata"), "microdata").when(f("price").isNotNull() & f("has_cart"), f("price"))
     invalid = F.transform(F.sequence(F.lit(1), F.greatest(f("jsonld_errors"), F.lit(1))), lambda _: i("warning", "structured-invalid-jsonld", f("jsonld_errors") > 0))
     missing = F.transform(f("jsonld_missing"), lambda m: i("warning", "structured-missing-required", type=m["type"], missing=m["missing"]))
-    video = F.coalesce(f("video_src"), F.get(F.filter(f("iframe_srcs"), lambda s: s.rlike(r"(?i)youtube(-nocookie)?\.com|vimeo\.com")), 0))
+    video = F.coalesce(f("video_src"), F.get(F.filter(f("iframe_srcs"), lambda s: s.rlike(S.VIDEO_HOSTS)), 0))
     return gated(
         F.concat(
             found(

@@ -4,10 +4,10 @@
 TAGS = [
     ("Google Tag Manager", "", ["googletagmanager.com/gtm.js"], r"{B}GTM-[A-Z0-9]+"),
     ("GA4", "ga4", ["googletagmanager.com/gtag/js", "gtag/js?id=g-"], r"{B}G-[A-Z0-9]{{4,}}"),
-    ("Universal Analytics", "ua", ["google-analytics.com/analytics.js", "google-analytics.com/ga.js"], r"{B}UA-[0-9]+-[0-9]+"),
-    ("Google Ads", "", [], r"{B}AW-[0-9]+"),
-    ("Meta Pixel", "", ["connect.facebook.net", "fbq("], r"(?:facebook\.com/tr\?id=|fbq\(\s*['\"]init['\"]\s*,\s*['\"])([0-9]{{6,}})"),
-    ("LinkedIn Insight", "", ["snap.licdn.com", "_linkedin_partner_id"], r"_linkedin_partner_id\s*=\s*[\"']?([0-9]+)"),
+    ("Universal Analytics", "ua", ["google-analytics.com/analytics.js", "google-analytics.com/ga.js"], r"{B}UA-\d+-\d+"),
+    ("Google Ads", "", [], r"{B}AW-\d+"),
+    ("Meta Pixel", "", ["connect.facebook.net", "fbq("], r"(?:facebook\.com/tr\?id=|fbq\(\s*['\"]init['\"]\s*,\s*['\"])(\d{{6,}})"),
+    ("LinkedIn Insight", "", ["snap.licdn.com", "_linkedin_partner_id"], r"_linkedin_partner_id\s*=\s*[\"']?(\d+)"),
     ("Microsoft Bing UET", "", ["bat.bing.com/bat.js", "uetq"], ""),
     ("TikTok Pixel", "", ["analytics.tiktok.com", "ttq.load", "ttq.page"], ""),
 ]
@@ -61,6 +61,9 @@ BEACONS = [
     ("Meta Pixel", ["facebook.com/tr"]),
     ("Google Tag Manager", ["googletagmanager.com/gtm.js"]),
 ]
-EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+"
-PHONE = r"[0-9][0-9\s().-]{6,}[0-9]"
+EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
+PHONE = r"\d[\d\s().-]{6,}\d"
+#: Word borders of ASCII words: what ``\\b`` means differs between versions of the JVM.
 PHONE_KEY = r"(?i)(?<![A-Za-z0-9_])(phone|tel|mobile|msisdn)(?![A-Za-z0-9_])"
+VIDEO_HOSTS = r"(?i)youtube(-nocookie)?\.com|vimeo\.com"
+README_VERSION = r"(?i)version\s+(\d+\.\d+(?:\.\d+)?)"

@@ -31,13 +31,15 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(responses: DataFrame) -> DataFrame:
     """``url, status, body (binary), truncated, declared`` as ``url, declared, truncated, kind, locs``.
 
-    ``kind`` is ``index``, ``urlset`` or ``invalid``; an index without entries is invalid.
+    ``kind`` is ``index``, ``urlset``, ``absent`` (no or an empty answer), ``cut`` (not read to its end) or ``invalid``; an
+    index without entries is invalid.
     """
     made = responses.select("url", "status", "truncated", "declared", "body").mapInArrow(_unpack, "url string, status int, truncated boolean, declared boolean, xml string")
     root = F.regexp_extract(F.coalesce("xml", F.lit("")), r"^(?s)(?:\s|<\?.*?\?>|<!--.*?-->)*<(?:[A-Za-z0-9]+:)?(sitemapindex|urlset)\b", 1)
     locs = F.transform(F.regexp_extract_all("xml", F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), lambda x: F.replace(F.replace(x, F.lit("<![CDATA["), F.lit("")), F.lit("]]>"), F.lit("")))
     locs = F.transform(locs, lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
-    kind = F.when((F.col("status") != 200) | (root == "") | ((root == "sitemapindex") & (F.size(locs) == 0)), "invalid").when(root == "sitemapindex", "index").otherwise("urlset")
+    absent = (F.col("status") != 200) | (F.col("xml") == "")
+    kind = F.when(absent, "absent").when(F.coalesce("truncated", F.lit(False)), "cut").when((root == "") | ((root == "sitemapindex") & (F.size(locs) == 0)), "invalid").when(root == "sitemapindex", "index").otherwise("urlset")
     return made.select("url", "declared", "truncated", kind.alias("kind"), locs.alias("locs"))
 
 
@@ -62,8 +64,8 @@ def sitemap_issues(pages: DataFrame, sitemaps: DataFrame, seed: str) -> DataFram
     each = flat(
         reached,
         found(
-            issue("sitemap", "warning", "sitemap-invalid", F.col("declared") & ~F.coalesce("truncated", F.lit(False)) & (F.col("kind") == "invalid"), url=F.col("url")),
-            issue("sitemap", "warning", "sitemap-truncated", F.col("declared") & F.col("truncated"), url=F.col("url")),
+            issue("sitemap", "warning", "sitemap-invalid", F.col("declared") & (F.col("kind") == "invalid"), url=F.col("url")),
+            issue("sitemap", "warning", "sitemap-truncated", F.col("declared") & (F.col("kind") == "cut"), url=F.col("url")),
         ),
     )
     keys = listed.select(U.sitemap_key(F.col("loc")).alias("k")).distinct()
@@ -72,7 +74,7 @@ def sitemap_issues(pages: DataFrame, sitemaps: DataFrame, seed: str) -> DataFram
     one = both.agg(
         F.count("k").alias("listed"), F.count("c").alias("crawled"), F.count(F.when(F.col("k").isNull(), 1)).alias("extra"), F.count(F.when(F.col("c").isNull(), 1)).alias("missed")
     )
-    state = reached.agg(F.coalesce(F.max(F.col("kind") != "invalid"), F.lit(False)).alias("parsed"), F.coalesce(F.max("truncated"), F.lit(False)).alias("cut"))
+    state = reached.agg(F.coalesce(F.max(F.col("kind").isin("index", "urlset")), F.lit(False)).alias("parsed"), F.coalesce(F.max(F.col("declared") & (F.col("kind") == "cut")), F.lit(False)).alias("cut"))
     whole = flat(
         one.join(F.broadcast(state)),
         found(

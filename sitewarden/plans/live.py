@@ -57,9 +57,8 @@ def sitemaps_of(spark: SparkSession, seed: str, robots: DataFrame, options: Fetc
     """Bodies of the declared and guessed sitemaps and of what their indexes name: ``url, status, truncated, declared, body``."""
     store = crawl.Store(spark)
     parts = urlsplit(seed)
-    own = R.with_rules(robots).where((F.col("scheme") == parts.scheme) & (F.col("host") == parts.netloc.lower()))
     guessed = spark.createDataFrame([(f"{parts.scheme}://{parts.netloc}{p}", False) for p in GUESSED], "url string, declared boolean")
-    asked = own.select(F.explode("sitemaps").alias("url"), F.lit(True).alias("declared")).unionAll(guessed).groupBy("url").agg(F.max("declared").alias("declared"))
+    asked = R.with_rules(robots).select(F.explode("sitemaps").alias("url"), F.lit(True).alias("declared")).unionAll(guessed).groupBy("url").agg(F.max("declared").alias("declared"))
     found = store.append(fetch_bodies(asked.select("url"), options).join(asked, "url").select("url", "status", "truncated", "declared", "body"), "bodies")
     for _ in range(depth):
         children = M.read(found).where("kind = 'index'").select(F.explode("locs").alias("url")).distinct()
@@ -100,7 +99,7 @@ def crawl_site(spark: SparkSession, config: Config, stop: Callable[[], bool] | N
     pages, left, coverage = crawl.walk(spark, seed, look_up, links_of, limits(config), robots_rows if config.robots else None, stop)
     names, _ = audit.select(audit.Options(enabled=config.analyzers, disabled=config.skip, strip_query=config.strip_query))
     one = lambda url: fetch_all(spark.createDataFrame([(0, url)], "page_seq int, url string"), options)
-    llms = one(f"{base}/llms.txt").select(F.col("requested_url").alias("url"), F.col("status_code").alias("status"), "content_type", F.col("html").alias("body"))
+    llms = one(f"{base}/llms.txt").select(F.col("requested_url").alias("url"), "final_url", F.col("status_code").alias("status"), "content_type", F.col("html").alias("body"))
     asked = None
     if probes and "wordpress" in names:
         at = spark.createDataFrame([(i, f"{base}{p}", n) for i, (n, p) in enumerate(PROBES.items())], "i int, url string, probe string")

@@ -18,7 +18,7 @@ from ..functions import urls as U
 from ..operators import crawl_rules, redirects, robots, rules, sitemaps
 from ..operators import signatures as S
 from ..streaming import throttle
-from . import audit, crawl, fixtures, report
+from . import audit, cases, crawl, fixtures, report
 from .expected import EXPECTED
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -396,6 +396,24 @@ def language_codes(spark, d):
     return spark.createDataFrame([(c,) for c in codes], "code string").select("code", crawl_rules.valid_language(F.col("code")).cast("int").alias("ok"))
 
 
+@query(_values(cases.expected_pages(), "code, url, severity, data"))
+def rule_cases(spark, d):
+    """Pages just inside and just outside each rule, with what the issues say."""
+    return cases.page_cases(spark)
+
+
+@query(_values(cases.expected_sites(), "site, code, url, severity, data"))
+def site_cases(spark, d):
+    """Small sites for rules that look across pages."""
+    return cases.site_cases(spark)
+
+
+@query(_values(cases.expected_files(), "kind, code, url, data"))
+def file_cases(spark, d):
+    """Probes, content maps and sitemaps."""
+    return cases.file_cases(spark)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every issue of every analyzer that the pages alone can show; the HTML pass is written once and shared."""
     prepared = crawl.Store(spark).keep(_prepared(spark, sf_dir), "features")
