@@ -119,7 +119,7 @@ def main(args: list[str] | None = None) -> int:
         _write(issues, pages, settings.seed, settings.format, given.out, made.coverage, skipped)
         return 130 if made.coverage["interrupted"] else 0
     if given.command == "audit":
-        pages = audit.prepare(spark.read.parquet(given.pages)).persist()
+        pages = audit.prepare(audit.spread(spark.read.parquet(given.pages))).persist()
         options = audit.Options(enabled=given.only, disabled=given.skip, seed=given.seed)
         issues = audit.audit(pages, options).persist()
         _say(issues, pages.count(), [])

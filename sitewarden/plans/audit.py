@@ -101,5 +101,11 @@ def crawl_of(pages: DataFrame) -> DataFrame:
     )
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table of few files dealt to all cores, as parsing is what takes time; one of many files stays as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl_of(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return crawl_of(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))

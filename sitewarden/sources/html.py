@@ -13,7 +13,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import defaultdict
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit, urlunsplit
 
@@ -26,6 +27,7 @@ from pyspark.sql.types import IntegerType, StructType
 from ..functions.text import INTERROGATIVES, collapse_py, fields
 from . import schema
 
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _HEAD = {"title", "meta", "link", "script", "style", "base", "noscript", "template"}
 _BLOCKS = {
@@ -60,34 +62,64 @@ _LOADS = {"stylesheet", "icon", "shortcut icon", "preload", "modulepreload", "pr
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    """An element; ``begin`` and ``end`` bound its text in the document's, ``first`` and ``stop`` its own place and its last descendant's."""
+
+    __slots__ = ("tag", "attrs", "children", "parent", "begin", "end", "first", "stop")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list = []
 
-    def walk(self) -> Iterator[Node]:
-        stack = [self]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
 
-    def text(self, without: frozenset = frozenset()) -> str:
-        out, stack = [], [self]
-        while stack:
-            node = stack.pop()
-            if isinstance(node, str):
-                out.append(node)
-            elif node.tag not in without:
-                stack += reversed(node.children)
-        return "".join(out)
+class Document:
+    """A tree in order of its elements: texts are slices of one text, descendants are stretches of one list."""
 
-    def find(self, *tags: str) -> Iterator[Node]:
-        return (n for n in self.walk() if n.tag in tags and n is not self)
+    def __init__(self, root: Node):
+        self.root, self.nodes, self.by = root, [], {}
+        texts, at, stack = [], 0, [root]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, str):
+                texts.append(x)
+                at += len(x)
+            elif isinstance(x, tuple):
+                x[0].end, x[0].stop = at, len(self.nodes)
+            else:
+                x.begin, x.first = at, len(self.nodes)
+                self.nodes.append(x)
+                self.by.setdefault(x.tag, []).append(x)
+                stack.append((x,))
+                stack += reversed(x.children)
+        self.flat = "".join(texts)
+
+    def get(self, *tags: str) -> list[Node]:
+        """All elements with one of the tags, in order."""
+        return self.by.get(tags[0], []) if len(tags) == 1 else sorted((n for t in tags for n in self.by.get(t, [])), key=lambda n: n.first)
+
+    def text(self, node: Node) -> str:
+        return self.flat[node.begin : node.end]
+
+    def within(self, node: Node, *tags: str) -> list[Node]:
+        """The descendants with one of the tags, in order."""
+        place = lambda n: n.first
+        found = []
+        for tag in tags:
+            every = self.by.get(tag, [])
+            found += every[bisect_left(every, node.first + 1, key=place) : bisect_left(every, node.stop, key=place)]
+        return found if len(tags) == 1 else sorted(found, key=place)
+
+    def text_without(self, node: Node, without: frozenset) -> str:
+        out, at = [], node.begin
+        for n in self.get(*without):
+            if node.first < n.first < node.stop and n.begin >= at:
+                out.append(self.flat[at : n.begin])
+                at = n.end
+        return "".join([*out, self.flat[at : node.end]])
 
 
 class _Builder(HTMLParser):
+    """Open elements are a path; of each tag it knows which are open, so no ancestors are searched."""
+
     CDATA_CONTENT_ELEMENTS = ("script", "style")
 
     def __init__(self):
@@ -95,11 +127,22 @@ class _Builder(HTMLParser):
         self.root = Node("html", {}, None)
         self.head, self.body = Node("head", {}, self.root), Node("body", {}, self.root)
         self.root.children = [self.head, self.body]
-        self.at, self.early = self.head, True
+        self.base, self.early = self.head, True
+        self.path: list[Node] = []
+        self.open: defaultdict[str, list[int]] = defaultdict(list)  # tag -> places in the path
+
+    @property
+    def at(self) -> Node:
+        return self.path[-1] if self.path else self.base
+
+    def _cut(self, place: int) -> None:
+        while len(self.path) > place:
+            self.open[self.path.pop().tag].pop()
 
     def _to_body(self) -> None:
         if self.early:
-            self.at, self.early = self.body, False
+            self._cut(0)
+            self.base, self.early = self.body, False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         named: dict = {}
@@ -113,7 +156,7 @@ class _Builder(HTMLParser):
             return
         if tag == "head":
             return
-        if self.early and self.at is self.head and tag not in _HEAD:
+        if self.early and not self.path and tag not in _HEAD:
             self._to_body()
         if tag in _BLOCKS:
             self._close({"p"}, {"button", "table", "td", "th"})
@@ -122,44 +165,37 @@ class _Builder(HTMLParser):
         node = Node(tag, named, self.at)
         self.at.children.append(node)
         if tag not in _VOID:
-            self.at = node
+            self.open[tag].append(len(self.path))
+            self.path.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # a slash closes void elements only
 
     def _close(self, tags: set, fences: set) -> None:
-        node = self.at
-        while node not in (self.head, self.body, self.root) and node.tag not in fences:
-            if node.tag in tags:
-                self.at = node.parent
-                return
-            node = node.parent
+        innermost = lambda names: max((self.open[n][-1] for n in names if self.open[n]), default=-1)
+        if (place := innermost(tags)) > innermost(fences):
+            self._cut(place)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "head":
             if self.early:
                 self._to_body()
-            return
-        node = self.at
-        while node not in (self.head, self.body, self.root):
-            if node.tag == tag:
-                self.at = node.parent
-                return
-            node = node.parent
+        elif self.open[tag]:
+            self._cut(self.open[tag][-1])
 
     def handle_data(self, data: str) -> None:
-        if self.early and self.at is self.head:
+        if self.early and not self.path:
             if not data.strip():
                 return
             self._to_body()
         self.at.children.append(data)
 
 
-def parse(html: str) -> Node:
+def parse(html: str) -> Document:
     builder = _Builder()
     builder.feed(html)
     builder.close()
-    return builder.root
+    return Document(builder.root)
 
 
 def _port(scheme: str, netloc: str) -> str:
@@ -205,11 +241,16 @@ def _empty(v) -> bool:
 
 
 def _objects(v, inner: tuple[str, ...]) -> list[dict]:
-    if isinstance(v, dict):
-        return [v] + [o for k in inner if k in v for o in _objects(v[k], inner)]
-    if isinstance(v, list):
-        return [o for x in v for o in _objects(x, inner)]
-    return []
+    """The objects of a JSON value, outer ones first: itself, those of its lists, and what it holds under ``inner``."""
+    out, stack = [], [v]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, dict):
+            out.append(x)
+            stack += [x[k] for k in reversed(inner) if k in x]
+        elif isinstance(x, list):
+            stack += reversed(x)
+    return out
 
 
 def _question(text: str) -> bool:
@@ -235,45 +276,41 @@ def _snippet(text: str) -> str:
 
 def extract(html: str, url: str) -> dict:
     """The features of one page."""
-    root = parse(html)
-    nodes = list(root.walk())
-    head = next(c for c in root.children if isinstance(c, Node) and c.tag == "head")
-    body = next(c for c in root.children if isinstance(c, Node) and c.tag == "body")
-    in_head = {id(n) for n in head.walk()}
-    by: dict[str, list[Node]] = {}
-    for n in nodes:
-        by.setdefault(n.tag, []).append(n)
-    get = lambda tag: by.get(tag, [])
-    titles = [n.text() for n in get("title") if id(n) in in_head]
+    page = parse(html)
+    root, nodes, get, text_of, within = page.root, page.nodes, page.get, page.text, page.within
+    head, body = root.children[0], root.children[1]
+    in_head = lambda n: head.first <= n.first < head.stop
+    titles = [text_of(n) for n in get("title") if in_head(n)]
     f: dict = {
         "title_head_first": titles[0] if titles else "",
         "title_head_all": "".join(titles),
-        "title_any_first": get("title")[0].text() if get("title") else "",
+        "title_any_first": text_of(get("title")[0]) if get("title") else "",
         "html_lang": root.attrs.get("lang", ""),
         "html_amp": "amp" in root.attrs or "⚡" in root.attrs,
     }
     f["metas"] = [
-        {"name": n.attrs.get("name"), "property": n.attrs.get("property"), "http_equiv": n.attrs.get("http-equiv"), "charset": "charset" in n.attrs, "content": n.attrs.get("content"), "in_head": id(n) in in_head}
+        {"name": n.attrs.get("name"), "property": n.attrs.get("property"), "http_equiv": n.attrs.get("http-equiv"), "charset": "charset" in n.attrs, "content": n.attrs.get("content"), "in_head": in_head(n)}
         for n in get("meta")
     ]
-    f["links"] = [{"rel": n.attrs.get("rel"), "href": n.attrs.get("href"), "hreflang": n.attrs.get("hreflang"), "in_head": id(n) in in_head} for n in get("link")]
-    heads = [n for n in nodes if re.fullmatch("h[1-6]", n.tag)]
+    f["links"] = [{"rel": n.attrs.get("rel"), "href": n.attrs.get("href"), "hreflang": n.attrs.get("hreflang"), "in_head": in_head(n)} for n in get("link")]
+    heads = get(*_HEADINGS)
     f["headings"] = [
-        {"level": int(n.tag[1]), "text": n.text(), "labelled": bool(n.attrs.get("aria-label", "").strip()) or any(i.attrs.get("alt", "").strip() for i in n.find("img"))}
+        {"level": int(n.tag[1]), "text": text_of(n), "labelled": bool(n.attrs.get("aria-label", "").strip()) or any(i.attrs.get("alt", "").strip() for i in within(n, "img"))}
         for n in heads
     ]
-    questions = []
+    questions, places = [], {}
     for n in heads:
-        if n.tag in ("h2", "h3") and _question(n.text()):
-            after, answer = False, []
-            for s in n.parent.children:
-                if s is n:
-                    after = True
-                elif after and isinstance(s, Node):
-                    if re.fullmatch("h[1-6]", s.tag):
+        if n.tag in ("h2", "h3") and _question(text_of(n)):
+            siblings = n.parent.children
+            if n.parent.first not in places:  # where each child is, worked out once for a parent
+                places[n.parent.first] = {id(s): i for i, s in enumerate(siblings)}
+            answer = []
+            for i in range(places[n.parent.first][id(n)] + 1, len(siblings)):
+                if isinstance(s := siblings[i], Node):
+                    if s.tag in _HEADINGS:
                         break
-                    answer.append(s.text())
-            questions.append({"text": collapse_py(n.text()), "answer_words": len(fields(" ".join(answer)))})
+                    answer.append(text_of(s))
+            questions.append({"text": collapse_py(text_of(n)), "answer_words": len(fields(" ".join(answer)))})
     f["questions"] = questions
     base = next((resolve(url, n.attrs["href"]) for n in get("base") if n.attrs.get("href")), None) or url
     seen, anchors, own = set(), [], _host(url)
@@ -281,50 +318,50 @@ def extract(html: str, url: str) -> dict:
         if (to := resolve(base, n.attrs.get("href", ""))) and (key := canonical(to, False)) not in seen:
             seen.add(key)
             rel = n.attrs.get("rel", "")
-            anchors.append({"url": key, "resolved": canonical(to, True), "href": n.attrs["href"], "anchor": n.text().strip(), "rel": rel, "nofollow": "nofollow" in rel, "external": _host(to) != own})
+            anchors.append({"url": key, "resolved": canonical(to, True), "href": n.attrs["href"], "anchor": text_of(n).strip(), "rel": rel, "nofollow": "nofollow" in rel, "external": _host(to) != own})
     f["anchors"] = anchors
     f["imgs"] = [{"src": n.attrs.get("src", ""), "alt": "alt" in n.attrs, "width": "width" in n.attrs, "height": "height" in n.attrs} for n in get("img")]
     f["script_srcs"] = [n.attrs["src"] for n in get("script") if "src" in n.attrs]
-    f["inline_scripts"] = [n.text() for n in get("script") if "src" not in n.attrs]
-    f["head_scripts"] = [f"{n.text()} {n.attrs.get('src', '')}" for n in get("script") if id(n) in in_head]
-    f["noscripts"] = [n.text() + "".join(" " + i.attrs.get("src", "") for i in n.find("iframe", "img")) for n in get("noscript")]
+    f["inline_scripts"] = [text_of(n) for n in get("script") if "src" not in n.attrs]
+    f["head_scripts"] = [f"{text_of(n)} {n.attrs.get('src', '')}" for n in get("script") if in_head(n)]
+    f["noscripts"] = [text_of(n) + "".join(" " + i.attrs.get("src", "") for i in within(n, "iframe", "img")) for n in get("noscript")]
     sources = [n.attrs["src"] for n in nodes if n.tag in ("img", "script", "iframe", "source", "video", "audio", "embed") and n.attrs.get("src")]
     loads = [n.attrs["href"] for n in get("link") if n.attrs.get("href") and n.attrs.get("rel", "").lower().strip() in _LOADS]
     f["subresources"] = sources + loads + [n.attrs["data"] for n in get("object") if n.attrs.get("data")]
     f["form_actions"] = [n.attrs["action"] for n in get("form") if "action" in n.attrs]
     f["iframe_srcs"] = [n.attrs.get("src", "") for n in get("iframe")]
     video = get("video")[0] if get("video") else None
-    f["video_src"] = (video.attrs.get("src") or next((s.attrs["src"] for s in video.find("source") if s.attrs.get("src")), None) or "video") if video else None
-    text = body.text()
+    f["video_src"] = (video.attrs.get("src") or next((s.attrs["src"] for s in within(video, "source") if s.attrs.get("src")), None) or "video") if video else None
+    text = text_of(body)
     flat = collapse_py(text)
     f["body_words"] = len(fields(text))
     f["body_bytes"] = len(text.strip().encode())
     f["content_hash"] = hashlib.md5(flat.lower().encode()).hexdigest() if flat else None
-    f["acf_snippet"] = _snippet(body.text(frozenset(("script", "style", "code", "pre", "textarea"))))
+    f["acf_snippet"] = _snippet(page.text_without(body, frozenset(("script", "style", "code", "pre", "textarea"))))
     price = PRICE.search(text)
     f["price"], f["has_cart"] = price.group() if price else None, bool(CART.search(text))
     f["microdata"] = any(n.attrs.get("itemprop") == "price" or re.search("schema.org/(Product|Offer)", n.attrs.get("itemtype", "")) for n in nodes)
-    prose = "".join(n.text() for n in nodes if n.tag in ("p", "li"))
+    prose = "".join(map(text_of, get("p", "li")))
     f["prose_words"], f["data_points"] = len(fields(prose)), len(QUOTABLE.findall(collapse_py(prose)))
-    mains = [n for n in nodes if n.tag in ("main", "article")]
+    mains = get("main", "article")
     first = mains[0] if mains else None
     f["main_count"], f["article_count"] = len(mains), len(get("article"))
-    f["article_words"] = len(fields(get("article")[0].text())) if get("article") else 0
-    f["main_words"] = len(fields(first.text())) if first else 0
-    f["main_has_list"] = bool(first) and any(True for _ in first.find("ol", "ul", "table", "dl"))
-    lead = next((p for p in (first or body).find("p")), None) or next(iter(body.find("p")), None)
-    f["lead_words"] = len(fields(lead.text())) if lead else 0
+    f["article_words"] = len(fields(text_of(get("article")[0]))) if get("article") else 0
+    f["main_words"] = len(fields(text_of(first))) if first else 0
+    f["main_has_list"] = bool(first) and bool(within(first, "ol", "ul", "table", "dl"))
+    lead = next(iter(within(first or body, "p") or within(body, "p")), None)
+    f["lead_words"] = len(fields(text_of(lead))) if lead else 0
     meta = {n.attrs.get("property") for n in get("meta")}
     f["has_author_mark"] = any(n.attrs.get("rel") == "author" or n.attrs.get("itemprop") == "author" for n in nodes) or "article:author" in meta
     f["has_date_mark"] = any("datetime" in n.attrs for n in get("time")) or bool(meta & {"article:published_time", "article:modified_time"})
-    crumbs = next((n for n in nodes if n.tag in ("nav", "ol", "ul") and "breadcrumb" in (n.attrs.get("class", "") + " " + n.attrs.get("aria-label", "")).lower() and sum(1 for _ in n.find("a")) >= 2), None)
-    f["breadcrumb_links"] = sum(1 for _ in crumbs.find("a")) if crumbs else 0
-    blocks = [t for n in get("script") if n.attrs.get("type") == "application/ld+json" and (t := n.text().strip())]
+    crumbs = next((n for n in get("nav", "ol", "ul") if "breadcrumb" in (n.attrs.get("class", "") + " " + n.attrs.get("aria-label", "")).lower() and len(within(n, "a")) >= 2), None)
+    f["breadcrumb_links"] = len(within(crumbs, "a")) if crumbs else 0
+    blocks = [t for n in get("script") if n.attrs.get("type") == "application/ld+json" and (t := text_of(n).strip())]
     values, errors = [], 0
     for raw in blocks:
         try:
             values.append(json.loads(raw))
-        except ValueError:
+        except (ValueError, RecursionError):  # nested beyond what a parser follows
             errors += 1
     objects = [o for v in values for o in _objects(v, ("@graph",))]
     deep = [o for v in values for o in _objects(v, ("@graph", "mainEntity"))]
@@ -345,24 +382,24 @@ def extract(html: str, url: str) -> dict:
 
 
 def _raw_prose(html: str) -> int:
-    return len(fields("".join(n.text() for n in parse(html).walk() if n.tag in ("p", "li"))))
+    page = parse(html)
+    return len(fields("".join(map(page.text, page.get("p", "li")))))
 
 
 def with_features(pages: DataFrame) -> DataFrame:
-    """``pages`` with ``is_html``, ``f`` (features) and ``raw_prose_words``."""
-    inner = StructType.fromDDL(schema.FEATURES)
-    arrow = to_arrow_schema(StructType().add("f", inner).add("raw_prose_words", IntegerType()))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for html, url, ok, raw in zip(*(batch.column(c).to_pylist() for c in ("html", "final_url", "is_html", "raw_html")), strict=True):
-                rows.append({"f": extract(html or "", url or "") if ok else None, "raw_prose_words": _raw_prose(raw) if ok and raw else None})
-            made = pa.Table.from_pylist(rows, schema=arrow).combine_chunks()
-            columns = [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in made.columns]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "f", "raw_prose_words"])
-
+    """``pages`` with ``is_html``, ``f`` (features) and ``raw_prose_words``; only what is parsed travels to Python."""
+    made = StructType().add("f", StructType.fromDDL(schema.FEATURES)).add("raw_prose_words", IntegerType())
+    arrow = pa.struct(list(to_arrow_schema(made)))
+
+    def work(html: pa.Array, url: pa.Array, ok: pa.Array, raw: pa.Array) -> pa.Array:
+        rows = (
+            {"f": extract(h.as_py() or "", u.as_py() or "") if k.as_py() else None, "raw_prose_words": _raw_prose(r.as_py()) if k.as_py() and r.is_valid and r.as_py() else None}
+            for h, u, k, r in zip(html, url, ok, raw, strict=True)
+        )
+        return pa.array(rows, arrow)
+
+    # a filter on a feature must not run the parser again below it
+    parsed = F.arrow_udf(work, made).asNondeterministic()
     kind = F.lower(F.coalesce("content_type", F.lit("")))
     marked = pages.withColumn("is_html", kind.contains("text/html") | kind.contains("application/xhtml"))
-    out = StructType(list(marked.schema.fields)).add("f", inner).add("raw_prose_words", IntegerType())
-    return marked.mapInArrow(work, out)
+    return marked.withColumn("_made", parsed("html", "final_url", "is_html", "raw_html")).select(*marked.columns, "_made.f", "_made.raw_prose_words")

@@ -4,11 +4,11 @@ URL = "https://a.example/dir/page"
 
 
 def test_implied_structure():
-    root = parse("<title>T</title><p>one<p>two<ul><li>a<li>b</ul>")
-    head, body = root.children
-    assert head.text() == "T"
+    page = parse("<title>T</title><p>one<p>two<ul><li>a<li>b</ul>")
+    head, body = page.root.children
+    assert page.text(head) == "T"
     assert [n.tag for n in body.children] == ["p", "p", "ul"]
-    assert body.text() == "onetwoab"
+    assert page.text(body) == "onetwoab"
 
 
 def test_text_has_no_separators_and_entities_are_decoded():
@@ -47,3 +47,22 @@ def test_structured_data():
 def test_empty_page():
     f = extract("", URL)
     assert f["body_words"] == 0 and f["content_hash"] is None and f["anchors"] == []
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        deep = "<div><p>x" * n + "<a href=/b>t</a>" + "<h2>Why?</h2><p>So.</p>" * (n // 10) + '<script type="application/ld+json">' + "[" * n + "</script>"
+        began = time.process_time()
+        got = extract(deep, "https://a.example/")
+        assert len(got["questions"]) == n // 10 and got["anchors"] and got["jsonld_errors"] == 1
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 12 * max(seconds(10_000), 0.1)
+
+
+def test_text_without_scripts():
+    page = parse("<body>a<code>b<pre>c</pre></code>d<style>e</style>f")
+    assert page.text_without(page.root, frozenset(("code", "pre", "style"))) == "adf"
