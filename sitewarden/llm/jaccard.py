@@ -3,20 +3,23 @@
 Two documents link when the Jaccard similarity of their distinct word shingles
 reaches a threshold (whole-number arithmetic, so the edge is exact).
 
-1. One pass over the texts gives each document its set size, a hash of its set
-   (the *node*: copies share it) and ``BANDS`` keys of ``ROWS`` minimum hashes.
-   A pair at similarity ``s`` shares no key with probability
+1. One pass over the texts gives each document its set size, 127 bits of hash
+   of its set (equal sets are one *node*) and ``BANDS`` keys of ``ROWS`` minimum
+   hashes. A pair at similarity ``s`` shares no key with probability
    ``(1 - s ** ROWS) ** BANDS``: 1.2e-8 at 0.75, and less above.
-2. Nodes that share a key are tied to the key's smallest node; the components
-   of these ties are *clusters*. No pair of a group is ever listed.
-3. A cluster is dealt to tiles of at most about ``TILE`` nodes. In a tile, nodes
-   are ordered by size and compared within bands of sizes that can link; hashed
+2. Nodes that share a key are tied to the key's smallest node, its *hub*; the
+   components of these ties are *clusters*. No pair of a group is ever listed.
+3. Clusters are compared in tiles of about ``TILE`` nodes. In a tile, nodes are
+   ordered by size and compared within bands of sizes that can link; hashed
    bitmaps of a width that follows the band bound the overlap from above
    (``|A| + |B| - popcount(A xor B)`` over two), and what passes is decided by
    intersecting the sorted sets. Nodes that are connected already are not
    compared again.
-4. A cluster of several tiles that is not one component yet goes through more
-   tiles: every node outside its largest component meets every node.
+4. A cluster of several tiles goes first by hub, the hub being in each tile of
+   its nodes, so that a group of copies is one component at once. What is outside
+   the cluster's largest component then meets every node of a size that it can
+   link with: nodes are dealt to bands of sizes, each as wide as the threshold,
+   and only tiles of the same or neighbouring bands meet.
 
 Defined results: no word, or a null text: set size 0, linked with nothing, its
 own component. Repeated rows, and rows that share an id, count under that id.
@@ -40,10 +43,11 @@ from .hashing import U, mix, numbers, shingles, slices, text_bytes, words
 SIZE = 5
 THRESHOLD = 75  # per cent
 BANDS, ROWS = 48, 4
-TILE = 2048  # nodes
-TILE_GRAMS = 1 << 21  # shingles
+TILE = 512  # nodes
+TILE_GRAMS = 1 << 20  # shingles
 WIDEST = 1 << 16  # bits
 _COEF = numbers(BANDS * ROWS, 7).reshape(BANDS, ROWS)
+_OTHER = numbers(1, 8)[0]
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -53,15 +57,16 @@ def _sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles(hashes, text, batch.num_rows, size)
 
 
-def _nodes(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 63-bit hash of each set; 0 for an empty one."""
+def _nodes(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each set, of 63 and 64 bits; 0 for an empty one."""
     n = np.diff(bounds)
     full = n > 0
-    out = np.zeros(len(n), np.int64)
+    out = np.zeros((2, len(n)), np.int64)
     if full.any():
-        sums = np.add.reduceat(mix(grams), bounds[:-1][full])
-        out[full] = (mix(sums + n[full].astype(U)) >> U(1)).astype(np.int64) | 1
-    return out
+        first, second = (np.add.reduceat(mix(x), bounds[:-1][full]) for x in (grams, grams ^ _OTHER))
+        out[0, full] = (mix(first + n[full].astype(U)) >> U(1)).astype(np.int64) | 1
+        out[1, full] = mix(second + first).view(np.int64)
+    return out[0], out[1]
 
 
 def _keys(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -77,7 +82,7 @@ def _keys(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``doc_id, n_shingles, node, keys`` of every row; ``keys`` is empty for an empty set."""
+    """``doc_id, n_shingles, h1, h2, keys`` of every row; ``keys`` is empty for an empty set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,17 +93,13 @@ def signatures(docs: DataFrame, size: int = SIZE) -> DataFrame:
                     n = np.diff(bounds)
                     lengths = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
                     keys = _keys(grams, bounds).ravel() if len(grams) else np.zeros(0, np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column("doc_id"),
-                            pa.array(n, pa.int64()),
-                            pa.array(_nodes(grams, bounds)),
-                            pa.ListArray.from_arrays(pa.array(lengths), pa.array(keys)),
-                        ],
-                        names=["doc_id", "n_shingles", "node", "keys"],
-                    )
+                    hashes = map(pa.array, _nodes(grams, bounds))
+                    lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(keys))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), *hashes, lists], names=names)
+
+    names = ["doc_id", "n_shingles", "h1", "h2", "keys"]
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_shingles long, node long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
 def _links(sets: list[np.ndarray], known: np.ndarray, threshold: int) -> list[tuple[int, int]]:
@@ -149,17 +150,17 @@ def _links(sets: list[np.ndarray], known: np.ndarray, threshold: int) -> list[tu
 
 def _tile(size: int, threshold: int):
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One tile: ``node, known, text``; gives links between nodes."""
+        """One tile: ``node, known, h1, text``; gives links between nodes."""
         with np.errstate(over="ignore"):
             batch = pa.RecordBatch.from_arrays([pa.array(pdf["text"], pa.string())], names=["text"])
             sets: list[np.ndarray] = []
             are: list[int] = []
             for part in slices(batch):
                 grams, bounds = _sets(part, size)
-                are += _nodes(grams, bounds).tolist()
+                are += _nodes(grams, bounds)[0].tolist()
                 sets += [grams[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             # rows that share an id bring each other's texts: a node keeps the text that is its own
-            mine = {node: i for i, node in enumerate(pdf["node"].tolist()) if are[i] == node}
+            mine = {node: i for i, (node, h1) in enumerate(zip(pdf["node"], pdf["h1"], strict=True)) if are[i] == h1}
             order = sorted(mine.values(), key=lambda i: (len(sets[i]), are[i]))
             nodes, known = pdf["node"].to_numpy()[order], pdf["known"].to_numpy()[order]
             found = _links([sets[i] for i in order], known, threshold)
@@ -170,16 +171,23 @@ def _tile(size: int, threshold: int):
 
 def _verified(members: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
     """Links within tiles of ``node, known, cluster, part``; ``texts`` has those of clustered nodes only."""
-    held = members.hint("merge").join(texts, F.col("node") == F.col("tn")).select("node", "known", "cluster", "part", "text")
+    held = members.hint("merge").join(texts, F.col("node") == F.col("tn")).select("node", "known", "cluster", "part", "h1", "text")
     return held.groupBy("cluster", "part").applyInPandas(_tile(size, threshold), "a long, b long")
 
 
+def _tiles(nodes, grams):
+    """Tiles that so many nodes with so many shingles need."""
+    return F.ceil(F.greatest(nodes / TILE, grams / TILE_GRAMS, F.lit(1e-9)))
+
+
 def join(docs: DataFrame, scratch: Scratch, size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
     rows = scratch.keep(signatures(docs, size), "rows")
     some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = scratch.keep(some.groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("size")), "nodes")
-    own = some.join(nodes.withColumnRenamed("node", "o").hint("merge"), (F.col("node") == F.col("o")) & (F.col("doc_id") == F.col("doc")))
+    nodes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("size"))
+    nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    named = nodes.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), "doc", "node").hint("merge")
+    own = some.join(named, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")) & (F.col("doc_id") == F.col("doc")))
     keyed = own.select("node", F.explode("keys").alias("key"))
     shared = scratch.keep(
         keyed.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top"), "keys"
@@ -189,62 +197,80 @@ def join(docs: DataFrame, scratch: Scratch, size: int = SIZE, threshold: int = T
         components(scratch, ties.distinct(), "clusters")
         .withColumnRenamed("node", "cn")
         .join(nodes, F.col("cn") == F.col("node"))
-        .select("node", "doc", "size", F.col("label").alias("cluster")),
+        .select("node", "h1", "doc", "size", F.col("label").alias("cluster")),
         "clusters",
     )
-    parts = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("size") / TILE_GRAMS))
-    counts = scratch.keep(clusters.groupBy(F.col("cluster").alias("c")).agg(parts.alias("n_parts")), "counts")
-    dealt = clusters.join(counts, F.col("cluster") == F.col("c")).drop("c")
-    part = F.pmod(F.xxhash64("node"), F.col("n_parts"))
+    counts = clusters.groupBy(F.col("cluster").alias("c")).agg(_tiles(F.count(F.lit(1)), F.sum("size")).alias("n_parts"))
+    counts = scratch.keep(counts, "counts")
     # the texts of the corpus are shuffled once; tiles of both rounds take theirs from this table
     known = docs.select(F.col("doc_id").alias("d"), "text").where("text IS NOT NULL")
-    texts = clusters.hint("merge").join(known, F.col("doc") == F.col("d")).select(F.col("node").alias("tn"), "text")
+    texts = clusters.hint("merge").join(known, F.col("doc") == F.col("d")).select(F.col("node").alias("tn"), "h1", "text")
     texts = scratch.keep(texts, "texts")
-    links = scratch.keep(
-        _verified(dealt.select("node", F.col("node").alias("known"), "cluster", part.alias("part")), texts, size, threshold), "links-0"
-    )
-    large = counts.where("n_parts > 1")
-    if not large.isEmpty():
-        links = links.unionAll(_across(clusters, large, links, texts, scratch, size, threshold))
+    small = clusters.join(counts.where("n_parts = 1"), F.col("cluster") == F.col("c"))
+    members = small.select("node", F.col("node").alias("known"), "cluster", F.lit("").alias("part"))
+    big = scratch.keep(clusters.join(counts.where("n_parts > 1"), F.col("cluster") == F.col("c")).drop("c", "n_parts"), "big")
+    large = not big.isEmpty()
+    if large:
+        members = members.unionAll(_by_hub(big, keyed, shared, scratch))
+    links = scratch.keep(_verified(members, texts, size, threshold), "links-0")
+    if large:
+        links = links.unionAll(_across(big, links, texts, scratch, size, threshold))
     label = scratch.keep(components(scratch, links, "linked").withColumnRenamed("node", "ln"), "labels")
     lowest = (
         nodes.drop("size").join(label, F.col("node") == F.col("ln"), "left")
-        .select("node", "doc", F.coalesce("label", "node").alias("label"))
+        .select("h1", "h2", "doc", F.coalesce("label", "node").alias("label"))
     )
     least = scratch.keep(lowest.groupBy(F.col("label").alias("l")).agg(F.min("doc").alias("component_id")), "least")
-    final = scratch.keep(lowest.join(least, F.col("label") == F.col("l")).select(F.col("node").alias("fn"), "component_id"), "final")
-    scratch.drop("nodes", "keys", "clusters", "counts", "texts", "links-0", "first-labels", "large", "main", "labels", "least")
-    out = rows.join(final.hint("merge"), F.col("node") == F.col("fn"), "left")
+    final = lowest.join(least, F.col("label") == F.col("l")).select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "component_id")
+    final = scratch.keep(final, "final")
+    scratch.drop("nodes", "keys", "clusters", "counts", "texts", "big", "near", "hubs", "bands", "links-0", "first-labels", "large", "main", "labels", "least")
+    out = rows.join(final.hint("merge"), (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _across(clusters, large, links, texts, scratch, size, threshold) -> DataFrame:
+def _by_hub(big, keyed, shared, scratch) -> DataFrame:
+    """``node, known, cluster, part``: each node in a tile of the smallest hub of its keys, and the hub in each of its tiles."""
+    of = keyed.join(big.select(F.col("node").alias("bn"), "size", "cluster"), F.col("node") == F.col("bn"))
+    near = of.join(shared.hint("merge"), F.col("key") == F.col("k")).groupBy("node", "size", "cluster").agg(F.min("hub").alias("hub"))
+    near = scratch.keep(near, "near")
+    hubs = near.groupBy(F.col("hub").alias("h"), F.col("cluster").alias("hc")).agg(_tiles(F.count(F.lit(1)), F.sum("size")).alias("n"))
+    hubs = scratch.keep(hubs, "hubs")
+    part = lambda chunk: F.concat_ws(":", F.lit("hub"), "h", chunk)
+    dealt = near.join(hubs, F.col("hub") == F.col("h")).select("node", "cluster", part(F.pmod(F.xxhash64("node"), F.col("n"))).alias("part"))
+    each = hubs.select("h", F.col("hc").alias("cluster"), F.explode(F.expr("sequence(0L, n - 1)")).alias("chunk"))
+    both = dealt.unionAll(each.select(F.col("h").alias("node"), "cluster", part(F.col("chunk")).alias("part"))).distinct()
+    return both.select("node", F.col("node").alias("known"), "cluster", "part")
+
+
+def _across(big, links, texts, scratch, size, threshold) -> DataFrame:
     """Links that join what tiles of large clusters left apart.
 
     In each cluster, ``outside`` are the nodes not in its largest component so
-    far. They are dealt to parts ``o``, all nodes to parts ``p``; tile (o, p)
-    holds both, so each node outside meets each node of the cluster.
+    far. Each meets each node of its own band of sizes and of the two beside
+    it: a band is as wide as the threshold, so others can't link. Both sides
+    are dealt to parts, ``o`` and ``p``; a tile holds one of each.
     """
     label = scratch.keep(components(scratch, links, "first").withColumnRenamed("node", "ln"), "first-labels")
+    band = F.floor(F.log("size") / float(np.log(100 / threshold) * (1 + 1e-9))).alias("band")
     now = scratch.keep(
-        clusters.join(large, F.col("cluster") == F.col("c"))
-        .join(label, F.col("node") == F.col("ln"), "left")
-        .select("cluster", "node", "doc", "size", "n_parts", F.coalesce("label", "node").alias("known")),
-        "large",
+        big.join(label, F.col("node") == F.col("ln"), "left").select("cluster", "node", "size", band, F.coalesce("label", "node").alias("known")), "large"
     )
-    by_part = now.groupBy("cluster", "known").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("g"))
-    main = by_part.groupBy(F.col("cluster").alias("mc")).agg(
-        F.max(F.struct("m", "known", "g")).alias("top"), F.sum("m").alias("all"), F.sum("g").alias("grams")
+    by_part = now.groupBy("cluster", "known").agg(F.count(F.lit(1)).alias("m"))
+    main = by_part.groupBy(F.col("cluster").alias("mc")).agg(F.max(F.struct("m", "known")).alias("top"), F.sum("m").alias("all"))
+    main = scratch.keep(main.where("top.m < all").select("mc", F.col("top.known").alias("main")), "main")
+    open_ = now.join(main, F.col("cluster") == F.col("mc")).withColumn("out", F.col("known") != F.col("main"))
+    out = lambda x: F.coalesce(F.sum(F.when(F.col("out"), x)), F.lit(0))
+    bands = open_.groupBy("cluster", "band").agg(
+        _tiles(F.count(F.lit(1)), F.sum("size")).alias("n_p"), F.when(out(F.lit(1)) > 0, _tiles(out(F.lit(1)), out(F.col("size")))).alias("n_o")
     )
-    parts_o = F.ceil(F.greatest((F.col("all") - F.col("top.m")) / TILE, (F.col("grams") - F.col("top.g")) / TILE_GRAMS))
-    main = scratch.keep(main.where("top.m < all").select("mc", F.col("top.known").alias("main"), parts_o.alias("n_out")), "main")
-    open_ = now.join(main, F.col("cluster") == F.col("mc"))
-    parts_o, parts_p = F.col("n_out"), F.col("n_parts")
-    outside = open_.where("known <> main").withColumn("o", F.pmod(F.xxhash64("node", F.lit(1)), parts_o))
-    outside = outside.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), parts_p - 1)))
-    every = open_.withColumn("p", F.pmod(F.xxhash64("node"), parts_p))
-    every = every.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), parts_o - 1)))
-    both = outside.select("node", "doc", "known", "cluster", "o", "p").unionAll(every.select("node", "doc", "known", "cluster", "o", "p"))
-    part = F.shiftleft(F.col("o"), 31).bitwiseOR(F.col("p")).alias("part")
-    return _verified(both.select("node", "known", "cluster", part), texts, size, threshold)
-
+    bands = scratch.keep(bands, "bands")
+    left = bands.where("n_o IS NOT NULL").select(F.col("cluster").alias("bc"), F.explode(F.expr("sequence(band - 1, band + 1)")).alias("pb"), F.col("band").alias("ob"), "n_o")
+    right = bands.select(F.col("cluster").alias("rc"), F.col("band").alias("rb"), "n_p")
+    pairs = left.join(right, (F.col("bc") == F.col("rc")) & (F.col("pb") == F.col("rb"))).drop("rc", "rb")
+    part = F.concat_ws(":", F.lit("band"), "ob", "o", "pb", "p").alias("part")
+    first = open_.where("out").join(pairs, (F.col("cluster") == F.col("bc")) & (F.col("band") == F.col("ob")))
+    first = first.withColumn("o", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_o"))).withColumn("p", F.explode(F.expr("sequence(0L, n_p - 1)")))
+    second = open_.join(pairs, (F.col("cluster") == F.col("bc")) & (F.col("band") == F.col("pb")))
+    second = second.withColumn("p", F.pmod(F.xxhash64("node"), F.col("n_p"))).withColumn("o", F.explode(F.expr("sequence(0L, n_o - 1)")))
+    both = first.select("node", "known", "cluster", part).unionAll(second.select("node", "known", "cluster", part)).distinct()
+    return _verified(both, texts, size, threshold)

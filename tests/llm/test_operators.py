@@ -450,6 +450,29 @@ def test_jaccard(spark, docs, corpus, tile, monkeypatch):
     assert {r.doc_id: r.n_shingles for r in got} == {d: len(s) for d, s in sets.items()}
 
 
+@pytest.mark.parametrize("tile", [8, 3])
+def test_jaccard_of_long_chains(spark, tile, monkeypatch):
+    """Documents that change a little from one to the next: clusters of many sizes, hubs that are unlike most of their nodes."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "TILE_GRAMS", 900)
+    rng = random.Random(14)
+    rows, words = [], [f"w{i}" for i in range(400)]
+    for _ in range(6):
+        text = [rng.choice(words) for _ in range(60)]
+        for _ in range(40):
+            rows.append((rng.randrange(1 << 40), " ".join(text)))
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(text) - 8)
+                kind = rng.random()
+                text[at : at + rng.choice((0, 1, 6))] = [rng.choice(words) for _ in range(rng.choice((0, 1, 7) if kind < 0.6 else (1, 2)))]
+            if len(text) < 30:
+                text += [rng.choice(words) for _ in range(40)]
+    sets = {d: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)} for d, t in rows}
+    want = brute_components(list(sets), sets, lambda a, b: 100 * len(a & b) >= 75 * len(a | b))
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()}
+    assert got == want and 6 < len(set(want.values())) < 200
+
+
 def test_caps_find_what_brute_force_finds(spark):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((40, 16))
