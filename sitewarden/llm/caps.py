@@ -13,7 +13,8 @@ Code books grow with the square root of the vectors, so the vectors per filter
 stay about the same. Equal vectors are one class with a multiplicity. A filter
 with many vectors is dealt to tiles of pairs of blocks; a pair is counted only
 under its first common filter, and no pair leaves a tile: only link counts per
-class and a spanning forest do.
+class and a spanning forest do. A tile gets the components as they are in the
+table (not widened) and, per vector, the filters before its own.
 
 Defined results: null vectors, zero vectors and vectors with a null or
 non-finite component link with nothing and are their own component. Rows that
@@ -83,35 +84,41 @@ class Codes:
         return [np.unique(np.concatenate(f)).astype(np.int64) for f in found]
 
 
-def _unit(column: pa.Array, dim: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    flat = flat / np.abs(flat).max(axis=1, keepdims=True)
-    return flat / np.linalg.norm(flat, axis=1, keepdims=True)
+def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = rows.astype(np.float64)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def _numbers(classes: DataFrame) -> str:
+    """The type of a component as Numpy names it: 4 bytes where the table has no more."""
+    return "<f4" if classes.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
 
 
 def filters(classes: DataFrame, dim: int, n: int) -> DataFrame:
-    """``cls, mult, unit, list, filters``: the unit vector and the filters as bytes, the filters as an array."""
+    """``cls, mult, vector, list, filters``: the vector and the filters as bytes, the filters as an array."""
+    kind = _numbers(classes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(dim, n)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit = _unit(batch.column("embedding"), dim)
-            lists = codes.decode(unit)
+            rows = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
+            lists = codes.decode(_unit(rows))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("cls"),
                     batch.column("mult"),
-                    pa.array([u.tobytes() for u in unit], pa.binary()),
-                    pa.array([x.tobytes() for x in lists], pa.binary()),
+                    pa.array([x.tobytes() for x in rows], pa.binary()),
+                    pa.array([x.astype("<i4").tobytes() for x in lists], pa.binary()),
                     pa.array(lists, pa.list_(pa.int64())),
                 ],
-                names=["cls", "mult", "unit", "list", "filters"],
+                names=["cls", "mult", "vector", "list", "filters"],
             )
 
     return classes.select("cls", "mult", "embedding").mapInArrow(
-        work, "cls long, mult long, unit binary, list binary, filters array<long>"
+        work, "cls long, mult long, vector binary, list binary, filters array<long>"
     )
 
 
@@ -132,19 +139,18 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, kind: str):
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """One tile: counts ``(a, links)`` and links ``(a, b)``."""
-        number, first, second = key
+        _, first, second = key
         pdf = pdf.sort_values("cls")
-        x = np.frombuffer(b"".join(pdf["unit"]), np.float64).reshape(len(pdf), -1)
+        x = _unit(np.frombuffer(b"".join(pdf["vector"]), kind).reshape(len(pdf), -1))
         cls, mult, block = pdf["cls"].to_numpy(), pdf["mult"].to_numpy(), pdf["block"].to_numpy()
         near = x @ x.T >= cosine
         np.fill_diagonal(near, False)
         if first != second:
             near &= block[:, None] != block[None, :]
-        lists = [np.frombuffer(b, np.int64) for b in pdf["list"]]
-        earlier = [f[f < number] for f in lists]
+        earlier = [np.frombuffer(b, "<i4") for b in pdf["earlier"]]
         names, at = np.unique(np.concatenate(earlier), return_inverse=True)
         has = np.zeros((len(pdf), len(names)), np.float32)
         has[np.repeat(np.arange(len(pdf)), [len(e) for e in earlier]), at] = 1
@@ -200,6 +206,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE
     )
     least = labelled.groupBy(F.col("label").alias("l")).agg(F.min("low").alias("least"))
     result = scratch.keep(labelled.join(least, F.col("label") == F.col("l")).select("r1", "r2", "links", "least"), "result")
+    scratch.drop("classes", "found", "labelled", *(f"{name}-{dim}" for name in ("decoded", "load") for dim, _ in sizes))
     out = keyed.drop("embedding").join(result, F.col("sound") & (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")), "left")
     return out.select(
         "vec_id",
@@ -211,15 +218,16 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE
 
 def _links(classes: DataFrame, dim: int, n: int, scratch: Scratch, cosine: float) -> DataFrame:
     decoded = scratch.keep(filters(classes.repartition(F.col("cls")), dim, n), f"decoded-{dim}")
-    pairs = decoded.select(F.col("cls").alias("vc"), F.explode("filters").alias("filter"))
+    pairs = decoded.select(F.col("cls").alias("vc"), F.posexplode("filters").alias("rank", "filter"))
     blocks = F.ceil(F.col("m") / BLOCK)
     load = scratch.keep(
         pairs.groupBy(F.col("filter").alias("f")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("f", blocks.alias("k")), f"load-{dim}"
     )
     block = F.pmod(F.xxhash64("vc"), F.col("k"))
-    dealt = pairs.join(load, F.col("filter") == F.col("f")).select("vc", "filter", "k", block.alias("block"))
+    dealt = pairs.join(load, F.col("filter") == F.col("f")).select("vc", "rank", "filter", "k", block.alias("block"))
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select(
-        "vc", "filter", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")
+        "vc", "rank", "filter", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")
     )
-    held = tiles.join(decoded.drop("filters"), F.col("vc") == F.col("cls")).drop("vc")
-    return held.groupBy("filter", "first", "second").applyInPandas(_compare(cosine), "a long, b long, links long")
+    held = tiles.join(decoded.drop("filters"), F.col("vc") == F.col("cls"))
+    held = held.withColumn("earlier", F.expr("substring(list, 1, 4 * rank)")).drop("vc", "rank", "list")
+    return held.groupBy("filter", "first", "second").applyInPandas(_compare(cosine, _numbers(classes)), "a long, b long, links long")
