@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .tokens import WordEncoder
+from .tokens import WordEncoder, encoder
 
 WINDOW = 2048
 STEP = 64
@@ -162,7 +162,11 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, closing: int = CLOSIN
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = WordEncoder(path), Packer(window)  # their memory ends with the task
+        with encoder(WordEncoder, path) as words:
+            yield from packed(batches, words)
+
+    def packed(batches: Iterator[pa.RecordBatch], words: WordEncoder) -> Iterator[pa.RecordBatch]:
+        packer = Packer(window)
         base = TaskContext.get().partitionId() << 36
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         known: dict[int, tuple] = {}  # number -> id and ids, of documents that are not packed yet

@@ -19,7 +19,11 @@ null id, gives its own row; other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
+import threading
 from array import array
 from collections.abc import Iterator
 
@@ -34,7 +38,7 @@ _PLAIN = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 #: The contractions that the tokenizers' patterns name.
 _SUFFIX = "'s|'t|'re|'ve|'m|'ll|'d"
 
-#: Units, and parts of units, that an encoder remembers at most, and their characters: some 90 MB, for as long as a task runs.
+#: Units, and parts of units, that an encoder remembers at most, and their characters: some 90 MB, for as long as tasks follow each other.
 MEMORY, PIECES, LONGEST = 600_000, 300_000, 64
 CHUNK, OVERLAP = 1 << 16, 256
 WORDS_AT_ONCE = 1 << 20  # characters that are split into words together
@@ -183,11 +187,18 @@ class WordEncoder:
         pieces = _Remembered(lambda p: array("I", [t.id for t in model.tokenize(_mapped(p))]).tobytes(), PIECES)
 
         def work(word: str) -> int:
-            if self._simple.fullmatch(word):
-                ids = array("I", b"".join([pieces[p] for p in self._pre.findall(word.lower())]))
+            if word.isascii() and word.isalpha():  # one piece
+                raw = pieces[word.lower()]
+            elif self._simple.fullmatch(word):
+                raw = b"".join([pieces[p] for p in self._pre.findall(word.lower())])
             else:
-                ids = self.library.encode(word, add_special_tokens=False).ids
-            return self._store(ids, len(word) <= LONGEST)
+                raw = array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
+            if len(word) > LONGEST:
+                return self._hold(raw)
+            self.starts.append(len(self.ids))
+            self.ids.frombytes(raw)
+            self.sizes.append(len(raw) >> 2)
+            return len(self.starts) - 1
 
         self.known = _Remembered(work, MEMORY)
         self._forget()
@@ -197,13 +208,12 @@ class WordEncoder:
         self.known.clear()
         self.ids, self.starts, self.sizes = array("I", [0]), array("q", [0]), array("q", [1])
 
-    def _store(self, ids, remember: bool) -> int:
-        """The number of an entry; what isn't remembered is held for one call and has a negative one."""
-        all_ids, starts, sizes = (self.ids, self.starts, self.sizes) if remember else (self.own_ids, self.own_starts, self.own_sizes)
-        starts.append(len(all_ids))
-        all_ids.extend(ids)
-        sizes.append(len(ids))
-        return len(starts) - 1 if remember else -len(starts)
+    def _hold(self, raw: bytes) -> int:
+        """The number, negative, of an entry for this call alone."""
+        self.own_starts.append(len(self.own_ids))
+        self.own_ids.frombytes(raw)
+        self.own_sizes.append(len(raw) >> 2)
+        return -len(self.own_starts)
 
     @staticmethod
     def _parts(text: str) -> Iterator[str]:
@@ -226,7 +236,7 @@ class WordEncoder:
         close = np.zeros(1, np.int64)
         for text in texts:
             if _has(text, self._odd):
-                found = [np.array([self._store(self.library.encode(text, add_special_tokens=False).ids, False)], np.int64)]
+                found = [np.array([self._hold(array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes())], np.int64)]
             else:
                 found = []
                 for part in self._parts(text):
@@ -250,14 +260,48 @@ class WordEncoder:
         return out, np.diff(ends, prepend=0)
 
 
+IDLE = 0.5  # seconds without a task after which a worker gives its encoders up
+_encoders: dict = {}
+_lock = threading.Lock()
+_uses = {"now": 0, "ever": 0}
+
+
+def _give_up(ever: int) -> None:
+    with _lock:
+        if not _uses["now"] and _uses["ever"] == ever:
+            _encoders.clear()
+            gc.collect()  # encoders and what they call hold each other
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)  # what glibc holds back goes to the system
+
+
+@contextlib.contextmanager
+def encoder(kind, path: str):
+    """A worker's encoder of a file: the next task finds what it remembers, unless the worker was idle or did other work."""
+    with _lock:
+        _uses["now"] += 1
+        _uses["ever"] += 1
+        if (kind, path) not in _encoders:
+            _encoders[kind, path] = kind(path)
+        held = _encoders[kind, path]
+    try:
+        yield held
+    finally:
+        with _lock:
+            _uses["now"] -= 1
+            timer = threading.Timer(IDLE, _give_up, (_uses["ever"],))
+        timer.daemon = True
+        timer.start()
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit``, one row per input row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = ByteCounter(path)  # its memory ends with the task
-        for batch in batches:
-            n = [counter.count(t) if t else 0 for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        with encoder(ByteCounter, path) as counter:
+            for batch in batches:
+                n = [counter.count(t) if t else 0 for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     sized = docs.selectExpr("doc_id", "coalesce(cast(octet_length(text) as bigint), 0L) AS n_bytes", "text")
     ids = docs.schema["doc_id"].dataType.simpleString()

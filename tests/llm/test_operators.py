@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -98,6 +99,19 @@ def test_words_that_are_not_remembered(encoders, monkeypatch):
     assert all(len(w) <= tokens.LONGEST for w in words.known) and words.encode([], 1)[0].tolist() == []
 
 
+def test_idle_workers_give_their_encoders_up(monkeypatch):
+    monkeypatch.setattr(tokens, "IDLE", 0.2)
+    with tokens.encoder(tokens.WordEncoder, WORD) as first:
+        time.sleep(0.4)
+        assert tokens._encoders
+    with tokens.encoder(tokens.WordEncoder, WORD) as second:
+        assert second is first
+        time.sleep(0.4)  # the timer of the first use doesn't end the second
+        assert tokens._encoders
+    time.sleep(0.5)
+    assert not tokens._encoders
+
+
 def test_packing_round_trip(spark, docs, corpus):
     lib = Tokenizer.from_file(WORD)
     want = {d: [*lib.encode(t, add_special_tokens=False).ids, 1] for d, t, *_ in corpus}
