@@ -1,4 +1,4 @@
-"""The adaptive rate limiter: as a fold over a crawl's responses, and on a stream.
+"""The adaptive rate limiter: over a crawl's responses, and on a stream.
 
 A 429 or 503 counts if two seconds passed since the last one that counted; it
 halves the rate (an unlimited one becomes one a second), not below the floor,
@@ -10,47 +10,58 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, FLOOR, DEBOUNCE, LONGEST = 1.0, 0.1, 2.0, 300.0
 STATUSES = [429, 503]
 
 
-def fold(events: Column) -> Column:
-    """State after ``array<struct<at: double, retry_after: double>>``, in order: ``rate`` (0 is unlimited) and ``accepted``."""
-    start = F.struct(F.lit(-1e18).alias("last"), F.lit(0.0).alias("rate"), F.lit(0).cast("long").alias("accepted"))
+def step(state: tuple[float, float, int], at: float, retry: float) -> tuple[float, float, int]:
+    """The state ``(last that counted, rate, accepted)`` after a bad answer; a rate of 0 is unlimited."""
+    last, rate, accepted = state
+    if at - last < DEBOUNCE:
+        return state
+    rate = START if rate == 0 else max(rate / 2, FLOOR)
+    if retry > 0:
+        rate = min(rate, 1 / min(retry, LONGEST))
+    return at, rate, accepted + 1
 
-    def step(s: Column, e: Column) -> Column:
-        half = F.when(s["rate"] == 0, F.lit(START)).otherwise(F.greatest(s["rate"] / 2, F.lit(FLOOR)))
-        held = F.when(e["retry_after"] > 0, F.least(half, 1 / F.least(e["retry_after"], F.lit(LONGEST)))).otherwise(half)
-        counts = e["at"] - s["last"] >= DEBOUNCE
-        return F.struct(
-            F.when(counts, e["at"]).otherwise(s["last"]).alias("last"), F.when(counts, held).otherwise(s["rate"]).alias("rate"), (s["accepted"] + counts.cast("long")).alias("accepted")
-        )
 
-    return F.aggregate(events, start, step)
+FRESH = (-1e18, 0.0, 0)
+
+
+def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Bad answers in order of host and time; a host may go on over many frames, of which one is held at a time."""
+    host, state = None, FRESH
+    for frame in frames:
+        done = []
+        for name, at, retry in zip(frame["host"], frame["at"], frame["retry_after"], strict=True):
+            if name != host:
+                if state is not FRESH:
+                    done.append((host, state[1], state[2]))
+                host, state = name, FRESH
+            state = step(state, at, retry)
+        yield pd.DataFrame(done, columns=["host", "rate", "accepted"])
+    if state is not FRESH:
+        yield pd.DataFrame([(host, state[1], state[2])], columns=["host", "rate", "accepted"])
 
 
 def per_host(responses: DataFrame) -> DataFrame:
-    """``host, rate, accepted`` from ``responses(host, at, seq, status_code, retry_after)``."""
-    bad = responses.where(F.col("status_code").isin(STATUSES))
-    lists = bad.groupBy("host").agg(F.sort_array(F.collect_list(F.struct(F.col("at").cast("double").alias("at"), "seq", F.coalesce(F.col("retry_after").cast("double"), F.lit(0.0)).alias("retry_after")))).alias("e"))
-    return lists.select("host", fold(F.transform("e", lambda x: F.struct(x["at"], x["retry_after"])).cast("array<struct<at: double, retry_after: double>>")).alias("s")).select("host", "s.rate", "s.accepted")
+    """``host, rate, accepted`` from ``responses(host, at, seq, status_code, retry_after)``, hosts that never answered so left out."""
+    bad = responses.where(F.col("status_code").isin(STATUSES) & F.col("host").isNotNull())
+    rows = bad.select("host", F.col("at").cast("double").alias("at"), "seq", F.coalesce(F.col("retry_after").cast("double"), F.lit(0.0)).alias("retry_after"))
+    ordered = rows.repartition(F.col("host")).sortWithinPartitions("host", "at", "seq").select("host", "at", "retry_after")
+    return ordered.mapInPandas(_fold, "host string, rate double, accepted long")
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    last, rate, accepted = state.get if state.exists else (-1e18, 0.0, 0)
+    now = state.get if state.exists else FRESH
     rows = pd.concat(list(frames)).sort_values(["at", "seq"])
     for at, retry in zip(rows["at"], rows["retry_after"].fillna(0.0), strict=True):
-        if at - last < DEBOUNCE:
-            continue
-        rate = START if rate == 0 else max(rate / 2, FLOOR)
-        if retry > 0:
-            rate = min(rate, 1 / min(retry, LONGEST))
-        last, accepted = at, accepted + 1
-    state.update((last, rate, accepted))
-    yield pd.DataFrame({"host": [key[0]], "rate": [rate], "accepted": [accepted]})
+        now = step(now, at, retry)
+    state.update(now)
+    yield pd.DataFrame({"host": [key[0]], "rate": [now[1]], "accepted": [now[2]]})
 
 
 def stream(responses: DataFrame) -> DataFrame:
