@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import caps, chains, jaccard, langid, linededup, mixing, packing, quality, suffix, tokens
+from . import caps, chains, jaccard, langid, linededup, mixing, packing, quality, sortmeans, suffix, tokens
 from .common import Scratch, table
 from .sql import ORACLE
 
@@ -78,6 +78,11 @@ def op10_cap_filters(spark, sf_dir):
     return caps.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark))
 
 
+def op12_sort_means(spark, sf_dir):
+    """Centre of every 64-dimensional embedding after five exact rounds."""
+    return sortmeans.cluster(table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
 QUERIES = {
     "op1_nnls_packing": op1_nnls_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_counts": op9_token_counts,
     "op10_cap_filters": op10_cap_filters,
+    "op12_sort_means": op12_sort_means,
 }
 
 

@@ -129,7 +129,30 @@ FROM v LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) k ON k.x = v.vec_id
 JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = v.vec_id
 """
 
+
+
+def _op12(k: int = 40, dims: int = 64, rounds: int = 5) -> str:
+    """All rounds as a chain of tables: ``a<r>`` assigns, ``c<r>`` has the centres. Vectors and centres are one row per component."""
+    near = "SELECT vec_id, n, i AS cluster, d FROM (SELECT x.vec_id, x.n, c.i, CAST(sum((x.x - c.x) * (x.x - c.x)) AS BIGINT) AS d FROM v x JOIN c{r} c ON x.j = c.j GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY n ORDER BY d, i) = 1"
+    chain = [
+        f"e AS (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})",
+        "v AS (SELECT vec_id, n, unnest(v) AS x, unnest(range(len(v))) AS j FROM e)",
+        f"c0 AS (SELECT i, unnest(v) AS x, unnest(range(len(v))) AS j FROM (SELECT v, row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)), v) - 1 AS i FROM e) WHERE i < {k})",
+    ]
+    for r in range(rounds + 1):
+        chain.append(f"a{r} AS MATERIALIZED ({near.format(r=r)})")
+        if r < rounds:
+            mean = f"SELECT a.cluster AS i, v.j, sum(v.x) AS s, count(*) AS m FROM a{r} a JOIN v ON a.n = v.n GROUP BY 1, 2"
+            chain.append(f"c{r + 1} AS MATERIALIZED (SELECT c.i, c.j, CASE WHEN m IS NULL THEN c.x ELSE CAST((s - ((s % m) + m) % m) // m AS BIGINT) END AS x FROM c{r} c LEFT JOIN ({mean}) t ON c.i = t.i AND c.j = t.j)")
+    chain.append(f"h AS (SELECT i, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY i)")
+    return (
+        f"WITH {', '.join(chain)} SELECT vec_id, CAST(cluster AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, "
+        f"CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a{rounds} JOIN h ON i = cluster"
+    )
+
+
 ORACLE = {
+    "op12_sort_means": _op12(),
     "op10_cap_filters": OP10,
     "op2_line_dedup": OP2,
     "op8_ngram_jaccard": OP8,
