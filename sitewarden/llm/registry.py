@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import caps, chains, jaccard, langid, linededup, mixing, packing, quality, sortmeans, suffix, tokens
+from . import caps, chains, crosstok, ctw, jaccard, langid, linededup, mixing, packing, quality, sortmeans, suffix, tokens
 from .common import Scratch, table
 from .sql import ORACLE
 
@@ -78,11 +78,22 @@ def op10_cap_filters(spark, sf_dir):
     return caps.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark))
 
 
+def op11_context_trees(spark, sf_dir):
+    """Log probability of every document, by counts of words and by weighted context trees."""
+    return ctw.score(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op12_sort_means(spark, sf_dir):
     """Centre of every 64-dimensional embedding after five exact rounds."""
     return sortmeans.cluster(table(spark, sf_dir, "embeddings"), Scratch(spark))
 
 
+def op13_token_alignment(spark, sf_dir):
+    """Groups and links between two tokenizers in every document, with corpus counts of linked ids."""
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return crosstok.align(table(spark, sf_dir, "documents"), Scratch(spark), *paths)
+
+
 QUERIES = {
     "op1_nnls_packing": op1_nnls_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -94,7 +105,9 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_counts": op9_token_counts,
     "op10_cap_filters": op10_cap_filters,
+    "op11_context_trees": op11_context_trees,
     "op12_sort_means": op12_sort_means,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 

@@ -155,9 +155,9 @@ def cluster(vectors: DataFrame, scratch: Scratch, k: int = K, dims: int = DIMS,
     name = F.sha2(F.concat(F.lit(seed), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))).cast("binary"), 256)
     rows = scratch.keep(prepared(vectors, dims).withColumn("cluster", F.lit(0)), "vectors")
     first = rows.orderBy(name, "vec_id", "v").limit(k).select("v").collect()
-    centres = Centres([tuple(int(x) for x in r["v"]) for r in first])
-    if not centres.rows:
+    if not first:
         return rows.select("vec_id", "cluster", *(F.lit(0).cast("long").alias(c) for c in ("distance", "cluster_inertia", "inertia")), F.lit("").alias("centroid_sha256"))
+    centres = Centres([tuple(int(x) for x in r["v"]) for r in first])
     for step in range(rounds):
         rows = scratch.keep(assigned(rows, centres, dims), f"round-{step}")
         scratch.drop(f"round-{step - 1}" if step else "vectors")
