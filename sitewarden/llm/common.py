@@ -76,13 +76,13 @@ class Scratch:
         if _gathered:
             _gathered[-1].append(self)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written once and read back."""
+    def keep(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+        """``df`` written once, with a codec of Parquet if one is given, and read back."""
         path = f"{self.root}/{name}"
         before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").options(**{"compression": codec} if codec else {}).parquet(path)
         finally:
             self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ has a boundary there, and no piece holds a space mark behind another character
 (checked when the file is read), so both lists end there and no group spans it.
 What the merge gives for such a unit is remembered, within bounds.
 
-A task emits, per batch of some 32 MB of text, its documents as counts of units
+A task emits, per batch of some 16 MB of text, its documents as counts of units
 and one dictionary: the links of each unit, and in how many documents each
 linked pair of ids occurs. Spark sums the pairs, takes each id's highest count
 (a row per id of a vocabulary, so that table is bounded and broadcast) and
@@ -24,6 +24,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import uuid
 from array import array
@@ -40,50 +41,36 @@ from .hashing import slices
 from .tokens import _byte_letters, encoder
 
 #: Text of a batch, units that a worker remembers, and the bytes they may take.
-BATCH, UNITS, WEIGHT = 32 << 20, 600_000, 256 << 20
+BATCH, UNITS, WEIGHT = 16 << 20, 250_000, 160 << 20
 _SPLIT = re.compile(r"(?<=\S) ")
 _LOOSE = re.compile(r"\s ")
 MARK = "▁"
 B_BITS = 16
 
 
-def merge(a: list[int], a_sizes: list[int], b: list[int], b_sizes: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Groups of two token lists over the same bytes: the pointer that is behind moves on, and where both ends meet a group closes."""
-    groups, left, right = [], [], []
-    i = j = end_a = end_b = 0
-    while i < len(a) or j < len(b):
+def merge(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int]]:
+    """Where groups of two token lists over the same bytes end: the pointer that is behind moves on, and where both ends meet a group closes."""
+    closed, i, j, end_a, end_b = [], 0, 0, 0, 0
+    n, m = len(a), len(b)
+    while i < n or j < m:
         if end_a <= end_b:
-            left.append(a[i])
-            end_a += a_sizes[i]
+            end_a += a_sizes[a[i]]
             i += 1
         else:
-            right.append(b[j])
-            end_b += b_sizes[j]
+            end_b += b_sizes[b[j]]
             j += 1
         if end_a == end_b:
-            groups.append((left, right))
-            left, right = [], []
-    return groups
+            closed.append((i, j))
+    return closed
 
 
-def _shown(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
-
-
-def _links(groups: list[tuple[list[int], list[int]]]) -> dict[int, int]:
-    """How often each pair of ids is linked; repeated ids of a group are counted, not paired one by one."""
-    found: dict[int, int] = {}
-    for x, y in groups:
-        if len(x) == 1 and len(y) == 1:
-            code = x[0] << B_BITS | y[0]
-            found[code] = found.get(code, 0) + 1
-        else:
-            other = Counter(y).items()
-            for p, n in Counter(x).items():
-                for q, m in other:
-                    code = p << B_BITS | q
-                    found[code] = found.get(code, 0) + n * m
-    return found
+def _links(x: list[int], y: list[int], found: dict[int, int]) -> None:
+    """Adds how often each pair of ids is linked in a group; repeated ids are counted, not paired one by one."""
+    other = Counter(y).items()
+    for p, n in Counter(x).items():
+        for q, m in other:
+            code = p << B_BITS | q
+            found[code] = found.get(code, 0) + n * m
 
 
 class Aligner:
@@ -93,6 +80,7 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         self.a = Tokenizer.from_file(paths[0])
         self.a.no_truncation()
         self.a.no_padding()
@@ -103,6 +91,8 @@ class Aligner:
         for token, i in self.a.get_vocab().items():
             self.a_bytes[i] = bytes(map(byte.__getitem__, token)) if all(c in byte for c in token) else token.encode()
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.a_shown, self.b_shown = list(map(str, range(len(self.a_bytes)))), list(map(str, range(len(self.b_bytes))))
         self.apart = all(MARK not in self.b.id_to_piece(i).lstrip(MARK) for i in range(self.b.get_piece_size()))
         self.alone = self.b.piece_to_id(MARK)
         self.forget()
@@ -130,23 +120,43 @@ class Aligner:
 
     def learn(self, units: list[str]) -> None:
         """Encodes units that aren't known yet."""
-        encoded_a = self.a.encode_batch([f" {u}" for u in units], add_special_tokens=False)
+        encoded_a = self.a.encode_batch_fast([f" {u}" for u in units], add_special_tokens=False)
         encoded_b = self.b.encode(units, num_threads=1)
-        for unit, whole, pieces in zip(units, encoded_a, encoded_b, strict=True):
-            ids, pieces = whole.ids, pieces if unit else [self.alone]
+        a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        a_shown, b_shown = self.a_shown, self.b_shown
+        for unit, whole, y in zip(units, encoded_a, encoded_b, strict=True):
+            x, y = whole.ids, y if unit else [self.alone]
             raw = f" {unit}".encode()
-            x, y = [self.a_bytes[i] for i in ids], [self.b_bytes[i] for i in pieces]
-            good = b"".join(x) == raw and b"".join(y) == raw
-            groups = merge(ids, list(map(len, x)), pieces, list(map(len, y))) if good else []
-            found = _links(groups)
+            good = b"".join(map(a_bytes, x)) == raw and b"".join(map(b_bytes, y)) == raw
+            closed = merge(x, y, self.a_sizes, self.b_sizes) if good else []
+            found: dict[int, int] = {}
+            shown, i, j = [], 0, 0
+            for k, m in closed:
+                if k - i == 1 == m - j:
+                    p, q = x[i], y[j]
+                    shown.append(f"{a_shown[p]}|{b_shown[q]}")
+                    code = p << B_BITS | q
+                    found[code] = found.get(code, 0) + 1
+                else:
+                    left, right = x[i:k], y[j:m]
+                    shown.append(f"{','.join([a_shown[p] for p in left])}|{','.join([b_shown[q] for q in right])}")
+                    if len(left) * len(right) > 16:
+                        _links(left, right, found)
+                    else:
+                        for p in left:
+                            for q in right:
+                                code = p << B_BITS | q
+                                found[code] = found.get(code, 0) + 1
+                i, j = k, m
+            text = ";".join(shown)
             self.known[unit] = len(self.shown)
-            self.shown.append(_shown(groups))
+            self.shown.append(text)
             self.good.append(good)
-            self.sizes.extend((len(ids), len(pieces), len(groups), sum(found.values())))
-            self.pairs.extend(found.keys())
+            self.sizes.extend((len(x), len(y), len(closed), sum(found.values())))
+            self.pairs.extend(found)
             self.times.extend(found.values())
             self.begin.append(len(self.pairs))
-            self.weight += 300 + len(unit) + len(self.shown[-1]) + 12 * len(found)
+            self.weight += 300 + len(unit) + len(text) + 12 * len(found)
 
 
 _KINDS = "batch long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units binary, times binary, pairs array<long>, held array<long>, unit_begin binary, unit_pairs binary, unit_times binary"
@@ -164,8 +174,8 @@ class _Batch:
         taken = [aligner.units(t) if t else [] for t in texts]
         new = {u for units in taken for u in units} - aligner.known.keys()
         new = sorted(new)
-        for k in range(0, len(new), 20_000):
-            aligner.learn(new[k : k + 20_000])
+        for k in range(0, len(new), 5_000):
+            aligner.learn(new[k : k + 5_000])
         sizes = np.frombuffer(aligner.sizes, np.int64).reshape(-1, 4)
         find, good, shown = aligner.known.__getitem__, aligner.good, aligner.shown
         for units in taken:
@@ -173,28 +183,29 @@ class _Batch:
             once, n = np.unique(at, return_counts=True)
             if not len(at) or not all(map(good.__getitem__, once.tolist())):
                 self.rows.append((0, 0, 0, 0, ""))
-                self.docs.append((at[:0], n[:0]))
+                self.docs.append((at[:0].astype(np.int32), n[:0].astype(np.int32)))
                 continue
             digest = hashlib.sha256(";".join(map(shown.__getitem__, at.tolist())).encode()).hexdigest()
             self.rows.append((*(n @ sizes[once]).tolist(), digest))
-            self.docs.append((once, n))
+            self.docs.append((once.astype(np.int32), n.astype(np.int32)))
         del sizes  # the array can grow again
         self.ids.append(ids)
         self.bytes += size
 
     def emit(self) -> Iterator[pa.RecordBatch]:
         aligner, batch = self.aligner, uuid.uuid4().int >> 65
-        every = np.concatenate([u for u, _ in self.docs]) if self.docs else np.zeros(0, np.int64)
+        every = np.concatenate([u for u, _ in self.docs]) if self.docs else np.zeros(0, np.int32)
         used = np.unique(every)
         begin, pairs, times = (np.frombuffer(x, kind) if len(x) else np.zeros(0, kind) for x, kind in ((aligner.begin, np.int64), (aligner.pairs, np.uint32), (aligner.times, np.int64)))
         first, size = begin[used], begin[used + 1] - begin[used]
         own = np.concatenate([[0], np.cumsum(size)])
         flat = np.repeat(first - own[:-1], size) + np.arange(own[-1])
         codes, at = np.unique(pairs[flat], return_inverse=True)
-        times = times[flat]
+        at, times = at.astype(np.int32), times[flat]
+        del flat, every
         held = np.zeros(len(codes), np.int64)
-        for k in range(0, len(self.docs), 1000):  # each document counts a pair once
-            part = self.docs[k : k + 1000]
+        for k in range(0, len(self.docs), 200):  # each document counts a pair once
+            part = self.docs[k : k + 200]
             unit = np.searchsorted(used, np.concatenate([u for u, _ in part]))
             doc = np.repeat(np.arange(len(part)), [len(u) for u, _ in part])
             n = size[unit]
@@ -234,7 +245,7 @@ def encoded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         with encoder(Aligner, (path_a, path_b)) as aligner:
             mine = None
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, most=1 << 20):
                     mine = mine or _Batch(aligner, part.column("doc_id").type)
                     mine.add(part.column("doc_id"), part.column("text").to_pylist(), part.column("text").nbytes)
                     if mine.bytes >= BATCH or aligner.weight > WEIGHT:
@@ -288,7 +299,7 @@ def _totals(left: pa.Table, right: pa.Table) -> pa.Table:
 def align(docs: DataFrame, scratch: Scratch, path_a: str, path_b: str) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, n_best_b, count_sum, groups_sha256``, one row per input row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    links = scratch.keep(encoded(docs, path_a, path_b), "links")
+    links = scratch.keep(encoded(docs, path_a, path_b), "links", "zstd")
     counts = scratch.keep(pair_counts(links), "counts")
     asked = links.where("pairs IS NOT NULL").select(F.col("batch").alias("to"), F.explode("pairs").alias("pair"))
     answers = asked.join(counts, "pair")

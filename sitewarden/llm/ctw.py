@@ -292,7 +292,7 @@ def _requests(docs: DataFrame, shards: int, batch_bytes: int) -> DataFrame:
         id_type, text_type = (held[0].schema.field(c).type for c in ("doc_id", "text"))
         for shard, keys, n in _asked([(own.column("text"), ~own.column("held_out").to_numpy(zero_copy_only=False)) for own in held], shards):
             columns = [pa.nulls(1, id_type), pa.nulls(1, pa.bool_()), pa.nulls(1, text_type), pa.array([batch], pa.int64()), pa.array([shard], pa.int32())]
-            columns += [pa.array([keys.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())]
+            columns += [pa.array([_packed(keys)], pa.binary()), pa.array([_packed(n)], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,8 +310,17 @@ def _requests(docs: DataFrame, shards: int, batch_bytes: int) -> DataFrame:
     return docs.mapInArrow(work, f"doc_id {kind}, held_out boolean, text string, batch long, shard int, keys binary, counts binary")
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane: what sorted keys and small counts share lies together and compresses."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def _unpacked(raw: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _arrays(table: pa.Table, column: str, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), kind) for x in table.column(column)]
+    return [_unpacked(x.as_py(), kind) for x in table.column(column)]
 
 
 def _summed(requests: pa.Table, shards: int) -> pa.Table:
@@ -321,8 +330,8 @@ def _summed(requests: pa.Table, shards: int) -> pa.Table:
     word = keys >= WORD
     with np.errstate(over="ignore"):
         place = (mix(keys[~word] >> U(8 * (DEPTH - UPPER + 1))) % U(shards)).astype(np.int32)
-    rows = [(shard, None, keys[word].tobytes(), n[word].tobytes(), int((n[word] > 0).sum()), int(n[word].sum()))]
-    rows += [(shard, p, keys[~word][part].tobytes(), n[~word][part].tobytes(), 0, 0) for p, part in _parts(place)]
+    rows = [(shard, None, _packed(keys[word]), _packed(n[word]), int((n[word] > 0).sum()), int(n[word].sum()))]
+    rows += [(shard, p, _packed(keys[~word][part]), _packed(n[~word][part]), 0, 0) for p, part in _parts(place)]
     kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
     return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["shard", "place", "keys", "counts", "kinds", "total"])
 
@@ -350,7 +359,7 @@ def _deep(sums: pa.Table, shards: int) -> pa.Table:
     blank = [None] * (len(parts) - 1)
     longs = pa.list_(pa.int64())
     columns = [pa.array([name for name, _ in parts], pa.int32())]
-    columns += [pa.array([x.tobytes() for x in own], pa.binary()) for own in ([keys[p] for _, p in parts], [said[p].astype(np.float32) for _, p in parts])]
+    columns += [pa.array([_packed(x) for x in own], pa.binary()) for own in ([keys[p] for _, p in parts], [said[p].astype(np.float32).ravel() for _, p in parts])]
     columns += [pa.array([np.concatenate(x), *blank], longs) for x in (node, zeros, ones, w)]
     return pa.table(columns, names=["shard", "keys", "said", "node", "zeros", "ones", "w"])
 
@@ -362,17 +371,17 @@ def _answer(requests: pa.Table, model: pa.Table, upper) -> pa.Table:
         keys.append(own)
         raw = model.column("said")[i].as_py()
         if raw is None:
-            values.append(np.frombuffer(model.column("counts")[i].as_py(), np.int64).astype(np.float64))
+            values.append(_unpacked(model.column("counts")[i].as_py(), np.int64).astype(np.float64))
         else:
-            values.append(upper.value.cost(own, np.frombuffer(raw, np.float32).reshape(-1, 8)).astype(np.float32).astype(np.float64))
+            values.append(upper.value.cost(own, _unpacked(raw, np.float32).reshape(-1, 8)).astype(np.float32).astype(np.float64))
     keys, values = np.concatenate(keys), np.concatenate(values)
     order = np.argsort(keys, kind="stable")
     keys, values = keys[order], values[order]
     asked = _arrays(requests, "keys", U)
     found = [values[np.searchsorted(keys, x)] for x in asked]
     split = [int((x < WORD).sum()) for x in asked]
-    columns = [requests.column("batch"), requests.column("keys"), pa.array([v[:k].astype(np.float32).tobytes() for v, k in zip(found, split, strict=True)], pa.binary())]
-    columns.append(pa.array([v[k:].astype(np.int64).tobytes() for v, k in zip(found, split, strict=True)], pa.binary()))
+    columns = [requests.column("batch"), requests.column("keys"), pa.array([_packed(v[:k].astype(np.float32)) for v, k in zip(found, split, strict=True)], pa.binary())]
+    columns.append(pa.array([_packed(v[k:].astype(np.int64)) for v, k in zip(found, split, strict=True)], pa.binary()))
     return pa.table(columns, names=["batch", "keys", "bits", "known"])
 
 
@@ -447,7 +456,7 @@ def score(docs: DataFrame, scratch: Scratch, batch_bytes: int = BATCH) -> DataFr
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     sizes = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.when(~F.col("held_out"), 1)).alias("ends")).first()
     parts = 1 + (sizes["bytes"] or 0) // batch_bytes
-    table = scratch.keep(_requests(rows, parts, batch_bytes), "requests")
+    table = scratch.keep(_requests(rows, parts, batch_bytes), "requests", "zstd")
     requests = table.where("shard IS NOT NULL").select("batch", "shard", "keys", "counts")
     summed, deep = (partial(f, shards=parts) for f in (_summed, _deep))
     sums = requests.groupBy("shard").applyInArrow(lambda t: summed(t), "shard int, place int, keys binary, counts binary, kinds long, total long")
