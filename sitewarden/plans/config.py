@@ -8,6 +8,8 @@ from dataclasses import asdict, dataclass, field, fields
 from urllib.parse import urlsplit, urlunsplit
 
 PREFIX, AGENT = "SITEWARDEN_", "sitewarden"
+#: How one of a pool is chosen for a request.
+ROTATIONS = ("round-robin", "random", "sticky-host", "off")
 
 
 @dataclass
@@ -33,7 +35,11 @@ class Config:
     skip: list[str] = field(default_factory=list)
     render: str = "raw"
     format: str = "json"
+    adaptive_delay: bool = True
+    user_agents: list[str] = field(default_factory=list)
     rotation: str = "round-robin"
+    proxies: list[str] = field(default_factory=list)
+    proxy_rotation: str = "round-robin"
     basic_auth: str = ""
 
     def __post_init__(self):
@@ -42,9 +48,12 @@ class Config:
             user, _, host = parts.netloc.rpartition("@")
             self.basic_auth = self.basic_auth or user
             self.seed = urlunsplit((parts.scheme, host, parts.path, parts.query, ""))
-        for name, known in (("render", ("raw", "headless")), ("format", ("json", "csv", "html")), ("rotation", ("round-robin", "random", "sticky-host", "off"))):
+        for name, known in (("render", ("raw", "headless")), ("format", ("json", "csv", "html")), ("rotation", ROTATIONS), ("proxy_rotation", ROTATIONS)):
             if getattr(self, name) not in known:
                 raise ValueError(f"{name} is one of {', '.join(known)}, not {getattr(self, name)!r}")
+        for proxy in self.proxies:
+            if urlsplit(proxy).scheme != "http" or not urlsplit(proxy).hostname:
+                raise ValueError(f"a proxy is http://[user:password@]host[:port], not {proxy!r}")
         for pattern in self.include + self.exclude:
             re.compile(pattern)
         if self.basic_auth and ":" not in self.basic_auth:

@@ -92,12 +92,12 @@ def walk(spark: SparkSession, seed: str, look_up: Rows, links_of: Rows, limits:
     """
     store, began = Store(spark), time.time()
     key = lambda c: U.index_key(c, limits.strip_query)
-    seed_host = spark.range(1).select(U.hostname(F.lit(seed)).alias("h"), registrable(U.hostname(F.lit(seed))).alias("r")).first()
+    seed_host = home(spark, seed)
     frontier = spark.range(1).select(F.lit(0).cast("long").alias("rank"), key(F.lit(seed)).alias("key"), F.lit(seed).alias("url"), F.lit("").alias("referrer"))
     frontier = store.keep(frontier, "frontier-0")
     visited = store.append(frontier.select("key"), "visited")
     left = store.append(frontier.select("key", F.lit("").alias("reason")).where("false"), "left")
-    pages, robots, depth, n_pages = None, None, 0, 0
+    pages, depth, n_pages = None, 0, 0
     budget = limits.max_pages - 1 if limits.max_pages else None  # 0: as many as there are
     cut = {"page_limit": False, "depth_limit": False, "duration_limit": False, "interrupted": False}
     while not frontier.isEmpty():
@@ -121,17 +121,7 @@ def walk(spark: SparkSession, seed: str, look_up: Rows, links_of: Rows, limits:
             out = out.where(F.lit(limits.follow_nofollow) | ~F.col("nofollow")).withColumn("key", key(F.col("to")))
             out = out.join(visited.distinct().withColumnRenamed("key", "v"), F.col("key") == F.col("v"), "left_anti")
             out = out.groupBy("key").agg(F.min(F.struct("page_seq", "pos", "to")).alias("first")).select("key", "first.*")
-            judged = store.keep(out.withColumn("ok", _in_scope(F.col("to"), seed_host, limits)), f"found-{depth}")
-            if robots_of:
-                hosts = judged.where("ok").select(U.scheme(F.col("to")).alias("scheme"), U.host(F.col("to")).alias("host")).distinct()
-                if robots is not None:
-                    hosts = hosts.join(robots.select("scheme", "host"), ["scheme", "host"], "left_anti")
-                robots = store.append(robots_of(hosts).select("scheme", "host", "status", "body"), "robots")
-                rules = R.with_rules(robots)
-                rules = rules.select(F.col("scheme").alias("rs"), F.col("host").alias("rh"), F.struct("found", "status", "agents", "rules").alias("r"))
-                judged = judged.join(rules, (U.scheme(F.col("to")) == F.col("rs")) & (U.host(F.col("to")) == F.col("rh")), "left")
-                shut = ~R.allowed(R.robots_path(F.col("to")), F.lit(limits.agent))
-                judged = judged.withColumn("ok", F.col("ok") & ~shut).drop("rs", "rh", "r")
+            judged = store.keep(judge(store.keep(out, f"found-{depth}"), "to", seed_host, limits, robots_of), f"judged-{depth}")
             visited = store.append(judged.select("key"), "visited")  # what is out of scope is not tested again
             fresh = judged.where("ok").drop("ok")
             if limits.max_depth and depth >= limits.max_depth:
@@ -163,6 +153,27 @@ def walk(spark: SparkSession, seed: str, look_up: Rows, links_of: Rows, limits:
     return pages.drop("rank", "final_key"), left, coverage | {k: v and (n_left > 0 or k in ended) for k, v in cut.items()}
 
 
+def home(spark: SparkSession, seed: str) -> dict:
+    """The host of a seed, and the domain it belongs to."""
+    return spark.range(1).select(U.hostname(F.lit(seed)).alias("h"), registrable(U.hostname(F.lit(seed))).alias("r")).first().asDict()
+
+
+def judge(rows: DataFrame, column: str, seed_host: dict, limits: Limits, robots_of: Rows | None = None) -> DataFrame:
+    """``rows`` with ``ok``: whether the URL in a column is in scope and, by the file of its scheme and host, open to robots.
+
+    Links are judged so before they are queued, and redirects before they are followed.
+    """
+    to = F.col(column)
+    scoped = rows.withColumn("ok", _in_scope(to, seed_host, limits))
+    if not robots_of:
+        return scoped
+    hosts = scoped.where("ok").select(U.scheme(to).alias("scheme"), U.host(to).alias("host")).distinct()
+    rules = R.with_rules(robots_of(hosts).select("scheme", "host", "status", "body"))
+    rules = rules.select(F.col("scheme").alias("rs"), F.col("host").alias("rh"), F.struct("found", "status", "agents", "rules").alias("r"))
+    known = scoped.join(rules, (U.scheme(to) == F.col("rs")) & (U.host(to) == F.col("rh")), "left")
+    return known.withColumn("ok", F.col("ok") & R.allowed(R.robots_path(to), F.lit(limits.agent))).drop("rs", "rh", "r")
+
+
 def _in_scope(to, seed_host, limits: Limits):
     host = U.hostname(to)
     ok = U.scheme(to).isin("http", "https")
@@ -203,15 +214,17 @@ def crawl(seed: str, responses: DataFrame, links: DataFrame, limits: Limits | No
     return pages.select("page_seq", "key", "url", "depth", "final_url", "status_code"), left, coverage
 
 
-def rotated(urls: DataFrame, pool: list[str], how: str = "round-robin") -> DataFrame:
-    """``urls(rank, url)`` with an ``agent`` from the pool: in turn, by host, at random, or the first."""
+def rotated(urls: DataFrame, pool: list[str], how: str = "round-robin", column: str = "agent") -> DataFrame:
+    """``urls(rank, url)`` with one of the pool: in turn, by host, at random, or the first; null where there is none to choose."""
+    if not pool:
+        return urls.withColumn(column, F.lit(None).cast("string"))
     names = F.array(*map(F.lit, pool))
     if how == "off":
         place = F.lit(0)
     elif how == "sticky-host":
         place = R_.pick(U.host(F.col("url")), len(pool))
     elif how == "random":
-        place = F.floor(F.rand(7) * len(pool))
+        place = F.floor(F.rand() * len(pool))
     else:
         place = F.pmod(F.col("rank"), F.lit(len(pool)))
-    return urls.withColumn("agent", F.element_at(names, place.cast("int") + 1))
+    return urls.withColumn(column, F.element_at(names, place.cast("int") + 1))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions import urls as U
 from ..operators import robots as R
 from ..operators import sitemaps as M
-from ..sources.fetch import Fetch, fetch_all, fetch_bodies
-from ..sources.html import with_features
+from ..sources import schema
+from ..sources.fetch import PAGE_PARTS, TOO_MANY, Fetch, fetch_all, fetch_bodies, hops
+from ..streaming import throttle
 from . import audit, crawl
 from .config import AGENT, Config
 
@@ -32,14 +36,72 @@ class Crawled:
 
 def fetch_options(config: Config) -> Fetch:
     return Fetch(
-        agent=AGENT, timeout=config.timeout, max_bytes=config.max_body_bytes, max_redirects=config.max_redirects,
+        agent=(config.user_agents or [AGENT])[0], adaptive=config.adaptive_delay, timeout=config.timeout, max_bytes=config.max_body_bytes, max_redirects=config.max_redirects,
         user=config.basic_auth, auth_host=urlsplit(config.seed).hostname or "", rate=config.rate,
     )
 
 
 def limits(config: Config) -> crawl.Limits:
     names = ("max_pages", "max_depth", "follow_external", "follow_nofollow", "allow_subdomains", "strip_query", "include", "exclude", "max_seconds")
-    return crawl.Limits(**{n: getattr(config, n) for n in names})
+    return crawl.Limits(agent=(config.user_agents or [AGENT])[0], **{n: getattr(config, n) for n in names})
+
+
+class Hops:
+    """Answers to a frontier, redirects followed hop by hop.
+
+    A redirect is a row of the next hop only if its target is in scope and open
+    to robots; otherwise the page has an error, no status, and the hop that was
+    refused. The limiter's state is a table that every hop reads and folds its
+    answers into, so all tasks and waves of a crawl share it.
+    """
+
+    def __init__(self, spark: SparkSession, config: Config, options: Fetch, robots_of: crawl.Rows | None):
+        self.config, self.options, self.robots_of = config, options, robots_of
+        self.store, self.waves = crawl.Store(spark), 0
+        self.home = crawl.home(spark, config.seed)
+        self.limiter = spark.createDataFrame([], throttle.STATE)
+
+    def _ask(self, flight: DataFrame, name: str) -> DataFrame:
+        """One hop of ``flight(rank, at, secure)``, at the limiter's times."""
+        config, options = self.config, self.options
+        asked = flight.withColumns({"host": U.host(F.col("at")), "url": F.col("at")})
+        asked = crawl.rotated(crawl.rotated(asked, config.user_agents, config.rotation), config.proxies, config.proxy_rotation, "proxy")
+        planned = throttle.schedule(asked, self.limiter, time.time(), options.rate)
+        got = self.store.keep(hops(planned, options, config.concurrency), f"got-{name}")
+        status = F.col("status_code") if options.adaptive else F.lit(0)
+        seen = got.select(U.host(F.col("at")).alias("host"), F.col("seen_at").alias("at"), F.col("rank").alias("seq"), "sent_at", status.alias("status_code"), F.least("retry_after", F.lit(options.longest_wait)).alias("retry_after"))
+        self.limiter = self.store.keep(throttle.carried(self.limiter, seen, options.rate), f"limiter-{name}")
+        return got
+
+    def __call__(self, frontier: DataFrame) -> DataFrame:
+        """``frontier(rank, key, url, referrer)`` with the columns of a page."""
+        store, self.waves = self.store, self.waves + 1
+        flight = frontier.select("rank", F.col("url").alias("at"), (U.scheme(F.col("url")) == "https").alias("secure"))
+        for hop in range(self.config.max_redirects + 1):
+            name = f"{self.waves}-{hop}"
+            got = self._ask(flight, name)
+            answers = store.append(got.where("to IS NULL"), f"answers-{self.waves}")
+            led = got.where("to IS NOT NULL")
+            trail = store.append(led.select("rank", F.lit(hop).alias("hop"), F.col("at").alias("from"), "to", F.col("status_code").alias("status"), "duration_ms"), f"trail-{self.waves}")
+            judged = store.keep(crawl.judge(led, "to", self.home, limits(self.config), self.robots_of), f"led-{name}")
+            shut = judged.where("NOT ok").drop("ok")
+            refused = {"err": F.concat(F.lit("redirect to "), "to", F.lit(" refused by scope, exclusions or robots")), "status_code": F.lit(0), "headers": F.lit(None).cast(got.schema["headers"].dataType), "duration_ms": F.lit(0).cast("long")}
+            answers = store.append(shut.withColumns(refused).withColumn("to", F.lit(None).cast("string")), f"answers-{self.waves}")
+            flight = judged.where("ok").select("rank", F.col("to").alias("at"), "secure")
+            if flight.isEmpty():
+                break
+        else:
+            ended = judged.where("ok").drop("ok").withColumns(refused).withColumns({"err": F.lit(TOO_MANY), "at": F.col("to"), "to": F.lit(None).cast("string")})
+            answers = store.append(ended, f"answers-{self.waves}")
+        way = trail.groupBy(F.col("rank").alias("n")).agg(F.array_sort(F.collect_list(F.struct("hop", "from", "to", "status"))).alias("way"), F.sum("duration_ms").alias("before"))  # at most ``max_redirects`` each
+        rows = answers.join(way, F.col("rank") == F.col("n"), "left").join(frontier.withColumnRenamed("rank", "m"), F.col("rank") == F.col("m"))
+        made = {
+            "requested_url": F.col("url"), "final_url": F.col("at"), "duration_ms": F.col("duration_ms") + F.coalesce("before", F.lit(0)),
+            "redirects": F.coalesce(F.transform("way", lambda w: F.struct(w["from"].alias("from"), w["to"].alias("to"), w["status"].alias("status"))), F.array()),
+        }
+        kept = [f for f in StructType.fromDDL(schema.PAGES) if f.name not in ("page_seq", "depth", "referrer")]
+        column = lambda f: made.get(f.name, F.col(f.name) if f.name in PAGE_PARTS else F.lit(None)).cast(f.dataType).alias(f.name)
+        return rows.select("rank", "key", "url", "referrer", *map(column, kept))
 
 
 def robots_of(options: Fetch) -> Callable[[DataFrame], DataFrame]:
@@ -77,12 +139,6 @@ def crawl_site(spark: SparkSession, config: Config, stop: Callable[[], bool] | N
     parts = urlsplit(seed)
     base = f"{parts.scheme}://{parts.netloc}"
 
-    def look_up(frontier: DataFrame) -> DataFrame:
-        asked = frontier.select("rank", "key", F.col("url").alias("asked"), F.col("referrer").alias("by"))
-        got = fetch_all(frontier.select(F.col("rank").alias("page_seq"), "url"), options, config.concurrency).withColumnRenamed("page_seq", "n").drop("depth", "referrer")
-        joined = got.join(asked, F.col("n") == F.col("rank")).withColumnsRenamed({"asked": "url", "by": "referrer"}).drop("n")
-        return audit.prepare(joined.withColumn("page_seq", F.col("rank"))).drop("page_seq")
-
     def links_of(wave: DataFrame) -> DataFrame:
         return wave.where("f IS NOT NULL").select("page_seq", F.posexplode("f.anchors").alias("pos", "a")).select("page_seq", "pos", F.col("a.resolved").alias("to"), F.col("a.nofollow").alias("nofollow"))
 
@@ -95,6 +151,11 @@ def crawl_site(spark: SparkSession, config: Config, stop: Callable[[], bool] | N
         known = store.append(store.keep(robots_of(options)(new), "robots-new"), "robots")
         return known.join(hosts, ["scheme", "host"], "left_semi")
 
+    ask = Hops(spark, config, options, robots_rows if config.robots else None)
+
+    def look_up(frontier: DataFrame) -> DataFrame:
+        return audit.prepare(ask(frontier).withColumn("page_seq", F.col("rank"))).drop("page_seq")
+
     robots_rows(spark.createDataFrame([(parts.scheme, parts.netloc.lower())], "scheme string, host string"))
     pages, left, coverage = crawl.walk(spark, seed, look_up, links_of, limits(config), robots_rows if config.robots else None, stop)
     names, _ = audit.select(audit.Options(enabled=config.analyzers, disabled=config.skip, strip_query=config.strip_query))

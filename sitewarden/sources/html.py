@@ -26,6 +26,7 @@ from pyspark.sql.types import IntegerType, StructType
 
 from ..functions.text import INTERROGATIVES, collapse_py, fields
 from . import schema
+from .spans import Spans
 
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -34,6 +35,7 @@ _BLOCKS = {
     "address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header",
     "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul",
 }
+_WALLS = (*sorted(_BLOCKS), "li", "dt", "dd", "td", "th", "caption", "button", "object", "svg", "template")
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _FENCES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
@@ -53,10 +55,9 @@ REQUIRED = {
     "FAQPage": ["mainEntity"],
     "VideoObject": ["name", "thumbnailUrl"],
 }
-#: Patterns of prices, purchase prompts, data points and leaked template markup.
+#: Patterns of prices, purchase prompts and leaked template markup.
 PRICE = re.compile(r"[$€£¥]\s?\d[\d,.]*\d|\b\d[\d,.]*\d\s?(?:USD|EUR|GBP)\b", re.ASCII)
 CART = re.compile(r"(?i)add.?to.?cart|buy now|add.?to.?bag|add.?to.?basket")
-QUOTABLE = re.compile(r"[$€£¥]\s?\d[\d,.]*|\d[\d,.]*\s?%|\b\d[\d,.]*\b", re.ASCII)
 LEAKS = (re.compile(r"(?i)\[acf[_\s\]]", re.ASCII), re.compile(r"(?i)\b(?:the|get)(?:_sub)?_field\s*\(", re.ASCII))
 _LOADS = {"stylesheet", "icon", "shortcut icon", "preload", "modulepreload", "prefetch", "manifest", "apple-touch-icon"}
 
@@ -91,6 +92,7 @@ class Document:
                 stack.append((x,))
                 stack += reversed(x.children)
         self.flat = "".join(texts)
+        self.spans = Spans(self.flat)
 
     def get(self, *tags: str) -> list[Node]:
         """All elements with one of the tags, in order."""
@@ -99,6 +101,10 @@ class Document:
     def text(self, node: Node) -> str:
         return self.flat[node.begin : node.end]
 
+    def prose(self) -> list[tuple[int, int]]:
+        """Where the texts of paragraphs and list items are, in order; they may overlap."""
+        return [(n.begin, n.end) for n in self.get("p", "li")]
+
     def within(self, node: Node, *tags: str) -> list[Node]:
         """The descendants with one of the tags, in order."""
         place = lambda n: n.first
@@ -139,6 +145,11 @@ class _Builder(HTMLParser):
         while len(self.path) > place:
             self.open[self.path.pop().tag].pop()
 
+    @property
+    def wall(self) -> int:
+        """The place of the innermost open element that isn't formatting."""
+        return max((self.open[t][-1] for t in _WALLS if self.open[t]), default=-1)
+
     def _to_body(self) -> None:
         if self.early:
             self._cut(0)
@@ -162,6 +173,10 @@ class _Builder(HTMLParser):
             self._close({"p"}, {"button", "table", "td", "th"})
         if tag in _CLOSES:
             self._close(_CLOSES[tag], _FENCES[tag])
+        if tag in _HEADINGS and self.path and self.path[-1].tag in _HEADINGS:
+            self._cut(len(self.path) - 1)
+        if tag == "a" and self.open["a"] and self.open["a"][-1] > self.wall:
+            self._cut(self.open["a"][-1])  # a link ends where the next begins, if only formatting is open between them
         node = Node(tag, named, self.at)
         self.at.children.append(node)
         if tag not in _VOID:
@@ -304,13 +319,13 @@ def extract(html: str, url: str) -> dict:
             siblings = n.parent.children
             if n.parent.first not in places:  # where each child is, worked out once for a parent
                 places[n.parent.first] = {id(s): i for i, s in enumerate(siblings)}
-            answer = []
+            answer = 0
             for i in range(places[n.parent.first][id(n)] + 1, len(siblings)):
                 if isinstance(s := siblings[i], Node):
                     if s.tag in _HEADINGS:
                         break
-                    answer.append(text_of(s))
-            questions.append({"text": collapse_py(text_of(n)), "answer_words": len(fields(" ".join(answer)))})
+                    answer += page.spans.words(s.begin, s.end)
+            questions.append({"text": collapse_py(text_of(n)), "answer_words": answer})
     f["questions"] = questions
     base = next((resolve(url, n.attrs["href"]) for n in get("base") if n.attrs.get("href")), None) or url
     seen, anchors, own = set(), [], _host(url)
@@ -341,8 +356,7 @@ def extract(html: str, url: str) -> dict:
     price = PRICE.search(text)
     f["price"], f["has_cart"] = price.group() if price else None, bool(CART.search(text))
     f["microdata"] = any(n.attrs.get("itemprop") == "price" or re.search("schema.org/(Product|Offer)", n.attrs.get("itemtype", "")) for n in nodes)
-    prose = "".join(map(text_of, get("p", "li")))
-    f["prose_words"], f["data_points"] = len(fields(prose)), len(QUOTABLE.findall(collapse_py(prose)))
+    f["prose_words"], f["data_points"] = page.spans.joined_words(page.prose()), page.spans.joined_points(page.prose())
     mains = get("main", "article")
     first = mains[0] if mains else None
     f["main_count"], f["article_count"] = len(mains), len(get("article"))
@@ -383,7 +397,7 @@ def extract(html: str, url: str) -> dict:
 
 def _raw_prose(html: str) -> int:
     page = parse(html)
-    return len(fields("".join(map(page.text, page.get("p", "li")))))
+    return page.spans.joined_words(page.prose())
 
 
 def with_features(pages: DataFrame) -> DataFrame:

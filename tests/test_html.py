@@ -1,4 +1,13 @@
+import random
+import time
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from sitewarden.functions.text import collapse_py, fields
 from sitewarden.sources.html import canonical, extract, parse, resolve
+from sitewarden.sources.spans import QUOTABLE, Spans
 
 URL = "https://a.example/dir/page"
 
@@ -50,8 +59,6 @@ def test_empty_page():
 
 
 def test_deep_pages_take_linear_time():
-    import time
-
     def seconds(n):
         deep = "<div><p>x" * n + "<a href=/b>t</a>" + "<h2>Why?</h2><p>So.</p>" * (n // 10) + '<script type="application/ld+json">' + "[" * n + "</script>"
         began = time.process_time()
@@ -66,3 +73,47 @@ def test_deep_pages_take_linear_time():
 def test_text_without_scripts():
     page = parse("<body>a<code>b<pre>c</pre></code>d<style>e</style>f")
     assert page.text_without(page.root, frozenset(("code", "pre", "style"))) == "adf"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab1 2,.$%\n\xa0é€_", max_size=40), st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=6))
+def test_counts_over_slices(text, slices):
+    """Words and data points of any slices, overlapping or not, are those of the text they make."""
+    slices = [(min(a, b, len(text)), min(max(a, b), len(text))) for a, b in slices]
+    made, spans = "".join(text[a:b] for a, b in slices), Spans(text)
+    assert spans.joined_words(slices) == len(fields(made))
+    assert spans.joined_points(slices) == len(QUOTABLE.findall(collapse_py(made)))
+    assert [spans.words(a, b) for a, b in slices] == [len(fields(text[a:b])) for a, b in slices]
+
+
+NESTED = {
+    "li": "<ul><li>some words here 12 of 5 % ", "h2": "<div><h2>What?</h2>so ", "bare h2": "<h2>What is it?", "blockquote": "<blockquote><p>it is 7 $ 3 ", "a": "<a href=/{i}>text ", "table": "<table><tr><td>cell 1,000 ",
+    "question list": "<ul><li><h3>Why?</h3><p>for 1 ", "links in blocks": "<div><a href=/{i}>go</a> ", "div": "<div class=breadcrumb><b>x ",
+}
+
+
+@pytest.mark.parametrize("kind", NESTED)
+def test_deep_pages_of_a_megabyte(kind):
+    unit = NESTED[kind]
+    n = (1 << 20) // len(unit)
+    html = "".join(unit.replace("{i}", str(i)) for i in range(n))
+    began = time.process_time()
+    f = extract(html, "https://a.example/")
+    assert time.process_time() - began < 6 and f["body_words"] >= n / 2  # a second or two on a free core
+
+
+def test_nested_items_count_at_each_level():
+    """The texts of nested items are counted once a level, as they are when each is taken by itself."""
+    rng = random.Random(2)
+    for _ in range(50):
+        html = "".join(rng.choice(["<ul>", "<li>", "<p>", "</li>", "</ul>", "1,5 ", "word", " ", "$3", "%", "<b>9</b>"]) for _ in range(60))
+        page = parse(html)
+        prose = "".join(map(page.text, page.get("p", "li")))
+        f = extract(html, URL)
+        assert (f["prose_words"], f["data_points"]) == (len(fields(prose)), len(QUOTABLE.findall(collapse_py(prose))))
+
+
+def test_links_and_headings_close_each_other():
+    f = extract("<a href=/1>one <b>two <a href=/2>three</a></b><h2>first<h3>second</h3>", URL)
+    assert [(a["href"], a["anchor"]) for a in f["anchors"]] == [("/1", "one two"), ("/2", "three")]
+    assert [(h["level"], h["text"]) for h in f["headings"]] == [(2, "first"), (3, "second")]

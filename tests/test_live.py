@@ -9,8 +9,9 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 import pytest
 
 from sitewarden.__main__ import main
-from sitewarden.plans import audit, config, live
-from sitewarden.sources.fetch import Fetch, Pace, Paced, retry_after
+from sitewarden.plans import audit, config, crawl, live
+from sitewarden.sources.fetch import Fetch, Pace, Paced, ask, retry_after
+from sitewarden.streaming import throttle
 
 
 def page(title, *links, more=""):
@@ -138,3 +139,109 @@ def test_commands(spark, site, tmp_path, capsys):
     assert main(["compare", store, f"{host}/20240101T000000Z", f"{host}/20240201T000000Z", "--format", "json", "--fail-on-new"]) == 1
     diff = json.loads(capsys.readouterr().out)
     assert diff["counts"]["new"] > 0 and diff["new"] and "severity:info" in diff["summary_delta"]
+
+
+@pytest.fixture
+def serve():
+    """Servers made of a function: path and headers in, status, headers and body out; and what they were asked."""
+    running = []
+
+    def start(answer):
+        asked = []
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_GET(self):
+                asked.append((self.path, time.time(), dict(self.headers)))
+                status, headers, body = answer(self.path)
+                self.send_response(status)
+                for k, v in ({"Content-Type": "text/html"} | headers).items():
+                    self.send_header(k, v)
+                self.end_headers()
+                self.wfile.write(body.encode())
+
+            def log_message(self, *_):
+                pass
+
+        server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        running.append(server)
+        return server.server_port, asked
+
+    yield start
+    for server in running:
+        server.shutdown()
+
+
+def test_redirects_stay_in_scope(spark, serve):
+    """A hop that leaves the host, is excluded, or is closed to robots is refused before it is asked; the chain up to there is kept."""
+    away, foreign = serve(lambda path: (200, {}, page("Elsewhere")))
+
+    def answer(path):
+        to = {"/out": f"http://localhost:{away}/x", "/hop": "/hop2", "/hop2": "/end", "/shut": "/private", "/cut": "/no/way", "/round": "/round", "/bare": "", "/odd": "ftp://x/"}.get(path)
+        if to is not None:
+            return 302, {"Location": to} if to else {}, ""
+        if path == "/robots.txt":
+            return 200, {"Content-Type": "text/plain"}, "User-agent: *\nDisallow: /private\n"
+        return 200, {}, page("The start page", "/out", "/hop", "/shut", "/cut", "/round", "/bare", "/odd") if path == "/" else page("An end")
+
+    port, asked = serve(answer)
+    base = f"http://127.0.0.1:{port}"
+    made = live.crawl_site(spark, config.Config(seed=f"{base}/", exclude=["/no/"], max_redirects=3, analyzers=["seo"]))
+    rows = {r.requested_url.removeprefix(base): r for r in made.pages.collect()}
+    hops = lambda p: [(h["from"].removeprefix(base), h["to"].removeprefix(base), h["status"]) for h in rows[p].redirects]
+    assert not foreign and not {"/private", "/no/way"} & {p for p, _, _ in asked}
+    for path, to in (("/out", f"http://localhost:{away}/x"), ("/shut", "/private"), ("/cut", "/no/way")):
+        assert rows[path].status_code == 0 and rows[path].err and rows[path].final_url == base + path and hops(path) == [(path, to, 302)]
+    assert rows["/hop"].status_code == 200 and rows["/hop"].final_url == f"{base}/end" and hops("/hop") == [("/hop", "/hop2", 302), ("/hop2", "/end", 302)]
+    assert rows["/round"].err == "too many redirects" and len(hops("/round")) == 4
+    assert (rows["/bare"].status_code, rows["/odd"].status_code) == (302, 0) and rows["/bare"].err and rows["/odd"].err
+    open_ = live.crawl_site(spark, config.Config(seed=f"{base}/", max_pages=2, follow_external=True, robots=False, analyzers=["seo"]))
+    assert {r.final_url for r in open_.pages.where("requested_url like '%/out'").collect()} == {f"http://localhost:{away}/x"} and foreign
+
+
+def test_one_limiter_for_all_waves(spark, serve):
+    """After a 429 every later request of the host keeps its distance, whatever task or wave it belongs to."""
+    links = {"/": ("/a", "/b"), "/a": ("/c", "/d", "/e")}
+    port, asked = serve(lambda path: (429 if path == "/b" else 200, {}, page(f"Page {path}", *links.get(path, ()))))
+    live.crawl_site(spark, config.Config(seed=f"http://127.0.0.1:{port}/", robots=False, analyzers=["seo"], concurrency=4))
+    at = {p: t for p, t, _ in asked}
+    late = sorted(at[p] for p in ("/c", "/d", "/e"))
+    assert late[0] - at["/b"] >= 0.99 and min(b - a for a, b in zip(late, late[1:])) >= 0.95
+
+
+def test_limiter_table(spark):
+    """The state after a wave is what one limiter has that sees the same answers; requests are a rate apart."""
+    answers = [("a", 10.0, 1, 9.5, 200, 0.0), ("a", 11.0, 2, 10.5, 429, 0.0), ("a", 12.0, 3, 11.5, 503, 0.0), ("a", 14.0, 4, 13.5, 503, 7.0), ("b", 10.0, 5, 9.9, 200, 0.0), ("c", 10.0, 6, 9.0, 429, 9999.0)]
+    rows = spark.createDataFrame(answers, "host string, at double, seq long, sent_at double, status_code int, retry_after double")
+    state = spark.createDataFrame([("b", 4.0, None, 0.0), ("d", 1.0, 3.0, 99.0)], throttle.STATE)
+    after = throttle.carried(state, rows)
+    got = {r.host: (r.rate, r.last, r.free) for r in after.collect()}
+    pace = Pace(0, 300, free=0)
+    for _, at, _, sent, status, retry in answers[:4]:
+        pace.wait(sent)
+        pace.seen(status, str(retry), at)
+    assert got["a"] == (pace.rate, pace.last, 21.0) and pace.rate == 1 / 7
+    assert got["b"] == (4.0, -1e18, 9.9 + 0.25) and got["c"] == (1 / 300, 10.0, 310.0) and got["d"] == (1.0, 3.0, 99.0)
+    asked = spark.createDataFrame([("a", i) for i in range(4)] + [("new", 9), ("d", 1)], "host string, rank long")
+    times = {(r.host, r.rank): r.send_at for r in throttle.schedule(asked, after, 20.0).collect()}
+    assert [times["a", i] for i in range(4)] == [21.0 + 7 * i for i in range(4)] and times["new", 9] == 20.0 and times["d", 1] == 99.0
+
+
+def test_agents_and_proxies_rotate(spark, serve):
+    links = {"/": ("/a", "/b", "/c")}
+    port, asked = serve(lambda path: (200, {}, page(f"Page {path}", *links.get(path, ()))))
+    via, proxied = serve(lambda path: (200, {}, page("By proxy")))
+    seed = f"http://127.0.0.1:{port}/"
+    agents = lambda: [h["User-Agent"] for p, _, h in asked if not p.endswith(".txt")]
+    live.crawl_site(spark, config.Config(seed=seed, robots=False, analyzers=["seo"], user_agents=["one", "two"]))
+    assert sorted(agents()) == ["one", "one", "two", "two"]
+    asked.clear()
+    live.crawl_site(spark, config.Config(seed=seed, robots=False, analyzers=["seo"], user_agents=["one", "two"], rotation="sticky-host"))
+    assert len(set(agents())) == 1 and len(agents()) == 4
+    asked.clear()
+    live.crawl_site(spark, config.Config(seed=seed, robots=False, analyzers=["seo"], proxies=[f"http://me:pa%20ss@127.0.0.1:{via}"]))
+    assert [p for p, _, _ in proxied] == [seed] and not [p for p, _, _ in asked if not p.endswith(".txt")]
+    assert proxied[0][2]["Proxy-Authorization"] == "Basic bWU6cGEgc3M=" and ask("https://127.0.0.1:1/", Fetch(timeout=1), True, None, f"http://127.0.0.1:{via}")["err"]
+    with pytest.raises(ValueError):
+        config.Config(proxies=["socks5://x"])
+    assert crawl.rotated(spark.range(3).selectExpr("id AS rank", "'http://h/' AS url"), []).where("agent IS NULL").count() == 3
