@@ -4,8 +4,7 @@ Each stage takes ``(spark, docs, sf_dir)``, works on everything that its
 predecessor kept, and returns a DataFrame that is written as Parquet and read
 again as the next one's ``docs``. All but the last return the columns of
 ``documents``. Nulls, repeated rows and empty tables are what the operators'
-docstrings say; a document that line dedup empties altogether goes, and of
-rows that share an id the n-gram stage keeps one.
+docstrings say; a document that line dedup empties altogether goes.
 """
 
 from __future__ import annotations
@@ -37,12 +36,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    scratch = Scratch(spark)
-    first = jaccard.join(docs.select("doc_id", "text"), scratch).where("doc_id = component_id")
-    first = scratch.keep(first.select(F.col("doc_id").alias("keep")).distinct(), "first")
-    kept = docs.join(first.hint("merge"), F.col("doc_id") == F.col("keep"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group of near copies: the smallest id, of equal ids the smallest hash of a text, null ids last.
+
+    Rows are told apart by a number of their own, so unlike texts under one id
+    all stay, and rows without an id are compared like any other.
+    """
+    scratch, row = Scratch(spark), "_".join(["row", *docs.columns])
+    rows = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = jaccard.join(rows.select(F.col(row).alias("doc_id"), "text"), scratch).select(F.col("doc_id").alias("n"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("bare"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col(row).alias("n"))
+    ranked = rows.select(F.col(row).alias("of"), rank.alias("rank")).join(found, F.col("of") == F.col("n"))
+    first = scratch.keep(ranked.groupBy("component_id").agg(F.min("rank").alias("first")).select(F.col("first.n").alias("keep")), "kept")
+    return rows.join(first.hint("merge"), F.col(row) == F.col("keep"), "left_semi").drop(row)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

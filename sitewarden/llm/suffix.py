@@ -394,7 +394,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id, n_bytes, spans, kept``: removed byte ranges and the bytes that stay, for every row."""
-    ranges = repeated(docs, scratch).groupBy(F.col("doc").alias("rd"), F.col("doc2").alias("rd2")).agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    ranges = repeated(docs, scratch).groupBy(F.col("doc").alias("rd"), F.col("doc2").alias("rd2")).agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))  # equal rows share a key: each range once
     ranges = scratch.keep(ranges, "ranges")
     scratch.drop("shared", "kinds", "pieces", "strings", "twice")
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -14,6 +14,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -395,18 +396,60 @@ def test_changed_passages(spark, length, share, indels, recall):
     assert len(caught) >= 200 * recall
 
 
-def test_maximal_passages():
+def test_inner_passages():
     rng = random.Random(13)
     rows = sorted({(rng.randint(0, 3), rng.randint(0, 6), a, -(a + rng.randint(1, 12))) for _ in range(400) for a in [rng.randint(0, 40)]})
     columns = {"doc_id": [r[0] for r in rows], "other_doc_id": [r[1] for r in rows], "start": [r[2] for r in rows], "end": [-r[3] for r in rows]}
     table = pa.table(columns)
-    got = pa.Table.from_batches(chains._maximal(iter(table.to_batches(max_chunksize=7)))).to_pylist()
+    got = pa.Table.from_batches(chains._inner(iter(table.to_batches(max_chunksize=7)))).to_pylist()
     want, held = [], []
     for r in table.to_pylist():
-        if not any(h["doc_id"] == r["doc_id"] and h["start"] <= r["start"] and r["end"] <= h["end"] for h in held):
-            want.append(r)
+        inner = any(h["doc_id"] == r["doc_id"] and h["start"] <= r["start"] and r["end"] <= h["end"] for h in held)
+        want.append(r | {"inner": inner})
         held.append(r)
-    assert got == want and len(want) < len(held)
+    assert got == want and 0 < sum(r["inner"] for r in got) < len(held)
+
+
+def test_exact_pair_beside_a_changed_copy(spark):
+    """Two documents share a passage exactly; a third has its surroundings too, with words changed. Both pairs are reported."""
+    rng = random.Random(21)
+    names = [f"w{i}" for i in range(5000)]
+    rows = []
+    for k in range(0, 90, 3):
+        around = [rng.choice(names) for _ in range(120)]
+        changed = [rng.choice(names) if rng.random() < 0.08 else w for w in around]
+        own = lambda n: [rng.choice(names) for _ in range(n)]
+        rows += [(k, " ".join(own(50) + changed + own(50))), (k + 1, " ".join(own(50) + around[30:90] + own(50))), (k + 2, " ".join(own(40) + around + own(20)))]
+    got = chains.passages(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()
+    pairs = {(r.doc_id, r.other_doc_id) for r in got}
+    assert all((k + 2, k + 1) in pairs for k in range(0, 90, 3)) and all((k + 2, k) in pairs for k in range(0, 90, 3))
+
+
+def test_rows_that_are_equal(spark):
+    """Many rows of one text and no id: each gives what one of them gives, in time that grows with them."""
+    text = " ".join(f"w{i * i % 977}" for i in range(400))
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    other = spark.createDataFrame([(1, text[:900] + " end"), (2, "alone")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = suffix.dedup(docs.unionAll(other), Scratch(spark)).groupBy("doc_id", "n_bytes", "spans").count().collect()
+    assert time.perf_counter() - began < 120
+    assert {(r.doc_id, r.n_bytes, tuple((s.begin, s.end) for s in r.spans), r["count"]) for r in got} == {(None, len(text), ((0, len(text)),), 20_000), (1, 904, ((0, 900),), 1), (2, 5, (), 1)}
+
+
+def test_one_of_each_group_stays(spark):
+    """Unlike texts under one id all stay, rows without an id are compared, and reruns agree."""
+    rng = random.Random(3)
+    names = [f"w{i}" for i in range(3000)]
+    text = lambda: " ".join(rng.choice(names) for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(5, a), (5, b), (5, b), (6, a + " more"), (None, b), (None, c), (None, c + " more"), (2, d), (1, d), (None, d), (9, None), (9, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard"]
+    got = [sorted(map(repr, stage(spark, docs.repartition(n), "").collect())) for n in (3, 7)]
+    kept = stage(spark, docs, "").collect()
+    assert got[0] == got[1] and stage(spark, docs, "").columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept if r.text) - Counter({(None, c): 1, (None, c + " more"): 1}) == Counter({(5, a): 1, (5, b): 1, (1, d): 1})
+    assert sum(r.text in (c, c + " more") for r in kept) == 1 and sum(not r.text for r in kept) == 3
 
 
 def test_every_repeated_window(spark):
