@@ -106,3 +106,34 @@ def query_pairs(url: Column) -> Column:
 def first_value(pairs: Column, key: str) -> Column:
     """The first value of a key, empty if there is none."""
     return F.coalesce(F.get(F.filter(pairs, lambda e: e["key"] == key), 0)["value"], F.lit(""))
+
+
+_REFERENCE = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+
+
+def without_dots(path: Column) -> Column:
+    """A path whose ``.`` and ``..`` segments are carried out: segments go on a stack, ``..`` takes one off, and nothing leaves the root."""
+    segments = F.split(F.regexp_replace(path, "^/", ""), "/")
+    stack = F.aggregate(
+        segments,
+        F.array().cast("array<string>"),
+        lambda held, s: F.when(s == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).when(s == ".", held).otherwise(F.array_append(held, s)),
+    )
+    closed = F.when(F.element_at(segments, -1).isin(".", ".."), F.array_append(stack, F.lit(""))).otherwise(stack)
+    return F.when(path.startswith("/"), F.concat(F.lit("/"), F.array_join(closed, "/"))).otherwise(path)
+
+
+def resolve(base: Column, reference: Column) -> Column:
+    """A reference taken relative to a base, as RFC 3986 has it in 5.2 (strict)."""
+    ref, at = F.trim(reference), F.trim(base)
+    own = lambda n: F.regexp_extract(ref, _REFERENCE, n)
+    of = lambda n: F.regexp_extract(at, _REFERENCE, n)
+    before = lambda c: F.regexp_replace(c, "#.*$", "")
+    has_scheme, has_host = own(1) != "", ref.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//")
+    host_of_base = at.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//")
+    merged = F.when(host_of_base & (of(3) == ""), F.concat(F.lit("/"), own(3))).otherwise(F.concat(F.regexp_extract(of(3), "^.*/", 0), own(3)))
+    path = F.when(has_scheme | has_host, without_dots(own(3))).when(own(3) == "", of(3)).when(own(3).startswith("/"), without_dots(own(3))).otherwise(without_dots(merged))
+    keeps = ~has_scheme & ~has_host & (own(3) == "") & ~before(ref).contains("?")  # the base's query stays
+    asked = F.when(keeps, F.when(before(at).contains("?"), F.concat(F.lit("?"), of(4))).otherwise("")).when(before(ref).contains("?"), F.concat(F.lit("?"), own(4))).otherwise("")
+    host = F.when(has_host, F.concat(F.lit("//"), own(2))).when(~has_scheme & host_of_base, F.concat(F.lit("//"), of(2))).otherwise("")
+    return F.concat(F.when(has_scheme, own(1)).otherwise(of(1)), F.lit(":"), host, path, asked, F.when(ref.contains("#"), F.concat(F.lit("#"), own(5))).otherwise(""))

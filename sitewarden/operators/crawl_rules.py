@@ -76,29 +76,13 @@ def pagination(pages: DataFrame) -> DataFrame:
     named = good.select("final_url", href("next").alias("next"), href("prev").alias("prev"))
     seen = named.select(issue("pagination", "info", "pagination-detected", F.coalesce("next", "prev").isNotNull(), next=F.col("next"), prev=F.col("prev")).alias("i")).where("i IS NOT NULL")
     each = named.select(F.col("final_url").alias("page"), F.explode(F.create_map(F.lit("next"), "next", F.lit("prev"), "prev")).alias("rel", "href")).where("href IS NOT NULL")
-    each = each.withColumn("full", absolute(F.col("page"), F.col("href")))
+    each = each.withColumn("full", U.resolve(F.col("page"), F.col("href")))
     hit = each.join(page_index(pages), U.index_key(F.col("full")) == F.col("key"))
     bad = (F.col("status_code") >= 400) | _moved(F.col("full"), F.col("final_url"))
     broken = flat(hit, found(issue("pagination", "warning", "pagination-broken", bad, url=F.col("page"), target=F.col("href"), rel=F.col("rel"), status=F.col("status_code"))))
     return seen.select("i.*").unionAll(broken)
 
 
-def absolute(base: Column, href: Column) -> Column:
-    """A reference resolved against a page: absolute, scheme- or host-relative, query only, or beside the page.
-
-    Dot segments stay; the HTML pass resolves anchors fully.
-    """
-    origin = F.concat(U.scheme(base), F.lit("://"), U.host(base))
-    folder = F.regexp_replace(F.when(U.path(base) == "", "/").otherwise(U.path(base)), "[^/]*$", "")
-    return (
-        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(U.scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .when(href.startswith("?"), F.concat(origin, U.path(base), href))
-        .otherwise(F.concat(origin, folder, href))
-    )
-
-
 def amp(pages: DataFrame) -> DataFrame:
     good = pages.where(GATE())
     amp_page = f("html_amp")
@@ -113,7 +97,7 @@ def amp(pages: DataFrame) -> DataFrame:
     )
     href = T.strip(F.get(link_hrefs("amphtml"), 0))
     linked = good.where(~amp_page & ~T.blank(href)).select(F.col("final_url").alias("page"), href.alias("href"))
-    linked = linked.withColumn("full", absolute(F.col("page"), F.col("href")))
+    linked = linked.withColumn("full", U.resolve(F.col("page"), F.col("href")))
     hit = linked.join(page_index(pages), U.index_key(F.col("full")) == F.col("key"), "left")
     bad = F.coalesce((F.col("status_code") >= 400) | _moved(F.col("full"), F.col("final_url")), F.lit(False))
     issues = found(

@@ -42,27 +42,55 @@ def with_rules(robots: DataFrame) -> DataFrame:
         "status",
         F.coalesce(there, F.lit(False)).alias("found"),
         F.transform(F.filter(fields, lambda x: (x["k"] == "sitemap") & (x["v"] != "")), lambda x: x["v"]).alias("sitemaps"),
-        F.aggregate(fields, start, step, lambda a: a["rules"]).alias("rules"),
+        F.reverse(F.array_sort(F.transform(F.aggregate(fields, start, step, lambda a: a["rules"]), _parsed))).alias("rules"),
         F.array_distinct(agents).alias("agents"),
     )
 
 
-def _regex(pattern: Column) -> Column:
-    """A robots pattern as an anchored regular expression."""
-    quoted = F.regexp_replace(pattern, r"([\\.+?()\[\]{}|^$])", r"\\$1")
-    starred = F.replace(quoted, F.lit("*"), F.lit(".*"))
-    return F.concat(F.lit("^"), F.regexp_replace(starred, r"\\\$$", r"\$"))
+def _parsed(rule: Column) -> Column:
+    """A rule ready to match: what a path begins with, what follows in order between stars, and whether the end is fixed."""
+    fixed = F.endswith(rule["pattern"], F.lit("$"))
+    parts = F.split(F.when(fixed, F.substring(rule["pattern"], F.lit(1), F.length(rule["pattern"]) - 1)).otherwise(rule["pattern"]), r"\*")
+    return F.struct(
+        F.length(rule["pattern"]).alias("n"), rule["allow"].alias("allow"), rule["agent"].alias("agent"), F.get(parts, F.lit(0)).alias("head"),
+        F.slice(parts, F.lit(2), F.size(parts)).alias("rest"), fixed.alias("fixed"),
+    )
+
+
+def _matches(path: Column, rule: Column) -> Column:
+    """Whether a path matches a parsed rule, without an expression built for it.
+
+    After the head, each part between stars is looked for from where the last
+    one ended, and the first place is the best; an end that is fixed holds the
+    last part at the end, not before that place.
+    """
+    rest, n = rule["rest"], F.length(path)
+    inner = F.when(rule["fixed"], F.slice(rest, F.lit(1), F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest)
+
+    def step(at: Column, part: Column) -> Column:
+        found = F.call_function("locate", part, path, at)
+        return F.when((at == 0) | (part == ""), at).when(found > 0, found + F.length(part)).otherwise(F.lit(0))
+
+    at = F.aggregate(inner, F.length(rule["head"]) + 1, step)  # one past what is used up; 0: a part is missing
+    last = F.element_at(rest, -1)
+    ends = (at > 0) & F.endswith(path, last) & (n - F.length(last) + 1 >= at)
+    plain = F.when(rule["fixed"], path == rule["head"]).otherwise(F.lit(True))
+    return F.startswith(path, rule["head"]) & F.when(F.size(rest) == 0, plain).when(rule["fixed"], ends).otherwise(at > 0)
 
 
 def allowed(path: Column, agent: Column, robots: str = "r") -> Column:
-    """Whether the agent may fetch the path; ``robots`` names the struct that ``with_rules`` made, null if none is known."""
+    """Whether the agent may fetch the path; ``robots`` names the struct that ``with_rules`` made, null if none is known.
+
+    A host's rules come longest first, of equal length those that allow, so the
+    first of the agent's group that matches decides and no other is tried.
+    """
     r = lambda name: F.col(f"{robots}.{name}")
     token = F.regexp_extract(F.lower(agent), "^[^/ ]*", 0)
     own = F.filter(r("agents"), lambda a: (a != "*") & F.startswith(token, a))
     best = F.array_max(F.transform(own, lambda a: F.struct(F.length(a).alias("n"), a.alias("a"))))["a"]
     group = F.coalesce(best, F.lit("*"))
-    hits = F.filter(r("rules"), lambda x: (x["agent"] == group) & F.regexp(path, _regex(x["pattern"])))
-    verdict = F.array_max(F.transform(hits, lambda x: F.struct(F.length(x["pattern"]).alias("n"), x["allow"].alias("allow"))))["allow"]
+    first = lambda said, x: F.when(said.isNull() & (x["agent"] == group), F.when(_matches(path, x), x["allow"])).otherwise(said)
+    verdict = F.aggregate(r("rules"), F.lit(None).cast("boolean"), first)
     closed = (r("status") == 0) | (r("status") >= 500)
     return F.when(F.col(robots).isNull(), F.lit(True)).when(~r("found"), ~closed).otherwise(F.coalesce(verdict, F.lit(True)))
 
@@ -94,7 +122,7 @@ def robots_issues(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
 def ai_access(robots: DataFrame) -> DataFrame:
     rules = with_rules(robots)
     held = rules.where("found").select("host", F.struct(*rules.columns).alias("r"), F.explode(F.array(*map(F.lit, S.AI_AGENTS))).alias("agent"), F.lit(0).alias("_"))
-    shut = held.where(~allowed(F.lit("/"), F.col("agent"))).groupBy("host").agg(F.sort_array(F.collect_list("agent")).alias("blocked"))
+    shut = held.where(~allowed(F.lit("/"), F.col("agent"))).groupBy("host").agg(F.sort_array(F.collect_set("agent")).alias("blocked"))
     return flat(shut, F.array(issue("geo", "info", "geo-ai-crawler-blocked", url=F.concat(F.lit("host "), F.col("host")), blocked=F.col("blocked"))))
 
 

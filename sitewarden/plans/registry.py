@@ -421,8 +421,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import derived  # noqa: F401  registers its own
+
     return dict(_Q) | {"audit_issues": flagship}
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import derived  # noqa: F401
+
     return dict(_SQL)
