@@ -43,7 +43,8 @@ from .common import Scratch
 from .hashing import SPACE, U, mix, slices, text_bytes, words
 
 DEPTH, UPPER = 5, 2
-BATCH, PIECE = 32 << 20, 1 << 20
+#: Bytes of text of a batch, of what is worked on at once, and per part that keys are dealt to.
+BATCH, PIECE, PART = 32 << 20, 1 << 20, 4 << 20
 SLICE = 1 << 18
 END, GAP = 10, 32
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -455,7 +456,7 @@ def score(docs: DataFrame, scratch: Scratch, batch_bytes: int = BATCH) -> DataFr
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     sizes = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.when(~F.col("held_out"), 1)).alias("ends")).first()
-    parts = 1 + (sizes["bytes"] or 0) // batch_bytes
+    parts = 1 + (sizes["bytes"] or 0) // min(PART, batch_bytes)
     table = scratch.keep(_requests(rows, parts, batch_bytes), "requests", "zstd")
     requests = table.where("shard IS NOT NULL").select("batch", "shard", "keys", "counts")
     summed, deep = (partial(f, shards=parts) for f in (_summed, _deep))
