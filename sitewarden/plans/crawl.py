@@ -78,6 +78,27 @@ class Store:
         return joined.withColumn(column, F.col("_place") + F.col("s") + base + 1).drop("r", "s", "_range", "_place")
 
 
+class Keys:
+    """A growing set of keys, bucketed as shuffles are: what is new is dealt out to meet it, what is known stays where it is."""
+
+    def __init__(self, store: Store, name: str):
+        self.spark, self.path = store.spark, f"{store.root}/{name}"
+        self.table = f"{name}_{uuid.uuid4().hex}"
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def add(self, keys: DataFrame) -> None:
+        """One column named ``key``; keys may repeat."""
+        keys.select("key").write.mode("append").bucketBy(self.buckets, "key").option("path", self.path).saveAsTable(self.table)
+
+    def without(self, rows: DataFrame, column: str = "key") -> DataFrame:
+        """Rows whose key isn't in the set; of ``rows``, already grouped by the column, nothing is shuffled again."""
+        known = self.spark.table(self.table).select(F.col("key").alias("_known"))
+        return rows.join(known, F.col(column) == F.col("_known"), "left_anti")
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+
 Rows = Callable[[DataFrame], DataFrame]
 
 
@@ -95,7 +116,8 @@ def walk(spark: SparkSession, seed: str, look_up: Rows, links_of: Rows, limits:
     seed_host = home(spark, seed)
     frontier = spark.range(1).select(F.lit(0).cast("long").alias("rank"), key(F.lit(seed)).alias("key"), F.lit(seed).alias("url"), F.lit("").alias("referrer"))
     frontier = store.keep(frontier, "frontier-0")
-    visited = store.append(frontier.select("key"), "visited")
+    visited, answered = Keys(store, "visited"), Keys(store, "answered")
+    visited.add(frontier)
     left = store.append(frontier.select("key", F.lit("").alias("reason")).where("false"), "left")
     pages, depth, n_pages = None, 0, 0
     budget = limits.max_pages - 1 if limits.max_pages else None  # 0: as many as there are
@@ -111,18 +133,19 @@ def walk(spark: SparkSession, seed: str, look_up: Rows, links_of: Rows, limits:
             got = look_up(frontier).withColumns({"depth": F.lit(depth), "final_key": key(F.col("final_url"))})
             got = got.withColumn("n", F.row_number().over(Window.partitionBy("final_key").orderBy("rank"))).where("n = 1").drop("n")
             if pages is not None:
-                got = got.join(pages.select(F.col("final_key").alias("fk")).distinct(), F.col("final_key") == F.col("fk"), "left_anti")
+                got = answered.without(got, "final_key")
             wave = store.numbered(got, ["rank"], "page_seq", f"wave-{depth}", n_pages)
             n = wave.count()
             pages = store.append(wave, "pages")
             n_pages += n
-            visited = store.append(wave.select(F.col("final_key").alias("key")), "visited")
+            ends = wave.select(F.col("final_key").alias("key"))
+            answered.add(ends)
+            visited.add(ends)
             out = links_of(wave).select("page_seq", "pos", "to", "nofollow")
             out = out.where(F.lit(limits.follow_nofollow) | ~F.col("nofollow")).withColumn("key", key(F.col("to")))
-            out = out.join(visited.distinct().withColumnRenamed("key", "v"), F.col("key") == F.col("v"), "left_anti")
-            out = out.groupBy("key").agg(F.min(F.struct("page_seq", "pos", "to")).alias("first")).select("key", "first.*")
+            out = visited.without(out.groupBy("key").agg(F.min(F.struct("page_seq", "pos", "to")).alias("first")).select("key", "first.*"))
             judged = store.keep(judge(store.keep(out, f"found-{depth}"), "to", seed_host, limits, robots_of), f"judged-{depth}")
-            visited = store.append(judged.select("key"), "visited")  # what is out of scope is not tested again
+            visited.add(judged)  # what is out of scope is not tested again
             fresh = judged.where("ok").drop("ok")
             if limits.max_depth and depth >= limits.max_depth:
                 left = store.append(fresh.select("key", F.lit("depth").alias("reason")), "left")
@@ -143,6 +166,8 @@ def walk(spark: SparkSession, seed: str, look_up: Rows, links_of: Rows, limits:
             cut["interrupted"] = True
             left = store.append(frontier.select("key", F.lit("interrupted").alias("reason")), "left")
             break
+    visited.close()
+    answered.close()
     if pages is None:  # interrupted in the first wave
         pages = look_up(frontier.where("false")).withColumns({"depth": F.lit(0), "final_key": F.lit(""), "page_seq": F.lit(0).cast("long")})
     known = pages.select(F.col("key").alias("k")).unionAll(pages.select("final_key")).distinct()

@@ -124,3 +124,25 @@ def test_rotation(spark):
     assert [r.agent for r in crawl.rotated(urls, ["x", "y"]).orderBy("rank").collect()] == ["x", "y", "x"]
     sticky = {r.url: r.agent for r in crawl.rotated(urls, ["x", "y", "z"], "sticky-host").collect()}
     assert sticky["https://a/1"] == sticky["https://a/2"]
+
+
+def test_known_keys_are_not_shuffled(spark):
+    """A crawl of 20 waves; what is new meets the known keys where they lie."""
+    responses = spark.createDataFrame([(f"http://h/{i}", f"http://h/{i}", 200) for i in range(20)], "url string, final_url string, status_code int")
+    back = [(f"http://h/{i}", j, f"http://h/{j}", False) for i in range(20) for j in (0, i - 1, i, i + 1) if 0 <= j < 20]
+    links = spark.createDataFrame(back, "page_url string, pos int, url string, nofollow boolean")
+    pages, left, coverage = crawl.crawl("http://h/0", responses, links, crawl.Limits(max_pages=0))
+    assert sorted((r.depth, r.url) for r in pages.collect()) == [(i, f"http://h/{i}") for i in range(20)] and coverage["complete"]
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        known = crawl.Keys(crawl.Store(spark), "known")
+        for i in range(3):
+            known.add(spark.range(100 * i, 100 * i + 50).select(F.concat(F.lit("k"), "id").alias("key")))
+        new = spark.range(0, 300, 1, 3).select(F.concat(F.lit("k"), F.col("id")).alias("key"), "id").groupBy("key").agg(F.min("id").alias("id"))
+        found = known.without(new)
+        assert sorted(r.id for r in found.collect()) == [i for i in range(300) if i % 100 >= 50]
+        assert found._jdf.queryExecution().sparkPlan().toString() and found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange") == 1
+        known.close()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
