@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators import robots
 from ..streaming import throttle
+from . import audit
 from .registry import _t, query
 
 _ORIGIN = "^(https?://[^/?#]*)"
@@ -99,3 +100,188 @@ def limiter_schedule(spark: SparkSession, d: str) -> DataFrame:
     state = throttle.carried(spark.createDataFrame([], throttle.STATE), answers)
     asked = e.where("event_type = 'view'").select("event_id", host, F.col("event_id").alias("rank"))
     return throttle.schedule(asked, state, 480000.0).select("event_id", "host", F.round("rate", 6).alias("rate"), F.round("send_at", 3).alias("send_at"))
+
+
+# --- page rules over crawls that each page's number describes --------------------------------
+
+
+def _crawl(spark: SparkSession, d: str, values: str, **columns: str) -> DataFrame:
+    """``pages`` as a crawl: ``values`` names parts by the number ``i`` and the URL, ``columns`` are made of them; what isn't named is as it is when all is well."""
+    plain = audit.crawl_of(audit.spread(_t(spark, d, "pages")))
+    parts = plain.selectExpr("*", "page_seq AS i", "requested_url AS url").selectExpr("*", *(f"{e} AS {n}" for n, e in _parts(values)))
+    kinds = {f.name: f.dataType for f in plain.schema}
+    return parts.select(*(F.expr(columns[c]).cast(kinds[c]).alias(c) if c in columns else F.col(c) for c in plain.columns))
+
+
+def _parts(values: str) -> list[tuple[str, str]]:
+    return [tuple(line.split(" := ", 1)) for line in values.strip().splitlines() if line.strip()]  # type: ignore[misc]
+
+
+def _expected(values: str, rules: list[tuple[str, str, str, str]], url: str = "url") -> str:
+    """SQL of the issues: a row for each page and rule ``(code, severity, condition, data)``; a rule may name its own URL after its code."""
+    made = ", ".join(f"{e} AS {n.strip()}" for n, e in _parts(values))
+    each = []
+    for name, severity, when, data in rules:
+        code, _, own = name.partition(" ")
+        each.append(f"SELECT {own or url} AS url, '{code}' AS code, '{severity}' AS severity, CAST({data or 'NULL'} AS VARCHAR) AS data FROM c WHERE {when}")
+    return f"WITH p AS (SELECT page_id AS i, url FROM pages), c AS (SELECT *, {made} FROM p) " + " UNION ALL ".join(each)
+
+
+def _issues(pages: DataFrame, *names: str, **options) -> DataFrame:
+    return audit.audit(audit.prepare(pages), audit.Options(enabled=list(names), seed="https://example.org/", **options)).select("url", "code", "severity", "data")
+
+
+_HEADS = """
+title := substr(repeat('abcdefghij', 8), 1, CAST(i % 75 AS INT))
+description := substr(repeat('klmnopqrst', 20), 1, CAST(i % 190 AS INT))
+robots := CASE i % 5 WHEN 0 THEN 'noindex' WHEN 1 THEN 'nofollow' WHEN 2 THEN 'noindex, nofollow' ELSE '' END
+x_robots := CASE i % 7 WHEN 0 THEN 'NoIndex' WHEN 1 THEN 'nofollow' ELSE '' END
+"""
+_HEADS_HTML = """'<html' || CASE WHEN i % 4 = 1 THEN '' ELSE ' lang="en"' END || '><head>' || CASE WHEN i % 5 = 3 THEN '' ELSE '<meta charset="utf-8">' END
+  || CASE WHEN i % 5 = 2 THEN '' ELSE '<meta name="viewport" content="x">' END || CASE WHEN i % 5 = 4 THEN '' ELSE '<meta property="og:title" content="x">' END
+  || '<title>' || title || '</title><meta name="description" content="' || description || '"><meta name="robots" content="' || robots || '">'
+  || CASE WHEN i % 11 = 0 THEN '<meta http-equiv="refresh" content="5; url=/x">' ELSE '' END
+  || repeat('<link rel="canonical" href="/c">', CASE WHEN i % 10 = 0 THEN 0 WHEN i % 10 < 7 THEN 1 ELSE 2 END) || '</head><body>' || repeat('<h1>One</h1>', CAST(i % 3 AS INT))
+  || '<h2>Two</h2>' || CASE WHEN i % 4 = 0 THEN '<h4>Four</h4>' ELSE '' END || CASE WHEN i % 6 = 0 THEN '<h3> </h3>' ELSE '' END || '</body></html>'"""
+
+
+@query(_expected(_HEADS, [
+    ("seo-missing-title", "error", "title = ''", ""), ("seo-short-title", "warning", "length(title) BETWEEN 1 AND 9", "json_object('length', length(title), 'title', title)"),
+    ("seo-long-title", "warning", "length(title) > 60", "json_object('length', length(title), 'title', title)"), ("seo-missing-meta-description", "warning", "description = ''", ""),
+    ("seo-short-meta-description", "info", "length(description) BETWEEN 1 AND 49", "json_object('length', length(description))"),
+    ("seo-long-meta-description", "info", "length(description) > 160", "json_object('length', length(description))"),
+    ("seo-meta-noindex", "warning", "i % 5 IN (0, 2)", "json_object('robots', robots)"), ("seo-meta-nofollow", "info", "i % 5 IN (1, 2)", "json_object('robots', robots)"),
+    ("seo-x-robots-noindex", "warning", "i % 7 = 0", "json_object('x_robots_tag', x_robots)"), ("seo-x-robots-nofollow", "info", "i % 7 = 1", "json_object('x_robots_tag', x_robots)"),
+    ("seo-meta-refresh", "warning", "i % 11 = 0", "json_object('content', '5; url=/x')"), ("seo-missing-canonical", "info", "i % 10 = 0", ""), ("seo-multiple-canonical", "warning", "i % 10 >= 7", ""),
+    ("seo-missing-h1", "warning", "i % 3 = 0", ""), ("seo-multiple-h1", "info", "i % 3 = 2", "json_object('count', 2)"), ("seo-empty-heading", "warning", "i % 6 = 0", "json_object('tag', 'h3')"),
+    ("seo-skipped-heading-level", "info", "i % 4 = 0", "json_object('from', 2, 'to', 4)"), ("seo-missing-lang", "info", "i % 4 = 1", ""), ("seo-missing-viewport", "info", "i % 5 = 2", ""),
+    ("seo-missing-charset", "info", "i % 5 = 3", ""), ("seo-missing-opengraph", "info", "i % 5 = 4", ""),
+]))
+def heads_audited(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule on titles, descriptions, directives and headings, with its data."""
+    return _issues(_crawl(spark, d, _HEADS, html=_HEADS_HTML, headers="CASE WHEN x_robots <> '' THEN map('X-Robots-Tag', array(x_robots)) END"), "seo")
+
+
+_ANSWERED = """
+own := regexp_replace(url, '^http:', 'https:')
+k := i % 9
+referred := CASE WHEN i % 2 = 0 THEN 'http://r.example/' END
+pictures := i % 7
+took := CASE WHEN i % 9 = 7 THEN 2500 ELSE 10 * (i % 3) END
+"""
+_FINAL = "own || CASE k WHEN 1 THEN '2' WHEN 2 THEN '1' ELSE '' END"
+_FOUND_ON = "CASE WHEN referred IS NULL THEN json_object({0}) ELSE json_object({1}) END"
+
+
+@query(_expected(_ANSWERED, [
+    ("http-redirect-loop own", "error", "k = 0", "json_object('chain', [own, own || 'x', own])"), ("http-redirect-chain own", "warning", "k = 1", "json_object('chain', [own, own || '1', own || '2'], 'hops', 2)"),
+    ("http-redirect own", "info", "k = 2", "json_object('status', 301, 'to', own || '1')"),
+    ("http-fetch-error own", "error", "k = 3", _FOUND_ON.format("'error', 'timeout'", "'error', 'timeout', 'found_on', referred")),
+    ("http-server-error own", "error", "k = 4", _FOUND_ON.format("'status', 503", "'found_on', referred, 'status', 503")), ("http-client-error own", "error", "k = 5", _FOUND_ON.format("'status', 404", "'found_on', referred, 'status', 404")),
+    ("http-body-truncated own", "warning", "k = 6", ""), ("http-slow-response own", "warning", "took > 2000", "json_object('duration_ms', took)"),
+    ("http-mixed-content own", "warning", "k <> 3 AND pictures > 0", "json_object('count', least(pictures, 5), 'examples', list_transform(range(least(pictures, 5)), lambda n: 'http://a.example/' || n || '.png'))"),
+    ("security-missing-hsts", "warning", "k NOT IN (3, 4, 5) AND i % 4 IN (1, 3)", ""), ("security-missing-csp", "info", "k NOT IN (3, 4, 5) AND i % 4 IN (1, 2)", ""),
+    ("security-missing-x-content-type-options", "info", "k NOT IN (3, 4, 5) AND i % 4 IN (1, 3)", ""),
+    ("security-insecure-form", "warning", "k NOT IN (3, 4, 5) AND i % 5 = 0", "json_object('action', 'http://f.example/')"),
+    ("perf-response-time", "info", "k NOT IN (3, 4, 5) AND took > 0", "json_object('duration_ms', took)"),
+], url=_FINAL))
+def responses_audited(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule on redirects, statuses, bodies, times, security headers and forms, with its data."""
+    pages = _crawl(
+        spark, d, _ANSWERED, requested_url="own", final_url=_FINAL, status_code="CASE k WHEN 3 THEN 0 WHEN 4 THEN 503 WHEN 5 THEN 404 ELSE 200 END", err="CASE WHEN k = 3 THEN 'timeout' ELSE '' END",
+        content_type="CASE WHEN k = 3 THEN '' ELSE 'text/html' END", truncated="k = 6", duration_ms="took", referrer="coalesce(referred, '')",
+        redirects="""CASE k WHEN 0 THEN from_json('[{"from":"' || own || '","to":"' || own || 'x","status":301},{"from":"' || own || 'x","to":"' || own || '","status":302}]', 'array<struct<from:string,to:string,status:int>>')
+          WHEN 1 THEN from_json('[{"from":"' || own || '","to":"' || own || '1","status":301},{"from":"' || own || '1","to":"' || own || '2","status":302}]', 'array<struct<from:string,to:string,status:int>>')
+          WHEN 2 THEN from_json('[{"from":"' || own || '","to":"' || own || '1","status":301}]', 'array<struct<from:string,to:string,status:int>>') ELSE from_json('[]', 'array<struct<from:string,to:string,status:int>>') END""",
+        headers="""CASE i % 4 WHEN 1 THEN map('Server', array('x')) WHEN 2 THEN map('Strict-Transport-Security', array('max-age=1'), 'X-Content-Type-Options', array('NoSniff'))
+          WHEN 3 THEN map('content-security-policy', array('x')) END""",
+        html="""'<body>' || array_join(transform(sequence(0, 6), n -> CASE WHEN n < pictures THEN '<img src="http://a.example/' || n || '.png">' ELSE '' END), '')
+          || CASE WHEN i % 5 = 0 THEN '<form action="http://f.example/"></form>' ELSE '' END""",
+    )
+    return _issues(pages, "redirects", "security", "perf").where("code <> 'perf-cwv-not-collected'")
+
+
+_RENDERS = """
+done := i % 4 <> 0
+lcp := CAST((i * 37) % 6000 AS DOUBLE)
+fcp := CAST((i * 29) % 4500 AS DOUBLE)
+cls := CAST(i % 40 AS DOUBLE) / 100
+tbt := CAST((i * 7) % 900 AS DOUBLE)
+ttfb := CAST((i * 13) % 2500 AS DOUBLE)
+"""
+
+
+def _vital(name: str, good: float, fair: float) -> list[tuple[str, str, str, str]]:
+    value, at = ("value", "threshold") if name == "cls" else ("value_ms", "threshold_ms")
+    said = lambda t: f"json_object('{at}', {t}::DOUBLE, '{value}', {name})"
+    return [(f"perf-{name}-needs-improvement", "warning", f"done AND {name} > {good} AND {name} <= {fair}", said(good)), (f"perf-{name}-poor", "error", f"done AND {name} > {fair}", said(fair))]
+
+
+@query(_expected(_RENDERS, [
+    ("perf-cwv-measured", "info", "done", "json_object('cls', cls, 'fcp_ms', fcp, 'lcp_ms', lcp, 'tbt_ms', tbt, 'ttfb_ms', ttfb)"), ("perf-cwv-render-failed", "info", "i % 8 = 0", "json_object('note', 'crashed')"),
+    ("perf-render-incomplete", "warning", "i % 5 = 0", "json_object('raw_bytes', 2 * i, 'rendered_bytes', i)"),
+    *_vital("lcp", 2500, 4000), *_vital("fcp", 1800, 3000), *_vital("cls", 0.1, 0.25), *_vital("tbt", 200, 600), *_vital("ttfb", 800, 1800),
+]))
+def renders_audited(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule on rendered pages and their vitals, with its data."""
+    render = """named_struct('implemented', done, 'note', CASE WHEN i % 8 = 0 THEN 'crashed' ELSE '' END, 'raw_fallback', i % 5 = 0, 'rendered_bytes', CAST(i AS INT), 'raw_bytes', CAST(2 * i AS INT),
+      'lcp_ms', lcp, 'fcp_ms', fcp, 'cls', cls, 'tbt_ms', tbt, 'ttfb_ms', ttfb, 'data_layer_present', false, 'data_layer', array(''), 'requests', array(''))"""
+    return _issues(_crawl(spark, d, _RENDERS, render=render, html="'<p>x'"), "perf")
+
+
+_MARKUP = r"""
+origin := lower(regexp_extract(url, '^(https?://[^/?#]*)', 1))
+good := i % 7 NOT IN (1, 3)
+j := i % 6
+bare := i % 4
+asked := i % 5 + CASE WHEN i % 10 = 1 THEN 1 ELSE 0 END
+long_text := i % 9 = 0
+landmark := i % 11 = 0 OR i % 8 = 0
+u := i % 6
+leads := CASE i % 6 WHEN 0 THEN 'http://out.example/?utm_source=a&utm_medium=b&utm_campaign=c' WHEN 1 THEN '/z?utm_source=a' WHEN 2 THEN 'http://out.example/?utm_source=&utm_medium=b&utm_campaign=c' WHEN 3 THEN 'http://out.example/?utm_source=a&utm_source=b&utm_medium=b&utm_campaign=c' WHEN 4 THEN 'http://out.example/?UTM_Source=a&utm_medium=b&utm_campaign=c' ELSE '' END
+"""
+_TARGET = "CASE WHEN u = 1 THEN origin || leads ELSE leads END"
+_MARKUP_HTML = """'<html><head><title>' || CASE WHEN i % 7 = 3 THEN 'Just a moment' ELSE 'Plain' END || '</title>'
+  || CASE j WHEN 0 THEN '' ELSE '<script type="application/ld+json">' || CASE j WHEN 1 THEN '{bad' WHEN 2 THEN '{"@type":"Product"}' WHEN 3 THEN '{"@type":"FAQPage","mainEntity":{"@type":"Question"}}'
+    WHEN 4 THEN '{"@type":"Article","headline":"h","author":"a"}' ELSE '{"@type":"VideoObject","name":"n","thumbnailUrl":"t"}' END || '</script>' END
+  || CASE i % 4 WHEN 1 THEN '<script src="https://www.googletagmanager.com/gtm.js?id=GTM-AB12"></script>' WHEN 2 THEN '<script>x("UA-11-1");x("UA-22-1")</script>'
+    WHEN 3 THEN '<script>x("UA-11-1");x("G-ABCD12")</script>' ELSE '' END || '</head><body>'
+  || CASE WHEN i % 2 = 0 THEN '<h1>What now?</h1>' ELSE '' END || CASE WHEN i % 11 = 0 THEN '<main>' || repeat('m ', 305) || '</main>' ELSE '' END
+  || CASE WHEN i % 8 = 0 THEN '<article>' || repeat('word ', 160) || '<time datetime="2020">x</time></article>' ELSE '' END
+  || CASE WHEN long_text THEN '<p>' || repeat('word ', 310) || '</p>' ELSE '' END || CASE WHEN i % 5 = 0 THEN '<nav class="breadcrumb"><a href="/x">x</a><a href="/y">y</a></nav>' ELSE '' END
+  || CASE WHEN leads <> '' THEN '<a href="' || leads || '">t</a>' ELSE '' END || CASE WHEN i % 7 = 0 THEN '<div>$5.00 buy now</div>' ELSE '' END
+  || CASE WHEN i % 3 = 0 THEN '<video src="/v.mp4"></video>' ELSE '' END || CASE WHEN i % 7 = 1 THEN '<div id="cf_chl_opt"></div>' ELSE '' END
+  || CASE WHEN i % 7 = 2 THEN '<div class="g-recaptcha">' || repeat('filler ', 200) || '</div>' ELSE '' END
+  || '<img src="/a.png" alt="" width=1 height=1>' || repeat('<img src="/b.png">', CAST(bare AS INT)) || repeat('<h2>Why so?</h2><div>so</div>', CAST(i % 5 AS INT))
+  || CASE WHEN i % 10 = 1 THEN '<h2>How long?</h2><div>' || repeat('w ', 70) || '</div>' ELSE '' END || '</body></html>'"""
+
+
+@query(_expected(_MARKUP, [
+    ("img-missing-alt", "warning", "good AND bare > 0", "json_object('count', bare, 'sample', list_transform(range(bare), lambda n: '/b.png'))"), ("img-missing-dimensions", "info", "good AND bare > 0", "json_object('count', bare)"),
+    ("structured-none", "info", "good AND j = 0", ""), ("structured-invalid-jsonld", "warning", "good AND j = 1", ""),
+    ("structured-data", "info", "good AND j > 1", "json_object('types', [['Product'], ['FAQPage'], ['Article'], ['VideoObject']][CAST(j - 1 AS INT)])"),
+    ("structured-missing-required", "warning", "good AND j = 2", "json_object('missing', ['name'], 'type', 'Product')"), ("structured-breadcrumb-candidate", "warning", "good AND i % 5 = 0", "json_object('links', 2)"),
+    ("structured-product-candidate", "warning", "good AND j <> 2 AND i % 7 = 0", "json_object('signal', '$5.00')"), ("structured-article-candidate", "warning", "good AND j <> 4 AND i % 8 = 0", "json_object('words', 161)"),
+    ("structured-video-candidate", "warning", "good AND j <> 5 AND i % 3 = 0", "json_object('src', '/v.mp4')"),
+    ("aeo-answer-schema", "info", "good AND j = 3", "json_object('types', ['FAQPage', 'Question'])"), ("aeo-faq-candidate", "warning", "good AND j <> 3 AND asked >= 3", "json_object('questions', asked)"),
+    ("aeo-no-list-format", "info", "good AND i % 11 = 0", "json_object('words', 305)"), ("aeo-answer-too-long", "info", "good AND i % 10 = 1", "json_object('answer_words', 70, 'question', 'How long?')"),
+    ("aeo-no-answer-lead", "info", "good AND i % 2 = 0", "json_object('lead_words', CASE WHEN long_text THEN 310 ELSE 0 END, 'title', 'What now?')"),
+    ("geo-missing-author", "info", "good AND j <> 4 AND i % 8 = 0", ""), ("geo-missing-date", "info", "good AND j = 4 AND i % 8 <> 0", ""), ("geo-no-main-landmark", "info", "good AND long_text AND NOT landmark", "json_object('words', 310)"),
+    ("geo-js-dependent-content", "info", "good AND long_text AND i % 2 = 0", "json_object('raw_words', 1, 'rendered_words', 310)"), ("geo-low-quotable-density", "info", "good AND long_text", "json_object('data_points', 0, 'words', 310)"),
+    ("utm-internal-tagged", "info", "u = 1", f"json_object('target', {_TARGET})"),
+    ("utm-partial-tagging", "warning", "u = 1", f"json_object('anchor', 't', 'missing', ['utm_medium', 'utm_campaign'], 'present', ['utm_source'], 'target', {_TARGET})"),
+    ("utm-empty-value", "warning", "u = 2", f"json_object('keys', ['utm_source'], 'target', {_TARGET})"), ("utm-duplicate-param", "warning", "u = 3", f"json_object('keys', ['utm_source'], 'target', {_TARGET})"),
+    ("utm-inconsistent-casing", "info", "u = 4", f"json_object('keys', ['UTM_Source'], 'target', {_TARGET})"),
+    ("utm-summary", "info", "u < 5 OR i % 5 = 0", "json_object('external_tagged', (u < 5 AND u <> 1)::INT, 'internal_tagged', (u = 1)::INT, 'tagged_links', (u < 5)::INT, 'total_links', (u < 5)::INT + CASE WHEN i % 5 = 0 THEN 2 ELSE 0 END)"),
+    ("tracking-none", "info", "good AND i % 4 = 0", ""),
+    ("tracking-tags", "info", "good AND i % 4 > 0", "CASE i % 4 WHEN 1 THEN '{\"tags\":[{\"ids\":[\"GTM-AB12\"],\"tag\":\"Google Tag Manager\"}]}' WHEN 2 THEN '{\"tags\":[{\"ids\":[\"UA-11-1\",\"UA-22-1\"],\"tag\":\"Universal Analytics\"}]}' ELSE '{\"tags\":[{\"ids\":[\"G-ABCD12\"],\"tag\":\"GA4\"},{\"ids\":[\"UA-11-1\"],\"tag\":\"Universal Analytics\"}]}' END"),
+    ("tracking-duplicate-tag", "warning", "good AND i % 4 = 2", "json_object('count', 2, 'ids', ['UA-11-1', 'UA-22-1'], 'tag', 'Universal Analytics')"),
+    ("tracking-mixed-ga-versions", "info", "good AND i % 4 = 3", "json_object('ga4_ids', ['G-ABCD12'], 'ua_ids', ['UA-11-1'])"),
+    ("botwall-challenge", "warning", "NOT good", "CASE WHEN i % 7 = 1 THEN json_object('provider', 'Cloudflare', 'signals', ['cf_chl_opt'], 'status', 403) ELSE json_object('provider', 'Unknown', 'signals', ['title: just a moment'], 'status', 403) END"),
+    ("botwall-captcha-widget", "info", "i % 7 = 2", "json_object('provider', 'Google reCAPTCHA', 'providers', ['Google reCAPTCHA'], 'signals', ['g-recaptcha'])"),
+]))
+def markup_audited(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule on images, structured data, answers, prose, campaign links, tags and challenges, with its data."""
+    raw = "CASE WHEN long_text AND i % 2 = 0 THEN '<p>few</p>' END"
+    pages = _crawl(spark, d, _MARKUP, html=_MARKUP_HTML, raw_html=raw, status_code="CASE WHEN good THEN 200 ELSE 403 END")
+    return _issues(pages, "images", "structured", "aeo", "geo", "utm", "tracking", "botwall", answer_lead=True, quotable_density=True)
