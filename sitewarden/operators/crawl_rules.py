@@ -177,10 +177,15 @@ def content(pages: DataFrame) -> DataFrame:
 
 def landing(pages: DataFrame) -> DataFrame:
     """Pages that campaign links lead to, or that carry campaign tags themselves."""
-    sources = pages.select(F.explode(F.concat(F.array(F.col("final_url")), F.coalesce(F.transform(f("anchors"), lambda a: a["resolved"]), F.array().cast("array<string>")))).alias("u"))
-    terms = lambda u: F.flatten(F.transform(F.filter(U.query_pairs(u), lambda p: F.lower(p["key"]).isin(S.CAMPAIGN_KEYS)), lambda p: T.tokens(p["value"])))
-    tagged = sources.where(F.lower(U.query(F.col("u"))).contains("utm_")).select(U.landing_key(F.col("u")).alias("key"), terms(F.col("u")).alias("t"))
-    campaign = tagged.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("t"))).alias("terms"))
+    urls = F.concat(F.array(F.col("final_url")), F.coalesce(F.transform(f("anchors"), lambda a: a["resolved"]), F.array().cast("array<string>")))
+    sources = pages.select("page_seq", F.posexplode(urls).alias("pos", "u"))
+    of = lambda u, k: F.flatten(F.transform(F.filter(U.query_pairs(u), lambda p: F.lower(p["key"]) == k), lambda p: T.tokens(p["value"])))
+    terms = lambda u: F.flatten(F.transform(F.array(*map(F.lit, S.CAMPAIGN_KEYS)), lambda k: of(u, k)))
+    tagged = sources.where(F.lower(U.query(F.col("u"))).contains("utm_")).select(U.landing_key(F.col("u")).alias("key"), "page_seq", "pos", F.posexplode_outer(terms(F.col("u"))).alias("place", "term"))
+    # a term counts once, where it comes first by page, link and key; pages that name no term stay
+    once = tagged.groupBy("key", "term").agg(F.min(F.struct("page_seq", "pos", "place")).alias("at"))
+    campaign = once.groupBy("key").agg(F.sort_array(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("at", "term")))).alias("terms"))
+    campaign = campaign.withColumn("terms", F.transform("terms", lambda x: x["term"]))
     hit = pages.where(GATE()).join(campaign, U.landing_key(F.col("final_url")) == F.col("key"))
     heads = F.array_join(F.transform(F.filter(f("headings"), lambda h: h["level"] <= 2), lambda h: h["text"]), " ")
     strong = T.tokens(F.concat_ws(" ", f("title_head_first"), heads))

@@ -285,3 +285,74 @@ def markup_audited(spark: SparkSession, d: str) -> DataFrame:
     raw = "CASE WHEN long_text AND i % 2 = 0 THEN '<p>few</p>' END"
     pages = _crawl(spark, d, _MARKUP, html=_MARKUP_HTML, raw_html=raw, status_code="CASE WHEN good THEN 200 ELSE 403 END")
     return _issues(pages, "images", "structured", "aeo", "geo", "utm", "tracking", "botwall", answer_lead=True, quotable_density=True)
+
+
+# --- rules that look across pages ------------------------------------------------------------
+
+_SITE = """
+own := 'https://s.example/p' || i
+final := 'https://s.example/' || CASE WHEN i % 10 = 5 THEN 'q' ELSE 'p' END || i
+good := i % 10 <> 9
+"""
+_MOVED = "CASE WHEN i % 10 = 5 THEN from_json('[{\"from\":\"' || own || '\",\"to\":\"' || final || '\",\"status\":301}]', 'array<struct<from:string,to:string,status:int>>') ELSE from_json('[]', 'array<struct<from:string,to:string,status:int>>') END"
+
+
+def _site(spark: SparkSession, d: str, html: str) -> DataFrame:
+    """Pages of one site: each tenth is lost, another tenth has moved."""
+    return _crawl(spark, d, _SITE, requested_url="own", final_url="final", redirects=_MOVED, html=html, status_code="CASE WHEN good THEN 200 ELSE 404 END")
+
+
+_SITE_SQL = f"""p AS (SELECT page_id AS i, url FROM pages), c AS (SELECT *, {', '.join(f'{e} AS {n.strip()}' for n, e in _parts(_SITE))} FROM p)"""
+
+
+def _rows(*rules: tuple[str, str, str, str, str]) -> str:
+    """SQL of issues ``(code, severity, url, data, the rows they come from)``."""
+    return " UNION ALL ".join(f"SELECT {url} AS url, '{code}' AS code, '{severity}' AS severity, CAST({data} AS VARCHAR) AS data FROM {rows}" for code, severity, url, data, rows in rules)
+
+
+@query(f"""WITH {_SITE_SQL}, l AS (SELECT i, final, good, i + 1 AS t, 'n' AS anchor FROM c UNION ALL SELECT i, final, good, i + 7, '' FROM c WHERE i % 4 = 0),
+  h AS (SELECT l.i, l.final AS page, l.good, l.anchor, c.i AS t, c.own AS target, c.final AS goes FROM l JOIN c ON c.i = l.t),
+  n AS (SELECT c.i, c.final, count(h.i) AS n, CASE WHEN max(h.anchor) = 'n' THEN ['n'] ELSE [] END AS names FROM c LEFT JOIN h ON h.t = c.i WHERE c.good GROUP BY 1, 2) """ + _rows(
+    ("link-broken", "error", "page", "json_object('anchor', anchor, 'status', 404, 'target', target)", "h WHERE good AND t % 10 = 9"),
+    ("link-to-redirect", "warning", "page", "json_object('final', goes, 'target', target)", "h WHERE good AND t % 10 = 5"),
+    ("link-empty-anchor", "info", "final", "json_object('count', 1)", "c WHERE good AND i % 4 = 0"),
+    ("link-summary", "info", "final", "json_object('external', (i % 3 = 0)::INT, 'nofollow', (i % 3 = 0)::INT, 'total', 1 + (i % 4 = 0)::INT + (i % 3 = 0)::INT)", "c WHERE good"),
+    ("link-inbound", "info", "final", "json_object('anchors', names, 'count', n)", "n"),
+))
+def links_audited(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule on links between pages, with its data."""
+    html = """'<a href="/p' || (i + 1) || '">n</a>' || CASE WHEN i % 4 = 0 THEN '<a href="p' || (i + 7) || '"></a>' ELSE '' END
+      || CASE WHEN i % 3 = 0 THEN '<a href="http://out.example/" rel="nofollow">out</a>' ELSE '' END"""
+    return _issues(_site(spark, d, html), "links")
+
+
+_GROUP = "(SELECT *, list_filter(list_sort(list(final) OVER (PARTITION BY {0}))[1:11], lambda x: x <> final)[1:10] AS others, count(*) OVER (PARTITION BY {0}) AS n FROM c WHERE good) WHERE n > 1"
+
+
+@query(f"""WITH {_SITE_SQL}, w AS (SELECT *, 20 + 10 * (i % 50) AS words FROM c WHERE good), m AS (SELECT *, avg(words) OVER () AS mean FROM w),
+  e AS (SELECT c.i, c.final, t.i AS t, t.own AS target FROM c JOIN c t ON t.i = c.i + 3 WHERE c.good AND c.i % 3 = 0),
+  g AS (SELECT c.final, t.i AS t, './p' || t.i AS href FROM c JOIN c t ON t.i = c.i + 1 WHERE c.good AND c.i % 4 = 0),
+  a AS (SELECT c.final, t.i AS t, '/p' || t.i AS href FROM c JOIN c t ON t.i = c.i - 1 WHERE c.good AND c.i % 7 = 1) """ + _rows(
+    ("hreflang-invalid-code", "warning", "final", "json_object('code', 'english')", "c WHERE good AND i % 9 = 0 AND i % 15 <> 0"), ("hreflang-missing-x-default", "info", "final", "NULL", "c WHERE good AND i % 3 = 0 AND i % 6 <> 0"),
+    ("hreflang-missing-self", "info", "final", "NULL", "c WHERE good AND i % 15 = 0 AND i % 6 <> 0"),
+    ("hreflang-no-return-link", "warning", "e.final", "json_object('target', target)", "e JOIN c b ON b.i = e.t WHERE NOT (b.good AND b.i % 2 = 1)"),
+    ("hreflang-no-return-link", "warning", "c.final", "json_object('target', t.own)", "c JOIN c t ON t.i = c.i - 3 WHERE c.good AND c.i % 3 = 0 AND c.i % 2 = 1 AND NOT t.good"),
+    ("pagination-detected", "info", "final", "json_object('next', './p' || (i + 1))", "c WHERE good AND i % 4 = 0"), ("pagination-detected", "info", "final", "json_object('prev', '/p' || (i - 1))", "c WHERE good AND i % 4 = 1"),
+    ("pagination-broken", "warning", "final", "json_object('rel', 'next', 'status', CASE t % 10 WHEN 9 THEN 404 ELSE 200 END, 'target', href)", "g WHERE t % 10 IN (5, 9)"),
+    ("amp-detected", "info", "final", "NULL", "c WHERE good AND i % 7 = 0"), ("amp-missing-canonical", "warning", "final", "NULL", "c WHERE good AND i % 14 = 0"), ("amp-missing-runtime", "error", "final", "NULL", "c WHERE good AND i % 21 = 0"),
+    ("amp-broken-amphtml", "warning", "final", "json_object('target', href)", "a WHERE t % 10 IN (5, 9)"), ("amp-amphtml-linked", "info", "final", "json_object('target', href)", "a WHERE t % 10 NOT IN (5, 9)"),
+    ("duplicate-title", "warning", "final", "json_object('duplicates', others, 'group_size', n, 'title', 'Title ' || (i % 40))", _GROUP.format("i % 40")),
+    ("duplicate-meta-description", "info", "final", "json_object('duplicates', others, 'group_size', n)", _GROUP.format("i % 60")), ("duplicate-content", "warning", "final", "json_object('duplicates', others, 'group_size', n)", _GROUP.format("i % 50")),
+    ("content-thin", "warning", "final", "json_object('words', words)", "m WHERE words < 100"), ("content-low", "info", "final", "json_object('site_average', CAST(floor(mean + 0.5) AS BIGINT), 'words', words)", "m WHERE words >= 100 AND words < 0.5 * mean"),
+))
+def site_audited(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule on alternates, pagination, AMP, duplicates and length, with its data."""
+    alternate = lambda code, to: f"'<link rel=\"alternate\" hreflang=\"{code}\" href=\"https://s.example/p' || ({to}) || '\">'"
+    html = f"""'<html' || CASE WHEN i % 7 = 0 THEN ' amp' ELSE '' END || '><head><title>Title ' || (i % 40) || '</title><meta name="description" content="Desc ' || (i % 60) || '">'
+      || CASE WHEN i % 3 = 0 THEN CASE WHEN i % 15 = 0 THEN '' WHEN i % 9 = 0 THEN {alternate('english', 'i')} ELSE {alternate('en', 'i')} END || {alternate('de', 'i + 3')}
+        || CASE WHEN i % 6 = 0 THEN {alternate('x-default', 'i')} ELSE '' END || CASE WHEN i % 2 = 1 THEN {alternate('fr', 'i - 3')} ELSE '' END ELSE '' END
+      || CASE i % 4 WHEN 0 THEN '<link rel="next" href="./p' || (i + 1) || '">' WHEN 1 THEN '<link rel="prev" href="/p' || (i - 1) || '">' ELSE '' END
+      || CASE WHEN i % 14 = 0 THEN '' ELSE '<link rel="canonical" href="' || final || '">' END
+      || CASE WHEN i % 21 = 0 THEN '' ELSE '<script src="https://cdn.ampproject.org/v0.js"></script>' END
+      || CASE WHEN i % 7 = 1 THEN '<link rel="amphtml" href="/p' || (i - 1) || '">' ELSE '' END || '</head><body><p>' || repeat('word ', CAST(20 + 10 * (i % 50) AS INT)) || '</p></body></html>'"""
+    return _issues(_site(spark, d, html), "hreflang", "pagination", "amp", "duplicates", "content")
