@@ -119,6 +119,36 @@ def test_pages_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_stream_and_batch_agree(spark, tmp_path):
+    """Late and repeated pages in several files, a restart in between: each page is judged once, as it is in a batch."""
+    from sitewarden.plans import audit
+    from sitewarden.streaming import pages as stream
+
+    made = fixtures.pages(spark).withColumn("fetched_at", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(page_seq AS int), 0)"))
+    rows = made.count()
+    source, out, kept, state = (str(tmp_path / n) for n in ("in", "out", "kept", "state"))
+    parts = [made.where("page_seq % 2 = 0"), made.where("page_seq % 2 = 1"), made.withColumn("fetched_at", F.expr("fetched_at + interval 5 minutes"))]
+    options = audit.Options(disabled=["perf"])
+    for k, part in enumerate(parts):  # the last repeats everything, after a restart
+        part.coalesce(1).write.mode("append").parquet(source)
+        if k != 1:
+            frame = spark.readStream.schema(made.schema).parquet(source)
+            stream.start(frame, out, state, options, stored=kept).awaitTermination()
+    columns = ["code", "severity", "url", "data"]
+    got = sorted(map(repr, spark.read.parquet(out).select(*columns).collect()))
+    want = sorted(map(repr, stream.page_issues(stream.once(made), options).select(*columns).collect()))
+    assert got == want and len(got) > 50
+    assert spark.read.parquet(kept).count() == stream.once(made).count() <= rows
+    across = stream.rest(spark, kept, audit.Options())
+    assert {"links", "duplicates", "content", "hreflang"} <= {r.analyzer for r in across.select("analyzer").distinct().collect()} and across.where("analyzer = 'seo'").isEmpty()
+    late = made.limit(1).withColumns({"fetched_at": F.expr("timestamp'2023-01-01 00:00:00'"), "final_url": F.lit("https://late.example/"), "requested_url": F.lit("https://late.example/")})
+    late.coalesce(1).write.mode("append").parquet(source)
+    stream.start(spark.readStream.schema(made.schema).parquet(source), out, state, options, stored=kept).awaitTermination()
+    assert spark.read.parquet(kept).where("final_url like '%late%'").isEmpty()  # beyond the watermark
+    with pytest.raises(ValueError, match="links"):
+        stream.start(spark.readStream.schema(made.schema).parquet(source), out, state, audit.Options(enabled=["links", "seo"]))
+
+
 def test_rotation(spark):
     urls = spark.createDataFrame([(0, "https://a/1"), (1, "https://b/1"), (2, "https://a/2")], "rank int, url string")
     assert [r.agent for r in crawl.rotated(urls, ["x", "y"]).orderBy("rank").collect()] == ["x", "y", "x"]
