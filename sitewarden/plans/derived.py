@@ -356,3 +356,26 @@ def site_audited(spark: SparkSession, d: str) -> DataFrame:
       || CASE WHEN i % 21 = 0 THEN '' ELSE '<script src="https://cdn.ampproject.org/v0.js"></script>' END
       || CASE WHEN i % 7 = 1 THEN '<link rel="amphtml" href="/p' || (i - 1) || '">' ELSE '' END || '</head><body><p>' || repeat('word ', CAST(20 + 10 * (i % 50) AS INT)) || '</p></body></html>'"""
     return _issues(_site(spark, d, html), "hreflang", "pagination", "amp", "duplicates", "content")
+
+
+_LANDING = """
+own := CASE WHEN i % 4 = 0 THEN 'http' ELSE 'https' END || '://s.example/l' || i
+final := own || CASE WHEN i % 2 = 0 THEN '?utm_campaign=alpha+bravo+charlie+delta+echo' ELSE '' END
+m := i % 6
+"""
+
+
+@query(f"""WITH p AS (SELECT page_id AS i, url FROM pages), c AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _parts(_LANDING))} FROM p WHERE i % 2 = 0),
+  t AS (SELECT *, CASE WHEN i > 0 THEN ['golf'] ELSE [] END AS asked, ['alpha', 'bravo', 'charlie', 'delta', 'echo'] AS words FROM c),
+  k AS (SELECT *, CAST(m AS DOUBLE) / len(asked || words) AS share, json_object('campaign_terms', asked || words, 'coverage', floor(CAST(m AS DOUBLE) / len(asked || words) * 100 + 0.5) / 100,
+    'matched', words[1:m], 'missing', asked || words[m + 1:]) AS data FROM t) """ + _rows(
+    ("landing-not-https", "warning", "final", "NULL", "c WHERE i % 4 = 0"), ("landing-noindex", "error", "final", "json_object('robots', 'noindex')", "c WHERE i % 7 = 0"),
+    ("landing-missing-title", "warning", "final", "NULL", "c WHERE m = 0"), ("landing-missing-h1", "warning", "final", "NULL", "c WHERE i % 3 = 0"), ("landing-missing-description", "info", "final", "NULL", "c WHERE i % 5 = 0"),
+    ("landing-keyword-mismatch", "warning", "final", "data", "k WHERE share < 0.2"), ("landing-keyword-weak", "info", "final", "data", "k WHERE share >= 0.2 AND share < 0.5"), ("landing-keyword-aligned", "info", "final", "data", "k WHERE share >= 0.5"),
+))
+def landing_audited(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule on campaign pages, their own terms behind those of the link before, with its data."""
+    html = """'<html><head><title>' || array_join(slice(array('alpha', 'bravo', 'charlie', 'delta', 'echo'), 1, CAST(m AS INT)), ' ') || '</title>' || CASE WHEN i % 5 = 0 THEN '' ELSE '<meta name="description" content="x">' END
+      || CASE WHEN i % 7 = 0 THEN '<meta name="robots" content="noindex">' ELSE '' END || '</head><body>' || CASE WHEN i % 3 = 0 THEN '' ELSE '<h1>zulu</h1>' END
+      || CASE WHEN i % 2 = 1 THEN '<a href="https://s.example/l' || (i + 1) || '?utm_term=golf">x</a>' ELSE '' END"""
+    return _issues(_crawl(spark, d, _LANDING, requested_url="final", final_url="final", html=html), "landing")
