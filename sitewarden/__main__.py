@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import argparse
 import contextlib
-import io
-import json
 import sys
 import time
 from dataclasses import fields
@@ -29,13 +27,14 @@ def _write(issues: DataFrame, pages: DataFrame, seed: str, kind: str, out: str |
     if kind == "csv":
         report.write_csv(issues, out or "issues")
         return
+    if kind == "json" and out:
+        report.write_json(out, issues, pages, seed, coverage, skipped)
+        return
     with open(out, "w") if out else contextlib.nullcontext(sys.stdout) as f:
         if kind == "json":
             report.write_json(f, issues, pages, seed, coverage, skipped)
         else:
-            held = io.StringIO()
-            report.write_json(held, issues, pages, seed, coverage, skipped)
-            report.write_html(f, json.loads(held.getvalue()))
+            report.write_html(f, report.lines_of(report.document(issues, pages, seed, coverage, skipped)))
 
 
 def main(args: list[str] | None = None) -> int:
@@ -85,9 +84,13 @@ def main(args: list[str] | None = None) -> int:
     h = sub.add_parser("history", help="stored crawls, newest first")
     h.add_argument("store")
     h.add_argument("--host")
-    r = sub.add_parser("check-redirects", help="a rule CSV against responses and a list of sitemap URLs (Parquet)")
-    for name in ("rules", "responses", "sitemap", "domain", "out"):
+    r = sub.add_parser("check-redirects", help="a rule CSV against what sources and targets answer and what the sitemap lists")
+    for name in ("rules", "domain", "out"):
         r.add_argument(name)
+    r.add_argument("--responses", help="answers (Parquet); they are fetched if it isn't given")
+    r.add_argument("--sitemap", help="URLs of the sitemap (Parquet); it is looked for if it isn't given")
+    r.add_argument("--sitemap-url", help="where the sitemap is, in place of the usual addresses")
+    r.add_argument("--config")
     given = parser.parse_args(args)
     if given.command == "init":
         with open(given.path, "x") as f:
@@ -95,7 +98,7 @@ def main(args: list[str] | None = None) -> int:
         return 0
     if given.command == "render":
         with open(given.report) as f, open(given.out, "w") as out:
-            report.write_html(out, json.load(f))
+            report.write_html(out, f)
         return 0
     if given.command == "analyzers":
         print("\n".join(audit.ORDER))
@@ -135,7 +138,11 @@ def main(args: list[str] | None = None) -> int:
         for row in report.history(spark, given.store, given.host).toLocalIterator():
             print(f"{row['host']}/{row['ts']}\t{row['n_issues']}")
     else:
-        checked = redirects.check(redirects.read_rules(spark, given.rules), spark.read.parquet(given.responses), spark.read.parquet(given.sitemap), given.domain)
+        settings = config.load(given.config, seed=given.domain)
+        rules = redirects.read_rules(spark, given.rules)
+        answers = spark.read.parquet(given.responses) if given.responses else live.rule_answers(spark, rules, given.domain, settings)
+        listed = spark.read.parquet(given.sitemap) if given.sitemap else live.listed_urls(spark, given.domain, live.fetch_options(settings), given.sitemap_url)
+        checked = redirects.check(rules, answers, listed, given.domain)
         redirects.write_results(checked, given.out)
     return 0
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def absolute(value: Column, domain: str) -> Column:
 
 def scope(original: Column, target: Column, domain: str) -> Column:
     host = U.hostname(absolute(target, domain))
-    own = domain.split("://")[-1].lower()
+    own = urlsplit(domain if "://" in domain else f"https://{domain}").hostname or ""
     return (
         F.when(original.contains("(?P<") | F.trim(original).startswith("https?://") | target.contains("{"), "dynamic")
         .when((host == own) | host.endswith("." + own), "in-scope")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import urls as U
+from ..operators import redirects
 from ..operators import robots as R
 from ..operators import sitemaps as M
 from ..sources import schema
@@ -117,10 +118,15 @@ def robots_of(options: Fetch) -> Callable[[DataFrame], DataFrame]:
 
 def sitemaps_of(spark: SparkSession, seed: str, robots: DataFrame, options: Fetch, depth: int = 2) -> DataFrame:
     """Bodies of the declared and guessed sitemaps and of what their indexes name: ``url, status, truncated, declared, body``."""
-    store = crawl.Store(spark)
     parts = urlsplit(seed)
     guessed = spark.createDataFrame([(f"{parts.scheme}://{parts.netloc}{p}", False) for p in GUESSED], "url string, declared boolean")
     asked = R.with_rules(robots).select(F.explode("sitemaps").alias("url"), F.lit(True).alias("declared")).unionAll(guessed).groupBy("url").agg(F.max("declared").alias("declared"))
+    return sitemap_bodies(spark, asked, options, depth)
+
+
+def sitemap_bodies(spark: SparkSession, asked: DataFrame, options: Fetch, depth: int = 2) -> DataFrame:
+    """Bodies of ``asked(url, declared)`` and of what their indexes name."""
+    store = crawl.Store(spark)
     found = store.append(fetch_bodies(asked.select("url"), options).join(asked, "url").select("url", "status", "truncated", "declared", "body"), "bodies")
     for _ in range(depth):
         children = M.read(found).where("kind = 'index'").select(F.explode("locs").alias("url")).distinct()
@@ -132,6 +138,29 @@ def sitemaps_of(spark: SparkSession, seed: str, robots: DataFrame, options: Fetc
     return found
 
 
+def listed_urls(spark: SparkSession, domain: str, options: Fetch, override: str | None = None) -> DataFrame:
+    """``loc``: what a domain's sitemap lists. One that can't be read is an error, as every rule would be judged wrongly."""
+    base = (domain if "://" in domain else f"https://{domain}").rstrip("/")
+    places = [(override, True)] if override else [(f"{base}{p}", False) for p in GUESSED]
+    bodies = sitemap_bodies(spark, spark.createDataFrame(places, "url string, declared boolean"), options)
+    read = crawl.Store(spark).keep(M.read(bodies), "sitemaps")
+    if read.where("kind IN ('index', 'urlset')").isEmpty():
+        cut = not bodies.where("truncated").isEmpty()
+        raise LookupError(f"no sitemap at {' or '.join(p for p, _ in places)}" + (": it is longer than max_body_bytes" if cut else ""))
+    return read.where("kind = 'urlset'").select(F.explode("locs").alias("loc")).distinct()
+
+
+def rule_answers(spark: SparkSession, rules: DataFrame, domain: str, config: Config) -> DataFrame:
+    """``url, status_code, final_url, hops, err`` of the sources and targets of rules in scope, at the limiter's pace; redirects may lead anywhere."""
+    c = F.col
+    inside = rules.where(redirects.scope(c("Original URL"), c("Redirect to"), domain) == "in-scope")
+    at = inside.select(F.explode(F.array(redirects.absolute(c("Original URL"), domain), redirects.absolute(c("Redirect to"), domain))).alias("url")).distinct()
+    store = crawl.Store(spark)
+    ask = Hops(spark, replace(config, follow_external=True, include=[], exclude=[]), fetch_options(config), None)
+    frontier = store.numbered(at.withColumns({"key": c("url"), "referrer": F.lit("")}), ["url"], "rank", "rules")
+    return store.keep(ask(frontier).select("url", "status_code", "final_url", F.size("redirects").alias("hops"), "err"), "rule-answers")
+
+
 def crawl_site(spark: SparkSession, config: Config, stop: Callable[[], bool] | None = None, probes: bool = False) -> Crawled:
     """Fetches a site from its seed on, and what the selected analyzers need beside its pages."""
     options, store = fetch_options(config), crawl.Store(spark)

@@ -1,6 +1,7 @@
 """A crawl of a local server: waves, robots, sitemaps, pace, limits, interrupts and the command line."""
 
 import gzip
+import io
 import json
 import threading
 import time
@@ -9,7 +10,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 import pytest
 
 from sitewarden.__main__ import main
-from sitewarden.plans import audit, config, crawl, live
+from sitewarden.plans import audit, config, crawl, live, report
 from sitewarden.sources.fetch import Fetch, Pace, Paced, ask, retry_after
 from sitewarden.streaming import throttle
 
@@ -245,3 +246,50 @@ def test_agents_and_proxies_rotate(spark, serve):
     with pytest.raises(ValueError):
         config.Config(proxies=["socks5://x"])
     assert crawl.rotated(spark.range(3).selectExpr("id AS rank", "'http://h/' AS url"), []).where("agent IS NULL").count() == 3
+
+
+def test_redirect_rules_of_a_live_site(spark, serve, tmp_path):
+    """Sources and targets are fetched and the sitemap is looked for; without one nothing is judged."""
+    base = ""
+
+    def answer(path):
+        if path in ("/old", "/far"):
+            return 301, {"Location": "/new" if path == "/old" else "/other"}, ""
+        if path == "/sitemap.xml":
+            return 200, {"Content-Type": "text/xml"}, f"<urlset><url><loc>{base}/new</loc></url></urlset>"
+        return (200, {}, page("Here")) if path in ("/new", "/other", "/live") else (404, {}, "lost")
+
+    port, asked = serve(answer)
+    base = f"http://127.0.0.1:{port}"
+    names = ["Original URL", "Redirect to", "Redirect type", "Redirect style", "Priority", "Match query strings", "Ignore trailing slash", "Ignore protocol", "Disable if page exists", "Note"]
+    rules = tmp_path / "rules.csv"
+    rules.write_text("\n".join([",".join(names), *(f"{a},{b},301,,,,,,{off}," for a, b, off in (("/old", "/new", ""), ("/far", "/new", ""), ("/live", "/new", "TRUE"), ("/gone", "/lost", ""), ("/x", "https://other.example/", "")))]))
+    out = str(tmp_path / "checked")
+    assert main(["check-redirects", str(rules), base, out]) == 0
+    got = {r["Original URL"]: (r.scope, r.verdict, r.source_status, r.target_in_sitemap) for r in spark.read.csv(out, header=True).collect()}
+    assert got == {"/old": ("in-scope", "ok", "200", "TRUE"), "/far": ("in-scope", "error", "200", "TRUE"), "/live": ("in-scope", "warning", "200", "TRUE"), "/gone": ("in-scope", "error", "404", "FALSE"), "/x": ("external", None, None, "FALSE")}
+    assert len([p for p, _, _ in asked if p == "/new"]) == 2  # as a target, and behind a redirect
+    with pytest.raises(LookupError, match="nowhere"):
+        main(["check-redirects", str(rules), base, out, "--sitemap-url", f"{base}/nowhere.xml"])
+
+
+def test_reports_by_path_and_by_stream(spark, site, tmp_path):
+    """A report copied by the file system is the one that is streamed; it can be rendered, and read back in place of a stored crawl."""
+    base, _ = site
+    made = live.crawl_site(spark, config.Config(seed=f"{base}/", analyzers=["seo", "links", "robots"]))
+    issues = crawl.Store(spark).keep(audit.audit(made.pages, made.options), "issues")
+    path, streamed = str(tmp_path / "r.json"), io.StringIO()
+    report.write_json(path, issues, made.pages, base, made.coverage)
+    report.write_json(streamed, issues, made.pages, base, made.coverage)
+    assert open(path).read() == streamed.getvalue()
+    document = json.loads(streamed.getvalue())
+    assert len(document["issues"]) == issues.count() and document["issues"][0]["severity"] == "error" and all(isinstance(i["data"], (dict, type(None))) for i in document["issues"])
+    nodes = {n["prefix"]: n for n in document["site_map"]}
+    assert list(nodes)[0] == "/" and list(nodes)[-1] is None and {n.get("status") for n in document["site_map"][:-1]} == {"ok"}
+    assert all(n["counts"] == {s: sum(i["severity"] == s for i in n["issues"]) for s in report.SEVERITIES} for n in document["site_map"][:-1])
+    page_ = io.StringIO()
+    report.write_html(page_, open(path))
+    assert "<tr class=error>" in page_.getvalue() and "<tr class=ok>" in page_.getvalue() and page_.getvalue().count("<tr class=") >= issues.count()
+    key = lambda frame: sorted((r.analyzer, r.code, r.url, r.severity, r.message) for r in frame.collect())
+    again = report.stored(spark, str(tmp_path / "no-store"), path)
+    assert key(again) == key(issues) and {json.dumps(json.loads(r.data)) for r in again.where("data IS NOT NULL").collect()} == {json.dumps(json.loads(r.data)) for r in issues.where("data IS NOT NULL").collect()}
