@@ -425,6 +425,23 @@ def test_exact_pair_beside_a_changed_copy(spark):
     assert all((k + 2, k + 1) in pairs for k in range(0, 90, 3)) and all((k + 2, k) in pairs for k in range(0, 90, 3))
 
 
+def test_parts_in_other_documents(spark):
+    """A passage of 60 words with a tenth of them changed, its halves also in two other earlier documents: the pair is found all the same."""
+    rng = random.Random(31)
+    names = [f"w{i}" for i in range(5000)]
+    own = lambda n: [rng.choice(names) for _ in range(n)]
+    rows, wanted = [], []
+    for k in range(0, 400, 4):
+        whole = own(60)
+        changed = [rng.choice(names) if rng.random() < 0.1 else w for w in whole]
+        ids = [k, k + 1, k + 2]
+        rng.shuffle(ids)
+        rows += [(ids[0], " ".join(own(30) + whole[:30] + own(30))), (ids[1], " ".join(own(30) + whole[30:] + own(30))), (ids[2], " ".join(own(30) + whole + own(30))), (k + 3, " ".join(own(30) + changed + own(30)))]
+        wanted.append((k + 3, ids[2]))
+    found = {(r.doc_id, r.other_doc_id) for r in chains.passages(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()}
+    assert sum(w in found for w in wanted) >= 96
+
+
 def test_rows_that_are_equal(spark):
     """Many rows of one text and no id: each gives what one of them gives, in time that grows with them."""
     text = " ".join(f"w{i * i % 977}" for i in range(400))
