@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sitewarden.llm import caps, chains, jaccard, langid, linededup, mixing, packing, quality, suffix, tokens
+from sitewarden.llm import caps, chains, crosstok, ctw, jaccard, langid, linededup, mixing, packing, quality, sortmeans, suffix, tokens
 from sitewarden.llm.common import Scratch
 
-BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
 ROWS = [
     (1, "alpha beta gamma delta epsilon\nzeta eta theta\niota kappa\nlambda mu", "en", "a", 5),
@@ -45,8 +45,10 @@ OPERATORS = {
     "op7": lambda d, s: chains.passages(d, s),
     "op8": lambda d, s: jaccard.join(d, s),
     "op9": lambda d, s: tokens.token_counts(d, BYTE),
+    "op11": lambda d, s: ctw.score(d, s),
+    "op13": lambda d, s: crosstok.align(d, s, BYTE, PIECE),
 }
-EACH_ROW = ("op2", "op3", "op4", "op5", "op6", "op8", "op9")
+EACH_ROW = ("op2", "op3", "op4", "op5", "op6", "op8", "op9", "op11", "op13")
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -99,6 +101,14 @@ def test_vectors(spark):
     assert caps.near_duplicates(v.where("false"), Scratch(spark)).count() == 0
 
 
+def test_vectors_in_centres(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, None, 2), (3, [float("nan"), 1.0], 2), (4, [1.0, None], 2), (None, [1.0, 0.0], 3), (5, [1.0, 0.0, 0.0], 3), (6, [0.0, 1.0], 1)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"cluster": F.lit("x"), "v": F.lit(1)})
+    got = sortmeans.cluster(v, Scratch(spark), k=2, dims=2, rounds=2).collect()
+    assert {r.vec_id for r in got} == {None, 1, 6} and len(got) == 4
+    assert sortmeans.cluster(v.where("false"), Scratch(spark), dims=2).count() == 0
+
+
 def test_vectors_under_one_id(spark):
     """An id of two vectors, and components whose squares leave the range of doubles."""
     rows = [(7, [1.0, 0.0]), (7, [0.999, 0.02]), (8, [1.0, 0.01]), (9, [0.0, 1.0]), (10, [1e200, 1e198]), (11, [1e-200, 0.0]), (12, [0.0, -1e-310])]
