@@ -379,3 +379,49 @@ def landing_audited(spark: SparkSession, d: str) -> DataFrame:
       || CASE WHEN i % 7 = 0 THEN '<meta name="robots" content="noindex">' ELSE '' END || '</head><body>' || CASE WHEN i % 3 = 0 THEN '' ELSE '<h1>zulu</h1>' END
       || CASE WHEN i % 2 = 1 THEN '<a href="https://s.example/l' || (i + 1) || '?utm_term=golf">x</a>' ELSE '' END"""
     return _issues(_crawl(spark, d, _LANDING, requested_url="final", final_url="final", html=html), "landing")
+
+
+_LAYER = """
+r := i % 5 <> 0
+g := i % 6
+e := i % 7
+sent := i % 2 = 0
+"""
+_SALE = '{"event":"purchase","ecommerce":{"transaction_id":"T1","value":5,"currency":"EUR","items":[{"a":1}]}}'
+#: What each kind of page pushed.
+_PUSHED = [
+    [], ['{"event":"page_view"}', '{"event":"click"}', '{"event":"click"}'], ['{"event":"click"}'], ['{"event":"purchase","transaction_id":"T1","value":"5","currency":"eur","items":[]}'], [_SALE, _SALE],
+    ['{"event":"view_item","email":"ann@b.example"}'], ['{"event":"gtm.js"}'],
+]
+_COUNTED = ["", '{"count":1,"event":"page_view"},{"count":2,"event":"click"}', '{"count":1,"event":"click"}', '{"count":1,"event":"purchase"}', '{"count":2,"event":"purchase"}', '{"count":1,"event":"view_item"}', '{"count":1,"event":"gtm.js"}']
+_GTM = '<script src="https://www.googletagmanager.com/gtm.js?id=GTM-AA11"></script>'
+_HEAD_TAGS = {1: f"<script>window.dataLayer=window.dataLayer||[];</script>{_GTM}", 3: '<script src="https://www.googletagmanager.com/gtag/js?id=G-ABCD12"></script><script>window.dataLayer=window.dataLayer||[];gtag("consent","default");gtag("config","G-ABCD12");gtag("config","AW-99")</script>',
+              4: "<script>dataLayer.push({})</script><script>dataLayer=[]</script>", 5: '<script>fbq("init","123456")</script>'}
+_BODY_TAGS = {1: '<noscript><iframe src="https://www.googletagmanager.com/ns.html?id=GTM-AA11"></iframe></noscript>', 2: _GTM}
+
+
+def _case(of: str, texts: dict[int, str], otherwise: str = "''") -> str:
+    return f"CASE {of} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in texts.items()) + f" ELSE {otherwise} END"
+
+
+@query(_expected(_LAYER, [
+    ("datalayer-gtm-noscript-missing", "warning", "g = 2", "json_object('containers', ['GTM-AA11'])"), ("datalayer-gtm-snippet-not-in-head", "info", "g = 2", "json_object('containers', ['GTM-AA11'])"),
+    ("datalayer-push-before-init", "warning", "g = 4", ""), ("datalayer-init-missing", "warning", "g = 2", ""), ("datalayer-consent-mode-present", "info", "g = 3", ""), ("datalayer-consent-mode-missing", "info", "g IN (1, 2)", ""),
+    ("datalayer-gtag-config-id-mismatch", "warning", "g = 3", "json_object('config_id', 'AW-99', 'loaded_ids', ['G-ABCD12'])"), ("datalayer-empty", "warning", "r AND e = 0 AND g IN (1, 2, 3)", ""),
+    ("datalayer-events", "info", "r AND e > 0", f"'{{\"events\":[' || {_case('e', dict(enumerate(_COUNTED)))} || ']}}'"), ("datalayer-page-view-missing", "warning", "r AND e IN (2, 3, 4, 5) AND g <> 3", ""),
+    ("datalayer-ecommerce-event-invalid", "warning", "r AND e = 5", "json_object('event', 'view_item', 'missing', ['currency', 'value', 'items'])"),
+    ("datalayer-param-type", "warning", "r AND e = 3", "json_object('event', 'purchase', 'param', 'value', 'want', 'number')"), ("datalayer-param-type", "warning", "r AND e = 3", "json_object('event', 'purchase', 'got', 'eur', 'param', 'currency', 'want', 'ISO-4217 code')"),
+    ("datalayer-param-type", "warning", "r AND e = 3", "json_object('event', 'purchase', 'param', 'items')"), ("datalayer-duplicate-event", "warning", "r AND e = 4", "json_object('count', 2, 'event', 'purchase')"),
+    ("datalayer-duplicate-transaction", "warning", "r AND e = 4", "json_object('count', 2, 'transaction_id', 'T1')"), ("datalayer-pii", "warning", "r AND e = 5", "json_object('key', 'email', 'kind', 'email', 'value', 'an*********le')"),
+    ("datalayer-tag-not-firing", "warning", "r AND g IN (1, 2) AND NOT sent", "json_object('tag', 'Google Tag Manager')"), ("datalayer-tag-not-firing", "warning", "r AND g = 3 AND NOT sent", "json_object('tag', 'GA4')"),
+    ("datalayer-tag-not-firing", "warning", "r AND g = 3", "json_object('tag', 'Google Ads')"), ("datalayer-tag-not-firing", "warning", "r AND g = 5", "json_object('tag', 'Meta Pixel')"),
+    ("datalayer-tags-firing", "info", "r AND g IN (1, 2, 3) AND sent", "json_object('tags', [CASE g WHEN 3 THEN 'GA4' ELSE 'Google Tag Manager' END])"),
+]))
+def datalayer_audited(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule on tag managers and data layers, with its data."""
+    pushed = "CASE e " + " ".join(f"WHEN {k} THEN array({', '.join(repr(x) for x in xs)})" for k, xs in enumerate(_PUSHED) if xs) + " ELSE cast(array() AS array<string>) END"
+    sent = "CASE WHEN sent THEN array('https://x.example/g/collect?a', 'https://www.googletagmanager.com/gtm.js?id=1') ELSE cast(array() AS array<string>) END"
+    render = f"""named_struct('implemented', r, 'note', '', 'raw_fallback', false, 'rendered_bytes', 0, 'raw_bytes', 0, 'lcp_ms', 0D, 'fcp_ms', 0D, 'cls', 0D, 'tbt_ms', 0D, 'ttfb_ms', 0D,
+      'data_layer_present', true, 'data_layer', {pushed}, 'requests', {sent})"""
+    html = f"'<html><head>' || {_case('g', _HEAD_TAGS)} || '</head><body>' || {_case('g', _BODY_TAGS)} || '</body></html>'"
+    return _issues(_crawl(spark, d, _LAYER, render=render, html=html), "datalayer")

@@ -197,7 +197,7 @@ def geo_landmarks(spark, d):
   CAST(len(regexp_extract_all(text, '[$€£¥]\s?[0-9][0-9,.]*|[0-9][0-9,.]*\s?%|\b[0-9][0-9,.]*\b')) AS BIGINT) AS data_points FROM documents""")
 def geo_quotable_density(spark, d):
     regex = rf"[$€£¥]\s?[0-9][0-9,.]*|[0-9][0-9,.]*\s?%|{T.B}[0-9][0-9,.]*(?:(?<=[0-9]){T.E}|(?<=[,.])(?=[A-Za-z0-9_]))"
-    return _t(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"), F.size(F.regexp_extract_all("text", F.lit(regex), F.lit(0))).cast("long").alias("data_points"))
+    return audit.spread(_t(spark, d, "documents")).select("doc_id", T.word_count(F.col("text")).alias("words"), F.size(F.regexp_extract_all("text", F.lit(regex), F.lit(0))).cast("long").alias("data_points"))
 
 
 @query(r"SELECT conv_id, turn, trim(text) LIKE '%?' OR lower(regexp_extract(trim(text), '^([A-Za-z]+)', 1)) IN ('how','what','why','when','where','who','which','can','do','does','is','are','should','will','could','would','did') AND regexp_matches(trim(text), '^[A-Za-z]+([,.:;\"'']*(\s|$))') AS question FROM conversations")
