@@ -425,3 +425,31 @@ def datalayer_audited(spark: SparkSession, d: str) -> DataFrame:
       'data_layer_present', true, 'data_layer', {pushed}, 'requests', {sent})"""
     html = f"'<html><head>' || {_case('g', _HEAD_TAGS)} || '</head><body>' || {_case('g', _BODY_TAGS)} || '</body></html>'"
     return _issues(_crawl(spark, d, _LAYER, render=render, html=html), "datalayer")
+
+
+# --- files beside the pages ------------------------------------------------------------------
+
+_FILES = """
+host := 'h' || (i % 20) || '.example'
+k := i % 4
+own := 'https://h' || (i % 20) || '.example/p' || i
+"""
+
+
+@query(f"""WITH p AS (SELECT page_id AS i, url FROM pages), c AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _parts(_FILES))} FROM p), h AS (SELECT DISTINCT host, k FROM c),
+  m AS (SELECT own AS loc FROM c WHERE k = 0 UNION SELECT own || 'x' FROM c WHERE k = 0), o AS (SELECT count(*) AS listed, count(*) FILTER (WHERE loc NOT LIKE '%x') AS hit FROM m), n AS (SELECT count(*) AS pages FROM c) """ + _rows(
+    ("robots-missing", "info", "'host ' || host", "json_object('status', 404)", "h WHERE k = 0"), ("robots-no-sitemap-declared", "info", "'host ' || host", "NULL", "h WHERE k IN (1, 3)"),
+    ("robots-sitemaps-declared", "info", "'host ' || host", "json_object('sitemaps', ['https://x.example/s.xml'])", "h WHERE k = 2"), ("robots-crawled-disallowed", "warning", "own", "NULL", "c WHERE k = 1 AND CAST(i AS VARCHAR) LIKE '1%'"),
+    ("geo-ai-crawler-blocked", "info", "'host ' || host", "json_object('blocked', ['GPTBot'])", "h WHERE k = 3"),
+    ("sitemap-invalid", "warning", "own || '.xml'", "NULL", "c WHERE k = 1"), ("sitemap-truncated", "warning", "own || '.xml'", "NULL", "c WHERE k = 2"),
+    ("sitemap-coverage", "info", "'https://example.org/'", "json_object('crawled_not_in_sitemap', pages - hit, 'crawled_pages', pages, 'in_sitemap_not_crawled', listed - hit, 'sitemap_urls', listed)", "o, n WHERE listed > 0"),
+))
+def files_audited(spark: SparkSession, d: str) -> DataFrame:
+    """Rules on robots files and sitemaps of twenty hosts, with their data: each fourth host has no file, closes a part, declares a sitemap, or shuts a crawler out."""
+    parts = _t(spark, d, "pages").selectExpr("page_id AS i", "url").selectExpr("*", *(f"{e} AS {n}" for n, e in _parts(_FILES)))
+    body = "CASE k WHEN 1 THEN 'User-agent: *\\nDisallow: /p1' WHEN 2 THEN 'Sitemap: https://x.example/s.xml' WHEN 3 THEN 'User-agent: GPTBot\\nDisallow: /' ELSE '' END"
+    files = parts.select("host", "k").distinct().selectExpr("'https' AS scheme", "host", "CASE k WHEN 0 THEN 404 ELSE 200 END AS status", f"{body} AS body")
+    xml = "CASE k WHEN 0 THEN '<urlset><url><loc>' || own || '</loc></url><url><loc>' || own || 'x</loc></url></urlset>' WHEN 1 THEN 'nonsense' ELSE '<urlset>' END"
+    maps = parts.selectExpr("own || '.xml' AS url", "CASE k WHEN 3 THEN 404 ELSE 200 END AS status", "k = 2 AS truncated", "true AS declared", f"encode({xml}, 'utf-8') AS body")
+    pages = _crawl(spark, d, _FILES, requested_url="own", final_url="own", html="'<p>x</p>'")
+    return _issues(pages, "robots", "sitemap", "geo", robots=files, sitemaps=maps)
