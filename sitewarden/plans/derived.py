@@ -453,3 +453,30 @@ def files_audited(spark: SparkSession, d: str) -> DataFrame:
     maps = parts.selectExpr("own || '.xml' AS url", "CASE k WHEN 3 THEN 404 ELSE 200 END AS status", "k = 2 AS truncated", "true AS declared", f"encode({xml}, 'utf-8') AS body")
     pages = _crawl(spark, d, _FILES, requested_url="own", final_url="own", html="'<p>x</p>'")
     return _issues(pages, "robots", "sitemap", "geo", robots=files, sitemaps=maps)
+
+
+_PRESS = """
+k := i % 9
+own := 'https://w.example' || CASE i % 9 WHEN 0 THEN '/?p=' || (i + 1) WHEN 1 THEN '/de' || i || '?lang=DE' WHEN 2 THEN '/?attachment_id=' || (i + 1) WHEN 3 THEN '/?s=w' || i WHEN 4 THEN '/author/a' || i WHEN 5 THEN '/' || (2000 + i % 25) || '/05/' WHEN 6 THEN '/author/b' || i ELSE '/x' || i END
+"""
+_SITE_WIDE = "'https://example.org/'"
+
+
+@query(f"""WITH p AS (SELECT page_id AS i, url FROM pages), c AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _parts(_PRESS))} FROM p), s AS (SELECT list_sort(list(DISTINCT 'plug' || (i % 12))) AS plugins FROM c HAVING count(*) > 0) """ + _rows(
+    ("wp-ugly-permalink", "info", "own", "json_object('param', 'p')", "c WHERE k = 0"), ("wp-i18n-lang-query-param", "info", "own", "json_object('lang', 'de')", "c WHERE k = 1"),
+    ("wp-html-lang-mismatch", "warning", "own", "json_object('html_lang', 'en', 'url_lang', 'de')", "c WHERE k = 1"), ("wp-indexable-attachment", "warning", "own", "json_object('id', CAST(i + 1 AS VARCHAR))", "c WHERE k = 2"),
+    ("wp-indexable-search", "warning", "own", "NULL", "c WHERE k = 3"), ("wp-indexable-author-archive", "info", "own", "NULL", "c WHERE k = 4"), ("wp-indexable-date-archive", "info", "own", "NULL", "c WHERE k = 5"),
+    ("wp-acf-leaked-markup", "warning", "own", "json_object('snippet', 'hello [acf field] bye')", "c WHERE k = 7"),
+    ("wp-detected", "info", _SITE_WIDE, "json_object('i18n_plugin', 'Polylang', 'plugin_count', len(plugins), 'plugins', plugins, 'seo_plugin', 'Rank Math, Yoast SEO', 'version', '6.4')", "s"),
+    ("wp-version-exposed", "warning", _SITE_WIDE, "json_object('version', '6.4')", "s"), ("wp-emoji-enabled", "info", _SITE_WIDE, "NULL", "s"), ("wp-jquery-migrate", "info", _SITE_WIDE, "NULL", "s"),
+    ("wp-many-plugin-assets", "warning", _SITE_WIDE, "json_object('plugin_count', len(plugins), 'plugins', plugins)", "s WHERE len(plugins) >= 10"), ("wp-default-tagline", "warning", _SITE_WIDE, "NULL", "s"),
+    ("wp-multiple-seo-plugins", "warning", _SITE_WIDE, "json_object('plugins', ['Rank Math', 'Yoast SEO'])", "s"), ("wp-multilingual-detected", "info", _SITE_WIDE, "json_object('plugins', ['Polylang'])", "s"),
+    ("wp-i18n-no-hreflang", "warning", _SITE_WIDE, "json_object('plugins', ['Polylang'])", "s"),
+))
+def wordpress_audited(spark: SparkSession, d: str) -> DataFrame:
+    """Rules on WordPress, of pages and of the site they make together, with their data."""
+    html = """'<html lang="en"><head>' || CASE WHEN i % 10 = 0 THEN '<meta name="generator" content="WordPress 6.4">' ELSE '' END || CASE WHEN k = 6 THEN '<meta name="robots" content="noindex">' ELSE '' END
+      || '<script src="/wp-content/plugins/plug' || (i % 12) || '/a.js"></script>' || CASE WHEN i % 2 = 0 THEN '<!-- yoast -->' ELSE '<!-- rank-math -->' END || CASE WHEN i % 3 = 0 THEN '<!-- polylang -->' ELSE '' END
+      || CASE WHEN i % 4 = 0 THEN '<script>_wpemojiSettings</script><script src="/jquery-migrate.js"></script><!-- Just another WordPress site -->' ELSE '' END
+      || '</head><body>' || CASE WHEN k = 7 THEN 'hello [acf field] bye' ELSE 'hello' END || '</body></html>'"""
+    return _issues(_crawl(spark, d, _PRESS, requested_url="own", final_url="own", html=html), "wordpress")
