@@ -16,8 +16,9 @@ from . import signatures as S
 from .rules import GATE, f, found, header, issue, link_hrefs, meta
 
 
-def flat(frame: DataFrame, issues: Column) -> DataFrame:
-    return frame.select(F.explode(issues).alias("i")).select("i.*")
+def flat(frame: DataFrame, issues: Column, *keep: str) -> DataFrame:
+    """The issues as rows, with the columns of their page that ``keep`` names before them."""
+    return frame.select(*keep, F.explode(issues).alias("i")).select(*keep, "i.*")
 
 
 def page_index(pages: DataFrame) -> DataFrame:

@@ -340,15 +340,19 @@ def reported(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(value.alias("i")).select("i.*")
 
 
-def compare(base: DataFrame, current: DataFrame) -> DataFrame:
-    """Issues with ``bucket``: new, resolved or persisting. Severity doesn't tell issues apart; repeated ones stay."""
+def compare(base: DataFrame, current: DataFrame, page: str | None = None) -> DataFrame:
+    """Issues with ``bucket``: new, resolved or persisting. Severity doesn't tell issues apart; repeated ones stay.
+
+    ``page`` names a column that numbers pages, for crawls that hold several pages of one URL; else the URL tells them apart.
+    """
+    key = [*KEY, page] if page else KEY
     tagged = lambda frame, name: frame.select(F.lit(name).alias("bucket"), *base.columns)
     return reduce(
         DataFrame.unionAll,
         [
-            tagged(current.join(base.select(KEY).distinct(), KEY, "left_anti"), "new"),
-            tagged(base.join(current.select(KEY).distinct(), KEY, "left_anti"), "resolved"),
-            tagged(current.join(base.select(KEY).distinct(), KEY, "left_semi"), "persisting"),
+            tagged(current.join(base.select(key).distinct(), key, "left_anti"), "new"),
+            tagged(base.join(current.select(key).distinct(), key, "left_anti"), "resolved"),
+            tagged(current.join(base.select(key).distinct(), key, "left_semi"), "persisting"),
         ],
     )
 
