@@ -364,10 +364,11 @@ def summary_delta(base: DataFrame, current: DataFrame) -> DataFrame:
     return both.where("delta <> 0")
 
 
-def page_diff(base: DataFrame, current: DataFrame) -> DataFrame:
-    """``kind, url``: pages added and removed."""
-    added = current.select("url").distinct().join(base.select("url").distinct(), "url", "left_anti")
-    removed = base.select("url").distinct().join(current.select("url").distinct(), "url", "left_anti")
+def page_diff(base: DataFrame, current: DataFrame, page: str | None = None) -> DataFrame:
+    """``kind, url``: pages added and removed, a row each. ``page`` is as in ``compare``."""
+    key = ["url", page] if page else ["url"]
+    added = current.select(*key).distinct().join(base.select(*key).distinct(), key, "left_anti")
+    removed = base.select(*key).distinct().join(current.select(*key).distinct(), key, "left_anti")
     return added.select(F.lit("added").alias("kind"), "url").unionAll(removed.select(F.lit("removed").alias("kind"), "url"))
 
 

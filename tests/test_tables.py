@@ -20,3 +20,8 @@ def test_issue_diff_of_pages_that_share_a_url(spark, table):
     page = lambda i: (i, f"https://h.example/{i}", _PAGE.format("t", "/A_b"))
     got = registry.queries()["issue_diff"](spark, table(page(0), page(1), page(2), page(3))).collect()
     assert sorted((r.bucket, r.code) for r in got) == sorted((b, c) for b in ("new", "new", "persisting", "resolved") for c in ("url-underscore", "url-uppercase"))
+
+
+def test_page_diff_of_pages_that_share_a_url(spark, table):
+    got = registry.queries()["page_diff"](spark, table((0, "u", ""), (1, "u", ""), (2, "u", ""), (3, "u", ""), (5, "v", ""))).collect()
+    assert sorted(tuple(r) for r in got) == [("added", "u"), ("added", "u"), ("removed", "u")]
