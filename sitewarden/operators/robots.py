@@ -25,14 +25,17 @@ def with_rules(robots: DataFrame) -> DataFrame:
         lambda x: x.contains(":"),
     )
     fields = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, "^([^:]*):", 1))).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
-    # agents in a row open a group; a rule line closes the list of agents
-    start = F.struct(F.array().cast("array<string>").alias("agents"), F.lit(False).alias("closed"), F.array().cast("array<struct<agent: string, allow: boolean, pattern: string>>").alias("rules"))
-
-    def step(a: Column, x: Column) -> Column:
-        agent, rule = x["k"] == "user-agent", x["k"].isin("allow", "disallow")
-        agents = F.when(agent, F.when(a["closed"], F.array(F.lower(x["v"]))).otherwise(F.array_append(a["agents"], F.lower(x["v"])))).otherwise(a["agents"])
-        new = F.transform(a["agents"], lambda g: F.struct(g.alias("agent"), (x["k"] == "allow").alias("allow"), x["v"].alias("pattern")))
-        return F.struct(agents.alias("agents"), F.when(agent, F.lit(False)).when(rule, F.lit(True)).otherwise(a["closed"]).alias("closed"), F.when(rule & (x["v"] != ""), F.concat(a["rules"], new)).otherwise(a["rules"]).alias("rules"))
+    # agents in a row open a group; a rule line closes the list of agents. A line is marked at both ends, so one split finds where groups begin
+    mark = lambda x: F.when(x["k"] == "user-agent", "u").when(x["k"] == "allow", "a").otherwise("d")
+    told = F.transform(F.filter(fields, lambda x: x["k"].isin("user-agent", "allow", "disallow")), lambda x: F.concat(mark(x), x["v"], mark(x)))
+    groups = F.split(F.array_join(told, "\n"), r"(?<=[ad]\n)(?=u)")
+
+    def ruled(group: Column) -> Column:
+        each = F.split(group, "\n")
+        value = lambda x: F.substring(x, F.lit(2), F.length(x) - 2)
+        said = F.filter(each, lambda x: ~F.startswith(x, F.lit("u")) & (F.length(x) > 2))
+        rules = lambda g: F.transform(said, lambda x: F.struct(F.lower(value(g)).alias("agent"), F.startswith(x, F.lit("a")).alias("allow"), value(x).alias("pattern")))
+        return F.flatten(F.transform(F.filter(each, lambda x: F.startswith(x, F.lit("u"))), rules))
 
     agents = F.transform(F.filter(fields, lambda x: x["k"] == "user-agent"), lambda x: F.lower(x["v"]))
     there = (F.col("status") == 200) & (F.trim(F.coalesce("body", F.lit(""))) != "")
@@ -42,7 +45,7 @@ def with_rules(robots: DataFrame) -> DataFrame:
         "status",
         F.coalesce(there, F.lit(False)).alias("found"),
         F.transform(F.filter(fields, lambda x: (x["k"] == "sitemap") & (x["v"] != "")), lambda x: x["v"]).alias("sitemaps"),
-        F.reverse(F.array_sort(F.transform(F.aggregate(fields, start, step, lambda a: a["rules"]), _parsed))).alias("rules"),
+        F.reverse(F.array_sort(F.transform(F.flatten(F.transform(groups, ruled)), _parsed))).alias("rules"),
         F.array_distinct(agents).alias("agents"),
     )
 
@@ -78,6 +81,14 @@ def _matches(path: Column, rule: Column) -> Column:
     return F.startswith(path, rule["head"]) & F.when(F.size(rest) == 0, plain).when(rule["fixed"], ends).otherwise(at > 0)
 
 
+def _group(agents: Column, agent: Column) -> Column:
+    """The most specific of a file's agents that an agent's token begins with."""
+    token = F.regexp_extract(F.lower(agent), "^[^/ ]*", 0)
+    own = F.filter(agents, lambda a: (a != "*") & F.startswith(token, a))
+    best = F.array_max(F.transform(own, lambda a: F.struct(F.length(a).alias("n"), a.alias("a"))))["a"]
+    return F.coalesce(best, F.lit("*"))
+
+
 def allowed(path: Column, agent: Column, robots: str = "r") -> Column:
     """Whether the agent may fetch the path; ``robots`` names the struct that ``with_rules`` made, null if none is known.
 
@@ -85,16 +96,54 @@ def allowed(path: Column, agent: Column, robots: str = "r") -> Column:
     first of the agent's group that matches decides and no other is tried.
     """
     r = lambda name: F.col(f"{robots}.{name}")
-    token = F.regexp_extract(F.lower(agent), "^[^/ ]*", 0)
-    own = F.filter(r("agents"), lambda a: (a != "*") & F.startswith(token, a))
-    best = F.array_max(F.transform(own, lambda a: F.struct(F.length(a).alias("n"), a.alias("a"))))["a"]
-    group = F.coalesce(best, F.lit("*"))
+    group = _group(r("agents"), agent)
     first = lambda said, x: F.when(said.isNull() & (x["agent"] == group), F.when(_matches(path, x), x["allow"])).otherwise(said)
     verdict = F.aggregate(r("rules"), F.lit(None).cast("boolean"), first)
     closed = (r("status") == 0) | (r("status") >= 500)
     return F.when(F.col(robots).isNull(), F.lit(True)).when(~r("found"), ~closed).otherwise(F.coalesce(verdict, F.lit(True)))
 
 
+def _key(rule: Column) -> Column:
+    """The longest text that a path must hold for a parsed rule to match, and where: as a whole, in front, at the end or anywhere."""
+    rest, head = rule["rest"], F.struct(F.length(rule["head"]).alias("n"), F.lit(2).alias("place"), rule["head"].alias("text"))
+    tail = F.when(rule["fixed"] & (F.size(rest) > 0), F.size(rest) - 1)
+    parts = F.transform(rest, lambda x, i: F.struct(F.length(x).alias("n"), F.when(i == tail, 1).otherwise(0).alias("place"), x.alias("text")))
+    longest = F.array_max(F.concat(F.array(head), parts))
+    whole = rule["fixed"] & (F.size(rest) == 0)
+    return F.struct(F.when(whole, 3).otherwise(longest["place"]).alias("place"), F.when(whole, rule["head"]).otherwise(longest["text"]).alias("text"))
+
+
+def _held(path: Column, kind: Column) -> Column:
+    """What a path has at a place, in a length."""
+    n, place, size = kind["n"], kind["place"], F.length(path)
+    every = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(path, i, n))
+    texts = F.when(place == 2, F.array(F.substring(path, F.lit(1), n))).when(place == 1, F.array(F.right(path, n))).otherwise(F.array_distinct(every))
+    texts = F.when(place == 3, F.array(path)).when(size < n, F.array().cast("array<string>")).otherwise(texts)
+    return F.transform(texts, lambda t: F.struct(place.alias("place"), t.alias("text")))
+
+
+def verdicts(asked: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
+    """``asked(scheme, host, path)`` of hosts that ``with_rules`` has, each once, with ``ok``: what ``allowed`` says, by joins.
+
+    A rule is met by the paths that hold its longest text, so a host's paths and
+    rules may both be many: they are never paired but where one may match.
+    """
+    host = ["scheme", "host"]
+    known = rules.select(*host, "found", ((F.col("status") == 0) | (F.col("status") >= 500)).alias("closed"))
+    groups = rules.where("found").select(*host, _group(F.col("agents"), F.lit(agent)).alias("group"), "rules")
+    own = groups.select(*host, "group", F.explode("rules").alias("rule")).where("rule.agent = group")
+    own = own.select(*host, F.struct("rule.n", "rule.allow").alias("says"), "rule", _key(F.col("rule")).alias("key"))
+    kind = F.struct(F.col("key.place").alias("place"), F.when(F.col("key.place") == 3, 0).otherwise(F.length("key.text")).alias("n"))
+    kinds = own.groupBy(*host).agg(F.collect_set(kind).alias("kinds"))  # places, and lengths that paths have
+    paths = asked.select(*host, "path").distinct()
+    places = paths.join(kinds, host).select(*host, "path", F.explode("kinds").alias("kind"))
+    pieces = places.select(*host, "path", _held(F.col("path"), F.col("kind")).alias("keys")).select(*host, "path", F.explode("keys").alias("key"))
+    met = pieces.join(own, [*host, "key"]).where(_matches(F.col("path"), F.col("rule")))
+    said = met.groupBy(*host, "path").agg(F.max("says")["allow"].alias("allow"))  # the longest decides, allowing wins a tie
+    ok = F.when(~F.col("found"), ~F.col("closed")).otherwise(F.coalesce("allow", F.lit(True)))
+    return paths.join(known, host).join(said, [*host, "path"], "left").select(*host, "path", F.col("found"), ok.alias("ok"))
+
+
 def robots_path(url: Column) -> Column:
     p = F.when(U.path(url) == "", "/").otherwise(U.path(url))
     return F.concat(p, F.when(U.query(url) != "", F.concat(F.lit("?"), U.query(url))).otherwise(""))
@@ -113,10 +162,10 @@ def robots_issues(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
         ),
     )
     url = F.coalesce(F.when(F.col("final_url") != "", F.col("final_url")), F.col("requested_url"))
-    known = rules.select(F.col("scheme").alias("rs"), F.col("host").alias("rh"), F.struct(*rules.columns).alias("r"))
-    hit = pages.select(url.alias("u")).join(known, (U.scheme(F.col("u")) == F.col("rs")) & (U.host(F.col("u")) == F.col("rh")))
-    shut = F.col("r.found") & ~allowed(robots_path(F.col("u")), F.lit(agent))
-    return hosts.unionAll(flat(hit, found(issue("robots", "warning", "robots-crawled-disallowed", shut, url=F.col("u")))))
+    asked = pages.select(url.alias("u")).select("u", U.scheme(F.col("u")).alias("scheme"), U.host(F.col("u")).alias("host"), robots_path(F.col("u")).alias("path"))
+    shut = verdicts(asked, rules, agent).where("found AND NOT ok")
+    hit = asked.join(shut, ["scheme", "host", "path"], "left_semi")
+    return hosts.unionAll(flat(hit, F.array(issue("robots", "warning", "robots-crawled-disallowed", url=F.col("u")))))
 
 
 def ai_access(robots: DataFrame) -> DataFrame:

@@ -64,9 +64,8 @@ def robots_verdicts(spark: SparkSession, d: str) -> DataFrame:
     lines = p.select("zone", F.expr(_RULES).alias("rule")).distinct()
     body = F.concat(F.lit("User-agent: *\n"), F.array_join(F.sort_array(F.collect_list("rule")), "\n"))  # a file: as long as its zone's distinct rules
     files = lines.groupBy("zone").agg(body.alias("body")).select(F.lit("https").alias("scheme"), F.col("zone").alias("host"), F.lit(200).alias("status"), "body")
-    rules = robots.with_rules(files)
-    known = rules.select(F.col("host").alias("zone"), F.struct(*rules.columns).alias("r"))
-    return p.join(known, "zone").select("page_id", robots.allowed(F.col("path"), F.lit("anybot")).alias("allowed"))
+    asked = p.select("page_id", F.lit("https").alias("scheme"), F.col("zone").alias("host"), "path")
+    return asked.join(robots.verdicts(asked, robots.with_rules(files), "anybot"), ["scheme", "host", "path"]).select("page_id", F.col("ok").alias("allowed"))
 
 
 # --- the limiter -----------------------------------------------------------------------------

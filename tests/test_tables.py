@@ -1,7 +1,11 @@
 """Queries over tables that hold what the driver's smallest ones lack."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from sitewarden.operators import robots
 from sitewarden.plans import registry
 from sitewarden.sources.html import extract
 
@@ -34,3 +38,29 @@ def test_title_with_references_cut_short(spark, table):
     got = {r.page_id: r.title_length for r in registry.queries()["seo_title_band"](spark, table(*rows)).collect()}
     assert got == {0: 12, 1: 16, 2: 10, 3: 14, 4: 7}
     assert extract(_PAGE.format("chips&amp", "/"), "https://h.example/")["title_head_first"] == "chips&"  # HTML's reading stays
+
+
+def test_robots_verdicts_by_joins(spark):
+    """What ``allowed`` says of a path and its host's rules, without pairing each path with each rule."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab/") for _ in range(n))
+    rule = lambda: f"{rng.choice(['Allow', 'Disallow'])}: " + "*".join(word(rng.randint(0, 3)) for _ in range(rng.randint(1, 4))) + rng.choice(["", "", "$"])
+    body = lambda n: "\n".join(f"User-agent: {a}\n" + "\n".join(rule() for _ in range(n)) for a in ("*", "bot", "botany"))
+    files = [("http", "h", 200, body(60)), ("http", "few", 200, body(3)), ("https", "h", 200, "User-agent: other\nDisallow: /"), ("http", "down", 503, ""), ("http", "none", 404, ""), ("http", "star", 200, "User-agent: *\nDisallow: *\nAllow: $")]
+    known = robots.with_rules(spark.createDataFrame(files, "scheme string, host string, status int, body string"))
+    paths = spark.createDataFrame([(p,) for p in {"/" + word(rng.randint(0, 7)) for _ in range(300)} | {""}], "path string")
+    for agent in ("bot/1", "BotAny", "else"):
+        each = paths.crossJoin(known.select("scheme", "host", F.struct(*known.columns).alias("r")))
+        want = {(r.scheme, r.host, r.path): r.ok for r in each.select("scheme", "host", "path", robots.allowed(F.col("path"), F.lit(agent)).alias("ok")).collect()}
+        asked = each.select("scheme", "host", "path")
+        got = robots.verdicts(asked.unionAll(asked), known, agent).collect()
+        assert len(got) == len(want) and {(r.scheme, r.host, r.path): r.ok for r in got} == want
+
+
+def test_groups_of_a_robots_file(spark):
+    """Groups as they are written, and a file of many rules read without copying what is read so far for each line."""
+    body = "Disallow: /early\nUser-agent: A\nCrawl-delay: 1\nuser-agent: b # c\nAllow:\nDisallow: /x:y\nSitemap: s\nallow: /z\n\nUser-agent:\nUser-agent: c\r\nDisallow: /q"
+    known = robots.with_rules(spark.createDataFrame([("http", "h", 200, body)], "scheme string, host string, status int, body string"))
+    got = [(r.agent, r.allow, r.head) for r in known.collect()[0].rules]
+    assert sorted(got) == [("", False, "/q"), ("a", False, "/x:y"), ("a", True, "/z"), ("b", False, "/x:y"), ("b", True, "/z"), ("c", False, "/q")]
+    assert "aggregate(" not in known._jdf.queryExecution().optimizedPlan().toString()
