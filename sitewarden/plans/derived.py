@@ -9,7 +9,7 @@ from ..functions import urls as U
 from ..operators import robots
 from ..streaming import throttle
 from . import audit
-from .registry import _t, query
+from .registry import _t, kept, query
 
 _ORIGIN = "^(https?://[^/?#]*)"
 
@@ -127,7 +127,7 @@ def _expected(values: str, rules: list[tuple[str, str, str, str]], url: str = "u
 
 
 def _issues(pages: DataFrame, *names: str, **options) -> DataFrame:
-    return audit.audit(audit.prepare(pages), audit.Options(enabled=list(names), seed="https://example.org/", **options)).select("url", "code", "severity", "data")
+    return audit.audit(kept(audit.prepare(pages)), audit.Options(enabled=list(names), seed="https://example.org/", **options)).select("url", "code", "severity", "data")
 
 
 _HEADS = """

@@ -1,13 +1,16 @@
 """Queries over tables that hold what the driver's smallest ones lack."""
 
+import gc
 import random
+import weakref
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sitewarden.operators import robots
 from sitewarden.plans import registry
-from sitewarden.sources.html import extract
+from sitewarden.sources.html import CHUNK, extract, in_chunks
 
 _PAGE = '<!DOCTYPE html><html lang="en"><head><title>{}</title></head><body><a href="{}">x</a><p>text</p></body></html>'
 
@@ -64,3 +67,42 @@ def test_groups_of_a_robots_file(spark):
     got = [(r.agent, r.allow, r.head) for r in known.collect()[0].rules]
     assert sorted(got) == [("", False, "/q"), ("a", False, "/x:y"), ("a", True, "/z"), ("b", False, "/x:y"), ("b", True, "/z"), ("c", False, "/q")]
     assert "aggregate(" not in known._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_pages_are_objects_at_once():
+    class Row(dict):
+        pass
+
+    held, count = [], [0]
+
+    def rows():
+        for i in range(10 * CHUNK + 1):
+            row = Row(a=i)
+            held.append(weakref.ref(row))
+            count.append(sum(x() is not None for x in held))
+            yield row
+
+    got = in_chunks(rows(), pa.struct([("a", pa.int64())]))
+    assert got.field("a").to_pylist() == list(range(10 * CHUNK + 1)) and max(count) <= 2 * CHUNK
+
+
+def test_a_page_goes_with_its_last_reference():
+    """Trees are not left to the collector, which comes late when few objects stay."""
+    from sitewarden.sources import html
+
+    gc.collect()
+    gc.disable()
+    try:
+        for _ in range(3):
+            extract(_PAGE.format("t", "/") * 3, "https://h.example/")
+        assert not [x for x in gc.get_objects() if isinstance(x, html.Node)]
+    finally:
+        gc.enable()
+
+
+def test_pages_are_parsed_once(spark, table):
+    """Rules across pages share one HTML pass."""
+    rows = [(i, f"https://h.example.org/{i}", _PAGE.format("t", "/")) for i in range(8)]
+    for name in ("duplicate_groups", "content_thin_low", "site_tree", "site_audited"):
+        plan = registry.queries()[name](spark, table(*rows))._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" not in plan, name
