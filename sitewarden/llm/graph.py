@@ -6,6 +6,10 @@ centre is the smallest node of the component. Rounds grow with the logarithm of
 the nodes; every round is written to the shared folder. No group is gathered:
 minima are partial aggregates, and they are joined as tables whose large
 partitions Spark can split.
+
+Before the steps, tasks contract up to ``AT_ONCE`` links each to fewer ones with
+the same components. Links that fit one such batch are stars then, so that small
+tables take no rounds; more links are dealt to more tasks, and steps follow.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+AT_ONCE = 1 << 18  # links that a task contracts at once
+
 
 class Forest:
     """Union-find over numbers 0 .. n-1; the root is the smallest member."""
@@ -41,16 +47,28 @@ class Forest:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch of links as stars: fewer links with the same components."""
-    for batch in batches:
-        u, v = (batch.column(c).to_numpy() for c in ("u", "v"))
+    """Every ``AT_ONCE`` links as stars: fewer links with the same components."""
+
+    def stars(rows: pa.Table) -> pa.RecordBatch:
+        u, v = (rows.column(c).to_numpy() for c in ("u", "v"))
         nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
         forest = Forest(len(nodes))
         for a, b in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True):
             forest.join(a, b)
         root = np.array([forest.root(i) for i in range(len(nodes))], np.int64)
         own = root != np.arange(len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        if count and count + batch.num_rows > AT_ONCE:
+            yield stars(pa.Table.from_batches(held))
+            held, count = [], 0
+        held.append(batch)
+        count += batch.num_rows
+    if count:
+        yield stars(pa.Table.from_batches(held))
 
 
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
@@ -59,9 +77,12 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     Links of a node with itself and links with a null are ignored.
     """
     edges = links.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    edges = scratch.keep(edges.mapInArrow(_contract, "u long, v long").distinct(), f"{name}-0")
+    fewer = scratch.keep(edges.mapInArrow(_contract, "u long, v long"), f"{name}-fewer")
+    small = fewer.count() <= AT_ONCE  # one task's share: stars at once
+    edges = scratch.keep(fewer.coalesce(1).mapInArrow(_contract, "u long, v long") if small else fewer.distinct(), f"{name}-0")
+    scratch.drop(f"{name}-fewer")
     before, step = None, 0
-    while True:
+    while not small:
         seal = edges.agg(F.count(F.lit(1)), F.expr("sum(cast(xxhash64(u, v) as decimal(20, 0)))")).first()
         if seal == before or seal[0] == 0:
             break
@@ -72,8 +93,8 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
             f"{name}-low-{step}",
         )
         large = edges.join(low, F.col("v") == F.col("at")).select("u", F.col("m").alias("v")).distinct()
-        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        stars = small.select(F.explode(F.expr("array(struct(u, m), struct(v AS u, m))")).alias("e")).select("e.u", F.col("e.m").alias("v"))
+        least = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        stars = least.select(F.explode(F.expr("array(struct(u, m), struct(v AS u, m))")).alias("e")).select("e.u", F.col("e.m").alias("v"))
         edges = scratch.keep(stars.where("u <> v").distinct(), f"{name}-{step}")
         scratch.drop(f"{name}-low-{step}", f"{name}-{step - 1}")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(

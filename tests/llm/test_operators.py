@@ -584,6 +584,24 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(61)} | {1000 + i: 200 for i in range(80)} | {200: 200}
 
 
+@pytest.mark.parametrize("most", [1 << 18, 50])
+def test_components_of_few_links_take_no_rounds(spark, most, monkeypatch):
+    """Links that fit one task's batch are stars at once; more of them go through the steps, with the same result."""
+    monkeypatch.setattr(graph, "AT_ONCE", most)
+    kept, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name, *a: kept.append(name) or keep(self, df, name, *a))
+    order = list(range(3000))
+    random.Random(3).shuffle(order)
+    edges = [(a, b) for a, b in zip(order, order[1:], strict=False) if a % 1000 != 7]
+    e = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    got = {r.node: r.label for r in graph.components(Scratch(spark), e, "t").collect()}
+    forest = graph.Forest(3000)
+    for a, b in edges:
+        forest.join(a, b)
+    assert got == {n: forest.root(n) for n in {x for edge in edges for x in edge}}
+    assert len(kept) == 2 if most > 3000 else len(kept) > 4
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     d, scratch = docs, Scratch(spark)
     stages = dict(corpus_pipeline.STAGES)
