@@ -20,9 +20,14 @@
    and both ends are extended by the best alignment of ``FLANK`` words of
    either side, all chains of a batch at once. Every stretch of the alignment that spans ``LEAST`` words with
    enough of them equal is a passage by itself, whatever lies beside it.
-5. Seeds that lie in no passage then are tied again, to the ``NEAR`` documents
-   just before theirs that have them, and step 3 and 4 run on these ties: the
-   parts of a passage may occur in earlier documents that have nothing else of it.
+5. Seeds that lie in no passage then are tied again, to every earlier document
+   that has them, and step 3 and 4 run on these ties: the parts of a passage may
+   occur in earlier documents that have nothing else of it. Seeds of more than
+   ``FEW`` documents, such as those of a common line, are compared in tiles, each
+   place with every earlier document's; a pair is left out only if the words
+   around the seed can't hold a stretch of ``LEAST`` words with enough of them
+   equal, in whatever order. Time grows with the square of a seed's documents,
+   memory and what is shuffled beside the texts don't.
 6. Every passage is reported. ``inner`` marks those whose words all lie within
    a passage that the same document shares with an earlier document yet: of
    near copies, each names as many others as their first one has words changed,
@@ -40,9 +45,8 @@ that Spark can cast to ``long``.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections import deque
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +64,9 @@ SHARE = 0.8  # of the longer side's words that must be equal
 FLANK = LEAST  # words beyond a chain's ends that it may be extended by
 APART = 64  # words of either side without a seed that a chain may hold
 WANTS = 256
-NEAR = 4  # documents that a seed outside all passages is tied to, besides the first that has it
+FEW = 16  # documents of a seed that are tied to each other without a look at the words around it
+SIDE = 1 << 12  # documents of a seed on either side of a tile
+BITS = 1 << 11  # of the sketch of the words around a seed
 SCHEMA = "doc_id long, other_doc_id long, start long, end long, other_start long, other_end long, n_equal long"
 _STEP = int(numbers(1, 21)[0])
 
@@ -284,7 +290,16 @@ def _close(links: list[int], x: list[int], y: list[int]) -> Iterator[list[int]]:
     yield links[begin:]
 
 
-def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _diagonals(chains: list[list[int]], x: list[int], y: list[int]) -> list[list[int]]:
+    """The matches of each diagonal that isn't a chain by itself: a repeat within a document may draw a chain off an equal passage."""
+    of: dict[int, list[int]] = {}
+    for i in range(len(x)):
+        of.setdefault(y[i] - x[i], []).append(i)
+    known = {tuple(links) for links in chains}
+    return [links for links in of.values() if len(links) > 1 and tuple(links) not in known]
+
+
+def _chains(batches: Iterator[pa.RecordBatch], diagonals: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows ``doc, hub, place, there`` in order: the chains of each pair, their matches as bytes."""
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
@@ -301,6 +316,8 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             x, y = place[a:b].tolist(), there[a:b].tolist()
             found = [list(range(b - a))] if odd[b - 1] == odd[a] else chain(x, y)
+            if diagonals and odd[b - 1] != odd[a]:
+                found += _diagonals(found, x, y)
             for links in (part for links in found for part in _close(links, x, y)):
                 xs, ys = [x[i] for i in links], [y[i] for i in links]
                 if len(links) > 1:
@@ -600,18 +617,17 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 before = np.searchsorted(low, place[seeds_], "right") - 1
                 is_open[seeds_] = (before < 0) | (high[np.maximum(before, 0)] < place[seeds_] + K)
         kept = batch.append_column("open", pa.array(is_open)).filter(pa.array(kind == 1))
-        yield kept.select(["seed", "doc", "place", "first", "hub", "open"])
+        yield kept.select(["seed", "doc", "place", "first", "hub", "n", "open"])
 
 
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of seed, document and place: each open one with the ``NEAR`` documents before it that have the seed, but for the first."""
-    now, doc, before = None, None, deque(maxlen=NEAR + 1)
+    """Rows in order of seed, document and place: each open one with all documents before it that have the seed, but for the first."""
+    now, doc, before = None, None, []
     for batch in batches:
         out = []
         for seed, at, place, first, hub, is_open in zip(*(batch.column(c).to_pylist() for c in ("seed", "doc", "place", "first", "hub", "open")), strict=True):
             if seed != now:
-                now, doc = seed, None
-                before.clear()
+                now, doc, before = seed, None, []
             if at != doc:
                 doc, new = at, True
             if is_open and at != hub:
@@ -623,19 +639,138 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["doc", "hub", "place", "there"])
 
 
-def _near_owners(tied: DataFrame, found: DataFrame) -> DataFrame:
-    """``doc, hub, place, there``: ties of seeds outside all passages to the ``NEAR`` documents before that have them."""
-    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("first", "boolean"), ("hub", "long"))]
-    covers = found.select(F.lit(None).cast("long").alias("seed"), F.col("doc_id").alias("doc"), F.col("start").alias("place"), *none, F.lit(0).alias("kind"), F.col("end"))
-    rows = tied.select("seed", "doc", F.col("place").cast("long").alias("place"), "first", "hub", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("end"))
-    marked = covers.unionAll(rows).repartition(F.col("doc")).sortWithinPartitions("doc", "kind").mapInArrow(_open, "seed long, doc long, place long, first boolean, hub long, open boolean")
-    return marked.repartition(F.col("seed")).sortWithinPartitions("seed", "doc", "place").mapInArrow(_owners, "doc long, hub long, place long, there long")
+def _around(reach: int):
+    """The words around the wanted seeds, as numbers that tell the first of equal words from the second and so on."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for part in slices(batch):
+                    data, offsets = text_bytes(part.column("text"))
+                    hashes, text, _, _ = words(data, offsets)
+                    bounds = np.searchsorted(text, np.arange(part.num_rows + 1))
+                    want = part.column("want")
+                    flat, of = want.flatten(), np.repeat(np.arange(part.num_rows), want.value_lengths().to_numpy())
+                    place = flat.field(1).to_numpy()
+                    keep = np.flatnonzero(bounds[of] + place + K <= bounds[of + 1])  # else it is another row's of that id
+                    for some in np.split(keep, np.arange(4096, len(keep), 4096)):
+                        at, low, high = bounds[of[some]] + place[some], bounds[of[some]], bounds[of[some] + 1]
+                        begin, end = np.maximum(low, at - reach), np.minimum(high, at + K + reach)
+                        n = end - begin
+                        edges = np.concatenate([[0], np.cumsum(n)])
+                        row = np.repeat(np.arange(len(n)), n)
+                        word = hashes[np.arange(edges[-1]) - edges[row] + begin[row]]
+                        order = np.lexsort((word, row))
+                        new = np.append(True, (word[order[1:]] != word[order[:-1]]) | (row[order[1:]] != row[order[:-1]]))[: len(order)]
+                        starts = np.flatnonzero(new)
+                        nth = np.empty(len(order), np.int64)
+                        nth[order] = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+                        token = mix(word + nth.astype(U) * U(_STEP)).astype(np.uint16) & np.uint16(BITS - 1)
+                        pieces = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * edges).astype(np.int32)), pa.py_buffer(token)])
+                        take = pa.array(some)
+                        names = ["seed", "place", "first", "open", "parts"]
+                        fields = [flat.field(i).take(take) for i in range(5)]
+                        yield pa.RecordBatch.from_arrays([pa.array(part.column("doc").to_numpy()[of[some]]), *fields, pieces], names=["doc", *names, "around"])
+
+    return work
+
+
+def _dense(token: np.ndarray, bits: np.ndarray, least: int, share: float) -> np.ndarray:
+    """Whether some ``least`` words in a row, or more, may have their share in the other side's ``bits``."""
+    total = np.zeros((len(token), token.shape[1] + 1), np.float32)
+    np.cumsum(np.take_along_axis(bits, token.astype(np.int64), 1) - np.float32(share), axis=1, out=total[:, 1:])
+    low = np.minimum.accumulate(total[:, : total.shape[1] - least], axis=1)
+    return (total[:, least:] - low).max(1) >= -1e-3
+
+
+def _compared(reach: int, least: int, share: float):
+    """Rows of tiles, in order: the pairs of an open place and an earlier document that may share a passage around their seed."""
+    width, fewest = 2 * reach + K, int(np.ceil(share * least))
+
+    def tile(doc, place, chunk, sides, open_, first, token, bits, size) -> Iterator[np.ndarray]:
+        packed = np.packbits(bits[:, :BITS], axis=1).view(np.uint64).T.copy()
+        size, ones = size.astype(np.int16), bits[:, :BITS].sum(1, dtype=np.int16)
+        for one, two in sides:
+            own, others = np.flatnonzero(open_ & (chunk == one) & (size >= fewest)), np.flatnonzero(first & (chunk == two) & (size >= fewest))
+            for a in (own[k : k + 64] for k in range(0, len(own), 64)):
+                for b in (others[k : k + 2048] for k in range(0, len(others), 2048)):
+                    lacks = np.zeros((len(a), len(b)), np.uint8 if width < 256 else np.uint16)
+                    for word in packed:
+                        lacks += np.bitwise_count(word[a][:, None] & ~word[b])
+                    most = np.minimum((size[a] - fewest)[:, None], (ones[a] - fewest)[:, None] + (size[b] - ones[b]))  # as so many words must be equal
+                    i, j = np.nonzero((lacks <= most) & (doc[b] < doc[a][:, None]))
+                    i, j = a[i], b[j]
+                    for k in range(0, len(i), 4096):
+                        p, q = i[k : k + 4096], j[k : k + 4096]
+                        may = _dense(token[p], bits[q], least, share)
+                        p, q = p[may], q[may]
+                        may = _dense(token[q], bits[p], least, share)
+                        yield np.stack([doc[p[may]], doc[q[may]], place[p[may]], place[q[may]]])
 
+    def settle(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        seed, low, high, chunk, doc, place, first, open_ = (rows.column(c).to_numpy() for c in ("seed", "low", "high", "chunk", "doc", "place", "first", "open"))
+        data, offsets = text_bytes(rows.column("around").chunk(0))
+        size = np.diff(offsets) // 2
+        token = np.full((len(size), width), BITS, np.uint16)
+        token[np.arange(width) < size[:, None]] = np.frombuffer(data.tobytes(), np.uint16)
+        bits = np.zeros((len(size), BITS + 1), bool)
+        np.put_along_axis(bits, token.astype(np.int64), True, 1)
+        bits[:, BITS] = False
+        edge = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]]))
+        out = [np.zeros((4, 0), np.int64)]
+        for s, t in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            sides = {(low[s], high[s]), (high[s], low[s])}
+            out += tile(*(c[s:t] for c in (doc, place, chunk)), sides, *(c[s:t] for c in (open_, first, token, bits, size)))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names=["doc", "hub", "place", "there"])
 
-def _found(matches: DataFrame, docs: DataFrame, scratch: Scratch, name: str, least: int, share: float) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= 20_000:
+                rows = pa.Table.from_batches(held)
+                last = np.logical_and.reduce([(c := rows.column(n).to_numpy()) == c[-1] for n in ("seed", "low", "high")])
+                whole = int(np.searchsorted(last, True))
+                if whole:
+                    yield settle(rows.slice(0, whole))
+                held, count = rows.slice(whole).combine_chunks().to_batches(), rows.num_rows - whole
+        if count:
+            yield settle(pa.Table.from_batches(held))
+
+    return work
+
+
+def _earlier_owners(tied: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scratch, least: int, share: float) -> DataFrame:
+    """``doc, hub, place, there``: ties of seeds outside all passages to the documents before that have them."""
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("first", "boolean"), ("hub", "long"), ("n", "int"))]
+    covers = found.select(F.lit(None).cast("long").alias("seed"), F.col("doc_id").alias("doc"), F.col("start").alias("place"), *none, F.lit(0).alias("kind"), F.col("end"))
+    rows = tied.select("seed", "doc", F.col("place").cast("long").alias("place"), "first", "hub", "n", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("end"))
+    marked = covers.unionAll(rows).repartition(F.col("doc")).sortWithinPartitions("doc", "kind")
+    marked = scratch.keep(marked.mapInArrow(_open, "seed long, doc long, place long, first boolean, hub long, n int, open boolean"), "marked")
+    ties = "doc long, hub long, place long, there long"
+    few = marked.where(F.col("n") <= FEW).repartition(F.col("seed")).sortWithinPartitions("seed", "doc", "place").mapInArrow(_owners, ties)
+    many = marked.where(F.col("n") > FEW).select("seed", "doc", "place", "first", (F.col("open") & (F.col("doc") != F.col("hub"))).alias("open"), F.ceil(F.col("n") / SIDE).cast("int").alias("parts"))
+    some = scratch.keep(many.where("open").select(F.col("seed").alias("s")).distinct(), "open-seeds")
+    many = many.where("open OR first").join(some, F.col("seed") == F.col("s"))
+    want = many.groupBy("doc").agg(F.collect_list(F.struct("seed", "place", "first", "open", "parts")).alias("want"))
+    reach = 2 * least - 1 - K  # a stretch of 2 * least - 1 words at most, as longer ones hold two
+    each = want.hint("merge").join(_texts(docs), F.col("doc") == F.col("doc_id")).select("doc", "text", "want")
+    each = each.mapInArrow(_around(reach), "doc long, seed long, place long, first boolean, open boolean, parts int, around binary")
+    each = scratch.keep(each, "around").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    dealt = each.withColumn("k", F.explode(F.expr("sequence(0, parts - 1)"))).withColumns({"low": F.least("chunk", "k"), "high": F.greatest("chunk", "k")})
+    dealt = dealt.select("seed", "low", "high", "chunk", "doc", "place", "first", "open", "around").repartition("seed", "low", "high").sortWithinPartitions("seed", "low", "high")
+    rest = scratch.keep(dealt.mapInArrow(_compared(reach, least, share), ties), "rest")
+    scratch.drop("open-seeds", "around")
+    return few.unionAll(rest)
+
+
+def _found(matches: DataFrame, docs: DataFrame, scratch: Scratch, name: str, least: int, share: float, diagonals: bool = False) -> DataFrame:
     """Passages of ``matches(doc, hub, place, there)``: chains, cut out of the texts, and aligned."""
     chained = matches.repartition(F.col("doc")).sortWithinPartitions("doc", "hub", "place", "there")
-    chained = chained.mapInArrow(_chains, "doc long, hub long, x0 long, x1 long, y0 long, y1 long, xs binary, ys binary")
+    chained = chained.mapInArrow(partial(_chains, diagonals=diagonals), "doc long, hub long, x0 long, x1 long, y0 long, y1 long, xs binary, ys binary")
     chained = scratch.keep(chained.withColumn("id", F.xxhash64("doc", "hub", "x0", "y0", "xs")), f"{name}-chains")
     sides = F.array(
         F.struct(F.col("doc").alias("at"), F.lit(0).alias("side"), F.col("x0").alias("begin"), F.col("x1").alias("end")),
@@ -672,22 +807,23 @@ def passages(docs: DataFrame, scratch: Scratch, least: int = LEAST, share: float
                 F.min("doc").alias("hub"),
                 F.max("doc").alias("top"),
                 F.min_by("place", F.when(F.col("first"), F.col("doc"))).alias("there"),
+                F.count_if("first").cast("int").alias("n"),
             )
             .where("hub < top")
             .drop("top"),
             f"hubs-{k}",
         )
-        tied = some.join(hubs.hint("merge"), F.col("seed") == F.col("s")).select("seed", "doc", "place", "first", "hub", "there")
+        tied = some.join(hubs.hint("merge"), F.col("seed") == F.col("s")).select("seed", "doc", "place", "first", "hub", "there", "n")
         shared.append(scratch.keep(tied, f"shared-{k}"))
         scratch.drop(f"hubs-{k}")
     scratch.drop("seeds")
     tied = reduce(DataFrame.unionAll, shared)
     first = _found(ties.unionAll(tied.where("doc <> hub").select("doc", "hub", "place", "there")), docs, scratch, "first", least, share)
     scratch.drop("ties")
-    # stretches that gave no passage are tied again, to the documents just before theirs
-    left = _near_owners(tied, first)
-    second = _found(left, docs, scratch, "second", least, share)
-    scratch.drop("shared-0", "shared-1")
+    # stretches that gave no passage are tied again, to all documents before theirs that have their seeds
+    left = _earlier_owners(tied, first, docs, scratch, least, share)
+    second = _found(left, docs, scratch, "second", least, share, diagonals=True)
+    scratch.drop("shared-0", "shared-1", "marked", "rest")
     found = first.unionAll(second).distinct()
     ordered = found.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "other_doc_id", "start", F.col("end").desc(), "other_start", "other_end")
     return ordered.mapInArrow(_inner, f"{SCHEMA}, inner boolean")

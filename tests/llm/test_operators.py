@@ -442,6 +442,24 @@ def test_parts_in_other_documents(spark):
     assert sum(w in found for w in wanted) >= 96
 
 
+@pytest.mark.parametrize("side", [1 << 12, 7])
+def test_parts_in_very_many_documents(spark, side, monkeypatch):
+    """As above, with each half in thirty documents between the two: the pair is found all the same."""
+    monkeypatch.setattr(chains, "SIDE", side)
+    rng = random.Random(37)
+    names = [f"w{i}" for i in range(5000)]
+    own = lambda n: [rng.choice(names) for _ in range(n)]
+    rows, wanted = [], []
+    for k in range(0, 2000, 100):
+        whole = own(60)
+        changed = [rng.choice(names) if rng.random() < 0.1 else w for w in whole]
+        texts = [whole[:30], whole[30:], whole, *[half for _ in range(30) for half in (whole[:30], whole[30:])], changed]
+        rows += [(k + i, " ".join(own(30) + text + own(30))) for i, text in enumerate(texts)]
+        wanted.append((k + len(texts) - 1, k + 2))
+    found = {(r.doc_id, r.other_doc_id) for r in chains.passages(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()}
+    assert sum(w in found for w in wanted) >= 19
+
+
 def test_rows_that_are_equal(spark):
     """Many rows of one text and no id: each gives what one of them gives, in time that grows with them."""
     text = " ".join(f"w{i * i % 977}" for i in range(400))
