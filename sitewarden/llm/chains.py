@@ -22,12 +22,14 @@
    enough of them equal is a passage by itself, whatever lies beside it.
 5. Seeds that lie in no passage then are tied again, to every earlier document
    that has them, and step 3 and 4 run on these ties: the parts of a passage may
-   occur in earlier documents that have nothing else of it. Seeds of more than
-   ``FEW`` documents, such as those of a common line, are compared in tiles, each
-   place with every earlier document's; a pair is left out only if the words
-   around the seed can't hold a stretch of ``LEAST`` words with enough of them
-   equal, in whatever order. Time grows with the square of a seed's documents,
-   memory and what is shuffled beside the texts don't.
+   occur in earlier documents that have nothing else of it. As a chain takes
+   two seeds, those of more than ``FEW`` documents, such as those of a common
+   line, are looked up by twos that a chain may join (other seeds of few
+   documents among them), and never by one alone. The documents of a two are
+   compared in tiles, each open one with every earlier one; a pair is left out only if the words
+   around the seeds can't hold a stretch of ``LEAST`` words with enough of them
+   equal, in whatever order. Time grows with the square of the documents that share
+   two seeds of a common line, memory and what is shuffled beside the texts don't.
 6. Every passage is reported. ``inner`` marks those whose words all lie within
    a passage that the same document shares with an earlier document yet: of
    near copies, each names as many others as their first one has words changed,
@@ -46,7 +48,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +69,7 @@ WANTS = 256
 FEW = 16  # documents of a seed that are tied to each other without a look at the words around it
 SIDE = 1 << 12  # documents of a seed on either side of a tile
 BITS = 1 << 11  # of the sketch of the words around a seed
+BLOCK = 8  # words around a seed that are counted together at first
 SCHEMA = "doc_id long, other_doc_id long, start long, end long, other_start long, other_end long, n_equal long"
 _STEP = int(numbers(1, 21)[0])
 
@@ -117,6 +120,52 @@ def seeds(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(work, "seed long, doc long, place int, first boolean")
 
 
+def _whole(batches: Iterator[pa.RecordBatch], least: int, *names: str) -> Iterator[pa.Table]:
+    """Rows in order of ``names`` as tables of about ``least`` rows that end where these change."""
+    held: list[pa.RecordBatch] = []
+    count, enough = 0, least
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if count >= enough:
+            rows = pa.Table.from_batches(held)
+            last = np.logical_and.reduce([(c := rows.column(n).to_numpy()) == c[-1] for n in names])
+            whole = int(np.searchsorted(last, True))
+            if whole:
+                yield rows.slice(0, whole).combine_chunks()
+            held, count = rows.slice(whole).combine_chunks().to_batches(), rows.num_rows - whole
+            enough = max(least, 2 * count)
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _edges(*keys: np.ndarray) -> np.ndarray:
+    """Where rows in order of ``keys`` begin with others, and where they end."""
+    new = np.logical_or.reduce([c[1:] != c[:-1] for c in keys])
+    return np.flatnonzero(np.concatenate([[True], new, [True]]))
+
+
+def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of seed: those of seeds of several documents, with the first of these, its first place and their number."""
+    for rows in _whole(batches, 100_000, "seed"):
+        seed, doc, place, first = (rows.column(c).to_numpy() for c in ("seed", "doc", "place", "first"))
+        edge = _edges(seed)
+        several = np.repeat(np.diff(edge) > 1, np.diff(edge))
+        seed, doc, place, first = (c[several] for c in (seed, doc, place, first))
+        if not len(seed):
+            continue
+        order = np.lexsort((place, doc, seed))
+        seed, doc, place, first = seed[order], doc[order], place[order], first[order]
+        edge = _edges(seed)
+        begin, size = edge[:-1], np.diff(edge)
+        keep = np.repeat(doc[begin] < doc[edge[1:] - 1], size)
+        n = np.add.reduceat(first, begin, dtype=np.int32)
+        columns = [seed, doc, place, first, *(np.repeat(c, size) for c in (doc[begin], place[begin], n))]
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=["seed", "doc", "place", "first", "hub", "there", "n"])
+
+
 def _strings(hashes: np.ndarray, *sizes: int) -> Iterator[np.ndarray]:
     """Hashes of all strings of so many words, for each of ``sizes``."""
     powers, n = {1: hashes}, 1
@@ -160,7 +209,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def runs(docs: DataFrame) -> DataFrame:
-    """``gram, kind, kind2, doc, place, n, first``: every window of ``LEAST`` words, in runs; ``first`` where the document has the run for the first time."""
+    """``gram, kind, kind2, doc, place, n``: every window of ``LEAST`` words, in runs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -172,10 +221,33 @@ def runs(docs: DataFrame) -> DataFrame:
                     of = text[place] if len(place) else place
                     begin = np.searchsorted(text, np.arange(part.num_rows))
                     doc = part.column("doc_id").to_numpy(zero_copy_only=False)
-                    columns = [gram.view(np.int64), kind.view(np.int64), kind2.view(np.int32), doc[of].astype(np.int64), (place - begin[of]).astype(np.int32), n.astype(np.int16), _first(of, gram, kind)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "kind", "kind2", "doc", "place", "n", "first"])
+                    columns = [gram.view(np.int64), kind.view(np.int64), kind2.view(np.int32), doc[of].astype(np.int64), (place - begin[of]).astype(np.int32), n.astype(np.int16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "kind", "kind2", "doc", "place", "n"])
+
+    return _texts(docs).mapInArrow(work, "gram long, kind long, kind2 int, doc long, place int, n short")
 
-    return _texts(docs).mapInArrow(work, "gram long, kind long, kind2 int, doc long, place int, n short, first boolean")
+
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs in order of their string: those that an earlier document has, with the first that has it; where runs of a string differ, each kind once as a ``want``."""
+    for rows in _whole(batches, 100_000, "gram"):
+        gram, kind, kind2, doc, place, n = (rows.column(c).to_numpy() for c in ("gram", "kind", "kind2", "doc", "place", "n"))
+        edge = _edges(gram)
+        several = np.repeat(np.minimum.reduceat(doc, edge[:-1]) < np.maximum.reduceat(doc, edge[:-1]), np.diff(edge))
+        gram, kind, kind2, doc, place, n = (c[several] for c in (gram, kind, kind2, doc, place, n))
+        if not len(gram):
+            continue
+        order = np.lexsort((place, doc, kind2, kind, gram))
+        gram, kind, kind2, doc, place, n = (c[order] for c in (gram, kind, kind2, doc, place, n))
+        edge = _edges(gram)
+        last = edge[1:] - 1
+        same = np.repeat((kind[edge[:-1]] == kind[last]) & (np.minimum.reduceat(kind2, edge[:-1]) == np.maximum.reduceat(kind2, edge[:-1])), np.diff(edge))
+        edge = _edges(gram, kind, kind2)
+        begin, of = edge[:-1], np.repeat(edge[:-1], np.diff(edge))
+        tied = np.flatnonzero(doc != doc[of])
+        want = begin[~same[begin]]
+        at, to = np.concatenate([tied, want]), np.concatenate([of[tied], want])
+        columns = [np.arange(len(at)) >= len(tied), gram[at], doc[at], doc[to], place[at], place[to], n[at]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["want", "gram", "doc", "hub", "place", "there", "n"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,23 +281,13 @@ def _window_ties(docs: DataFrame, scratch: Scratch) -> DataFrame:
     A run is tied to the first document that has all of it. Where runs of one
     string differ, the first document of each is tied window by window.
     """
-    found = scratch.keep(runs(docs), "runs")
-    sides = [f(c).alias(f"{n}_{c}") for c in ("kind", "kind2", "doc") for n, f in (("lo", F.min), ("hi", F.max))]
-    grams = scratch.keep(
-        found.groupBy(F.col("gram").alias("k")).agg(*sides).where("lo_doc < hi_doc").selectExpr("k", "lo_kind = hi_kind AND lo_kind2 = hi_kind2 AS same"), "grams"
-    )
-    shared = scratch.keep(found.hint("merge").join(grams.hint("merge"), F.col("gram") == F.col("k")).drop("k"), "shared")
-    scratch.drop("runs", "grams")
-    kinds = shared.groupBy(F.col("gram").alias("g"), F.col("kind").alias("k"), F.col("kind2").alias("k2"), F.col("same").alias("s"))
-    own = F.when(F.col("first"), F.col("doc"))
-    low = [F.min("doc").alias("hub"), F.max("doc").alias("top"), F.min_by("place", own).alias("there")]
-    kinds = scratch.keep(kinds.agg(*low, F.max("n").alias("n")), "kinds")
-    several = kinds.where("hub < top").select("g", "k", "k2", "hub", "there")
-    alike = (F.col("gram") == F.col("g")) & (F.col("kind") == F.col("k")) & (F.col("kind2") == F.col("k2"))
-    whole = shared.hint("merge").join(several.hint("merge"), alike).select("doc", "hub", "place", "there", (F.col("n") - 1).alias("more"))
-    want = kinds.where("NOT s").groupBy(F.col("hub").alias("doc")).agg(F.collect_list(F.struct("g", "there", "n")).alias("want"))
+    found = runs(docs).repartition(F.col("gram")).sortWithinPartitions("gram")
+    kinds = scratch.keep(found.mapInArrow(_kinds, "want boolean, gram long, doc long, hub long, place int, there int, n short"), "kinds")
+    whole = kinds.where("NOT want").select("doc", "hub", "place", "there", (F.col("n") - 1).alias("more"))
+    want = kinds.where("want").groupBy("doc").agg(F.collect_list(F.struct("gram", "there", "n")).alias("want"))
     wanted = want.hint("merge").join(_texts(docs), F.col("doc") == F.col("doc_id")).select("doc", "text", "want")
     each = scratch.keep(wanted.mapInArrow(_windows, "gram long, window long, doc long, place int, first boolean"), "windows")
+    low = [F.min("doc").alias("hub"), F.max("doc").alias("top"), F.min_by("place", F.when(F.col("first"), F.col("doc"))).alias("there")]
     hubs = each.groupBy(F.col("gram").alias("g"), F.col("window").alias("w")).agg(*low).where("hub < top").drop("top")
     tied = each.hint("merge").join(hubs.hint("merge"), (F.col("gram") == F.col("g")) & (F.col("window") == F.col("w")))
     ties = tied.select("doc", "hub", "place", "there", F.lit(0).alias("more")).unionAll(whole).where("doc <> hub")
@@ -235,7 +297,7 @@ def _window_ties(docs: DataFrame, scratch: Scratch) -> DataFrame:
     middle = F.array("a", F.least(F.col("a") + LEAST - K, F.col("z")), "z")
     ties = ties.select("doc", "hub", F.explode(F.array_distinct(middle)).alias("place"), "by")
     ties = scratch.keep(ties.select("doc", "hub", "place", (F.col("place") + F.col("by")).cast("int").alias("there")), "ties")
-    scratch.drop("shared", "kinds", "windows")
+    scratch.drop("kinds", "windows")
     return ties
 
 
@@ -306,13 +368,14 @@ def _chains(batches: Iterator[pa.RecordBatch], diagonals: bool = False) -> Itera
         columns = [rows.column(c).to_numpy() for c in ("doc", "hub", "place", "there")]
         new = np.logical_or.reduce([np.append(True, c[1:] != c[:-1]) for c in columns])  # a match may come from a seed and from a window
         doc, hub, place, there = (c[new] for c in columns)
+        known = rows.column("known").to_numpy()[new] if diagonals else np.zeros(len(doc), bool)  # pairs of such matches only were chained before
         edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (hub[1:] != hub[:-1]), [True]]))
         # matches that ascend in small steps are one chain: a step left out would save no gap
         dx, dy = np.diff(place.astype(np.int64)), np.diff(there.astype(np.int64))
         odd = np.concatenate([[0], np.cumsum((dx <= 0) | (dy <= 0) | (GAP * (dx + dy) >= K))])
         out: list[tuple] = []
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if b - a == 1:
+            if b - a == 1 or known[a:b].all():
                 continue
             x, y = place[a:b].tolist(), there[a:b].tolist()
             found = [list(range(b - a))] if odd[b - 1] == odd[a] else chain(x, y)
@@ -326,20 +389,8 @@ def _chains(batches: Iterator[pa.RecordBatch], diagonals: bool = False) -> Itera
         kinds = [pa.int64()] * 6 + [pa.binary()] * 2
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kinds[i]) for i in range(8)], names=names)
 
-    held: list[pa.RecordBatch] = []
-    count = 0
-    for batch in batches:
-        held.append(batch)
-        count += batch.num_rows
-        if count >= 100_000:
-            rows = pa.Table.from_batches(held)
-            doc = rows.column("doc").to_numpy()
-            whole = int(np.searchsorted(doc == doc[-1], True))
-            if whole:
-                yield settle(rows.slice(0, whole))
-            held, count = rows.slice(whole).combine_chunks().to_batches(), rows.num_rows - whole
-    if count:
-        yield settle(pa.Table.from_batches(held))
+    for rows in _whole(batches, 100_000, "doc"):
+        yield settle(rows)
 
 
 def _table(a: np.ndarray, b: np.ndarray, like: int) -> np.ndarray:
@@ -548,9 +599,26 @@ def _aligned(least: int, share: float):
         ids = [part.column(c).to_numpy()[found[0]] for c in ("doc", "hub")]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (*ids, *found[1:])], names=names)
 
+    def joined(rows: pa.Table) -> pa.RecordBatch:
+        """Chains with the words of either side; rows are in order of ``id``."""
+        rows = rows.to_batches()[0]
+        key, side = rows.column("id").to_numpy(), rows.column("side").to_numpy()
+        chained = np.flatnonzero(side == 2)
+        found, ok = [], np.ones(len(chained), bool)
+        for k in (0, 1):
+            pieces = np.append(np.flatnonzero(side == k), -1)  # of rows that share a document's id, the first one's words
+            at = np.searchsorted(key[pieces[:-1]], key[chained])
+            ok &= key[pieces[at]] == key[chained]
+            ok &= at < len(pieces) - 1
+            found.append(pieces[at])
+        columns = {c: rows.column(c).take(pa.array(chained[ok])) for c in ("doc", "hub", "xs", "ys")}
+        for name, at in zip("ab", found, strict=True):
+            columns[name], columns[f"{name}_from"] = (rows.column(c).take(pa.array(at[ok])) for c in ("piece", "begin"))
+        return pa.RecordBatch.from_pydict(columns)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "a", BATCH * 8):
+        for rows in _whole(batches, 1, "id"):
+            for part in slices(joined(rows), "a", BATCH * 8):
                 yield passages_of(part)
 
     return work
@@ -621,7 +689,7 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of seed, document and place: each open one with all documents before it that have the seed, but for the first."""
+    """Rows in order of seed, document and place: each open one with all documents before it that have the seed; ``known`` with the first one."""
     now, doc, before = None, None, []
     for batch in batches:
         out = []
@@ -630,13 +698,37 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 now, doc, before = seed, None, []
             if at != doc:
                 doc, new = at, True
-            if is_open and at != hub:
-                out += [(at, other, place, there) for other, there in before if other != at and other != hub]
+            if is_open:
+                out += [(at, other, place, there, other == hub) for other, there in before if other != at]
             if first and new:
                 before.append((at, place))
                 new = False
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["doc", "hub", "place", "there"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["doc", "hub", "place", "there", "known"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of document and place: every two different seeds that a chain may join, one of them of more than ``FEW`` documents at least.
+
+    ``own`` if both are open, ``other`` if both are the document's first ones of their kind; ``many`` has a bit for each of more than ``FEW``.
+    """
+    with np.errstate(over="ignore"):
+        for rows in _whole(batches, 20_000, "doc"):
+            seed, doc, place, first, open_, n = (rows.column(c).to_numpy() for c in ("seed", "doc", "place", "first", "open", "n"))
+            many = n > FEW
+            low = np.arange(len(doc))
+            step = 1
+            while len(low := low[low + step < len(doc)]):
+                high = low + step
+                low = low[(doc[low] == doc[high]) & (place[high] - place[low] <= APART + K)]
+                high = low + step
+                own, other = open_[low] & open_[high], first[low] & first[high]
+                keep = (own | other) & (many[low] | many[high]) & (seed[low] != seed[high])
+                i, j = low[keep], high[keep]
+                key = mix(mix(seed[i].view(U)) * U(_STEP) + seed[j].view(U)).view(np.int64)
+                columns = [key, doc[i], place[i], place[j], own[keep], other[keep], (many[i] + 2 * many[j]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["seed", "doc", "place", "next", "open", "first", "many"])
+                step += 1
 
 
 def _around(reach: int):
@@ -668,8 +760,8 @@ def _around(reach: int):
                         token = mix(word + nth.astype(U) * U(_STEP)).astype(np.uint16) & np.uint16(BITS - 1)
                         pieces = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * edges).astype(np.int32)), pa.py_buffer(token)])
                         take = pa.array(some)
-                        names = ["seed", "place", "first", "open", "parts"]
-                        fields = [flat.field(i).take(take) for i in range(5)]
+                        names = ["seed", "place", "first", "open", "parts", "next", "many"]
+                        fields = [flat.field(i).take(take) for i in range(7)]
                         yield pa.RecordBatch.from_arrays([pa.array(part.column("doc").to_numpy()[of[some]]), *fields, pieces], names=["doc", *names, "around"])
 
     return work
@@ -684,61 +776,69 @@ def _dense(token: np.ndarray, bits: np.ndarray, least: int, share: float) -> np.
 
 
 def _compared(reach: int, least: int, share: float):
-    """Rows of tiles, in order: the pairs of an open place and an earlier document that may share a passage around their seed."""
+    """Rows of tiles, in order: the pairs of two open seeds and an earlier document's that may share a passage around them."""
     width, fewest = 2 * reach + K, int(np.ceil(share * least))
-
-    def tile(doc, place, chunk, sides, open_, first, token, bits, size) -> Iterator[np.ndarray]:
-        packed = np.packbits(bits[:, :BITS], axis=1).view(np.uint64).T.copy()
-        size, ones = size.astype(np.int16), bits[:, :BITS].sum(1, dtype=np.int16)
+    blocks = -(-width // BLOCK)
+    fewest_blocks = (least - BLOCK + 1) // BLOCK
+    slack = (1 - share) * 2 * (BLOCK - 1)
+
+    def may_hold(token: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Whole blocks of one side's words: a passage covers some in a row and lacks no more of their words than of its own."""
+        each = columns[token].reshape(blocks, BLOCK, -1).sum(1, dtype=np.uint8)
+        total = np.zeros((blocks + 1, each.shape[1]), np.float32)
+        np.cumsum(each - np.float32(share * BLOCK), axis=0, out=total[1:])
+        low, best = total[0].copy(), np.full(each.shape[1], -np.inf, np.float32)
+        for k in range(fewest_blocks, blocks + 1):
+            np.minimum(low, total[k - fewest_blocks], out=low)
+            np.maximum(best, total[k] - low, out=best)
+        return best >= -slack - 1e-3
+
+    def tile(doc, place, then, many, chunk, sides, open_, first, token, bits, size) -> Iterator[np.ndarray]:
         for one, two in sides:
             own, others = np.flatnonzero(open_ & (chunk == one) & (size >= fewest)), np.flatnonzero(first & (chunk == two) & (size >= fewest))
-            for a in (own[k : k + 64] for k in range(0, len(own), 64)):
-                for b in (others[k : k + 2048] for k in range(0, len(others), 2048)):
-                    lacks = np.zeros((len(a), len(b)), np.uint8 if width < 256 else np.uint16)
-                    for word in packed:
-                        lacks += np.bitwise_count(word[a][:, None] & ~word[b])
-                    most = np.minimum((size[a] - fewest)[:, None], (ones[a] - fewest)[:, None] + (size[b] - ones[b]))  # as so many words must be equal
-                    i, j = np.nonzero((lacks <= most) & (doc[b] < doc[a][:, None]))
-                    i, j = a[i], b[j]
-                    for k in range(0, len(i), 4096):
-                        p, q = i[k : k + 4096], j[k : k + 4096]
-                        may = _dense(token[p], bits[q], least, share)
-                        p, q = p[may], q[may]
-                        may = _dense(token[q], bits[p], least, share)
-                        yield np.stack([doc[p[may]], doc[q[may]], place[p[may]], place[q[may]]])
+            if not len(own) or not len(others) or doc[own].max() <= doc[others].min():
+                continue
+            others = others[np.argsort(doc[others], kind="stable")]
+            earlier = np.searchsorted(doc[others], doc[own])
+            for k in range(0, len(others), 2048):
+                b = others[k : k + 2048]
+                columns = np.ascontiguousarray(bits[b].T).view(np.uint8)
+                pairs = [np.zeros((2, 0), np.int64)]
+                for a, n in zip(own.tolist(), np.minimum(earlier - k, len(b)).tolist(), strict=True):
+                    if n > 0:
+                        j = b[:n][may_hold(token[a], columns[:, :n])] if n > BLOCK else b[:n]
+                        pairs.append(np.stack([np.full(len(j), a), j]))
+                i, j = np.concatenate(pairs, axis=1)
+                for m in range(0, len(i), 4096):
+                    p, q = i[m : m + 4096], j[m : m + 4096]
+                    may = _dense(token[p, :width], bits[q], least, share)
+                    p, q = p[may], q[may]
+                    may = _dense(token[q, :width], bits[p], least, share)
+                    p, q = p[may], q[may]
+                    for bit, at in ((1, place), (2, then)):
+                        r = np.flatnonzero(many[p] & bit)
+                        yield np.stack([doc[p[r]], doc[q[r]], at[p[r]], at[q[r]]])
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
-        rows = rows.combine_chunks()
-        seed, low, high, chunk, doc, place, first, open_ = (rows.column(c).to_numpy() for c in ("seed", "low", "high", "chunk", "doc", "place", "first", "open"))
+        names = ("seed", "low", "high", "chunk", "doc", "place", "next", "many", "first", "open")
+        seed, low, high, chunk, doc, place, then, many, first, open_ = (rows.column(c).to_numpy() for c in names)
         data, offsets = text_bytes(rows.column("around").chunk(0))
         size = np.diff(offsets) // 2
-        token = np.full((len(size), width), BITS, np.uint16)
-        token[np.arange(width) < size[:, None]] = np.frombuffer(data.tobytes(), np.uint16)
-        bits = np.zeros((len(size), BITS + 1), bool)
-        np.put_along_axis(bits, token.astype(np.int64), True, 1)
-        bits[:, BITS] = False
-        edge = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]]))
+        token = np.full((len(size), blocks * BLOCK), BITS, np.uint16)
+        token[np.arange(blocks * BLOCK) < size[:, None]] = np.frombuffer(data.tobytes(), np.uint16)
+        edge = _edges(seed, low, high)
         out = [np.zeros((4, 0), np.int64)]
         for s, t in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            bits = np.zeros((t - s, BITS + 1), bool)
+            np.put_along_axis(bits, token[s:t].astype(np.int64), True, 1)
+            bits[:, BITS] = False
             sides = {(low[s], high[s]), (high[s], low[s])}
-            out += tile(*(c[s:t] for c in (doc, place, chunk)), sides, *(c[s:t] for c in (open_, first, token, bits, size)))
+            out += tile(*(c[s:t] for c in (doc, place, then, many, chunk)), sides, *(c[s:t] for c in (open_, first, token)), bits, size[s:t])
         return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names=["doc", "hub", "place", "there"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        count = 0
-        for batch in batches:
-            held.append(batch)
-            count += batch.num_rows
-            if count >= 20_000:
-                rows = pa.Table.from_batches(held)
-                last = np.logical_and.reduce([(c := rows.column(n).to_numpy()) == c[-1] for n in ("seed", "low", "high")])
-                whole = int(np.searchsorted(last, True))
-                if whole:
-                    yield settle(rows.slice(0, whole))
-                held, count = rows.slice(whole).combine_chunks().to_batches(), rows.num_rows - whole
-        if count:
-            yield settle(pa.Table.from_batches(held))
+        for rows in _whole(batches, 20_000, "seed", "low", "high"):
+            yield settle(rows)
 
     return work
 
@@ -749,22 +849,30 @@ def _earlier_owners(tied: DataFrame, found: DataFrame, docs: DataFrame, scratch:
     covers = found.select(F.lit(None).cast("long").alias("seed"), F.col("doc_id").alias("doc"), F.col("start").alias("place"), *none, F.lit(0).alias("kind"), F.col("end"))
     rows = tied.select("seed", "doc", F.col("place").cast("long").alias("place"), "first", "hub", "n", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("end"))
     marked = covers.unionAll(rows).repartition(F.col("doc")).sortWithinPartitions("doc", "kind")
-    marked = scratch.keep(marked.mapInArrow(_open, "seed long, doc long, place long, first boolean, hub long, n int, open boolean"), "marked")
+    marked = marked.mapInArrow(_open, "seed long, doc long, place long, first boolean, hub long, n int, open boolean")
+    marked = scratch.keep(marked.withColumn("open", F.col("open") & (F.col("doc") != F.col("hub"))), "marked")
+    some = scratch.keep(marked.where("open").select(F.col("seed").alias("s")).distinct(), "open-seeds")
+    live = marked.where("open OR first").join(some, F.col("seed") == F.col("s")).select("seed", "doc", "place", "first", "hub", "n", "open")
     ties = "doc long, hub long, place long, there long"
-    few = marked.where(F.col("n") <= FEW).repartition(F.col("seed")).sortWithinPartitions("seed", "doc", "place").mapInArrow(_owners, ties)
-    many = marked.where(F.col("n") > FEW).select("seed", "doc", "place", "first", (F.col("open") & (F.col("doc") != F.col("hub"))).alias("open"), F.ceil(F.col("n") / SIDE).cast("int").alias("parts"))
-    some = scratch.keep(many.where("open").select(F.col("seed").alias("s")).distinct(), "open-seeds")
-    many = many.where("open OR first").join(some, F.col("seed") == F.col("s"))
-    want = many.groupBy("doc").agg(F.collect_list(F.struct("seed", "place", "first", "open", "parts")).alias("want"))
+    few = live.where(F.col("n") <= FEW).repartition(F.col("seed")).sortWithinPartitions("seed", "doc", "place").mapInArrow(_owners, f"{ties}, known boolean")
+    near = live.repartition(F.col("doc")).sortWithinPartitions("doc", "place")
+    near = scratch.keep(near.mapInArrow(_pairs, "seed long, doc long, place long, next long, open boolean, first boolean, many int"), "near")
+    keys = near.groupBy(F.col("seed").alias("s")).agg(
+        F.min(F.when(F.col("first"), F.col("doc"))).alias("hub"), F.max(F.when(F.col("open"), F.col("doc"))).alias("top"), F.count(F.lit(1)).alias("n")
+    )
+    keys = scratch.keep(keys.where("hub < top").select("s", F.ceil(F.col("n") / SIDE).cast("int").alias("parts")), "keys")
+    near = near.join(keys, F.col("seed") == F.col("s"))
+    want = near.groupBy("doc").agg(F.collect_list(F.struct("seed", "place", "first", "open", "parts", "next", "many")).alias("want"))
     reach = 2 * least - 1 - K  # a stretch of 2 * least - 1 words at most, as longer ones hold two
     each = want.hint("merge").join(_texts(docs), F.col("doc") == F.col("doc_id")).select("doc", "text", "want")
-    each = each.mapInArrow(_around(reach), "doc long, seed long, place long, first boolean, open boolean, parts int, around binary")
+    each = each.mapInArrow(_around(reach), "doc long, seed long, place long, first boolean, open boolean, parts int, next long, many int, around binary")
     each = scratch.keep(each, "around").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
     dealt = each.withColumn("k", F.explode(F.expr("sequence(0, parts - 1)"))).withColumns({"low": F.least("chunk", "k"), "high": F.greatest("chunk", "k")})
-    dealt = dealt.select("seed", "low", "high", "chunk", "doc", "place", "first", "open", "around").repartition("seed", "low", "high").sortWithinPartitions("seed", "low", "high")
+    dealt = dealt.select("seed", "low", "high", "chunk", "doc", "place", "next", "many", "first", "open", "around")
+    dealt = dealt.repartition("seed", "low", "high").sortWithinPartitions("seed", "low", "high")
     rest = scratch.keep(dealt.mapInArrow(_compared(reach, least, share), ties), "rest")
-    scratch.drop("open-seeds", "around")
-    return few.unionAll(rest)
+    scratch.drop("near", "keys", "around")
+    return few.unionAll(rest.withColumn("known", F.lit(False)))
 
 
 def _found(matches: DataFrame, docs: DataFrame, scratch: Scratch, name: str, least: int, share: float, diagonals: bool = False) -> DataFrame:
@@ -785,45 +893,25 @@ def _found(matches: DataFrame, docs: DataFrame, scratch: Scratch, name: str, lea
     per_doc = wanted.groupBy("at", "salt").agg(F.collect_list(F.struct("id", "side", "begin", "end")).alias("want"))
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("d"), "text")
     pieces = per_doc.hint("merge").join(texts, F.col("at") == F.col("d")).select("text", "want")
-    pieces = scratch.keep(pieces.mapInArrow(_cut, "id long, side int, begin long, piece binary").dropDuplicates(["id", "side"]), f"{name}-pieces")
-    a = pieces.where("side = 0").select(F.col("id").alias("ia"), F.col("begin").alias("a_from"), F.col("piece").alias("a"))
-    b = pieces.where("side = 1").select(F.col("id").alias("ib"), F.col("begin").alias("b_from"), F.col("piece").alias("b"))
-    both = chained.select("id", "doc", "hub", "xs", "ys").join(a.hint("merge"), F.col("id") == F.col("ia")).join(b.hint("merge"), F.col("id") == F.col("ib"))
-    found = both.select("doc", "hub", "xs", "ys", "a_from", "b_from", "a", "b").mapInArrow(_aligned(least, share), SCHEMA)
+    pieces = pieces.mapInArrow(_cut, "id long, side int, begin long, piece binary")
+    rows = pieces.unionByName(chained.select("id", F.lit(2).alias("side"), "doc", "hub", "xs", "ys"), allowMissingColumns=True)
+    found = rows.repartition(F.col("id")).sortWithinPartitions("id").mapInArrow(_aligned(least, share), SCHEMA)
     found = scratch.keep(found, f"{name}-found")
-    scratch.drop(f"{name}-chains", f"{name}-heavy", f"{name}-pieces")
+    scratch.drop(f"{name}-chains", f"{name}-heavy")
     return found
 
 
 def passages(docs: DataFrame, scratch: Scratch, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """``doc_id, other_doc_id, start, end, other_start, other_end, n_equal, inner``: passages, in words, that an earlier document has too."""
-    ties, shared = _window_ties(docs, scratch), []
-    found = scratch.keep(seeds(docs), "seeds")
-    for k, half in enumerate(("seed < 0", "seed >= 0")):  # one after the other, as their shuffles would be the most that the disk holds
-        some = found.where(half)
-        hubs = scratch.keep(
-            some.groupBy(F.col("seed").alias("s"))
-            .agg(
-                F.min("doc").alias("hub"),
-                F.max("doc").alias("top"),
-                F.min_by("place", F.when(F.col("first"), F.col("doc"))).alias("there"),
-                F.count_if("first").cast("int").alias("n"),
-            )
-            .where("hub < top")
-            .drop("top"),
-            f"hubs-{k}",
-        )
-        tied = some.join(hubs.hint("merge"), F.col("seed") == F.col("s")).select("seed", "doc", "place", "first", "hub", "there", "n")
-        shared.append(scratch.keep(tied, f"shared-{k}"))
-        scratch.drop(f"hubs-{k}")
-    scratch.drop("seeds")
-    tied = reduce(DataFrame.unionAll, shared)
+    ties = _window_ties(docs, scratch)
+    tied = seeds(docs).repartition(F.col("seed")).sortWithinPartitions("seed")
+    tied = scratch.keep(tied.mapInArrow(_tied, "seed long, doc long, place int, first boolean, hub long, there int, n int"), "shared")
     first = _found(ties.unionAll(tied.where("doc <> hub").select("doc", "hub", "place", "there")), docs, scratch, "first", least, share)
     scratch.drop("ties")
     # stretches that gave no passage are tied again, to all documents before theirs that have their seeds
     left = _earlier_owners(tied, first, docs, scratch, least, share)
     second = _found(left, docs, scratch, "second", least, share, diagonals=True)
-    scratch.drop("shared-0", "shared-1", "marked", "rest")
+    scratch.drop("shared", "marked", "open-seeds", "rest")
     found = first.unionAll(second).distinct()
     ordered = found.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "other_doc_id", "start", F.col("end").desc(), "other_start", "other_end")
     return ordered.mapInArrow(_inner, f"{SCHEMA}, inner boolean")

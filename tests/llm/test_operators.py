@@ -460,6 +460,55 @@ def test_parts_in_very_many_documents(spark, side, monkeypatch):
     assert sum(w in found for w in wanted) >= 19
 
 
+def test_ties_of_a_single_seed(spark):
+    """A run of one word has one seed at many places: as a chain takes two, no pair of documents is tied for it."""
+    counts = {}
+
+    class Counted(Scratch):
+        def keep(self, df, name, codec=None):
+            kept = super().keep(df, name, codec)
+            counts[name] = kept.count()
+            return kept
+
+    rng = random.Random(38)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [(k, " ".join(own(60) + ["the"] * 36 + own(60))) for k in range(40)]
+    assert chains.passages(spark.createDataFrame(rows, "doc_id long, text string"), Counted(spark)).count() == 0
+    assert counts["marked"] >= 40 * 20 and counts["rest"] == 0
+
+
+def test_tiles_lose_nothing():
+    """Whole blocks of words leave out no pair that the words themselves let through."""
+    rng = np.random.default_rng(39)
+    reach, size = 2 * chains.LEAST - 1 - chains.K, 400
+    width = 2 * reach + chains.K
+    token = rng.integers(0, chains.BITS, (size, width)).astype(np.uint16)
+    for k in range(1, size, 2):  # a stretch of the row before, some of its words replaced, at another place
+        n = int(rng.integers(36, 80))
+        a, b = rng.integers(0, width - n, 2)
+        token[k, b : b + n] = np.where(rng.random(n) < rng.uniform(0.1, 0.3), token[k, b : b + n], token[k - 1, a : a + n])
+    bits = np.zeros((size, chains.BITS + 1), bool)
+    np.put_along_axis(bits, token.astype(np.int64), True, 1)
+    p, q = (x.ravel() for x in np.meshgrid(np.arange(size), np.arange(size), indexing="ij"))
+    p, q = p[q < p], q[q < p]
+    both = chains._dense(token[p], bits[q], chains.LEAST, chains.SHARE) & chains._dense(token[q], bits[p], chains.LEAST, chains.SHARE)
+    wanted = set(zip(p[both].tolist(), q[both].tolist(), strict=True))
+    zero, yes = np.zeros(size, np.int64), np.ones(size, bool)
+    columns = dict(seed=zero, low=zero, high=zero, chunk=zero, doc=np.arange(size), place=zero + 80, next=zero + 90, many=zero + 3, first=yes, open=yes)
+    rows = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()} | {"around": pa.array([t.tobytes() for t in token], pa.binary())})
+    found = pa.Table.from_batches(chains._compared(reach, chains.LEAST, chains.SHARE)(iter([rows]))).to_pylist()
+    assert len(wanted) > 50
+    assert {(r["doc"], r["hub"]) for r in found} == wanted and len(found) == 2 * len(wanted)
+
+
+def test_partner_first_with_one_seed_only():
+    """A partner that is the first document of one seed, but not of the other, is tied by both."""
+    rows = dict(seed=[1, 1, 2, 2, 2], doc=[5, 9, 3, 5, 9], place=[10, 10, 7, 20, 20], first=[True] * 5, hub=[5, 5, 3, 3, 3], open=[False, True, False, False, True])
+    ties = pa.Table.from_batches(chains._owners(iter([pa.RecordBatch.from_pydict(rows)]))).sort_by([(c, "ascending") for c in ("doc", "hub", "place")])
+    found = pa.Table.from_batches(chains._chains(iter(ties.combine_chunks().to_batches()), diagonals=True)).to_pylist()
+    assert [(r["doc"], r["hub"], r["x0"], r["x1"]) for r in found] == [(9, 5, 10, 20 + chains.K)]
+
+
 def test_rows_that_are_equal(spark):
     """Many rows of one text and no id: each gives what one of them gives, in time that grows with them."""
     text = " ".join(f"w{i * i % 977}" for i in range(400))
