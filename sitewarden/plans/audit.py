@@ -102,9 +102,12 @@ def crawl_of(pages: DataFrame) -> DataFrame:
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """A table of few files dealt to all cores, as parsing is what takes time; one of many files stays as it is."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    """A table of few files dealt to all cores, as parsing is what takes time; one of many files stays as it is.
+
+    The number of partitions doesn't tell: a file is split by bytes, but a row group is read by one task.
+    """
+    cores, parts = table.sparkSession.sparkContext.defaultParallelism, table.rdd.getNumPartitions()
+    return table.repartition(max(cores, parts)) if min(parts, len(table.inputFiles())) < cores else table
 
 
 def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:

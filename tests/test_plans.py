@@ -176,3 +176,24 @@ def test_known_keys_are_not_shuffled(spark):
         known.close()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_pages_of_one_row_group_are_dealt(spark, tmp_path):
+    """A file is split by bytes, but a row group is read by one task: its pages go to all cores nevertheless."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from sitewarden.plans import audit
+
+    pages = {"page_id": range(2000), "url": [f"https://example.org/{i}" for i in range(2000)], "html": [f"<p>{i * i * 7919:>900}</p>" for i in range(2000)]}
+    pq.write_table(pa.table({k: list(v) for k, v in pages.items()}), tmp_path / "pages.parquet", compression="none", use_dictionary=False)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        table = spark.read.parquet(str(tmp_path / "pages.parquet"))
+        cores = spark.sparkContext.defaultParallelism
+        assert table.rdd.getNumPartitions() >= cores
+        dealt = audit.spread(table).rdd.glom().map(len).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(dealt) == 2000 and max(dealt) < 2000 / cores * 2
