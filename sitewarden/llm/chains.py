@@ -28,8 +28,13 @@
    documents among them), and never by one alone. The documents of a two are
    compared in tiles, each open one with every earlier one; a pair is left out only if the words
    around the seeds can't hold a stretch of ``LEAST`` words with enough of them
-   equal, in whatever order. Time grows with the square of the documents that share
-   two seeds of a common line, memory and what is shuffled beside the texts don't.
+   equal, in whatever order. Twos that more than ``SIDE`` documents have, such as
+   those of a common line, are looked up together with a rare word around: of two
+   stretches of ``n`` words that make a passage, the rarest word they share is
+   among the ``(1 - SHARE) * n + 1`` rarest of both, as what is rarer is lacking on
+   the other side. So documents that share the line only don't meet. A key
+   that still has very many documents is cut into tiles: its time grows with their
+   square, its memory doesn't.
 6. Every passage is reported. ``inner`` marks those whose words all lie within
    a passage that the same document shares with an earlier document yet: of
    near copies, each names as many others as their first one has words changed,
@@ -46,9 +51,9 @@ that Spark can cast to ``long``.
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +73,8 @@ APART = 64  # words of either side without a seed that a chain may hold
 WANTS = 256
 FEW = 16  # documents of a seed that are tied to each other without a look at the words around it
 SIDE = 1 << 12  # documents of a seed on either side of a tile
+LISTED = 64  # rows of a tile whose pairs are listed all at once
+COMMON = 1 << 15  # words that are told apart by how often they occur around seeds
 BITS = 1 << 11  # of the sketch of the words around a seed
 BLOCK = 8  # words around a seed that are counted together at first
 SCHEMA = "doc_id long, other_doc_id long, start long, end long, other_start long, other_end long, n_equal long"
@@ -731,46 +738,118 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 step += 1
 
 
-def _around(reach: int):
-    """The words around the wanted seeds, as numbers that tell the first of equal words from the second and so on."""
+def _stretches(part: pa.RecordBatch, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The words around the wanted seeds (field 1 has their places): numbers of some wants, the rows they are of, their words and where those of each end."""
+    data, offsets = text_bytes(part.column("text"))
+    hashes, text, _, _ = words(data, offsets)
+    bounds = np.searchsorted(text, np.arange(part.num_rows + 1))
+    want = part.column("want")
+    of = np.repeat(np.arange(part.num_rows), want.value_lengths().to_numpy())
+    place = want.flatten().field(1).to_numpy()
+    keep = np.flatnonzero(bounds[of] + place + K <= bounds[of + 1])  # else it is another row's of that id
+    for some in np.split(keep, np.arange(4096, len(keep), 4096)):
+        at, low, high = bounds[of[some]] + place[some], bounds[of[some]], bounds[of[some] + 1]
+        begin, end = np.maximum(low, at - reach), np.minimum(high, at + K + reach)
+        edges = np.concatenate([[0], np.cumsum(end - begin)])
+        row = np.repeat(np.arange(len(some)), end - begin)
+        yield some, of[some], hashes[np.arange(edges[-1]) - edges[row] + begin[row]], edges
+
+
+def _counted(reach: int):
+    """Words around the wanted seeds, those of a batch that occur again in it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 for part in slices(batch):
-                    data, offsets = text_bytes(part.column("text"))
-                    hashes, text, _, _ = words(data, offsets)
-                    bounds = np.searchsorted(text, np.arange(part.num_rows + 1))
-                    want = part.column("want")
-                    flat, of = want.flatten(), np.repeat(np.arange(part.num_rows), want.value_lengths().to_numpy())
-                    place = flat.field(1).to_numpy()
-                    keep = np.flatnonzero(bounds[of] + place + K <= bounds[of + 1])  # else it is another row's of that id
-                    for some in np.split(keep, np.arange(4096, len(keep), 4096)):
-                        at, low, high = bounds[of[some]] + place[some], bounds[of[some]], bounds[of[some] + 1]
-                        begin, end = np.maximum(low, at - reach), np.minimum(high, at + K + reach)
-                        n = end - begin
-                        edges = np.concatenate([[0], np.cumsum(n)])
-                        row = np.repeat(np.arange(len(n)), n)
-                        word = hashes[np.arange(edges[-1]) - edges[row] + begin[row]]
+                    for _, _, word, _ in _stretches(part, reach):
+                        word, n = np.unique(word, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(word[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["word", "n"])
+
+    return work
+
+
+def _rarest(rank: np.ndarray, size: np.ndarray, least: int, share: float) -> np.ndarray:
+    """Which words of each row are among the rarest of a stretch, one more than it may lack of another side.
+
+    Of two stretches that make a passage, the rarest word that they share is marked in both: what is rarer in either
+    is lacking on the other side. Stretches are taken in two kinds, as the shortest that lack as many as the longest of
+    their kind: what is marked by any is marked by these.
+    """
+    out = np.zeros(rank.shape, bool)
+    for n, longest in ((least, least * 11 // 8 - 1), (least * 11 // 8, 2 * least - 1)):
+        lacks = int((1 - share) * longest + 1e-9)
+        count = rank.shape[1] - n + 1
+        if count <= 0:
+            break
+        highest = np.partition(np.lib.stride_tricks.sliding_window_view(rank, n, axis=1), lacks, axis=2)[:, :, lacks]
+        cover = np.full((len(rank), rank.shape[1] + n - 1), -1, rank.dtype)
+        cover[:, n - 1 : n - 1 + count] = np.where(np.arange(count) + n <= size[:, None], highest, -1)
+        out |= rank <= np.lib.stride_tricks.sliding_window_view(cover, n, axis=1).max(2)
+    return out
+
+
+def _finer(seed: np.ndarray, word: np.ndarray, edges: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key: a two with each of the rarest words of the stretches around it."""
+    known, times = common
+    at = np.minimum(np.searchsorted(known, word), len(known) - 1)
+    often = np.where(known[at] == word, times[at], 0) if len(known) else np.zeros(len(word), np.int64)
+    rank = np.unique((np.minimum(often, (1 << 31) - 1) << 32) + (word >> U(32)).astype(np.int64), return_inverse=True)[1].astype(np.int32)
+    size = np.diff(edges)
+    order = np.argsort(size, kind="stable")
+    order = order[size[order] >= least]
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for some in np.split(order, np.arange(64, len(order), 64)) if len(order) else []:
+        step = np.arange(size[some].max())
+        place = np.minimum(edges[some][:, None] + step, edges[some + 1][:, None] - 1)
+        inside = step < size[some][:, None]
+        row, column = np.nonzero(_rarest(np.where(inside, rank[place], np.iinfo(np.int32).max), size[some], least, share))
+        key = mix(seed[some[row]].view(U) * U(_STEP) + mix(word[place[row, column]])).view(np.int64)
+        new = _first(row, key)
+        rows.append(some[row[new]])
+        keys.append(key[new])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _around(reach: int, least: int, share: float, common: tuple[np.ndarray, np.ndarray]):
+    """The words around the wanted seeds, as numbers that tell the first of equal words from the second and so on, and the finer keys of twos of very many documents."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for part in slices(batch):
+                    flat = part.column("want").flatten()
+                    for some, of, word, edges in _stretches(part, reach):
+                        row = np.repeat(np.arange(len(some)), np.diff(edges))
                         order = np.lexsort((word, row))
                         new = np.append(True, (word[order[1:]] != word[order[:-1]]) | (row[order[1:]] != row[order[:-1]]))[: len(order)]
                         starts = np.flatnonzero(new)
                         nth = np.empty(len(order), np.int64)
                         nth[order] = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
                         token = mix(word + nth.astype(U) * U(_STEP)).astype(np.uint16) & np.uint16(BITS - 1)
-                        pieces = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * edges).astype(np.int32)), pa.py_buffer(token)])
-                        take = pa.array(some)
-                        names = ["seed", "place", "first", "open", "parts", "next", "many"]
-                        fields = [flat.field(i).take(take) for i in range(7)]
-                        yield pa.RecordBatch.from_arrays([pa.array(part.column("doc").to_numpy()[of[some]]), *fields, pieces], names=["doc", *names, "around"])
+                        pieces = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((2 * edges).astype(np.int32)), pa.py_buffer(token)])
+                        names = ["seed", "place", "first", "open", "owns", "others", "next", "many"]
+                        fields = [flat.field(i).take(pa.array(some)) for i in range(8)]
+                        wide = np.flatnonzero(fields[5].to_numpy() > 1)
+                        ends = np.concatenate([[0], np.cumsum(np.diff(edges)[wide])])
+                        own = np.repeat(wide, np.diff(edges)[wide])
+                        at, key = _finer(fields[0].to_numpy()[wide], word[np.arange(len(own)) - ends[np.searchsorted(wide, own)] + edges[own]], ends, common, least, share)
+                        order = np.argsort(at, kind="stable")
+                        counts = np.bincount(wide[at], minlength=len(some)) if len(at) else np.zeros(len(some), np.int64)
+                        finer = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(key[order]))
+                        yield pa.RecordBatch.from_arrays([pa.array(part.column("doc").to_numpy()[of]), *fields, pieces, finer], names=["doc", *names, "around", "finer"])
 
     return work
 
 
 def _dense(token: np.ndarray, bits: np.ndarray, least: int, share: float) -> np.ndarray:
     """Whether some ``least`` words in a row, or more, may have their share in the other side's ``bits``."""
-    total = np.zeros((len(token), token.shape[1] + 1), np.float32)
-    np.cumsum(np.take_along_axis(bits, token.astype(np.int64), 1) - np.float32(share), axis=1, out=total[:, 1:])
+    return _holds(np.take_along_axis(bits, token.astype(np.int64), 1), least, share)
+
+
+def _holds(there: np.ndarray, least: int, share: float) -> np.ndarray:
+    total = np.zeros((len(there), there.shape[1] + 1), np.float32)
+    np.cumsum(there - np.float32(share), axis=1, out=total[:, 1:])
     low = np.minimum.accumulate(total[:, : total.shape[1] - least], axis=1)
     return (total[:, least:] - low).max(1) >= -1e-3
 
@@ -793,48 +872,70 @@ def _compared(reach: int, least: int, share: float):
             np.maximum(best, total[k] - low, out=best)
         return best >= -slack - 1e-3
 
-    def tile(doc, place, then, many, chunk, sides, open_, first, token, bits, size) -> Iterator[np.ndarray]:
-        for one, two in sides:
-            own, others = np.flatnonzero(open_ & (chunk == one) & (size >= fewest)), np.flatnonzero(first & (chunk == two) & (size >= fewest))
-            if not len(own) or not len(others) or doc[own].max() <= doc[others].min():
-                continue
-            others = others[np.argsort(doc[others], kind="stable")]
-            earlier = np.searchsorted(doc[others], doc[own])
-            for k in range(0, len(others), 2048):
-                b = others[k : k + 2048]
-                columns = np.ascontiguousarray(bits[b].T).view(np.uint8)
-                pairs = [np.zeros((2, 0), np.int64)]
-                for a, n in zip(own.tolist(), np.minimum(earlier - k, len(b)).tolist(), strict=True):
-                    if n > 0:
-                        j = b[:n][may_hold(token[a], columns[:, :n])] if n > BLOCK else b[:n]
-                        pairs.append(np.stack([np.full(len(j), a), j]))
-                i, j = np.concatenate(pairs, axis=1)
-                for m in range(0, len(i), 4096):
-                    p, q = i[m : m + 4096], j[m : m + 4096]
-                    may = _dense(token[p, :width], bits[q], least, share)
-                    p, q = p[may], q[may]
-                    may = _dense(token[q, :width], bits[p], least, share)
-                    p, q = p[may], q[may]
-                    for bit, at in ((1, place), (2, then)):
-                        r = np.flatnonzero(many[p] & bit)
-                        yield np.stack([doc[p[r]], doc[q[r]], at[p[r]], at[q[r]]])
+    def tile(doc, open_, first, token, bits) -> Iterator[np.ndarray]:
+        """The pairs that are left of a tile by whole blocks."""
+        own, others = (rows[np.argsort(doc[rows], kind="stable")] for rows in (np.flatnonzero(open_), np.flatnonzero(first)))
+        if not len(own) or not len(others) or doc[own[-1]] <= doc[others[0]]:
+            return
+        fewer, more = (own, others) if len(own) < len(others) else (others, own)
+        for k in range(0, len(more), 2048):
+            b = more[k : k + 2048]
+            columns = np.ascontiguousarray(bits[b].T).view(np.uint8)
+            begin = np.zeros(len(own), int) if fewer is own else np.searchsorted(doc[b], doc[fewer], "right")
+            end = np.searchsorted(doc[b], doc[fewer]) if fewer is own else np.full(len(others), len(b))
+            pairs = [np.zeros((2, 0), np.int64)]
+            for a, s, t in zip(fewer.tolist(), begin.tolist(), end.tolist(), strict=True):
+                if s < t:
+                    j = b[s:t][may_hold(token[a], columns[:, s:t])] if t - s > BLOCK else b[s:t]
+                    pairs.append(np.stack([np.full(len(j), a), j]))
+            found = np.concatenate(pairs, axis=1)
+            yield found if fewer is own else found[::-1]
+
+    def listed(doc, open_, first, edge) -> np.ndarray:
+        """All pairs of small tiles, which end at ``edge``."""
+        own, others = np.flatnonzero(open_), np.flatnonzero(first)
+        bounds = np.searchsorted(others, edge)
+        of = np.searchsorted(edge, own, "right") - 1
+        n = bounds[of + 1] - bounds[of]
+        i = np.repeat(own, n)
+        j = others[np.repeat(bounds[of], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
+        return np.stack([i, j])[:, doc[j] < doc[i]]
+
+    def judged(pairs: np.ndarray, token, bits) -> Iterator[np.ndarray]:
+        flat = bits.ravel()
+        for m in range(0, pairs.shape[1], 4096):
+            p, q = pairs[:, m : m + 4096]
+            for _ in range(2):
+                may = _holds(flat[q[:, None] * (BITS + 1) + token[p, :width]], least, share)
+                p, q = q[may], p[may]
+            yield np.stack([p, q])
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
-        names = ("seed", "low", "high", "chunk", "doc", "place", "next", "many", "first", "open")
-        seed, low, high, chunk, doc, place, then, many, first, open_ = (rows.column(c).to_numpy() for c in names)
+        names = ("seed", "low", "high", "doc", "place", "next", "many", "first", "open")
+        seed, low, high, doc, place, then, many, first, open_ = (rows.column(c).to_numpy() for c in names)
         data, offsets = text_bytes(rows.column("around").chunk(0))
         size = np.diff(offsets) // 2
         token = np.full((len(size), blocks * BLOCK), BITS, np.uint16)
         token[np.arange(blocks * BLOCK) < size[:, None]] = np.frombuffer(data.tobytes(), np.uint16)
+        open_, first = open_ & (size >= fewest), first & (size >= fewest)
         edge = _edges(seed, low, high)
-        out = [np.zeros((4, 0), np.int64)]
-        for s, t in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        small = np.diff(edge) <= LISTED
+        # tiles of few rows that lie side by side are judged together, some 4,096 rows at once
+        new = np.ones(len(small), bool)
+        new[1:] = ~small[1:] | ~small[:-1] | (np.diff(edge[:-1] >> 12) > 0)
+        out = [np.zeros((2, 0), np.int64)]
+        for k, m in itertools.pairwise([*np.flatnonzero(new).tolist(), len(small)]):
+            s, t = edge[k], edge[m]
             bits = np.zeros((t - s, BITS + 1), bool)
             np.put_along_axis(bits, token[s:t].astype(np.int64), True, 1)
             bits[:, BITS] = False
-            sides = {(low[s], high[s]), (high[s], low[s])}
-            out += tile(*(c[s:t] for c in (doc, place, then, many, chunk)), sides, *(c[s:t] for c in (open_, first, token)), bits, size[s:t])
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names=["doc", "hub", "place", "there"])
+            sides = [c[s:t] for c in (doc, open_, first)]
+            for pairs in [listed(*sides, edge[k : m + 1] - s)] if small[k] else tile(*sides, token[s:t], bits):
+                out += [s + found for found in judged(pairs, token[s:t], bits)]
+        p, q = np.concatenate(out, axis=1)
+        found = np.concatenate([np.stack([doc[a], doc[b], at[a], at[b]]) for bit, at in ((1, place), (2, then)) for a, b in [(p[many[p] & bit > 0], q[many[p] & bit > 0])]], axis=1)
+        found = found[:, _first(*found)]  # a seed is in many twos
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["doc", "hub", "place", "there"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole(batches, 20_000, "seed", "low", "high"):
@@ -843,8 +944,31 @@ def _compared(reach: int, least: int, share: float):
     return work
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties as one row for each pair of documents of a batch, either place in half of a long."""
+    for batch in batches:
+        doc, hub, place, there = (batch.column(c).to_numpy() for c in ("doc", "hub", "place", "there"))
+        order = np.lexsort((there, place, hub, doc))
+        doc, hub, ties = doc[order], hub[order], (place[order] << 32) | there[order]
+        if len(doc):
+            edge = _edges(doc, hub)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[edge[:-1]]), pa.array(hub[edge[:-1]]), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ties))], names=["doc", "hub", "ties"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of packed ties in order of document, as ties in order of document, other document and places."""
+    for rows in _whole(batches, 20_000, "doc"):
+        lists = rows.column("ties").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        ties, n = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        doc, hub, known = (np.repeat(rows.column(c).to_numpy(), n) for c in ("doc", "hub", "known"))
+        order = np.lexsort((known, ties, hub, doc))
+        doc, hub, known, ties = doc[order], hub[order], known[order], ties[order]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc, hub, ties >> 32, ties & 0xFFFFFFFF, known)], names=["doc", "hub", "place", "there", "known"])
+
+
 def _earlier_owners(tied: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scratch, least: int, share: float) -> DataFrame:
-    """``doc, hub, place, there``: ties of seeds outside all passages to the documents before that have them."""
+    """``doc, hub, ties, known``: ties of seeds outside all passages to the documents before that have them, packed."""
     none = [F.lit(None).cast(kind).alias(name) for name, kind in (("first", "boolean"), ("hub", "long"), ("n", "int"))]
     covers = found.select(F.lit(None).cast("long").alias("seed"), F.col("doc_id").alias("doc"), F.col("start").alias("place"), *none, F.lit(0).alias("kind"), F.col("end"))
     rows = tied.select("seed", "doc", F.col("place").cast("long").alias("place"), "first", "hub", "n", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("end"))
@@ -853,32 +977,57 @@ def _earlier_owners(tied: DataFrame, found: DataFrame, docs: DataFrame, scratch:
     marked = scratch.keep(marked.withColumn("open", F.col("open") & (F.col("doc") != F.col("hub"))), "marked")
     some = scratch.keep(marked.where("open").select(F.col("seed").alias("s")).distinct(), "open-seeds")
     live = marked.where("open OR first").join(some, F.col("seed") == F.col("s")).select("seed", "doc", "place", "first", "hub", "n", "open")
-    ties = "doc long, hub long, place long, there long"
-    few = live.where(F.col("n") <= FEW).repartition(F.col("seed")).sortWithinPartitions("seed", "doc", "place").mapInArrow(_owners, f"{ties}, known boolean")
+    few = live.where(F.col("n") <= FEW).repartition(F.col("seed")).sortWithinPartitions("seed", "doc", "place").mapInArrow(_owners, "doc long, hub long, place long, there long, known boolean")
+    few = few.select("doc", "hub", F.array(F.shiftleft("place", 32).bitwiseOR(F.col("there"))).alias("ties"), "known")
     near = live.repartition(F.col("doc")).sortWithinPartitions("doc", "place")
     near = scratch.keep(near.mapInArrow(_pairs, "seed long, doc long, place long, next long, open boolean, first boolean, many int"), "near")
-    keys = near.groupBy(F.col("seed").alias("s")).agg(
-        F.min(F.when(F.col("first"), F.col("doc"))).alias("hub"), F.max(F.when(F.col("open"), F.col("doc"))).alias("top"), F.count(F.lit(1)).alias("n")
-    )
-    keys = scratch.keep(keys.where("hub < top").select("s", F.ceil(F.col("n") / SIDE).cast("int").alias("parts")), "keys")
+    keys = scratch.keep(_sides(near), "keys")
     near = near.join(keys, F.col("seed") == F.col("s"))
-    want = near.groupBy("doc").agg(F.collect_list(F.struct("seed", "place", "first", "open", "parts", "next", "many")).alias("want"))
+    texts = lambda rows, *fields: rows.groupBy("doc").agg(F.collect_list(F.struct(*fields)).alias("want")).hint("merge").join(_texts(docs), F.col("doc") == F.col("doc_id")).select("doc", "text", "want")
     reach = 2 * least - 1 - K  # a stretch of 2 * least - 1 words at most, as longer ones hold two
-    each = want.hint("merge").join(_texts(docs), F.col("doc") == F.col("doc_id")).select("doc", "text", "want")
-    each = each.mapInArrow(_around(reach), "doc long, seed long, place long, first boolean, open boolean, parts int, next long, many int, around binary")
-    each = scratch.keep(each, "around").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
-    dealt = each.withColumn("k", F.explode(F.expr("sequence(0, parts - 1)"))).withColumns({"low": F.least("chunk", "k"), "high": F.greatest("chunk", "k")})
-    dealt = dealt.select("seed", "low", "high", "chunk", "doc", "place", "next", "many", "first", "open", "around")
-    dealt = dealt.repartition("seed", "low", "high").sortWithinPartitions("seed", "low", "high")
-    rest = scratch.keep(dealt.mapInArrow(_compared(reach, least, share), ties), "rest")
-    scratch.drop("near", "keys", "around")
+    common = np.zeros(0, U), np.zeros(0, np.int64)
+    if not keys.where("others > 1").isEmpty():
+        counted = texts(near.where("others > 1"), "seed", "place").mapInArrow(_counted(reach), "word long, n long")
+        top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
+        word, n = top.column("word").to_numpy().view(U), top.column("n").to_numpy()
+        common = word[np.argsort(word)], n[np.argsort(word)]
+    each = texts(near, "seed", "place", "first", "open", "owns", "others", "next", "many")
+    row = "doc long, seed long, place long, first boolean, open boolean, owns int, others int, next long, many int, around binary, finer array<long>"
+    each = scratch.keep(each.mapInArrow(_around(reach, least, share, common), row), "around")
+    # a two that very many documents have first is looked up with a rare word of the stretch
+    finer = each.where("others > 1").withColumn("seed", F.explode("finer")).drop("finer", "owns", "others")
+    keys = scratch.keep(_sides(finer.select("seed", "doc", "first", "open")), "finer-keys")
+    each = each.where("others = 1").drop("finer").unionByName(finer.join(keys, F.col("seed") == F.col("s")).drop("s"))
+    dealt = _dealt(each).repartition("seed", "low", "high").sortWithinPartitions("seed", "low", "high")
+    compared = _compared(reach, least, share)
+    rest = scratch.keep(dealt.mapInArrow(lambda batches: _packed(compared(batches)), "doc long, hub long, ties array<long>"), "rest")
+    scratch.drop("near", "keys", "around", "finer-keys")
     return few.unionAll(rest.withColumn("known", F.lit(False)))
 
 
-def _found(matches: DataFrame, docs: DataFrame, scratch: Scratch, name: str, least: int, share: float, diagonals: bool = False) -> DataFrame:
-    """Passages of ``matches(doc, hub, place, there)``: chains, cut out of the texts, and aligned."""
-    chained = matches.repartition(F.col("doc")).sortWithinPartitions("doc", "hub", "place", "there")
-    chained = chained.mapInArrow(partial(_chains, diagonals=diagonals), "doc long, hub long, x0 long, x1 long, y0 long, y1 long, xs binary, ys binary")
+def _sides(rows: DataFrame) -> DataFrame:
+    """``s, owns, others``: keys that an open row has after a document's first one, and into how many parts either side of their pairs is cut."""
+    parts = lambda side: F.greatest(F.lit(1), F.ceil(F.count(F.when(F.col(side), 1)) / SIDE)).cast("int")
+    hub, top = (least(F.when(F.col(side), F.col("doc"))) for least, side in ((F.min, "first"), (F.max, "open")))
+    keys = rows.groupBy(F.col("seed").alias("s")).agg(hub.alias("hub"), top.alias("top"), parts("open").alias("owns"), parts("first").alias("others"))
+    return keys.where("hub < top").select("s", "owns", "others")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows in tiles ``low, high`` of each key: open ones to the tiles of their part, first ones to those of theirs."""
+    part = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    whole, cut = rows.where("owns * others = 1"), rows.where("owns * others > 1")
+    own = cut.where("open").withColumns({"first": F.lit(False), "low": part("owns"), "high": all_("others")})
+    other = cut.where("first").withColumns({"open": F.lit(False), "low": all_("owns"), "high": part("others")})
+    dealt = whole.withColumns({"low": F.lit(0), "high": F.lit(0)}).unionByName(own).unionByName(other)
+    return dealt.select("seed", "low", "high", "doc", "place", "next", "many", "first", "open", "around")
+
+
+def _found(matches: DataFrame, docs: DataFrame, scratch: Scratch, name: str, least: int, share: float, packed: bool = False) -> DataFrame:
+    """Passages of ``matches(doc, hub, place, there)``, or packed ones: chains, cut out of the texts, and aligned."""
+    chained = matches.repartition(F.col("doc")).sortWithinPartitions(*(["doc"] if packed else ["doc", "hub", "place", "there"]))
+    chained = chained.mapInArrow((lambda batches: _chains(_unpacked(batches), diagonals=True)) if packed else _chains, "doc long, hub long, x0 long, x1 long, y0 long, y1 long, xs binary, ys binary")
     chained = scratch.keep(chained.withColumn("id", F.xxhash64("doc", "hub", "x0", "y0", "xs")), f"{name}-chains")
     sides = F.array(
         F.struct(F.col("doc").alias("at"), F.lit(0).alias("side"), F.col("x0").alias("begin"), F.col("x1").alias("end")),
@@ -910,7 +1059,7 @@ def passages(docs: DataFrame, scratch: Scratch, least: int = LEAST, share: float
     scratch.drop("ties")
     # stretches that gave no passage are tied again, to all documents before theirs that have their seeds
     left = _earlier_owners(tied, first, docs, scratch, least, share)
-    second = _found(left, docs, scratch, "second", least, share, diagonals=True)
+    second = _found(left, docs, scratch, "second", least, share, packed=True)
     scratch.drop("shared", "marked", "open-seeds", "rest")
     found = first.unionAll(second).distinct()
     ordered = found.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "other_doc_id", "start", F.col("end").desc(), "other_start", "other_end")

@@ -501,6 +501,57 @@ def test_tiles_lose_nothing():
     assert {(r["doc"], r["hub"]) for r in found} == wanted and len(found) == 2 * len(wanted)
 
 
+def test_rare_words_lose_nothing():
+    """Rows with a stretch in common have a finer key in common, whichever words are said to be frequent."""
+    rng = np.random.default_rng(40)
+    names = hashing.mix(np.arange(1, 3001).astype(np.uint64))
+    for common in ((names[:0], np.zeros(0, np.int64)), (np.sort(names[:400]), rng.integers(1, 99, 400))):
+        rows = []
+        for k in range(0, 200, 2):  # a stretch and its copy with up to a fifth of its words replaced, left out or put in
+            n = int(rng.integers(40, 80))
+            stretch = names[rng.zipf(1.3, n) % 3000]
+            other = stretch.copy()
+            at = rng.choice(n, n // 5, replace=False)
+            other[at] = rng.choice(names, len(at))
+            if k % 4:
+                at = at[: (n - 40) // 2]
+                other = np.delete(np.insert(stretch, rng.choice(n, len(at)), rng.choice(names, len(at))), at)
+            rows += [np.concatenate([rng.choice(names, rng.integers(0, 30)), s, rng.choice(names, rng.integers(0, 30))]) for s in (stretch, other)]
+        edges = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+        at, key = chains._finer(np.zeros(len(rows), np.int64), np.concatenate(rows), edges, common, chains.LEAST, chains.SHARE)
+        keys = [set(key[at == r].tolist()) for r in range(len(rows))]
+        assert all(keys[k] & keys[k + 1] for k in range(0, 200, 2))
+        assert np.mean([len(k) for k in keys]) < 60
+
+
+def test_rows_of_tiles(spark, monkeypatch):
+    """Documents that share a line only: what is dealt to tiles does not grow with their square."""
+    monkeypatch.setattr(chains, "SIDE", 16)
+    dealt = []
+
+    class Counted(Scratch):
+        def keep(self, df, name, codec=None):
+            kept = super().keep(df, name, codec)
+            dealt.extend([kept.count()] if name == "rest" else [])
+            return kept
+
+    def every(*_):
+        def work(batches):
+            for batch in batches:
+                zero = np.zeros(batch.num_rows, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(-1 - np.arange(batch.num_rows)), pa.array(zero), pa.array(zero)], names=["doc", "hub", "place", "there"])
+
+        return work
+
+    monkeypatch.setattr(chains, "_compared", every)
+    rng = random.Random(41)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line = own(20)
+    rows = [(k, " ".join(own(60) + line + own(60))) for k in range(400)]
+    chains.passages(spark.createDataFrame(rows, "doc_id long, text string"), Counted(spark)).collect()
+    assert dealt[0] <= 10 * len(rows)
+
+
 def test_partner_first_with_one_seed_only():
     """A partner that is the first document of one seed, but not of the other, is tied by both."""
     rows = dict(seed=[1, 1, 2, 2, 2], doc=[5, 9, 3, 5, 9], place=[10, 10, 7, 20, 20], first=[True] * 5, hub=[5, 5, 3, 3, 3], open=[False, True, False, False, True])
