@@ -14,7 +14,7 @@ import base64
 import re
 import threading
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from email.utils import parsedate_to_datetime
@@ -46,6 +46,7 @@ class Fetch:
     rate: float = 0.0  # requests per second and host; 0: as fast as answers come
     adaptive: bool = True  # 429 and 503 slow a host down
     longest_wait: float = 300.0
+    allowed: Callable[[str], bool] | None = None  # asked before ``fetch`` follows a redirect; a crawl judges its own
 
 
 def decode(body: bytes, content_type: str) -> str:
@@ -198,6 +199,9 @@ def fetch(url: str, options: Fetch) -> dict:
             break
         hops.append({"from": at, "to": row["to"], "status": row["status_code"]})
         at = row["to"]
+        if options.allowed and not options.allowed(at):
+            row |= {"err": "redirect leaves the allowed scope", "final_url": at, "status_code": 0, "headers": None}
+            break
     else:
         row |= {"err": TOO_MANY, "final_url": at, "status_code": 0, "headers": None}
     return row | {"requested_url": url, "redirects": hops, "duration_ms": took}
